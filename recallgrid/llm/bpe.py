@@ -54,16 +54,21 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
-def serialise_model(tokens: list[bytes]) -> bytes:
-    """A sentencepiece ModelProto (type BPE) whose piece ids are the ranks; one unknown piece follows them."""
-    chars = byte_characters()
-    pieces = [_field(1, "".join(chars[b] for b in token).encode()) + _field(2, float(-rank)) + _field(3, 1) for rank, token in enumerate(tokens)]
+def serialise(scored: list[tuple[str, float]]) -> bytes:
+    """A sentencepiece ModelProto (type BPE) with a piece id per (piece, score) in order; one unknown piece follows them."""
+    pieces = [_field(1, piece.encode()) + _field(2, score) + _field(3, 1) for piece, score in scored]
     pieces.append(_field(1, b"<unk>") + _field(2, 0.0) + _field(3, 2))
-    trainer = _field(3, 2) + _field(4, len(pieces)) + _field(40, len(tokens))
+    trainer = _field(3, 2) + _field(4, len(pieces)) + _field(40, len(scored))
     normaliser = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
     return b"".join(_field(1, piece) for piece in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+def serialise_model(tokens: list[bytes]) -> bytes:
+    """The model of a rank file: byte-mapped pieces, scored by negative rank, their ids the ranks."""
+    chars = byte_characters()
+    return serialise([("".join(chars[b] for b in token), float(-rank)) for rank, token in enumerate(tokens)])
+
+
 class ByteBpe:
     """Encodes text to the ids of a rank file and back. Holds a bounded memo of chunks, for words recur."""
 
@@ -73,8 +78,8 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.pattern = regex.compile(pattern)
         self.byte_to_char = dict(enumerate(byte_characters()))
-        self.spaced = Bounded(lambda chunk: self._encode(" " + chunk))
-        self.pretokens = Bounded(lambda pretoken: self._merge([pretoken])[0])
+        self.spaced = Bounded(lambda chunk: self._encode(" " + chunk), 800_000)
+        self.pretokens = Bounded(lambda pretoken: self._merge([pretoken])[0], 800_000)
 
     def _merge(self, pretokens: list[str]) -> list[bytes]:
         """A pre-token that is a whole token stays whole; any other is merged by sentencepiece."""
@@ -91,9 +96,10 @@ class ByteBpe:
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """encode() of each text; pre-tokens not met before are merged together first, once each."""
-        new = {chunk for text in rows for chunk in text.split(" ")}.difference(self.spaced)
-        met = {p for chunk in new for p in self.pattern.findall(" " + chunk)}.difference(self.pretokens)
+        new = {chunk: self.pattern.findall(" " + chunk) for chunk in {chunk for text in rows for chunk in text.split(" ")}.difference(self.spaced)}
+        met = {p for parts in new.values() for p in parts}.difference(self.pretokens)
         self.pretokens.update(zip(met, self._merge(list(met))))
+        self.spaced.update((chunk, b"".join(map(self.pretokens.__getitem__, parts))) for chunk, parts in new.items())
         out = [self.encode(text) for text in rows]
         self.spaced.trim()
         self.pretokens.trim()

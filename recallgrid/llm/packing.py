@@ -9,15 +9,20 @@ one length in one step. The plan says which ranks of a length go to which sequen
 from __future__ import annotations
 
 import functools
+import json
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
+import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_characters, serialise
 from .common import Bounded, map_arrow, record_batch, slices, stored, texts
 
 
@@ -29,39 +34,69 @@ def _tokenizer(path: str) -> Tokenizer:
     return t
 
 
-class SpaceSplit:
-    """Encodes by the chunks between plain spaces: this tokenizer drops white space and no token reaches over it.
+class WordBpe:
+    """Ids of a lower-casing BPE with word ends, equal to the library's, from a memo of the chunks between spaces.
 
-    Texts that hold a special string go whole, for such a string may be found anywhere.
+    White space is dropped by this tokenizer and no token reaches over it, so chunks can be encoded apart. New chunks in
+    Latin-1 are cut by the file's own pattern and merged by a sentencepiece model written from the file: a word's last
+    byte joins the end mark first, then merges go by their place in the file. Other chunks, and whole texts that hold a
+    special string, go to the library.
     """
 
+    END = "\ue000"
+
     def __init__(self, path: str):
         self.t = _tokenizer(path)
-        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.memo = Bounded(lambda chunk: self.whole(chunk))
+        with open(path) as file:
+            spec = json.load(file)
+        suffix = spec["model"]["end_of_word_suffix"]
+        place = {"".join(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
+        by_id = {i: token for token, i in spec["model"]["vocab"].items()}
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        plain = [by_id[i] for i in range(len(by_id)) if by_id[i] not in self.special]
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise([(x.removesuffix(suffix) + self.END if x.endswith(suffix) else x, -1.0 - place[x] if x in place else 0.0) for x in plain]))
+        self.pattern = regex.compile(next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"])
+        self.byte_to_char = dict(enumerate(byte_characters()))
+        self.memo = Bounded(self.whole, 800_000)
+        self.words = Bounded(self.whole, 800_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, new: set[str]) -> None:
+        cut, rest = {}, []
+        for chunk in new:
+            try:
+                chunk.encode("latin-1")
+            except UnicodeEncodeError:
+                rest.append(chunk)
+            else:
+                cut[chunk] = self.pattern.findall(chunk.lower())
+        words = list({w for parts in cut.values() for w in parts}.difference(self.words))
+        ids = self.model.encode([w.encode().decode("latin-1").translate(self.byte_to_char) + self.END for w in words], num_threads=1) if words else []
+        self.words.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(words, ids))
+        self.memo.update((chunk, b"".join(map(self.words.__getitem__, parts))) for chunk, parts in cut.items())
+        self.memo.update((chunk, self.whole(chunk)) for chunk in rest)
+
     def encode_all(self, rows: list[str]) -> list[bytes]:
         split = [None if any(s in text for s in self.special) else text.replace("\n", " ").split(" ") for text in rows]
-        new = list({chunk for chunks in split if chunks for chunk in chunks}.difference(self.memo))
-        self.memo.update((chunk, np.array(e.ids, dtype="<u4").tobytes()) for chunk, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False)))
+        self._learn({chunk for chunks in split if chunks for chunk in chunks}.difference(self.memo))
         out = [self.whole(text) if chunks is None else b"".join(map(self.memo.__getitem__, chunks)) for text, chunks in zip(rows, split)]
         self.memo.trim()
+        self.words.trim()
         return out
 
 
 @functools.cache
-def space_split(path: str) -> SpaceSplit:
-    return SpaceSplit(path)
+def word_bpe(path: str) -> WordBpe:
+    return WordBpe(path)
 
 
 def cut_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part): each document's ids and the separator, cut where longer than capacity."""
 
     def run(batches):
-        codec, end = space_split(path), np.array([separator], dtype="<u4").tobytes()
+        codec, end = word_bpe(path), np.array([separator], dtype="<u4").tobytes()
         for batch in slices(batches, most=4 << 20):
             own, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(codec.encode_all(texts(batch))):
