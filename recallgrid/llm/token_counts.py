@@ -16,12 +16,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import list_array, map_arrow, record_batch, slices, texts, with_row_id
+from .common import Bounded, list_array, map_arrow, record_batch, slices, texts, with_row_id
 
-#: A pre-token found in this share of a batch's documents is dealt out over SALTS tasks; it is then counted once in each.
-HOT_SHARE, SALTS = 1 / 64, 16
+#: Pre-tokens are dealt out over so many buckets; a pre-token found in HOT_SHARE of a batch's documents goes to a bucket
+#: that depends on the batch too, and is then counted in more than one place.
+BUCKETS, HOT_SHARE = 1024, 1 / 64
 
-POSTINGS = "shard long, term string, base long, idx array<int>, n array<int>, doc_id array<long>"
+
+def _pack(terms: list[bytes], lists: np.ndarray, idx: np.ndarray, n: np.ndarray) -> bytes:
+    """Pre-tokens, how many documents each has, those documents' places in the batch and the frequencies, compressed."""
+    lengths = np.fromiter(map(len, terms), dtype="<u4", count=len(terms))
+    raw = b"".join([np.array([len(terms), len(idx), lengths.sum()], dtype="<u4").tobytes(), lengths.tobytes(), lists.astype("<u4").tobytes(), idx.astype("<u4").tobytes(), n.astype("<u4").tobytes(), *terms])
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[4:], decompressed_size=int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    n_terms, n_entries, n_text = np.frombuffer(raw, dtype="<u4", count=3).tolist()
+    numbers = np.frombuffer(raw, dtype="<u4", offset=12, count=2 * n_terms + 2 * n_entries)
+    ends = np.cumsum(numbers[:n_terms]).tolist()
+    text = raw[len(raw) - n_text :]
+    terms = [text[a:b].decode() for a, b in zip([0, *ends], ends)]
+    lists, rest = numbers[n_terms : 2 * n_terms], numbers[2 * n_terms :]
+    return terms, lists, rest[:n_entries], rest[n_entries:]
 
 
 @functools.cache
@@ -56,7 +73,7 @@ class Pretokens:
 
 
 def _postings(path: str, pattern: str):
-    """Per batch of documents, a row for each distinct pre-token: which documents have it, and how often."""
+    """Per batch of documents, a row for each bucket of pre-tokens, and one with the documents' own columns."""
 
     def run(batches):
         units = Pretokens(path, pattern)
@@ -75,94 +92,109 @@ def _postings(path: str, pattern: str):
             parts = [units.of(chunk) for chunk in found]
             terms: dict[str, int] = {}
             flat = np.array([terms.setdefault(p, len(terms)) for part in parts for p in part], dtype=np.int64)
-            size = np.array([len(part) for part in parts], dtype=np.int64)
-            start = np.cumsum(size) - size
+            size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            del parts, found
             ids, freq = np.frombuffer(ids, dtype=np.int32), np.frombuffer(freq, dtype=np.int32)
-            doc = np.repeat(np.arange(len(rows)), lens)
             each = size[ids]
-            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[ids], each)
-            key = flat[place] << 32 | np.repeat(doc, each)
+            place = np.arange(each.sum()) + np.repeat((np.cumsum(size) - size)[ids] - (np.cumsum(each) - each), each)
+            names = [t.encode() for t in terms]
+            bucket = np.fromiter(map(zlib.crc32, names), dtype=np.int64, count=len(names))
+            key = flat[place] << 32 | np.repeat(np.repeat(np.arange(len(rows)), lens), each)
             order = np.argsort(key, kind="stable")
             key, weight = key[order], np.repeat(freq, each)[order]
             edge = np.flatnonzero(np.diff(key, prepend=-1))
-            n = np.add.reduceat(weight, edge) if len(edge) else weight
-            key = key[edge]
-            offsets = np.searchsorted(key >> 32, np.arange(len(terms) + 1))
-            names = list(terms)
-            hot = np.diff(offsets) >= max(2, HOT_SHARE * len(rows))
-            shard = [zlib.crc32(t.encode()) * SALTS + (base + i if h else 0) % SALTS for i, (t, h) in enumerate(zip(names, hot))]
-            empty = pa.nulls(len(names), pa.list_(pa.int64()))
-            for a in range(0, len(names), 20_000):
-                b = min(len(names), a + 20_000)
-                lo, hi = offsets[a], offsets[b]
-                yield record_batch({"shard": pa.array(shard[a:b], pa.int64()), "term": pa.array(names[a:b], pa.string()), "base": pa.array(np.full(b - a, base)), "idx": list_array(pa.array((key[lo:hi] & 0xFFFFFFFF).astype(np.int32)), offsets[a : b + 1] - lo), "n": list_array(pa.array(n[lo:hi].astype(np.int32)), offsets[a : b + 1] - lo), "doc_id": empty[a:b]})
+            n, key = np.add.reduceat(weight, edge) if len(edge) else weight, key[edge]
+            lists = np.bincount(key >> 32, minlength=len(names))
+            bucket = (bucket + np.where(lists >= max(2, HOT_SHARE * len(rows)), base, 0)) % BUCKETS
+            start = np.cumsum(lists) - lists
+            by = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+            blobs, used = [], np.flatnonzero(np.diff(edges))
+            for i in used:
+                own = by[edges[i] : edges[i + 1]]
+                sizes = lists[own]
+                at = np.arange(sizes.sum()) + np.repeat(start[own] - (np.cumsum(sizes) - sizes), sizes)
+                blobs.append(_pack([names[j] for j in own.tolist()], sizes, key[at] & 0xFFFFFFFF, n[at]))
+            for a in range(0, len(used), 128):
+                some = used[a : a + 128]
+                yield record_batch({"bucket": pa.array(some.astype(np.int32)), "base": pa.array(np.full(len(some), base)), "blob": pa.array(blobs[a : a + 128], pa.binary()), "doc_id": pa.nulls(len(some), pa.list_(pa.int64())), "n_bytes": pa.nulls(len(some), pa.list_(pa.int64()))})
             span = np.array([0, len(rows)])
-            n_bytes = pa.array([len(t.encode()) for t in rows], pa.int32())
-            yield record_batch({"shard": pa.array([base], pa.int64()), "term": pa.nulls(1, pa.string()), "base": pa.array([base], pa.int64()), "idx": list_array(pa.array(np.arange(len(rows), dtype=np.int32)), span), "n": list_array(n_bytes, span), "doc_id": list_array(batch.column("doc_id"), span)})
+            n_bytes = pa.array([len(t.encode()) for t in rows], pa.int64())
+            yield record_batch({"bucket": pa.array([base % BUCKETS], pa.int32()), "base": pa.array([base], pa.int64()), "blob": pa.nulls(1, pa.binary()), "doc_id": list_array(batch.column("doc_id"), span), "n_bytes": list_array(n_bytes, span)})
 
     return run
 
 
 def _partial_sums(path: str):
-    """Counts each distinct pre-token of a partition once and adds up what its documents get. Rows come sorted by term."""
-
-    def summed(rid: list, got: list):
-        rid, got = np.concatenate(rid), np.concatenate(got)
-        order = np.argsort(rid, kind="stable")
-        rid, got = rid[order], got[order]
-        edge = np.flatnonzero(np.diff(rid, prepend=-1))
-        out = len(edge)
-        return record_batch({"rid": pa.array(rid[edge]), "n_tokens": pa.array(np.add.reduceat(got, edge)), "n_bytes": pa.nulls(out, pa.int64()), "doc_id": pa.nulls(out, pa.int64())})
+    """Rows sorted by batch: each pre-token is counted when first met, then remembered; a row of sums per batch."""
 
     def run(batches):
         t = tokenizer(path)
-        last, last_n, rid, got, held = None, 0, [], [], 0
+        pieces = Bounded(lambda term: len(t.encode(term, add_special_tokens=False).ids), 1_000_000)
+        base, sums = None, np.zeros(0, dtype=np.int64)
+
+        def row():
+            return record_batch({"base": pa.array([base], pa.int64()), "sums": list_array(pa.array(sums), np.array([0, len(sums)])), "doc_id": pa.nulls(1, pa.list_(pa.int64())), "n_bytes": pa.nulls(1, pa.list_(pa.int64()))})
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            term = batch.column("term")
-            meta = batch.filter(term.is_null())
-            for base, idx, n, doc_id in zip(*(meta.column(c) for c in ("base", "idx", "n", "doc_id"))):
-                size = len(idx.values)
-                yield record_batch({"rid": pa.array(base.as_py() + np.arange(size, dtype=np.int64)), "n_tokens": pa.array(np.zeros(size, dtype=np.int64)), "n_bytes": n.values.cast(pa.int64()), "doc_id": doc_id.values})
-            batch = batch.filter(term.is_valid())
-            if batch.num_rows == 0:
-                continue
-            coded = batch.column("term").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = [w for w in words if w != last]
-            pieces = dict(zip(fresh, (len(e.ids) for e in t.encode_batch(fresh, add_special_tokens=False))))
-            pieces.setdefault(last, last_n)
-            count = np.array([pieces[w] for w in words], dtype=np.int64)[coded.indices.to_numpy()]
-            last = words[int(coded.indices[-1].as_py())]
-            last_n = pieces[last]
-            idx, n = batch.column("idx"), batch.column("n")
-            lens = np.diff(idx.offsets.to_numpy())
-            rid.append(np.repeat(batch.column("base").to_numpy(), lens) + idx.flatten().to_numpy())
-            got.append(np.repeat(count, lens) * n.flatten().to_numpy())
-            held += len(rid[-1])
-            if held > 4_000_000:
-                one = summed(rid, got)
-                rid, got = [one.column("rid").to_numpy()], [one.column("n_tokens").to_numpy()]
-                held = len(rid[0])
-                if held > 2_000_000:
-                    yield one
-                    rid, got, held = [], [], 0
-        if held:
-            yield summed(rid, got)
+            for i, blob in enumerate(batch.column("blob")):
+                if not blob.is_valid:
+                    none = pa.nulls(1, pa.list_(pa.int64()))
+                    yield record_batch({"base": batch.column("base").slice(i, 1), "sums": none, "doc_id": batch.column("doc_id").slice(i, 1), "n_bytes": batch.column("n_bytes").slice(i, 1)})
+                    continue
+                if (own := batch.column("base")[i].as_py()) != base:
+                    if base is not None:
+                        yield row()
+                    base, sums = own, np.zeros(0, dtype=np.int64)
+                    pieces.trim()
+                terms, lists, idx, n = _unpack(blob.as_py())
+                new = [x for x in terms if x not in pieces]
+                pieces.update(zip(new, (len(e.ids) for e in t.encode_batch_fast(new, add_special_tokens=False))))
+                count = np.fromiter(map(pieces.__getitem__, terms), dtype=np.int64, count=len(terms))
+                got = np.bincount(idx, np.repeat(count, lists) * n, minlength=len(sums)).astype(np.int64)
+                got[: len(sums)] += sums
+                sums = got
+        if base is not None:
+            yield row()
 
     return run
 
 
+def _totals(batches):
+    """Rows sorted by batch: adds up a batch's sums and gives its documents."""
+    base, sums, doc_id, n_bytes = None, np.zeros(0, dtype=np.int64), None, None
+
+    def rows():
+        total = np.zeros(len(doc_id), dtype=np.int64)
+        total[: len(sums)] = sums
+        return record_batch({"doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": pa.array(total)})
+
+    for batch in batches:
+        for i, own in enumerate(batch.column("base").to_pylist()):
+            if own != base:
+                if base is not None:
+                    yield rows()
+                base, sums = own, np.zeros(0, dtype=np.int64)
+            if batch.column("doc_id")[i].is_valid:
+                doc_id, n_bytes = batch.column("doc_id")[i].values, batch.column("n_bytes")[i].values
+                continue
+            got = batch.column("sums")[i].values.to_numpy()
+            more, less = (got.copy(), sums) if len(got) > len(sums) else (sums, got)
+            more[: len(less)] += less
+            sums = more
+    if base is not None:
+        yield rows()
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str, *, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs.
 
     Null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows are counted apart; other columns
     are ignored. Special strings inside a text count as the tokenizer takes them. docs is read once, as a table scan.
-    Shuffled: for each batch of documents a row per distinct pre-token, then a sum per document and task.
+    Shuffled: for each batch of documents its distinct pre-tokens with their documents, then sums per batch and task.
     """
     picked = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
-    postings = map_arrow(picked, _postings(path, pattern), POSTINGS)
-    sums = map_arrow(postings.repartition("shard").sortWithinPartitions("term"), _partial_sums(path), "rid long, n_tokens long, n_bytes long, doc_id long")
-    total = sums.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    postings = map_arrow(picked, _postings(path, pattern), "bucket int, base long, blob binary, doc_id array<long>, n_bytes array<long>")
+    sums = map_arrow(postings.repartition("bucket").sortWithinPartitions("base", "bucket"), _partial_sums(path), "base long, sums array<long>, doc_id array<long>, n_bytes array<long>")
+    total = map_arrow(sums.repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_bytes long, n_tokens long")
+    return total.withColumn("over_limit", F.col("n_tokens") > limit)
