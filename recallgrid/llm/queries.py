@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, suffix_dedup, token_counts
+from . import bpe, packing, simhash, suffix_dedup, suffix_lm, token_counts
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=100))
 
@@ -34,7 +38,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op5_suffix_dedup, op6_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
