@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, suffix_dedup, suffix_lm, token_counts
+from . import bpe, minhash, packing, simhash, suffix_dedup, suffix_lm, token_counts
 from .common import read
 
 
@@ -37,8 +37,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = minhash.edited_pairs(read(spark, sf_dir, "documents"))
+    prints = (minhash.digits(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
