@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, simhash, suffix_dedup, suffix_lm, token_counts
+from . import ann, bpe, minhash, packing, simhash, suffix_dedup, suffix_lm, token_counts
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = minhash.edited_pairs(read(spark, sf_dir, "documents"))
     prints = (minhash.digits(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint"))
@@ -44,7 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op10_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op8_ann, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
