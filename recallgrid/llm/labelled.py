@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -19,3 +20,7 @@ def sample_labels(labels: DataFrame, column: str, parts: int, held: int, most: i
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).dropna()
     rows = rows.where(remainder(F.col("doc_id"), parts) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def scored_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

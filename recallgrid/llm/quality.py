@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, record_batch, slices, texts
-from .labelled import remainder, sample_labels
+from .labelled import remainder, sample_labels, scored_schema
 
 MARKS = "!?.,;:'\"()[]{}<>|%$#@&*+=/\\_-~^`"
 _RUNS = re.compile(r"[^\w\s]{2,}")
@@ -172,8 +172,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text",
             yield record_batch(fields | {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    schema = kept.schema.add("score", "double").add("predicted", "int")
-    return map_arrow(kept, run, schema)
+    return map_arrow(kept, run, scored_schema(kept))
 
 
 def score_all(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0, most: int = 20_000) -> DataFrame:

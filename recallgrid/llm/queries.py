@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, minhash, packing, simhash, suffix_dedup, suffix_lm, token_counts
+from . import ann, bpe, minhash, packing, quality, simhash, suffix_dedup, suffix_lm, token_counts, toxicity
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, seed=42, most=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +45,10 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_all(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = minhash.edited_pairs(read(spark, sf_dir, "documents"))
     prints = (minhash.digits(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint"))
@@ -48,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op8_ann, op10_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op8_ann, op9_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
