@@ -70,15 +70,12 @@ def expanded(x: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, bins: int = 20) -> float:
-    """Share of positives in the unlabelled: the largest share that leaves no score interval with fewer unlabelled
-    than positives would bring, but for noise. Scores are a first model's, intervals are the positives' quantiles."""
-    edges = np.quantile(positive, np.linspace(0, 1, bins + 1))[1:-1]
-    p = np.bincount(np.searchsorted(edges, positive), minlength=bins) / len(positive)
-    u = np.bincount(np.searchsorted(edges, unlabelled), minlength=bins) / len(unlabelled)
-    upper = u + 2 * np.sqrt(np.maximum(u, 1 / len(unlabelled)) / len(unlabelled))
-    useful = p > 0.5 / bins
-    ratios = np.cumsum(upper[::-1])[::-1][useful] / np.cumsum(p[::-1])[::-1][useful]
-    return float(np.clip(ratios.min(), 0.05, 0.98))
+    """Share of positives in the unlabelled, by a first model's scores: above a threshold that a share of the positives
+    passes, the unlabelled hold at least the prior times that share. The least quotient over thresholds that half or
+    more of the positives pass is nearest to the prior."""
+    edges = np.quantile(positive, np.linspace(0, 0.5, bins // 2 + 1)[1:])
+    passing = [(unlabelled > e).mean() / max((positive > e).mean(), 1e-9) for e in edges]
+    return float(np.clip(min(passing), 0.05, 0.98))
 
 
 @dataclass
