@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates terms: all but letters, digits and _ . / : -
 TERM_BREAK = r"[^\p{L}\p{N}_./:-]+"
 WORD_BREAK = r"[^\p{L}\p{N}_-]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
