@@ -53,7 +53,8 @@ def lexical_terms(text: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Distinct pairs of characters of the lower-case text without punctuation, symbols and white space."""
     plain = F.regexp_replace(F.lower(text), r"(?U)[\p{P}\p{S}\s]+", "")
-    several = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(plain) - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))
+    one = F.split(plain, "(?!^)(?s)(?=.)")
+    several = F.transform(F.array(one), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda i: F.concat_ws("", F.get(c, i), F.get(c, i + 1))))[0]
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array_distinct(several))
 
 
