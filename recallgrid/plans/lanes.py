@@ -1 +1,196 @@
-"""Queries: lanes."""
+"""Queries: candidate lanes and the retrieval slice."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import ranking as rk
+from ..operators import tables as tb
+from .registry import register
+from .tables import RECORDS, records, table
+from .text import _TERMS
+
+_UNITS = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings)"
+_DOT = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 9)"
+
+
+def dense(spark, sf_dir, k: int, within=(), every: int = 50) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("v"))
+    return tb.top_cosine(e.where(F.col("doc_id") % every == 0).withColumnRenamed("doc_id", "query_id"), e, k, within=within)
+
+
+@register(f"""WITH {_UNITS} SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_DOT}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank
+FROM u a JOIN u b ON a.label = b.label WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def v1_dense_top_k(spark, sf_dir):
+    """V1: exact nearest vectors inside a namespace, for a stated set of queries against all rows."""
+    return dense(spark, sf_dir, 10, ["label"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@register(f"""WITH {_UNITS}, t AS (SELECT a.vec_id AS id, a.label AS ns, b.vec_id AS other, {_DOT} AS s FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, other) <= 8)
+SELECT id, ns, count(*) AS neighbours, round(max(s), 6) AS best, CASE WHEN max(s) >= 0.55 THEN 'coexist' ELSE 'unrelated' END AS relation FROM t GROUP BY id, ns""")
+def v10_related_records(spark, sf_dir):
+    """The eight nearest of each new record's namespace, and how it relates to them."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("v"))
+    top = tb.top_cosine(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e, 9, within=["label"]).where("query_id <> doc_id")
+    top = rk.cap(top.drop("rank"), 8, "doc_id").join(e.select(F.col("doc_id").alias("query_id"), F.col("label").alias("ns")), "query_id")
+    best = F.max("score")
+    return top.groupBy(F.col("query_id").alias("id"), "ns").agg(F.count("*").alias("neighbours"), F.round(best, 6).alias("best"), F.when(best >= 0.55, "coexist").otherwise("unrelated").alias("relation"))
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """(query_id, term): the first two distinct terms of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.terms(F.col("text")), 1, 2)).alias("term"))
+
+
+def full_text(spark, sf_dir, k: int) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    parts = F.filter(F.split(F.lower("text"), tx.TERM_BREAK), lambda t: F.char_length(t) > 1)
+    index = tb.inverted_index(d, parts)
+    return tb.full_text(asked(spark, sf_dir), index, index.groupBy("doc_id").agg(F.sum("tf").alias("length")), k)
+
+
+_FTS = f"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_./:-]+'), lambda t: length(t) > 1)) AS term FROM documents),
+ix AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT doc_id, sum(tf) AS length FROM ix GROUP BY ALL), st AS (SELECT count(*) AS n, avg(length) AS av FROM len),
+qs AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_./:-]+'), lambda t: length(t) > 1) AS ts FROM benchmark),
+q AS (SELECT DISTINCT query_id, unnest([ts[1], (list_filter(ts, lambda t: t <> ts[1]))[1]]) AS term FROM qs), w AS (SELECT query_id, count(DISTINCT term) AS wanted FROM q WHERE term IS NOT NULL GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM ix GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, count(*) AS met, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / av))), 6) AS score FROM q JOIN ix USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
+fts AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN w USING (query_id) WHERE met = wanted QUALIFY rank <= 20)"""
+
+
+@register(f"WITH {_FTS} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM fts")
+def v3_full_text(spark, sf_dir):
+    """V3: documents with all terms of a query, by BM25."""
+    return full_text(spark, sf_dir, 20).withColumn("score", F.round("score", 4))
+
+
+def trigram_lane(spark, sf_dir, k: int) -> DataFrame:
+    """Cosine of trigram vectors: an equi-join on the slot, summed."""
+    one = tb.trigram_vectors(table(spark, sf_dir, "documents"), 256)
+    q = tb.trigram_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 256)
+    q = q.select(F.col("doc_id").alias("query_id"), "slot", F.col("weight").alias("w"))
+    pairs = one.join(q, "slot").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
+    return rk.cap(pairs, k, "doc_id")
+
+
+def slice_hits(spark, sf_dir) -> DataFrame:
+    """Fused candidates of the benchmark items with what the later stages need."""
+    lane = lambda df, n, w: df.select("query_id", "doc_id", "rank", F.lit(n).alias("lane"), F.lit(w).alias("weight"))
+    fused = rk.fuse(lane(trigram_lane(spark, sf_dir, 40), 1, 1.0).union(lane(full_text(spark, sf_dir, 40), 2, 1.1)))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), "source")
+    return fused.join(d, "doc_id").withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
+
+
+@register()
+def retrieval_slice(spark, sf_dir):
+    """Hybrid retrieval of the benchmark items, five results a query. Each stage is checked by SQL on its own."""
+    hits = slice_hits(spark, sf_dir)
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    score = rk.authority_and_freshness(F.col("score") / top, F.col("authority"), F.lit(None).cast("long"), 0)
+    hits = rk.cap(hits.withColumn("score", F.round(score, 9)), 40, "doc_id")
+    hits = rk.structural_dedupe(hits, "content_hash", tie="doc_id")
+    hits = hits.withColumn("score", rk.lexical_floor(F.col("score"), F.array_contains("signals", 2)))
+    hits = rk.adaptive_cutoff(hits, "doc_id", focused=False)
+    return rk.mmr(hits.withColumn("position", F.col("rank")).withColumn("terms", tx.terms(F.col("text"))), 5)
+
+
+_HY = f"""WITH {_UNITS}, {_FTS}, lanes AS (SELECT query_id, doc_id, rank, 2 AS lane, 1.1 AS weight FROM fts UNION ALL
+SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank, 1, 1.0 FROM u a, u b WHERE a.vec_id < 40 QUALIFY rank <= 20),
+f AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS score, min({{'l': lane, 'r': rank}}) AS seen, list_sort(list_distinct(list(lane))) AS signals FROM lanes GROUP BY ALL)"""
+
+
+@register(_HY + " SELECT query_id, doc_id, round(score, 7) AS score, array_to_string(signals, ',') AS signals, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS position FROM f")
+def v4_hybrid_fusion(spark, sf_dir):
+    """A dense and a full-text lane fused by reciprocal rank."""
+    fused = rk.fuse(hybrid_lanes(spark, sf_dir))
+    return fused.select("query_id", "doc_id", F.round("score", 7).alias("score"), F.array_join(F.transform("signals", lambda x: x.cast("string")), ",").alias("signals"), "position")
+
+
+def hybrid_lanes(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    one = tb.top_cosine(e.where("doc_id < 40").withColumnRenamed("doc_id", "query_id"), e, 20).select("query_id", "doc_id", "rank", F.lit(1).alias("lane"), F.lit(1.0).alias("weight"))
+    return one.union(full_text(spark, sf_dir, 20).select("query_id", "doc_id", "rank", F.lit(2), F.lit(1.1)))
+
+
+@register(_HY + """, b AS (SELECT item_id AS query_id FROM benchmark) SELECT b.query_id, count(*) FILTER (lane = 1) AS dense, count(*) FILTER (lane = 2) AS fts,
+CASE WHEN count(*) FILTER (lane = 2) > 0 THEN 'lexical' ELSE 'semantic' END AS tier, array_to_string(list_filter([CASE WHEN count(*) FILTER (lane = 1) = 0 THEN 'dense' END, CASE WHEN count(*) FILTER (lane = 2) = 0 THEN 'fts' END], lambda x: x IS NOT NULL), ',') AS degraded
+FROM b LEFT JOIN lanes USING (query_id) GROUP BY b.query_id""")
+def v6_degraded_lanes(spark, sf_dir):
+    """V6 and V8: which lanes gave a query nothing, and whether its cheap lexical result is enough."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    n = lambda lane: F.count(F.when(F.col("lane") == lane, 1))
+    per = q.join(hybrid_lanes(spark, sf_dir), "query_id", "left").groupBy("query_id").agg(n(1).alias("dense"), n(2).alias("fts"))
+    return per.withColumn("tier", F.when(F.col("fts") > 0, "lexical").otherwise("semantic")).withColumn("degraded", F.array_join(F.array_compact(F.array(F.when(F.col("dense") == 0, F.lit("dense")), F.when(F.col("fts") == 0, F.lit("fts")))), ","))
+
+
+@register(f"""WITH {_FTS}, d AS (SELECT doc_id, source FROM documents), s AS (SELECT query_id, doc_id FROM fts JOIN d USING (doc_id) WHERE source = 'src' || CAST(query_id % 20 AS VARCHAR)),
+a AS (SELECT query_id, doc_id, TRUE AS scoped FROM s UNION ALL SELECT query_id, doc_id, FALSE FROM fts WHERE query_id NOT IN (SELECT query_id FROM s)) SELECT * FROM a""")
+def v7_scope_fallback(spark, sf_dir):
+    """V7: hits of a query's own source, or of all where it has none there."""
+    hits = full_text(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    scoped = hits.where(F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))).select("query_id", "doc_id", F.lit(True).alias("scoped"))
+    return scoped.union(hits.join(scoped, "query_id", "left_anti").select("query_id", "doc_id", F.lit(False)))
+
+
+_PARTS = "[A-Za-z_$][A-Za-z0-9_$]*\\([^)]*\\)"
+
+
+@register(f"""WITH d AS (SELECT doc_id, source, text || ' call' || CAST(doc_id % 30 AS VARCHAR) || '(x) pkg/m' || CAST(doc_id % 7 AS VARCHAR) AS text FROM documents),
+h AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM d QUALIFY r <= 8),
+t AS (SELECT source, r, generate_subscripts(m, 1) AS i, unnest(m) AS token FROM (SELECT source, r, regexp_extract_all(text, '{_PARTS}') AS m FROM h)),
+g AS (SELECT source, token, min(r * 100000 + i) AS first FROM t WHERE length(token) <= 120 GROUP BY source, token),
+f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY first) <= 12)
+SELECT source, string_agg(token, ' ' ORDER BY first) AS guidance FROM f GROUP BY source""")
+def v9_guidance(spark, sf_dir):
+    """V9: up to twelve distinct call tokens of a source's first eight hits."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("text", F.lit(" call"), (F.col("doc_id") % 30).cast("string"), F.lit("(x) pkg/m"), (F.col("doc_id") % 7).cast("string")).alias("text"))
+    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    h = d.withColumn("r", r).where("r <= 8").select("source", "r", F.posexplode(F.regexp_extract_all("text", F.lit(f"({_PARTS})"), 1)).alias("i", "token"))
+    f = h.where(F.length("token") <= 120).groupBy("source", "token").agg(F.min(F.struct("r", "i")).alias("first"))
+    f = f.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("first"))).where("n <= 12")
+    return f.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), " ").alias("guidance"))
+
+
+@register("""WITH p AS (SELECT p_partkey, p_brand, 'uses v' || CAST(p_size % 3 AS VARCHAR) || '.1.0' AS k, 'had ' || CAST(p_size % 2 AS VARCHAR) || '.1.0' AS m FROM part)
+SELECT p_brand, count(*) FILTER (NOT list_has_any(regexp_extract_all(k, '(\\d+\\.\\d+\\.\\d+)', 1), regexp_extract_all(m, '(\\d+\\.\\d+\\.\\d+)', 1))) AS conflicts, min(p_partkey) FILTER (NOT list_has_any(regexp_extract_all(k, '(\\d+\\.\\d+\\.\\d+)', 1), regexp_extract_all(m, '(\\d+\\.\\d+\\.\\d+)', 1))) AS first FROM p GROUP BY p_brand""")
+def v11_version_conflicts(spark, sf_dir):
+    """Texts that both carry versions, none of them shared; the first of each brand."""
+    v = lambda c: F.regexp_extract_all(c, F.lit(r"\bv?(\d+\.\d+\.\d+)\b"), 1)
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat(F.lit("uses v"), (F.col("p_size") % 3).cast("string"), F.lit(".1.0")).alias("k"), F.concat(F.lit("had "), (F.col("p_size") % 2).cast("string"), F.lit(".1.0")).alias("m"))
+    clash = (F.size(v("k")) > 0) & (F.size(v("m")) > 0) & ~F.arrays_overlap(v("k"), v("m"))
+    return p.groupBy("p_brand").agg(F.sum(clash.cast("long")).alias("conflicts"), F.min(F.when(clash, F.col("p_partkey"))).alias("first"))
+
+
+@register("""WITH g AS (SELECT p_partkey AS goal_id, string_split(p_name, ' ') || [lower(p_type)] AS ts FROM part WHERE p_partkey % 40 = 0), c AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS text FROM part),
+m AS (SELECT goal_id, len(ts) AS n, id, len(list_filter(ts, lambda t: contains(text, t))) AS hits FROM g, c), k AS (SELECT *, hits >= greatest(2, ceil(n / 2)) AS reuse FROM m WHERE hits > 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY hits DESC, id) AS r FROM k QUALIFY r <= 10) SELECT goal_id, id, hits, reuse, r AS rank FROM t""")
+def v12_catalogue_matching(spark, sf_dir):
+    """Catalogue entries that contain a goal's terms, ten a goal; enough of them means reuse. Terms meet by equality
+    with the parts of the catalogue's distinct words, so nothing is crossed."""
+    p = table(spark, sf_dir, "part")
+    words = F.array_append(F.split("p_name", " "), F.lower("p_type"))
+    goals = p.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("goal_id"), F.size(words).alias("n"), F.explode(words).alias("term"))
+    entries = p.select(F.col("p_partkey").alias("id"), F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))).alias("term"))
+    n = F.char_length("word")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("word", i, k))))
+    holds = entries.select(F.col("term").alias("word")).distinct().where("word <> ''").select("word", F.explode(F.array_distinct(parts)).alias("term"))
+    contained = entries.withColumnRenamed("term", "word").join(holds.join(goals.select("term").distinct(), "term", "left_semi"), "word").select("id", "term").distinct()
+    hits = goals.join(contained, "term").groupBy("goal_id", "n", "id").agg(F.count("*").alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("goal_id").orderBy(F.desc("hits"), "id"))
+    return hits.select("goal_id", "id", "hits", (F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).alias("reuse"), rank.alias("rank")).where("rank <= 10")
+
+
+@register(f"""WITH {RECORDS}, t AS (SELECT id, ns, turn, authority, {_TERMS.format('content')} AS terms, sha256(lower(content)) AS print FROM records), q AS (SELECT id AS query_id, ns, turn AS qt, list_slice(list_sort(terms), 1, 64) AS qs FROM t WHERE turn % 3 = 0),
+c AS (SELECT query_id, id, authority, print, len(list_intersect(qs, terms)) AS shared, 10 * len(list_intersect(qs, terms)) + 4.0 * len(list_intersect(qs, terms)) / len(qs) + authority / 100 AS score FROM q JOIN t USING (ns) WHERE turn < qt AND len(qs) > 0),
+d AS (SELECT * FROM c WHERE score >= 10 QUALIFY row_number() OVER (PARTITION BY query_id, print ORDER BY score DESC, id) = 1)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d QUALIFY rank <= 12""")
+def r28_capsule_selection(spark, sf_dir):
+    """For a turn, the earlier turns of its conversation that share terms, deduplicated, twelve at most."""
+    t = records(spark, sf_dir).select("id", "ns", "turn", "authority", tx.terms(F.col("content")).alias("terms"), F.sha2(F.lower("content"), 256).alias("print"))
+    q = t.where("turn % 3 = 0").select(F.col("id").alias("query_id"), "ns", F.col("turn").alias("qt"), F.slice(F.array_sort("terms"), 1, 64).alias("qs")).where(F.size("qs") > 0)
+    shared = tx.shared(F.col("qs"), F.col("terms"))
+    c = q.join(t, "ns").where("turn < qt").withColumn("score", 10 * shared + 4.0 * shared / F.size("qs") + F.col("authority") / 100).where("score >= 10")
+    c = rk.structural_dedupe(c, "print", tie="id")
+    return rk.cap(c, 12, "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
