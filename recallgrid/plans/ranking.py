@@ -72,13 +72,13 @@ def r8_prerequisites(spark, sf_dir):
 
 @register(f"""WITH {_H}, s AS (SELECT *, CASE WHEN kind = 'knowledge' THEN authority / 100 ELSE greatest(0.1, authority / 100) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0.6 END END AS m FROM hits),
 g AS (SELECT *, score * greatest(0, 1 + (m - 1) * 0.8) AS g FROM s), f AS (SELECT *, g * 0.65 + authority / 100 * 0.25 + 0.1 / (1 + greatest(0, (8640000000 - updated) / 86400000) / 30) AS f FROM g)
-SELECT query_id, doc_id, round(g, 7) AS gated, round(f, 7) AS final, authority >= 30 AS enough, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, doc_id) AS rank FROM f""")
+SELECT query_id, doc_id, round(g, 7) AS gated, round(f, 5) AS final, authority >= 30 AS enough, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, doc_id) AS rank FROM f""")
 def r11_scores(spark, sf_dir):
     """Trust, gated score, authority and freshness, and the rank that caps candidates."""
     h = hits(spark, sf_dir)
     h = h.withColumn("g", rk.gated(F.col("score"), rk.trust(F.col("kind"), F.col("authority"), F.col("doc_id") % 2 == 0), F.lit(0.8)))
     h = h.withColumn("score", F.round(rk.authority_and_freshness(F.col("g"), F.col("authority"), F.col("updated"), 100 * 86_400_000), 9))
-    return rk.cap(h, 40, "doc_id").select("query_id", "doc_id", F.round("g", 7).alias("gated"), F.round("score", 7).alias("final"), (F.col("authority") >= 30).alias("enough"), "rank")
+    return rk.cap(h, 40, "doc_id").select("query_id", "doc_id", F.round("g", 7).alias("gated"), F.round("score", 5).alias("final"), (F.col("authority") >= 30).alias("enough"), "rank")
 
 
 @register(f"""WITH {_H}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1) / 6) AS BIGINT) AS batch, doc_id % 11 AS relevance FROM hits),
