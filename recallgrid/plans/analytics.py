@@ -1 +1,131 @@
-"""Queries: analytics."""
+"""Queries: retrieval analytics and policy replay."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import policy as pl
+from .ranking import _H, hits
+from .registry import register
+from .tables import table
+
+_T = f"""WITH {_H}, t AS (SELECT query_id, doc_id, kind, CAST(20 + doc_id % 90 AS BIGINT) AS tokens, unnest(CASE WHEN kind = 'memory' THEN [doc_id, doc_id + 1] ELSE [doc_id] END) AS member, CASE WHEN kind = 'memory' THEN 2 ELSE 1 END AS n FROM hits)"""
+
+
+def traces(spark, sf_dir) -> DataFrame:
+    memory = F.col("kind") == "memory"
+    members = F.when(memory, F.array("doc_id", F.col("doc_id") + 1)).otherwise(F.array("doc_id"))
+    return hits(spark, sf_dir).select("query_id", "doc_id", "kind", (20 + F.col("doc_id") % 90).alias("tokens"), F.explode(members).alias("member"), F.when(memory, 2).otherwise(1).alias("n"))
+
+
+@register(_T + " SELECT query_id, doc_id, member, CAST(ceil(tokens / n) AS BIGINT) AS share, sha256(CAST(member AS VARCHAR)) AS term_hash FROM t")
+def a1_trace_rows(spark, sf_dir):
+    """A1: what a retrieval exposed; views stand for their members, which share the tokens."""
+    return traces(spark, sf_dir).select("query_id", "doc_id", "member", F.ceil(F.col("tokens") / F.col("n")).alias("share"), F.sha2(F.col("member").cast("string"), 256).alias("term_hash"))
+
+
+_O = _T + """, o AS (SELECT event_id % 500 - event_id % 50 % 50 AS query_id, value, event_type, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'corrected' END AS outcome, event_id % 100 AS used FROM events WHERE event_id < 2000),
+j AS (SELECT t.query_id, member, outcome, member % 100 = used AS was_used FROM t JOIN o USING (query_id))"""
+
+
+def outcomes(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("corrected")
+    o = e.select((F.col("event_id") % 500 - F.col("event_id") % 50 % 50).alias("query_id"), outcome.alias("outcome"), (F.col("event_id") % 100).alias("used"))
+    return traces(spark, sf_dir).join(o, "query_id").select("query_id", "member", "outcome", (F.col("member") % 100 == F.col("used")).alias("was_used"))
+
+
+@register(_O + """, util AS (SELECT member, count(*) AS exposures, count(*) FILTER (was_used) AS uses, sum(CASE WHEN outcome = 'success' THEN CASE WHEN was_used THEN 1 ELSE 0.1 END ELSE 0 END) AS a, sum(CASE WHEN outcome <> 'success' THEN CASE WHEN was_used THEN 1 ELSE 0.1 END ELSE 0 END) AS b FROM j GROUP BY member)
+SELECT member, exposures, uses, round((1 + a) / (2 + a + b), 9) AS mean, round(greatest(0, least(1, (exposures - 2) / 20)), 9) AS confidence FROM util""")
+def a3_utility(spark, sf_dir):
+    """A2 and A3: outcomes attributed to what was exposed, and each memory's utility."""
+    j = outcomes(spark, sf_dir)
+    credit = F.when(F.col("was_used"), 1.0).otherwise(0.1)
+    good = F.col("outcome") == "success"
+    u = j.groupBy("member").agg(F.count("*").alias("exposures"), F.sum(F.col("was_used").cast("long")).alias("uses"), F.sum(F.when(good, credit).otherwise(0.0)).alias("a"), F.sum(F.when(good, 0.0).otherwise(credit)).alias("b"))
+    return u.select("member", "exposures", "uses", F.round((1 + F.col("a")) / (2 + F.col("a") + F.col("b")), 9).alias("mean"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("exposures") - 2) / 20)), 9).alias("confidence"))
+
+
+@register("""WITH s AS (SELECT user_id % 5 AS policy, count(*) AS n, avg(CAST(event_type = 'error' AS INT)) AS failure_rate, avg(CAST(event_type = 'view' AS INT)) AS correction_rate, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1)
+SELECT policy, n, round(failure_rate, 9) AS failure_rate, round(correction_rate, 9) AS correction_rate, p95, array_to_string(list_filter([CASE WHEN failure_rate > 0.1 THEN 'failures' END, CASE WHEN correction_rate > 0.25 THEN 'corrections' END, CASE WHEN p95 > 100 THEN 'latency' END, CASE WHEN n < 1000 THEN 'few' END], lambda x: x IS NOT NULL), ',') AS codes FROM s""")
+def a4_effectiveness(spark, sf_dir):
+    """A4 and A5: rates and the 95th percentile of each policy, and what they point to."""
+    rate = lambda kind: F.avg((F.col("event_type") == kind).cast("int"))
+    s = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("policy")).agg(F.count("*").alias("n"), rate("error").alias("failure_rate"), rate("view").alias("correction_rate"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    code = lambda c, name: F.when(c, F.lit(name))
+    codes = F.array_compact(F.array(code(F.col("failure_rate") > 0.1, "failures"), code(F.col("correction_rate") > 0.25, "corrections"), code(F.col("p95") > 100, "latency"), code(F.col("n") < 1000, "few")))
+    return s.select("policy", "n", F.round("failure_rate", 9).alias("failure_rate"), F.round("correction_rate", 9).alias("correction_rate"), "p95", F.array_join(codes, ",").alias("codes"))
+
+
+def cases(spark, sf_dir) -> DataFrame:
+    h = hits(spark, sf_dir)
+    d = F.col("doc_id")
+    feature = F.struct(d.alias("id"), "score", (20 + d % 90).cast("int").alias("tokens"), "authority", F.array((d % 7).cast("string"), (d % 11).cast("string")).alias("terms"))
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, d)))
+    return h.groupBy(F.col("query_id").alias("case_id")).agg(F.array_sort(F.collect_list(feature)).alias("features"), ids(d % 3 == 0).alias("positive"), ids(d % 4 == 0).alias("evidence"), ids(d % 10 == 9).alias("forbidden"))
+
+
+@register(f"""WITH {_H} SELECT query_id AS case_id, count(*) AS features, count(*) FILTER (doc_id % 3 = 0) AS positives, array_to_string(list_sort(list(doc_id) FILTER (doc_id % 4 = 0)), ',') AS evidence FROM hits GROUP BY query_id HAVING count(*) FILTER (doc_id % 3 = 0) > 0""")
+def a6_replay_cases(spark, sf_dir):
+    """Cases with something used, from traces."""
+    c = cases(spark, sf_dir).where(F.size("positive") > 0)
+    return c.select("case_id", F.size("features").alias("features"), F.size("positive").alias("positives"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
+BASE = {"min_authority": 30, "most": 15, "weight": 0.7, "budget": 400}
+
+
+def _searched(spark, sf_dir) -> DataFrame:
+    rows = [tuple(v[k] for k in ("policy_id", "min_authority", "most", "weight", "budget")) for v in pl.variants(BASE)]
+    policies = spark.createDataFrame(rows, "policy_id int, min_authority int, most int, weight double, budget int")
+    c = cases(spark, sf_dir)
+    return pl.replay_scores(pl.replay(c, policies), c)
+
+
+@register()
+def a9_coordinate_search(spark, sf_dir):
+    """Nine one-step variants replayed over all cases; the best that beats the base, or the base. Tests hold replay to a plain loop."""
+    return _searched(spark, sf_dir).orderBy(F.desc("score"), "policy_id")
+
+
+@register("""SELECT event_id, CAST('0x' || substr(sha256('6:canary' || length(CAST(event_id AS VARCHAR)) || ':' || event_id), 1, 8) AS BIGINT) % 100 < 10 AS canary FROM events""")
+def a11_canary_split(spark, sf_dir):
+    """The share of requests that a canary gets, by a stable hash."""
+    k = F.col("event_id").cast("string")
+    h = F.sha2(F.concat(F.lit("6:canary"), F.length(k).cast("string"), F.lit(":"), k), 256)
+    return table(spark, sf_dir, "events").select("event_id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 100 < 10).alias("canary"))
+
+
+_DAILY = "d AS (SELECT user_id % 5 AS policy, CAST(ts AS DATE) AS day, avg(CAST(event_type = 'error' AS INT)) AS failures, avg(value) AS latency, row_number() OVER (PARTITION BY user_id % 5 ORDER BY CAST(ts AS DATE)) AS k FROM events GROUP BY 1, 2)"
+
+
+@register(f"""WITH RECURSIVE {_DAILY}, w AS (SELECT policy, k, failures, latency FROM d WHERE k = 1 UNION ALL SELECT d.policy, d.k, 0.25 * d.failures + 0.75 * w.failures, 0.25 * d.latency + 0.75 * w.latency FROM w JOIN d ON d.policy = w.policy AND d.k = w.k + 1)
+SELECT policy, round(arg_max(failures, k), 9) AS failures, round(arg_max(latency, k), 7) AS latency, arg_max(failures, k) > 0.1 OR arg_max(latency, k) > 1200 AS roll_back FROM w GROUP BY policy""")
+def a12_canary_watch(spark, sf_dir):
+    """Weighted means of daily metrics, and whether a policy is rolled back."""
+    d = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("policy"), F.to_date("ts").alias("day")).agg(F.avg((F.col("event_type") == "error").cast("int")).alias("failures"), F.avg("value").alias("latency"))
+    w = pl.ewma(d, "policy", "day", ["failures", "latency"])
+    return w.select("policy", F.round("failures", 9).alias("failures"), F.round("latency", 7).alias("latency"), ((F.col("failures") > 0.1) | (F.col("latency") > 1200)).alias("roll_back"))
+
+
+@register("""SELECT event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE isfinite(value) GROUP BY 1""")
+def a14_metric_series(spark, sf_dir):
+    """A14."""
+    v = F.col("value")
+    e = table(spark, sf_dir, "events").where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return e.groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"))
+
+
+@register(f"""WITH {_H}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.65 + authority / 100 * 0.25, 9) DESC, doc_id) AS live, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.25 + authority / 100 * 0.65, 9) DESC, doc_id) AS shadow FROM hits)
+SELECT query_id, count(*) FILTER (live <= 5 AND shadow <= 5) AS overlap, array_to_string(list(doc_id ORDER BY shadow) FILTER (shadow <= 5), ',') AS shadow_top FROM a GROUP BY query_id""")
+def a16_shadow_ranking(spark, sf_dir):
+    """The same candidates under another policy, and how many of the top five agree."""
+    from pyspark.sql import Window
+
+    def place(a, b):
+        return F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("score") * a + F.col("authority") / 100 * b, 9).desc(), "doc_id"))
+
+    h = hits(spark, sf_dir).select("query_id", "doc_id", place(0.65, 0.25).alias("live"), place(0.25, 0.65).alias("shadow"))
+    top = F.array_sort(F.collect_list(F.when(F.col("shadow") <= 5, F.struct("shadow", "doc_id"))))
+    return h.groupBy("query_id").agg(F.sum(((F.col("live") <= 5) & (F.col("shadow") <= 5)).cast("long")).alias("overlap"), F.array_join(F.transform(top, lambda x: x["doc_id"].cast("string")), ",").alias("shadow_top"))

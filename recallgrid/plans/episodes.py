@@ -1 +1,123 @@
-"""Queries: episodes."""
+"""Queries: episodes, events, artifacts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import artifacts as af
+from .registry import register
+from .tables import EPISODES, episode_events, table
+
+
+@register(f"""WITH {EPISODES}, c AS (SELECT *, sha256(concat(user_id, ':', day, ':', seq)) AS id, max(CASE WHEN kind = 'tool_call' THEN seq END) OVER (PARTITION BY user_id, day ORDER BY seq) AS call FROM episode_events)
+SELECT event_id, seq, id, CASE WHEN kind = 'tool_result' THEN call END AS parent_seq FROM c""")
+def e1_sequencing(spark, sf_dir):
+    """Numbered events with deterministic ids; a result's parent is the call before it."""
+    w = Window.partitionBy("user_id", "day").orderBy("seq")
+    key = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("day").cast("string"), F.col("seq").cast("string")), 256)
+    call = F.max(F.when(F.col("kind") == "tool_call", F.col("seq"))).over(w)
+    return episode_events(spark, sf_dir).select("event_id", "seq", key.alias("id"), F.when(F.col("kind") == "tool_result", call).alias("parent_seq"))
+
+
+@register("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'run npm test' WHEN turn % 4 = 1 THEN 'eslint lint --fix' WHEN turn % 4 = 2 THEN 'ls -la' ELSE 'make build' END AS command, turn % 3 = 0 AS is_error FROM conversations)
+SELECT conv_id, turn, CASE WHEN is_error THEN 'failed' ELSE 'passed' END AS status FROM c WHERE regexp_matches(command, '\\b(test|lint|build|typecheck|check)\\b', 'i')""")
+def e2_verifications(spark, sf_dir):
+    """Checks derived from shell commands."""
+    t = F.col("turn") % 4
+    command = F.when(t == 0, "run npm test").when(t == 1, "eslint lint --fix").when(t == 2, "ls -la").otherwise("make build")
+    c = table(spark, sf_dir, "conversations").where(command.rlike(r"(?i)\b(test|lint|build|typecheck|check)\b"))
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "failed").otherwise("passed").alias("status"))
+
+
+@register(f"""WITH {EPISODES}, o AS (SELECT user_id, day, max(CASE WHEN kind = 'tool_result' THEN seq * 2 + CAST(failed AS INT) END) % 2 AS err, max(CASE WHEN kind = 'verification' THEN seq END) AS v FROM episode_events GROUP BY ALL)
+SELECT user_id, day, CASE WHEN err IS NULL THEN 'unknown' WHEN err = 1 THEN 'failed' ELSE 'succeeded' END AS execution, v IS NOT NULL AS verified, CASE WHEN err = 1 THEN 'failed' WHEN v IS NOT NULL THEN 'passed' ELSE 'unverified' END AS status FROM o""")
+def e3_episode_outcomes(spark, sf_dir):
+    """Execution by the last result, verification by the last check, and the task's status."""
+    result = F.col("kind") == "tool_result"
+    o = episode_events(spark, sf_dir).groupBy("user_id", "day").agg(F.max_by(F.when(result, F.col("failed")), F.when(result, F.col("seq"))).alias("err"), F.bool_or(F.col("kind") == "verification").alias("verified"))
+    err = F.coalesce("err", F.lit(False))
+    return o.select("user_id", "day", F.when(F.col("err").isNull(), "unknown").when(err, "failed").otherwise("succeeded").alias("execution"), "verified", F.when(err, "failed").when(F.col("verified"), "passed").otherwise("unverified").alias("status"))
+
+
+@register("""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Error: boom ' || CAST(doc_id % 3 AS VARCHAR) || chr(10) || 'at src/a' || CAST(doc_id AS VARCHAR) || '.ts' ELSE '' END AS text FROM documents), l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\b(error|exception|failed)\\b', 'i')) AS errors FROM d)
+SELECT doc_id, len(errors) AS error_lines, array_to_string(list_slice(list_distinct(errors), 1, 8), '|') AS key_errors, len(list_slice(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+')), 1, 16)) AS paths, least(strlen(text), 2048) AS preview FROM l WHERE len(list_distinct(errors)) <= 1""")
+def e5_result_summary(spark, sf_dir):
+    """E5: error lines, key errors and paths of a result."""
+    extra = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\nError: boom "), (F.col("doc_id") % 3).cast("string"), F.lit("\nat src/a"), F.col("doc_id").cast("string"), F.lit(".ts"))).otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", extra).alias("text"))
+    errors = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)\b(error|exception|failed)\b"))
+    paths = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)"), 1)), 1, 16)
+    d = d.withColumn("errors", errors).where(F.size(F.array_distinct("errors")) <= 1)
+    return d.select("doc_id", F.size("errors").alias("error_lines"), F.array_join(F.slice(F.array_distinct("errors"), 1, 8), "|").alias("key_errors"), F.size(paths).alias("paths"), F.least(F.octet_length("text"), F.lit(2048)).alias("preview"))
+
+
+@register("""WITH r AS (SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) % 3 AS h, lag(CAST(floor(value) AS BIGINT) % 3) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) SELECT event_id, before IS NOT NULL AND before = h AS reference_only FROM r""")
+def e6_repeated_reads(spark, sf_dir):
+    """A read of the same thing with the same content as the one before."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    h = F.floor("value") % 3
+    return table(spark, sf_dir, "events").withColumn("h", h).withColumn("before", F.lag("h").over(w)).select("event_id", F.coalesce(F.col("before") == F.col("h"), F.lit(False)).alias("reference_only"))
+
+
+@register("""WITH a AS (SELECT DISTINCT sha256(text) AS artifact_id, strlen(text) AS n FROM documents) SELECT artifact_id, greatest(1, CAST(ceil(n / 1024) AS BIGINT)) AS chunks, TRUE AS intact FROM a""")
+def e8_artifact_audit(spark, sf_dir):
+    """Texts as hashed chunks of 1 KiB, each artifact once, and the audit of what was written."""
+    return af.audited(af.chunked(table(spark, sf_dir, "documents"), 1024))
+
+
+@register("""WITH d AS (SELECT DISTINCT sha256(text) AS artifact_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND strlen(text) > 1200) SELECT artifact_id, 900 AS start, 300 AS length, substr(text, 901, 300) AS text FROM d""")
+def e9_byte_ranges(spark, sf_dir):
+    """Byte ranges that reach over chunks; the check takes ASCII texts, tests the others."""
+    d = table(spark, sf_dir, "documents").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND octet_length(text) > 1200")
+    c = af.chunked(d, 1024)
+    asked = c.select("artifact_id").distinct().select("artifact_id", F.lit(900).alias("start"), F.lit(300).alias("length"))
+    return af.read_ranges(asked, c, 1024)
+
+
+_Q2 = "SELECT item_id AS query_id, (list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_./:-]+'), lambda t: length(t) > 1))[1:2] AS ts FROM benchmark"
+
+
+@register(f"""WITH q AS ({_Q2}), m AS (SELECT query_id, doc_id, lower(text) AS t, ts, list_min(list_transform(ts, lambda x: position(x IN lower(text)))) AS place FROM q JOIN documents ON doc_id % 40 = query_id % 40)
+SELECT query_id, doc_id, place, sha256(substr(t, greatest(1, place - 240), 1000)) AS window_hash FROM m WHERE len(list_filter(ts, lambda x: NOT contains(t, x))) = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 8""")
+def e21_artifact_search(spark, sf_dir):
+    """Artifacts that contain all terms, with a window around the first match; eight a query. A query asks
+    for a fortieth of the artifacts, so requests and artifacts meet by that key."""
+    terms = F.slice(F.filter(F.split(F.lower("text"), tx.TERM_BREAK), lambda t: F.length(t) > 1), 1, 2)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("key"), terms.alias("ts"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("key"), F.lower("text").alias("t"))
+    m = d.join(q, "key").where(F.forall("ts", lambda x: F.contains(F.col("t"), x)))
+    m = m.withColumn("place", F.array_min(F.transform("ts", lambda x: F.call_function("locate", x, F.col("t")))))
+    m = m.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("n <= 8")
+    return m.select("query_id", "doc_id", "place", F.sha2(F.substring("t", F.greatest(F.lit(1), F.col("place") - 240), F.lit(1000)), 256).alias("window_hash"))
+
+
+@register("""SELECT doc_id, CASE WHEN doc_id % 30 < 10 THEN 'expired' ELSE 'active' END AS state FROM documents""")
+def e13_expired_artifacts(spark, sf_dir):
+    """Artifacts past their expiry."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 30 < 10, "expired").otherwise("active").alias("state"))
+
+
+@register(f"""WITH {EPISODES}, s AS (SELECT *, coalesce(max(CASE WHEN kind = 'goal' THEN seq END) OVER (PARTITION BY user_id, day), 0) AS steer FROM episode_events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) AS back FROM s WHERE seq > steer)
+SELECT user_id, day, count(*) AS turns, count(*) FILTER (failed) AS failures, bool_or(kind = 'verification') AS verified, string_agg(CASE WHEN back <= 5 THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY seq) AS latest FROM a GROUP BY user_id, day""")
+def e14_task_episodes(spark, sf_dir):
+    """What an episode's turns since the last steering come to; the last five ids are kept."""
+    w = Window.partitionBy("user_id", "day")
+    a = episode_events(spark, sf_dir).withColumn("steer", F.coalesce(F.max(F.when(F.col("kind") == "goal", F.col("seq"))).over(w), F.lit(0))).where("seq > steer")
+    out = a.withColumn("back", F.row_number().over(w.orderBy(F.desc("seq")))).groupBy("user_id", "day").agg(F.count("*").alias("turns"), F.sum(F.col("failed").cast("long")).alias("failures"), F.bool_or(F.col("kind") == "verification").alias("verified"), F.array_sort(F.collect_list(F.when(F.col("back") <= 5, F.struct("seq", F.col("event_id").cast("string").alias("id"))))).alias("l"))
+    return out.select("user_id", "day", "turns", "failures", "verified", F.array_join(F.transform("l", lambda x: x["id"]), ",").alias("latest"))
+
+
+#: Legal moves of a task's state; fixed values.
+MOVES = (("signup", "view"), ("view", "click"), ("view", "error"), ("click", "purchase"), ("click", "error"), ("error", "view"))
+
+
+@register(f"""WITH s AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT event_id, before || '>' || event_type AS move, before || '>' || event_type IN ({', '.join(f"'{a}>{b}'" for a, b in MOVES)}) AS legal FROM s WHERE before IS NOT NULL""")
+def e16_transition_audit(spark, sf_dir):
+    """State moves against the table of legal ones."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    s = table(spark, sf_dir, "events").withColumn("before", F.lag("event_type").over(w)).where("before IS NOT NULL")
+    move = F.concat_ws(">", "before", "event_type")
+    return s.select("event_id", move.alias("move"), move.isin(*(f"{a}>{b}" for a, b in MOVES)).alias("legal"))

@@ -1 +1,30 @@
-"""Queries: streams."""
+"""Queries: the batch forms of the stream jobs; tests hold the streams to them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import folds
+from .registry import register
+from .tables import EPISODES, episode_events, table
+
+
+@register(f"""WITH {EPISODES}, s AS (SELECT *, coalesce(max(CASE WHEN kind = 'goal' THEN seq END) OVER (PARTITION BY user_id, day), 0) AS steer FROM episode_events), a AS (SELECT *, max(CASE WHEN kind = 'verification' THEN seq END) OVER (PARTITION BY user_id, day) AS v FROM s WHERE seq >= steer)
+SELECT user_id, day, max(CASE WHEN kind = 'goal' THEN event_id END) AS goal, coalesce(string_agg(CASE WHEN kind = 'tool_result' AND failed AND seq > coalesce(v, 0) THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY seq), '') AS loops FROM a GROUP BY user_id, day""")
+def t1_working_state(spark, sf_dir):
+    """Goal and open loops that an episode's events leave; the fold keeps the other lists too."""
+    s = folds.working_states(episode_events(spark, sf_dir))
+    return s.select("user_id", "day", "goal", F.array_join(F.transform("loops", lambda x: x.cast("string")), ",").alias("loops"))
+
+
+@register("""SELECT o_custkey AS key, max(o_orderkey) AS revision, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1""")
+def t4_revisioned_upserts(spark, sf_dir):
+    """T4: the table that revisioned changes leave."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("revision"), F.col("o_orderstatus").alias("status"))
+    return folds.latest_revisions(o, "key", "revision", "status")
+
+
+@register("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 16""")
+def t5_recent_buffer(spark, sf_dir):
+    """T5: the latest events of each user."""
+    return folds.recent(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 16)
