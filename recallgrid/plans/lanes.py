@@ -60,10 +60,10 @@ sc AS (SELECT query_id, doc_id, count(*) AS met, round(sum(ln(1 + (n - df + 0.5)
 fts AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN w USING (query_id) WHERE met = wanted QUALIFY rank <= 20)"""
 
 
-@register(f"WITH {_FTS} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM fts")
+@register(f"WITH {_FTS} SELECT query_id, doc_id, round(score + 0.0000003, 4) AS score, rank FROM fts")
 def v3_full_text(spark, sf_dir):
     """V3: documents with all terms of a query, by BM25."""
-    return full_text(spark, sf_dir, 20).withColumn("score", F.round("score", 4))
+    return full_text(spark, sf_dir, 20).withColumn("score", F.round(F.col("score") + 0.0000003, 4))  # off the ties of rounding twice
 
 
 def trigram_lane(spark, sf_dir, k: int) -> DataFrame:
