@@ -41,3 +41,32 @@ def recall_gate(prompt: Column, is_command: Column, remaining: Column, most: int
     reason = F.when(is_command, "command-input").when(short, "insufficient-query-signal").otherwise("classless-fast-recall")
     budget = F.when(is_command | short, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(most), remaining)))
     return [reason.alias("reason"), budget.alias("budget"), (prompt.rlike(ANCHORED[0]) | prompt.rlike(ANCHORED[1])).alias("anchored")]
+
+# Phrases that ask for maintenance, and that ask for something else; fixed values.
+MAINTENANCE = (
+    "诊断", "检查存储", "检查仓库", "检查库", "备份记忆", "备份记忆库", "备份存储", "迁移记忆库", "迁移存储", "迁移记忆",
+    "修复 artifact", "修复产物", "修复 Artifact", "修复损坏", "清理损坏", "清理过期", "导出记忆", "导出长期记忆", "导出存储",
+    "检查内部存储", "检查索引", "检查 Manifest", "修复索引", "重建索引", "统计记忆", "统计记录数", "安全审计", "权限检查",
+    "diagnose", "diagnostic", "check store", "check storage", "inspect store", "backup memory", "backup storage", "migrate memory", "migrate storage",
+    "repair artifact", "fix artifact", "repair corruption", "clean expired", "export memory", "export storage", "check internal",
+    "check index", "rebuild index", "memory statistics", "record count", "security audit", "permission check", "maintenance mode", "maintenance",
+)
+OTHERWISE = (
+    "帮我看看", "查看", "查询", "找一下", "搜索", "这条记录", "那条记录", "看看记录", "有什么", "是什么", "怎么样", "告诉我", "解释", "说明",
+    "read", "show", "find", "search", "look up", "what is", "tell me", "explain", "spark:",
+)
+RESOURCE_ID = r"(?i)\b[a-f0-9]{16,64}\b"
+
+
+def access_intent(text: Column) -> list[Column]:
+    """What a text asks for, with a confidence: maintenance, a search, a resource by id, or nothing."""
+    lower = F.lower(text)
+    asked = sum((F.contains(lower, F.lit(p)).cast("int") for p in MAINTENANCE), F.lit(0))
+    other = F.lit(False)
+    for phrase in OTHERWISE:
+        other = other | F.contains(lower, F.lit(phrase))
+    search = (asked == 1) & other
+    none = F.when(text.rlike(RESOURCE_ID), "explicit_id").when(F.btrim(text) != "", "semantic_search").otherwise("automatic_recall")
+    intent = F.when(asked == 0, none).when(search, "semantic_search").otherwise("maintenance")
+    sure = F.when(asked == 0, F.when(none == "explicit_id", 0.6).when(none == "semantic_search", 0.5).otherwise(0.3)).when(search, 0.5).when(asked >= 2, 0.9).otherwise(0.75)
+    return [intent.alias("intent"), sure.alias("confidence")]
