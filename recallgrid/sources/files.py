@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def scan_folder(spark: SparkSession, path: str, *, max_bytes: int = 10 << 20, ma
     """(path, length, modified, fingerprint, content) of the files under ``path``: not in skipped folders, not deeper
     than max_depth, not larger than max_bytes. Sizes and names are filtered before contents are hashed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.regexp_replace(F.lit(path.rstrip("/")), "^[a-z]+:/*", "/")
-    below = F.substring_index(F.concat(F.regexp_replace("path", "^[a-z]+:/*", "/")), root, -1)
+    root = re.escape(re.sub("^[a-z]+:/*", "/", path.rstrip("/")))
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{root}", "")
     parts = F.filter(F.split(below, "/"), lambda p: p != "")
     kept = files.where((F.col("length") <= max_bytes) & (F.size(parts) <= max_depth) & ~F.arrays_overlap(parts, F.array(*map(F.lit, skipped))))
     return kept.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("fingerprint"), "content")
