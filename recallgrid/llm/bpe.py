@@ -96,8 +96,8 @@ class ByteBpe:
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """encode() of each text; pre-tokens not met before are merged together first, once each."""
-        new = {chunk: self.pattern.findall(" " + chunk) for chunk in {chunk for text in rows for chunk in text.split(" ")}.difference(self.spaced)}
-        met = {p for parts in new.values() for p in parts}.difference(self.pretokens)
+        new = {chunk: self.pattern.findall(" " + chunk) for chunk in {chunk for text in rows for chunk in text.split(" ")} if chunk not in self.spaced}
+        met = {p for parts in new.values() for p in parts if p not in self.pretokens}
         self.pretokens.update(zip(met, self._merge(list(met))))
         self.spaced.update((chunk, b"".join(map(self.pretokens.__getitem__, parts))) for chunk, parts in new.items())
         out = [self.encode(text) for text in rows]

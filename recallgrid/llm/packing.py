@@ -72,7 +72,7 @@ class WordBpe:
                 rest.append(chunk)
             else:
                 cut[chunk] = self.pattern.findall(chunk.lower())
-        words = list({w for parts in cut.values() for w in parts}.difference(self.words))
+        words = list({w for parts in cut.values() for w in parts if w not in self.words})
         ids = self.model.encode([w.encode().decode("latin-1").translate(self.byte_to_char) + self.END for w in words], num_threads=1) if words else []
         self.words.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(words, ids))
         self.memo.update((chunk, b"".join(map(self.words.__getitem__, parts))) for chunk, parts in cut.items())
@@ -80,7 +80,7 @@ class WordBpe:
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         split = [None if any(s in text for s in self.special) else text.replace("\n", " ").split(" ") for text in rows]
-        self._learn({chunk for chunks in split if chunks for chunk in chunks}.difference(self.memo))
+        self._learn({chunk for chunk in {chunk for chunks in split if chunks for chunk in chunks} if chunk not in self.memo})
         out = [self.whole(text) if chunks is None else b"".join(map(self.memo.__getitem__, chunks)) for text, chunks in zip(rows, split)]
         self.memo.trim()
         self.words.trim()
