@@ -58,7 +58,7 @@ class WordBpe:
         self.pattern = regex.compile(next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"])
         self.byte_to_char = dict(enumerate(byte_characters()))
         self.memo = Bounded(self.whole, 800_000)
-        self.words = Bounded(self.whole, 800_000)
+        self.words = Bounded(self.whole, 500_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

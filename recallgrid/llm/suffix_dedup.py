@@ -105,7 +105,7 @@ def _runs(length: int):
     spans that an earlier place in the batch has."""
 
     def run(batches):
-        for batch in slices(batches, "data", 8 << 20):
+        for batch in slices(batches, "data", 4 << 20):
             column = batch.column("data").fill_null(b"")
             size = pc.binary_length(column).to_numpy().astype(np.int64)
             raw = b"".join(column.to_pylist())
@@ -287,7 +287,7 @@ def _compared(length: int, most: int = 2 << 20):
 
 def _cut_out(length: int):
     def run(batches):
-        for batch in slices(batches, "data", 8 << 20):
+        for batch in slices(batches, "data", 4 << 20):
             rows = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": []}
             for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist()):
                 union: list[list[int]] = []
