@@ -68,8 +68,8 @@ def v3_full_text(spark, sf_dir):
 
 def trigram_lane(spark, sf_dir, k: int) -> DataFrame:
     """Cosine of trigram vectors: an equi-join on the slot, summed."""
-    one = tb.trigram_vectors(table(spark, sf_dir, "documents"), 256)
-    q = tb.trigram_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 256)
+    one = tb.trigram_vectors(table(spark, sf_dir, "documents"), 4096)
+    q = tb.trigram_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 4096)
     q = q.select(F.col("doc_id").alias("query_id"), "slot", F.col("weight").alias("w"))
     pairs = one.join(q, "slot").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
     return rk.cap(pairs, k, "doc_id")
