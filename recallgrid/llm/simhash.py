@@ -139,7 +139,8 @@ def _meet(most: int):
 def link_fingerprints(distinct: DataFrame, *, most: int = THRESHOLD, split: int = 4096) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints ``fp`` that connect all that are within ``most`` (4 or fewer) bits.
 
-    An anchor with more than ``split`` homes is dealt out: its homes over parts, its visitors to each part.
+    An anchor with more than ``split`` homes is dealt out: its homes over parts, its visitors to each part. A home also
+    visits the parts other than its own, so that homes of one anchor meet whatever their parts.
     """
     if not 0 <= most <= THRESHOLD:
         raise ValueError(f"the covering of three blocks holds up to {THRESHOLD} bits, not {most}")
@@ -165,8 +166,9 @@ def link_fingerprints(distinct: DataFrame, *, most: int = THRESHOLD, split: int
         dealt = spread_out.withColumn("part", F.lit(0))
     else:
         parts = F.coalesce("parts", F.lit(1))
-        own = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
-        dealt = spread_out.join(hot, "anchor", "left").select("anchor", "fp", "away", F.explode(F.when(F.col("away") == 0, own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
+        own = F.when(F.col("away") == 0, F.pmod(F.xxhash64("fp"), parts).cast("int")).otherwise(-1)
+        places = spread_out.join(hot, "anchor", "left").select("anchor", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        dealt = places.select("anchor", "fp", (F.col("own") != F.col("part")).cast("int").alias("away"), "part")
     met = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "away")
     return map_arrow(met, _meet(most), "u long, v long")
 

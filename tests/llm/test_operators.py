@@ -190,6 +190,18 @@ def test_links_lose_nothing(spark, split):
     assert {signed[v]: got.get(signed[v], signed[v]) for v in group} == {signed[v]: least[g] for v, g in group.items()}
 
 
+def test_homes_of_a_hot_anchor_meet_across_parts(spark):
+    """Pairs equal in block 0 and 2 + 2 bits apart in the others: all are homes of one anchor, dealt over 20 parts."""
+    rng = np.random.default_rng(8)
+    first = np.unique(rng.integers(0, 2**43, 200, dtype=np.uint64)) << np.uint64(21)
+    flips = [sum(1 << int(b) for at, width in simhash.BLOCKS[1:] for b in at + rng.choice(width, 2, replace=False)) for _ in first]
+    values = np.concatenate([first, first ^ np.array(flips, dtype=np.uint64)])
+    edges = simhash.link_fingerprints(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), split=20)
+    got = {r["u"]: r["v"] for r in components.components(edges).collect()}
+    root = [got.get(int(v), int(v)) for v in values.view(np.int64)]
+    assert root[: len(first)] == root[len(first) :]
+
+
 def test_suffix_lm_base_and_scores(docs, empty):
     rows = suffix_lm.score_documents(docs, depth=3, least_share=1e-3).collect()
     words = lambda t: (t or "").encode().translate(suffix_lm.LOWER_ASCII).split() + [b"\n"]
