@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import text as tx
 from recallgrid.operators import artifacts, memory, policy, tables
 from recallgrid.operators import documents as ds
+from recallgrid.plans import registry
 from recallgrid.streaming import folds
 
 
@@ -106,3 +107,10 @@ def test_upsert_batches_reject_stale_revisions(spark, tmp_path):
     write(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "key int, revision int, value string"), 0)
     write(spark.createDataFrame([(1, 1, "old"), (2, 6, "d")], "key int, revision int, value string"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=1").collect())) == [(1, 2, "b"), (2, 6, "d")]
+
+
+def test_repeated_queries_read_the_whole_turn(spark, tmp_path):
+    searches = [f"{x} alpha{x} beta{x}" for x in ("first", "second", "third")] + ["first alphafirst betafirst"] * 30 + ["other words here", "too late now"]
+    spark.createDataFrame([(1, 0, "user", ".".join(searches))], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    flags = [r["flag"] for r in sorted(registry.queries()["r32_repeated_queries"](spark, str(tmp_path)).collect(), key=lambda r: r["n"])]
+    assert flags == ["recorded"] * 3 + ["repeated"] * 30 + ["recorded", "limit"]
