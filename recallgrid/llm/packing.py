@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import string
 import struct
 import zlib
 from collections import defaultdict
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_characters, serialise
-from .common import Bounded, map_arrow, record_batch, slices, stored, texts
+from .common import map_arrow, record_batch, slices, stored, texts
+
+#: Entries that a worker's memos of chunks and of words may hold before they are emptied.
+MOST_CHUNKS, MOST_WORDS = 800_000, 500_000
 
 
 @functools.cache
@@ -57,33 +61,45 @@ class WordBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise([(x.removesuffix(suffix) + self.END if x.endswith(suffix) else x, -1.0 - place[x] if x in place else 0.0) for x in plain]))
         self.pattern = regex.compile(next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"])
         self.byte_to_char = dict(enumerate(byte_characters()))
-        self.memo = Bounded(self.whole, 800_000)
-        self.words = Bounded(self.whole, 500_000)
+        self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The pattern's parts of a lower-cased chunk. Letters alone are one part, and so is one mark behind them."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in string.punctuation:
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def _learn(self, new: set[str]) -> None:
-        cut, rest = {}, []
+        memo, words = self.memo, self.words
+        cut = {}
         for chunk in new:
-            try:
-                chunk.encode("latin-1")
-            except UnicodeEncodeError:
-                rest.append(chunk)
-            else:
-                cut[chunk] = self.pattern.findall(chunk.lower())
-        words = list({w for parts in cut.values() for w in parts if w not in self.words})
-        ids = self.model.encode([w.encode().decode("latin-1").translate(self.byte_to_char) + self.END for w in words], num_threads=1) if words else []
-        self.words.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(words, ids))
-        self.memo.update((chunk, b"".join(map(self.words.__getitem__, parts))) for chunk, parts in cut.items())
-        self.memo.update((chunk, self.whole(chunk)) for chunk in rest)
+            if not chunk.isascii():
+                try:
+                    chunk.encode("latin-1")
+                except UnicodeEncodeError:
+                    memo[chunk] = self.whole(chunk)
+                    continue
+            cut[chunk] = self._parts(chunk.lower())
+        met = list(set().union(*cut.values()).difference(words))
+        spelled = [(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_to_char)) + self.END for w in met]
+        ids = self.model.encode(spelled, num_threads=1) if met else []
+        words.update(zip(met, [struct.pack(f"<{len(x)}I", *x) for x in ids]))
+        for chunk, parts in cut.items():
+            memo[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         split = [None if any(s in text for s in self.special) else text.replace("\n", " ").split(" ") for text in rows]
-        self._learn({chunk for chunk in {chunk for chunks in split if chunks for chunk in chunks} if chunk not in self.memo})
+        self._learn(set().union(*filter(None, split)).difference(self.memo))
         out = [self.whole(text) if chunks is None else b"".join(map(self.memo.__getitem__, chunks)) for text, chunks in zip(rows, split)]
-        self.memo.trim()
-        self.words.trim()
+        for known, most in ((self.memo, MOST_CHUNKS), (self.words, MOST_WORDS)):  # memos; what is forgotten is worked out again
+            if len(known) > most:
+                known.clear()
         return out
 
 
