@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one is set only where none is named."""
+    """The folder that the cluster shares: spark.checkpoint.dir, or the checkpoint folder that the session has set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and sc.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="recallgrid-")  # one machine, so it is shared
     if not named:
-        named = tempfile.mkdtemp(prefix="recallgrid-")
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,8 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_id(docs: DataFrame) -> DataFrame:
+    """docs with a long ``__rid`` per row: the file's place among the files and the row's place in it.
+
+    So a row has the same number in every job, whatever the cores or split sizes at the time. docs is a scan of Parquet
+    files, or a projection or filter of one; rows that come from elsewhere are stored first.
+    """
+    from_files = bool(docs.inputFiles())
+    if from_files:
+        try:
+            files = docs.select(F.col("_metadata.file_path").alias("f")).distinct()
+        except AnalysisException:
+            from_files = False
+    if not from_files:
+        docs = stored(docs, "rows")
+        files = docs.select(F.col("_metadata.file_path").alias("f")).distinct()
+    names = sorted(r["f"] for r in files.collect())  # a name per file, as the scan itself holds
+    places = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "__f string, __first long")
+    numbered = docs.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__row"))
+    return numbered.join(F.broadcast(places), "__f").withColumn("__rid", F.col("__first") + F.col("__row")).drop("__f", "__first", "__row")
+
+
 def with_row_id(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs with a long ``rid`` per row first. docs must be a table scan: its order has to be the same if a task is run again."""
+    """``rid`` (see row_id) and the columns asked for; two calls on the same files number alike."""
+    return row_id(docs).select(F.col("__rid").alias("rid"), *[F.col(f"`{c}`").alias(c) for c in columns])
+
+
+def with_place(docs: DataFrame, *columns: str) -> DataFrame:
+    """A long ``rid`` per row, consecutive in a task's batches. The numbers hold within one job only."""
     return docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(c) for c in columns])
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, map_arrow, record_batch, slices, stored, texts, with_row_id
+from .common import LOWER_ASCII, map_arrow, record_batch, row_id, slices, stored, texts, with_row_id
 from .components import components
 
 #: First bit and width of each block; 15 of its bits are coded, the rest are exact.
@@ -104,7 +104,8 @@ def links(homes: np.ndarray, members: np.ndarray, most: int) -> list[tuple[np.nd
                 out.append((np.full(near.sum(), seed), free[near]))
                 free = free[~near]
             near = np.bitwise_count(rest ^ h) <= most
-            if near.any():
+            if near.any():  # these homes need not be members of this call
+                out.append((np.full(near.sum(), seed), rest[near]))
                 queue.extend(rest[near])
                 rest = rest[~near]
     return out
@@ -196,4 +197,4 @@ def keep_first(docs: DataFrame, *, words: int = 5, seed: int = 42, most: int = T
     gone = F.col("doc_id").isNull()
     first = groups.groupBy("root").agg(F.min(F.struct(gone, "doc_id", "rid")).alias("least"))
     kept = first.select(F.col("least.rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left_semi").drop("__rid")
+    return row_id(docs).join(kept, "__rid", "left_semi").drop("__rid")

@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, most_runs: int = MOST_
 
     Null texts are empty. Order is by doc_id, null last, then by row for repeated ids. Texts shorter than ``length``
     lose nothing; matches never cross documents; other columns are ignored; an empty table gives no rows.
-    ``length`` is at least 2 * KMER. docs must be a table scan (see with_row_id).
+    ``length`` is at least 2 * KMER.
     """
     if length < 2 * KMER:
         raise ValueError(f"length must be at least {2 * KMER}")

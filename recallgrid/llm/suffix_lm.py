@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_row_id
+from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_place
 
 END = 10  # a line feed: no word holds it
 COUNTS = "gram long, word binary, n long"
@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame, *, depth: int = 5, least_share: float = 4e-
     Words' counts join the documents' word frequencies, of which a batch sends one row per distinct word.
     """
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("data"))
-    whole = with_row_id(picked, "doc_id", "data")
+    whole = with_place(picked, "doc_id", "data")
     counts = stored(map_arrow(whole.select("doc_id", "data"), _counts(depth, parts, held), COUNTS), "counts")
     tree = docs.sparkSession.sparkContext.broadcast(SuffixTree.fit(candidates(counts, depth, least_share)))
     words = stored(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")

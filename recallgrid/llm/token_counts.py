@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Bounded, list_array, map_arrow, record_batch, slices, texts, with_row_id
+from .common import Bounded, list_array, map_arrow, record_batch, slices, texts, with_place
 
 #: Pre-tokens are dealt out over so many buckets; a pre-token found in HOT_SHARE of a batch's documents goes to a bucket
 #: that depends on the batch too, and is then counted in more than one place.
@@ -193,7 +193,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, limit: int = 512,
     are ignored. Special strings inside a text count as the tokenizer takes them. docs is read once, as a table scan.
     Shuffled: for each batch of documents its distinct pre-tokens with their documents, then sums per batch and task.
     """
-    picked = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
+    picked = with_place(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
     postings = map_arrow(picked, _postings(path, pattern), "bucket int, base long, blob binary, doc_id array<long>, n_bytes array<long>")
     sums = map_arrow(postings.repartition("bucket").sortWithinPartitions("base", "bucket"), _partial_sums(path), "base long, sums array<long>, doc_id array<long>, n_bytes array<long>")
     total = map_arrow(sums.repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_bytes long, n_tokens long")
