@@ -102,10 +102,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (1 - differ / BINS - chance) / (1 - chance))
 
 
-def with_next(docs: DataFrame, *, per_bucket: int = 4096, most_buckets: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, *, words: int = 5, per_bucket: int = 4096, most_buckets: int = 10_000) -> DataFrame:
     """Rows (doc_id, text, print) with those of the next row in descending doc_id (null last, then by text); the first
     row follows the last. Rows are cut into buckets by doc_id, so that no window holds more than a bucket; only a
-    bucket's first row goes to the bucket before it."""
+    bucket's first row, with a print of its own, goes to the bucket before it."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id")
     count = ids.count()
     n = max(1, min(most_buckets, -(-count // per_bucket)))
@@ -121,11 +121,13 @@ def with_next(docs: DataFrame, *, per_bucket: int = 4096, most_buckets: int = 10
         F.row_number().over(window).alias("place"),
         F.lead(F.lit(True)).over(window).isNull().alias("last"),
     )
-    firsts = dealt.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("o"), "text", "print")).alias("head"))
-    following = Window.orderBy("bucket")  # one row per bucket
-    heads = firsts.select((F.coalesce(F.lag("bucket").over(following), F.max("bucket").over(following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).alias("bucket"), F.lit(True).alias("last"), "head")
+    firsts = docs.select("doc_id", "text").withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("o"), "text")).alias("head"))
+    firsts = firsts.select("bucket", F.col("head.text").alias("head_text")).withColumn("head_print", fingerprint(F.col("head_text"), words))  # as many as buckets
+    following = Window.orderBy("bucket")  # bucket numbers alone
+    before = F.coalesce(F.lag("bucket").over(following), F.max("bucket").over(following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = firsts.join(firsts.select("bucket").withColumn("before", before), "bucket").select(F.col("before").alias("bucket"), F.lit(True).alias("last"), "head_text", "head_print")
     joined = inside.join(heads, ["bucket", "last"], "left")
-    return joined.select("doc_id", "text", "print", *(F.when(F.col("last"), F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in ("text", "print")))
+    return joined.select("doc_id", "text", "print", *(F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in ("text", "print")))
 
 
 def _below(cuts: list[int]) -> Column:
@@ -151,7 +153,7 @@ def edited_pairs(docs: DataFrame, *, words: int = 5, id_column: str = "doc_id",
     gives no rows.
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    pairs = with_next(base.withColumn("print", fingerprint(F.col("text"), words)))
+    pairs = with_next(base.withColumn("print", fingerprint(F.col("text"), words)), words=words)
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
