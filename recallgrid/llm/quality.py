@@ -1,6 +1,6 @@
 """Operator 2: a quality classifier learnt from trusted positives and unlabelled text.
 
-The positives are rows labelled good; the unlabelled are rows whose labels are not looked at. The class prior is
+The positives are rows labelled good; the unlabelled are documents of all kinds, whose labels are not looked at. The class prior is
 estimated from the two samples, then a linear model minimises the non-negative unbiased risk: the positives' loss
 weighted by the prior, plus the unlabelled loss as negatives less the positives' share of it, which is held at zero or
 above. Features are shares and shapes of a text, none of them its language, source or id.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, record_batch, slices, texts
-from .labelled import remainder, sample_labels, scored_schema
+from .labelled import one_text_an_id, remainder, sample_ids, sample_labels, scored_schema
 
 MARKS = "!?.,;:'\"()[]{}<>|%$#@&*+=/\\_-~^`"
 _RUNS = re.compile(r"[^\w\s]{2,}")
@@ -140,17 +140,21 @@ def _featured(batches):
 
 def train(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0, most: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Learns from at most ``most`` labelled rows, of which the good ones are the trusted positives, and as unlabelled
-    text the same sample with its labels hidden: like the web text they are drawn from, a mixture at the class prior."""
-    chosen = sample_labels(labels, "quality", parts, held, most)
-    texts_ = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    joined = texts_.join(F.broadcast(chosen), "doc_id")  # at most ``most`` small rows
-    rows = map_arrow(joined, _featured, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).toArrow().combine_chunks()
+    text from at most ``most`` documents outside the held-out fold, whose labels, if any, are not looked at.
+
+    Repeated ids count once; null ids teach nothing; null texts are empty. Without positives all texts score one half.
+    """
+    chosen = sample_labels(labels, "quality", parts, held, most).where("label = 1")
+    positive = one_text_an_id(docs, chosen, id_column, text_column)
+    unlabelled = one_text_an_id(docs, sample_ids(docs, id_column, parts, held, most), id_column, text_column)
+    rows = map_arrow(positive.union(unlabelled), _featured, "doc_id long, label int, x array<double>").toArrow().combine_chunks()  # two bounded samples
     if not rows.num_rows:
         return fit(np.empty((0, 1)), np.empty((0, 1)))
     x = np.stack(rows.column("x").to_pylist())
-    order = np.argsort(rows.column("doc_id").to_numpy())
-    x, good = x[order], rows.column("label").to_numpy()[order] == 1
-    return fit(x[good], x)
+    good = rows.column("label").fill_null(0).to_numpy() == 1
+    order = np.lexsort((~good, rows.column("doc_id").to_numpy()))
+    x, good = x[order], good[order]
+    return fit(x[good], x[~good])
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bounded, map_arrow, record_batch, slices, texts
-from .labelled import remainder, sample_labels, scored_schema
+from .labelled import one_text_an_id, remainder, sample_labels, scored_schema
 
 #: Groups of terms that may be swapped for one another.
 IDENTITY_TERMS = (
@@ -54,7 +54,7 @@ class Model:
     weights: np.ndarray  # for how often a feature is there (up to 3), then for its share; the constant is last
 
     def columns(self) -> Bounded:
-        return Bounded(lambda word: tuple(i for p in parts_of(word) if (i := self.index.get(p)) is not None))
+        return Bounded(lambda word: tuple(i for p in parts_of(word) if (i := self.index.get(p)) is not None), 200_000)
 
     def row(self, words: list[str], columns: Bounded) -> np.ndarray:
         k = len(self.index)
@@ -103,16 +103,16 @@ def select_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) ->
     return sorted(r["part"] for r in picked.collect())
 
 
-def fit(model: Model, x: np.ndarray, y: np.ndarray, before: np.ndarray, after: np.ndarray, *, penalty: float, decay: float, steps: int = 500, rate: float = 0.05) -> Model:
-    """Logistic loss plus penalty * mean (score margin before - after a swap)^2 plus a ridge, by Adam on full batches."""
+def fit(model: Model, x: np.ndarray, y: np.ndarray, change: np.ndarray | None, *, penalty: float, decay: float, steps: int = 500, rate: float = 0.05) -> Model:
+    """Logistic loss plus penalty * mean (score margin before - after a swap)^2 plus a ridge, by Adam on full batches.
+    ``change`` is the mean of d d' over the swaps, d being the difference of a sentence's features; None without swaps."""
     w = np.zeros(x.shape[1])
     w[-1] = np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)) if len(y) else -3.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    change = before - after
     for t in range(1, steps + 1 if len(y) else 1):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y)
-        if len(change):
-            g += 2 * penalty * change.T @ (change @ w) / len(change)
+        if change is not None:
+            g += 2 * penalty * change @ w
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -120,11 +120,47 @@ def fit(model: Model, x: np.ndarray, y: np.ndarray, before: np.ndarray, after: n
     return model
 
 
+def _swaps(model, terms):
+    """Labelled texts to one row a task: the number of swaps in their sentences and the sum of d d' over them."""
+
+    def run(batches):
+        own = model.value
+        columns, width = own.columns(), 2 * len(own.index) + 1
+        named = {t for g in terms for t in g}
+        total, n = np.zeros((width, width)), 0
+        for batch in slices(batches, most=4 << 20):
+            for text in texts(batch):
+                for sentence in SENTENCE.findall(text):
+                    words = words_of(sentence)
+                    if named.isdisjoint(words):
+                        continue
+                    before = own.row(words, columns)
+                    for other in swapped(words, terms):
+                        d = before - own.row(other, columns)
+                        at = np.flatnonzero(d)
+                        total[np.ix_(at, at)] += np.outer(d[at], d[at])
+                        n += 1
+        if n:
+            yield record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    return run
+
+
+def _added(batches):
+    n, total = 0, None
+    for batch in batches:
+        for k, data in zip(batch.column("n").to_pylist(), batch.column("total").to_pylist()):
+            one = np.frombuffer(data)
+            n, total = n + k, one if total is None else total + one
+    if n:
+        yield record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, labels: DataFrame, *, parts: int = 4, held: int = 2, most: int = 20_000, features: int = 400, terms=IDENTITY_TERMS, penalty: float = 1.0, decay: float = 1e-4, id_column: str = "doc_id", text_column: str = "text") -> Model:
-    """Learns from at most ``most`` labelled rows, one an id, outside the held-out fold. Without any, all texts score low alike."""
-    chosen = sample_labels(labels, "toxic", parts, held, most)
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sample = picked.join(F.broadcast(chosen), "doc_id")  # at most ``most`` small rows
+    """Learns from at most ``most`` labelled rows outside the held-out fold, one an id: of repeated ids the text with the
+    least hash. Null texts are empty. Without any labelled text, all texts score low alike. To the driver come one sparse
+    row for each of them and the sum over all swaps, whose size is that of the features squared."""
+    sample = one_text_an_id(docs, sample_labels(labels, "toxic", parts, held, most), id_column, text_column)
     per = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n = per.get(1, 0), sum(per.values())
     named = {t for g in terms for t in g}
@@ -136,26 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, *, parts: int = 4, held: int = 2,
         own = shared.value
         columns = own.columns()
         for batch in slices(batches, most=4 << 20):
-            kind, ids, label, out = [], [], [], []
-            for text, i, y in zip(texts(batch), batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()):
-                sentences = [words_of(s) for s in SENTENCE.findall(text)]
-                pairs = [(s, t) for s in sentences for t in swapped(s, terms)]
-                found = [own.row([w for s in sentences for w in s], columns), *(own.row(side, columns) for pair in pairs for side in pair)]
-                kind += [0, *([1, 2] * len(pairs))]
-                ids += [i] * len(found)
-                label += [y] * len(found)
-                out += [[np.flatnonzero(x).astype(np.int32) for x in found], [x[x != 0].astype(np.float32) for x in found]]
-            at = [x for part in out[::2] for x in part]
-            value = [x for part in out[1::2] for x in part]
-            yield record_batch({"doc_id": pa.array(ids, pa.int64()), "kind": pa.array(kind, pa.int32()), "label": pa.array(label, pa.int32()), "at": pa.array(at, pa.list_(pa.int32())), "value": pa.array(value, pa.list_(pa.float32())), "order": pa.array(range(len(kind)), pa.int32())})
-
-    got = map_arrow(sample, rows, "doc_id long, kind int, label int, at array<int>, value array<float>, order int").toArrow().sort_by([("doc_id", "ascending"), ("order", "ascending")])
-    kind = got.column("kind").to_numpy()
-    dense = np.zeros((len(kind), 2 * len(model.index) + 1), dtype=np.float32)
+            found = [own.row(words_of(t), columns) for t in texts(batch)]
+            at, value = [np.flatnonzero(x).astype(np.int32) for x in found], [x[x != 0].astype(np.float32) for x in found]
+            yield record_batch({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": pa.array(at, pa.list_(pa.int32())), "value": pa.array(value, pa.list_(pa.float32()))})
+
+    got = map_arrow(sample, rows, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
+    dense = np.zeros((got.num_rows, 2 * len(model.index) + 1), dtype=np.float32)
     for r, (at, value) in enumerate(zip(got.column("at").to_pylist(), got.column("value").to_pylist())):
         dense[r, at] = value
-    y = got.column("label").to_numpy()[kind == 0] == 1
-    return fit(model, dense[kind == 0], y.astype(float), dense[kind == 1], dense[kind == 2], penalty=penalty, decay=decay)
+    y = got.column("label").to_numpy() == 1
+    sums = map_arrow(map_arrow(sample.select("text"), _swaps(shared, terms), "n long, total binary").repartition(1), _added, "n long, total binary").first()
+    change = np.frombuffer(sums["total"]).reshape(dense.shape[1], -1) / sums["n"] if sums else None
+    return fit(model, dense, y.astype(float), change, penalty=penalty, decay=decay)
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
