@@ -102,6 +102,10 @@ class WordBpe:
                 known.clear()
         return out
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.words.clear()
+
 
 @functools.cache
 def word_bpe(path: str) -> WordBpe:
@@ -121,6 +125,7 @@ def cut_pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: i
                     one = data[a : a + 4 * capacity]
                     own.append(row), piece.append(i), start.append(a // 4), length.append(len(one) // 4), crc.append(zlib.crc32(one))
             yield record_batch({"doc_id": batch.column("doc_id").take(pa.array(own)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": batch.column("part").take(pa.array(own))})
+        codec.forget()  # a worker that goes on with other work keeps no memo
 
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.spark_partition_id().alias("part"))
     return map_arrow(picked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int")
