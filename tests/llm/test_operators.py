@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recallgrid.llm import ann, bpe, components, minhash, packing, quality, simhash, suffix_dedup, suffix_lm, token_counts, toxicity
+from recallgrid.llm import ann, bpe, common, components, minhash, packing, quality, simhash, suffix_dedup, suffix_lm, token_counts, toxicity
 
 ODD = [None, "", " ", "a", "The the THE\n\n\tend  ", "naïve 漢字 😀 é", "<|endoftext|> x<|endoftext|>", "x" * 3000, "it's we'll 123 45\x1c\x85end\r\n", "word " * 2000, "\x00nul"]
 
@@ -202,6 +202,36 @@ def test_homes_of_a_hot_anchor_meet_across_parts(spark):
     assert root[: len(first)] == root[len(first) :]
 
 
+def test_links_reach_over_batches_and_parts(spark):
+    """6,000 fingerprints at home at one anchor, in triples a, b, c where only a-b and b-c are within 4 bits."""
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 2**43, 2000, dtype=np.uint64)) << np.uint64(21)
+    bits = np.stack([21 + rng.choice(43, 6, replace=False) for _ in a]).astype(np.uint64)
+    step = lambda k: np.bitwise_or.reduce(np.uint64(1) << bits[:, k : k + 3], axis=1)
+    b = a ^ step(0)
+    c = b ^ step(3)
+    values = np.concatenate([a, b, c])
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    assert simhash.anchors(values[:10])[2].sum() == 30
+    for split, batch in ((4096, "10000"), (4096, "500"), (20, "10000"), (100_000, "700")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r["u"]: r["v"] for r in components.components(simhash.link_fingerprints(frame, split=split)).collect()}
+        root = np.array([got.get(int(v), int(v)) for v in values.view(np.int64)]).reshape(3, -1)
+        assert (root[0] == root[1]).all() and (root[1] == root[2]).all()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_row_ids_do_not_depend_on_splits(spark, tmp_path):
+    spark.range(5000).selectExpr("id doc_id", "repeat(cast(id as string), 9) text").repartition(4).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    before = {r["rid"]: r["doc_id"] for r in common.with_row_id(docs, "doc_id").collect()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    after = {r["__rid"]: r["doc_id"] for r in common.row_id(docs.where("doc_id % 2 = 0")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(before) == 5000 and all(before[k] == v for k, v in after.items())
+
+
 def test_suffix_lm_base_and_scores(docs, empty):
     rows = suffix_lm.score_documents(docs, depth=3, least_share=1e-3).collect()
     words = lambda t: (t or "").encode().translate(suffix_lm.LOWER_ASCII).split() + [b"\n"]
@@ -280,7 +310,7 @@ def test_nearest_finds_the_exact_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_minhash_estimates_similarity(docs, empty):
+def test_minhash_estimates_similarity(spark, docs, empty):
     rows = minhash.edited_pairs(docs).collect()
     order = sorted(pairs(docs), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [[x for x in regex.split(r"[\x20\x09-\x0D]+", t) if x]] for i in range(max(1, len(w) - 4))}
@@ -294,6 +324,8 @@ def test_minhash_estimates_similarity(docs, empty):
     errors = [abs(r["near_edited"] - expected[r["doc_id"], r["n_chars"], r["edited"]][0][0]) for r in rows]
     assert np.mean(errors) < 0.04 and max(errors) < 0.2
     assert minhash.edited_pairs(empty).count() == 0
+    ends = minhash.edited_pairs(spark.createDataFrame([(-(2**63), "least"), (2**63 - 1, "most"), (0, "none")], "doc_id long, text string"))
+    assert {r["edited"] for r in ends.select("edited").collect()} == {"mosn", "nonl", "leasm"}
 
 
 def test_classifiers_hold_out(spark, tmp_path):
@@ -327,7 +359,44 @@ def test_swaps_are_penalised():
     x, y = np.array([[1, 0, 1.0], [0, 1, 1], [0, 0, 1], [0, 0, 1]]), np.array([1.0, 0, 0, 0])
     model = lambda: toxicity.Model({}, np.zeros(0))
     before, after = np.array([[1, 0, 1.0]]), np.array([[0, 1, 1.0]])
-    free = toxicity.fit(model(), x, y, before[:0], after[:0], penalty=1.0, decay=1e-4).weights
-    held = toxicity.fit(model(), x, y, before, after, penalty=10.0, decay=1e-4).weights
+    d = before - after
+    free = toxicity.fit(model(), x, y, None, penalty=1.0, decay=1e-4).weights
+    held = toxicity.fit(model(), x, y, d.T @ d, penalty=10.0, decay=1e-4).weights
     assert abs((before - after) @ held) < 0.2 * abs((before - after) @ free)
     assert toxicity.swapped(["the", "women", "sing"])[0] == ["the", "men", "sing"]
+
+
+def test_neutral_mentions_of_groups_are_not_toxic(spark, empty):
+    """Group words stand in all toxic and few clean labelled texts; a penalty on swaps keeps the word alone from counting."""
+    random.seed(11)
+    names = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(500):
+        text = [random.choice(names) for _ in range(12)]
+        toxic = i % 4 == 0
+        if toxic:
+            text[2:4] = ["muslims", "scumface"]
+        rows.append((i, " ".join(text) + ".", 0.5, 7))
+        labels.append((i, int(toxic)))
+    rows += [(4, rows[4][1], None, 1), (9001, " ".join(names[:9] + ["muslims"]), None, None), (9002, " ".join(names[:9] + ["christians"]), None, None)]
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string, score double, label int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    gap = {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.train(docs, given, penalty=penalty)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).collect()}
+        gap[penalty] = abs(np.log(got[9001] / (1 - got[9001])) - np.log(got[9002] / (1 - got[9002])))
+        assert got[0] > 0.5 > got[1]
+    assert gap[20.0] < 0.2 * gap[0.0]
+    assert toxicity.score_all(empty, given).count() == 0
+    assert {r["predicted"] for r in toxicity.score_all(docs, given.limit(0)).collect()} == {0}
+
+
+def test_quality_of_repeated_rows_and_empty_tables(spark, empty):
+    rows = [(i, "word " * (i % 7 + 3) if i % 3 else "%% !! ## " * 5, "x", 3) for i in range(200)]
+    rows += [(1, "another text of the same id", "x", 3), (1, None, None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string, x int")
+    given = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    first, second = quality.train(docs, given), quality.train(docs.repartition(7), given)
+    assert np.allclose(first.weights, second.weights) and len(first.weights) > 1
+    assert quality.score_documents(docs, first).columns == ["doc_id", "text", "x", "score", "predicted"]
+    assert quality.score_all(empty, given).count() == 0
