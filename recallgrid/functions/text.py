@@ -36,6 +36,26 @@ def bounded(text: Column, most: int) -> Column:
     return F.when(F.char_length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("…")))
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with an accent, and the same letters without: those that decompose to an ASCII letter and a mark."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
+    found = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii()]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents on Latin letters."""
+    return F.lower(F.translate(text, ACCENTED, PLAIN))
+
+
+def searched(text: Column) -> Column:
+    """Folded terms of two or more characters, in order, with repeats."""
+    return F.filter(F.split(folded(text), TERM_BREAK), lambda t: F.char_length(t) > 1)
+
+
 def terms(text: Column) -> Column:
     """Distinct lower-case terms of two or more characters, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: F.char_length(t) > 1))

@@ -60,28 +60,28 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"links aren't settled after {most_rounds} rounds")
 
 
-def cyclic(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Edges (task, needs) that stand in or behind a cycle: tasks that need nothing open are peeled off until none is left."""
-    left = _checkpointed(edges.distinct())
-    for _ in range(most_rounds):
-        kept = left.join(left.select(F.col("task").alias("needs")).distinct(), "needs", "left_semi").select("task", "needs")
-        kept = _checkpointed(kept)
-        if kept.count() == left.count():
-            return kept
-        left = kept
-    raise RuntimeError(f"chains longer than {most_rounds}")
-
-
-def follow(next_edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(start, node, steps) along chains of (node, next), each node with one next: jumps double until none is new.
-    A chain that meets itself ends before the repetition."""
-    hops = _checkpointed(next_edges.select("node", "next", F.lit(1).alias("steps")))
-    reached = hops
-    for _ in range(most_rounds):
-        jumped = hops.join(hops.toDF("next", "then", "more"), "next").select("node", F.col("then").alias("next"), (F.col("steps") + F.col("more")).alias("steps")).where("node <> next")
-        more = reached.join(hops.toDF("next", "then", "more"), "next").select("node", F.col("then").alias("next"), (F.col("steps") + F.col("more")).alias("steps")).where("node <> next")
-        grown = _checkpointed(reached.union(more).groupBy("node", "next").agg(F.min("steps").alias("steps")))
-        if grown.count() == reached.count():
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Edges (task, needs) that stand in or behind a cycle. Every round drops the needs that have none of their own, and lets a
+    need that itself has but one stand for that one, so chains shrink by half; it ends when nothing is dropped."""
+    edges = _checkpointed(edges.select("task", "needs").distinct())
+    left, count = edges, edges.count()
+    while count:
+        single = left.groupBy(F.col("task").alias("needs")).agg(F.count("*").alias("n"), F.min("needs").alias("then"))
+        met = left.join(single, "needs").select("task", F.when((F.col("n") == 1) & (F.col("then") != F.col("task")), F.col("then")).otherwise(F.col("needs")).alias("needs"))
+        kept = _checkpointed(met.distinct())
+        if kept.count() == count:
             break
-        reached, hops = grown, _checkpointed(jumped)
-    return reached.toDF("start", "node", "steps")
+        left, count = kept, kept.count()
+    return edges.join(left.select(F.col("task").alias("needs")).distinct(), "needs", "left_semi").select("task", "needs")
+
+
+def follow(next_edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """(seed, node, place) along chains of (node, next), each node with one next, from each of ``seeds`` (node): place 0 is the
+    seed. A chain ends at its first repetition or after ``limit`` nodes. Jumps double, so rounds are the logarithm of limit."""
+    hops, span = _checkpointed(next_edges.select("node", "next")), 1
+    reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("place")).distinct()
+    while span < limit:
+        more = reached.join(hops, "node").select("seed", F.col("next").alias("node"), (F.col("place") + span).alias("place")).where(F.col("place") < limit)
+        reached = _checkpointed(reached.union(more).groupBy("seed", "node").agg(F.min("place").alias("place")))
+        hops, span = _checkpointed(hops.join(hops.toDF("next", "then"), "next").select("node", F.col("then").alias("next"))), 2 * span
+    return reached

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,41 +50,73 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, within: Sequence[str] = (), blocks: int = 32) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """List column of one length as rows of length 1."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+
+
+def _block_top(k: int):
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        ids, names = block.column("doc_id").to_numpy(), asked.column("query_id").to_numpy()
+        found = {"query_id": [], "doc_id": [], "score": []}
+        if len(ids) and len(names):
+            q, d = _matrix(asked.column("q")), _matrix(block.column("d"))
+            for first in range(0, len(q), 256):
+                scores = np.round(q[first : first + 256] @ d.T, 9)
+                bar = -np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                for name, score, least in zip(names[first : first + 256], scores, bar):
+                    at = np.flatnonzero(score >= least)
+                    at = at[np.lexsort((ids[at], -score[at]))][:k]
+                    found["query_id"].append(np.full(len(at), name)), found["doc_id"].append(ids[at]), found["score"].append(score[at])
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.empty(0), pa.float64() if c == "score" else pa.int64()) for c, v in found.items()})
+
+    return run
+
+
+def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, within: Sequence[str] = (), per_block: int = 16_384) -> DataFrame:
     """(query_id, doc_id, score, rank): the k most similar rows of corpus (doc_id, v) for each of queries (query_id, v).
 
-    The corpus is dealt into blocks and each query goes to every block, so the join is one by block number and no side
-    is broadcast; the window limit keeps k rows a query and task before the shuffle. ``within`` names columns that
-    have to be equal. Ties go to the smaller doc_id.
+    The corpus is dealt into blocks of about ``per_block`` rows and each query goes to every block, where one matrix
+    product scores them and k rows a query are kept; no side is broadcast. ``within`` names columns that have to be
+    equal. Vectors have one length; null, zero and non-finite ones take no part. Ties go to the smaller doc_id.
     """
-    left = queries.select("query_id", *within, unit(F.col("v")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = corpus.select("doc_id", *within, unit(F.col("v")).alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = left.join(right, ["block", *within]).select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("d")), 9).alias("score"))
+    usable = F.coalesce(norm(F.col("v")), F.lit(0.0))
+    queries, corpus = (x.where((usable > 0) & (usable < float("inf"))) for x in (queries, corpus))
+    blocks = max(1, -(-corpus.count() // per_block))
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), *within, F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), *within, F.col("v").alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    best = left.groupBy("block", *within).cogroup(right.groupBy("block", *within)).applyInArrow(_block_top(k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def inverted_index(docs: DataFrame, terms: Column) -> DataFrame:
-    """(term, doc_id, tf) of every term of the texts."""
-    return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+def inverted_index(docs: DataFrame, terms: Column, asked: DataFrame) -> DataFrame:
+    """(term, doc_id, length, tf) of the terms in ``asked`` (term); length counts all terms of the text. Only asked terms are
+    shuffled."""
+    each = docs.select("doc_id", terms.alias("ts")).select("doc_id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    return each.join(asked.distinct(), "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
-def full_text(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def full_text(queries: DataFrame, docs: DataFrame, terms: Column, k: int, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): documents with all of a query's terms, the k best by BM25.
 
-    queries has (query_id, term), index (term, doc_id, tf), lengths (doc_id, length). Terms meet in one equi-join; hot
-    terms are large partitions that Spark splits.
+    queries has (query_id, term), docs what ``terms`` is computed from. A document can only have all terms of a query if it
+    has the rarest, so it is looked up by that one, and the others meet it by term and document.
     """
-    n, average = lengths.agg(F.count("*"), F.avg("length")).first()
-    wanted = queries.groupBy("query_id").agg(F.count_distinct("term").alias("wanted"))
+    n, average = docs.select(F.size(terms).alias("length")).where("length > 0").agg(F.count("*"), F.avg("length")).first()
     asked = queries.distinct()
-    hits = asked.join(index, "term")
-    df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(df, "term").join(lengths, "doc_id")
+    index = inverted_index(docs, terms, asked.select("term"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(average or 1))))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("met"), F.round(F.sum(part), 6).alias("score"))
-    scored = scored.join(wanted, "query_id").where("met = wanted")
+    known = asked.join(df, "term", "left").withColumn("idf", idf)
+    per = Window.partitionBy("query_id")
+    known = known.withColumn("wanted", F.count("*").over(per)).withColumn("have", F.count("df").over(per)).where("wanted = have")
+    rarest = known.groupBy("query_id", "wanted").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    found = rarest.join(index.select("term", "doc_id", "length"), "term").select("query_id", "wanted", "doc_id", "length")
+    hits = found.join(known.select("query_id", "term", "idf"), "query_id").join(index.select("term", "doc_id", "tf"), ["term", "doc_id"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(average or 1))))
+    scored = hits.groupBy("query_id", "doc_id", "wanted").agg(F.count("*").alias("met"), F.round(F.sum(part), 6).alias("score")).where("met = wanted")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.select("query_id", "doc_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
 

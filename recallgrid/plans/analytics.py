@@ -25,15 +25,16 @@ def a1_trace_rows(spark, sf_dir):
     return traces(spark, sf_dir).select("query_id", "doc_id", "member", F.ceil(F.col("tokens") / F.col("n")).alias("share"), F.sha2(F.col("member").cast("string"), 256).alias("term_hash"))
 
 
-_O = _T + """, o AS (SELECT event_id % 500 - event_id % 50 % 50 AS query_id, value, event_type, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'corrected' END AS outcome, event_id % 100 AS used FROM events WHERE event_id < 2000),
+_O = _T + """, o AS (SELECT event_id % 500 - event_id % 50 % 50 AS query_id, value, event_type, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' ELSE 'corrected' END AS outcome, event_id % 100 AS used FROM events),
 j AS (SELECT t.query_id, member, outcome, member % 100 = used AS was_used FROM t JOIN o USING (query_id))"""
 
 
 def outcomes(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    """(query_id, outcome, used, times): outcomes counted before they meet what was exposed."""
+    e = table(spark, sf_dir, "events")
     outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("corrected")
-    o = e.select((F.col("event_id") % 500 - F.col("event_id") % 50 % 50).alias("query_id"), outcome.alias("outcome"), (F.col("event_id") % 100).alias("used"))
-    return traces(spark, sf_dir).join(o, "query_id").select("query_id", "member", "outcome", (F.col("member") % 100 == F.col("used")).alias("was_used"))
+    o = e.groupBy((F.col("event_id") % 500 - F.col("event_id") % 50 % 50).alias("query_id"), outcome.alias("outcome"), (F.col("event_id") % 100).alias("used")).agg(F.count("*").alias("times"))
+    return traces(spark, sf_dir).join(o, "query_id").select("query_id", "member", "outcome", (F.col("member") % 100 == F.col("used")).alias("was_used"), "times")
 
 
 @register(_O + """, util AS (SELECT member, count(*) AS exposures, count(*) FILTER (was_used) AS uses, sum(CASE WHEN outcome = 'success' THEN CASE WHEN was_used THEN 1 ELSE 0.1 END ELSE 0 END) AS a, sum(CASE WHEN outcome <> 'success' THEN CASE WHEN was_used THEN 1 ELSE 0.1 END ELSE 0 END) AS b FROM j GROUP BY member)
@@ -41,9 +42,10 @@ SELECT member, exposures, uses, round((1 + a) / (2 + a + b), 9) AS mean, round(g
 def a3_utility(spark, sf_dir):
     """A2 and A3: outcomes attributed to what was exposed, and each memory's utility."""
     j = outcomes(spark, sf_dir)
-    credit = F.when(F.col("was_used"), 1.0).otherwise(0.1)
+    n = F.col("times")
+    credit = F.when(F.col("was_used"), 1.0 * n).otherwise(0.1 * n)
     good = F.col("outcome") == "success"
-    u = j.groupBy("member").agg(F.count("*").alias("exposures"), F.sum(F.col("was_used").cast("long")).alias("uses"), F.sum(F.when(good, credit).otherwise(0.0)).alias("a"), F.sum(F.when(good, 0.0).otherwise(credit)).alias("b"))
+    u = j.groupBy("member").agg(F.sum(n).alias("exposures"), F.sum(F.when(F.col("was_used"), n).otherwise(0)).alias("uses"), F.sum(F.when(good, credit).otherwise(0.0)).alias("a"), F.sum(F.when(good, 0.0).otherwise(credit)).alias("b"))
     return u.select("member", "exposures", "uses", F.round((1 + F.col("a")) / (2 + F.col("a") + F.col("b")), 9).alias("mean"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("exposures") - 2) / 20)), 9).alias("confidence"))
 
 

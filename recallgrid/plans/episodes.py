@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import artifacts as af
 from .registry import register
 from .tables import EPISODES, episode_events, table
+from .text import _TERMS
 
 
 @register(f"""WITH {EPISODES}, c AS (SELECT *, sha256(concat(user_id, ':', day, ':', seq)) AS id, max(CASE WHEN kind = 'tool_call' THEN seq END) OVER (PARTITION BY user_id, day ORDER BY seq) AS call FROM episode_events)
@@ -42,14 +43,14 @@ def e3_episode_outcomes(spark, sf_dir):
 
 
 @register("""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Error: boom ' || CAST(doc_id % 3 AS VARCHAR) || chr(10) || 'at src/a' || CAST(doc_id AS VARCHAR) || '.ts' ELSE '' END AS text FROM documents), l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\b(error|exception|failed)\\b', 'i')) AS errors FROM d)
-SELECT doc_id, len(errors) AS error_lines, array_to_string(list_slice(list_distinct(errors), 1, 8), '|') AS key_errors, len(list_slice(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+')), 1, 16)) AS paths, least(strlen(text), 2048) AS preview FROM l WHERE len(list_distinct(errors)) <= 1""")
+SELECT doc_id, len(errors) AS error_lines, array_to_string(list_slice(list_filter(errors, lambda x, i: list_position(errors, x) = i), 1, 8), '|') AS key_errors, len(list_slice(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+')), 1, 16)) AS paths, least(strlen(text), 2048) AS preview FROM l""")
 def e5_result_summary(spark, sf_dir):
     """E5: error lines, key errors and paths of a result."""
     extra = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\nError: boom "), (F.col("doc_id") % 3).cast("string"), F.lit("\nat src/a"), F.col("doc_id").cast("string"), F.lit(".ts"))).otherwise("")
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", extra).alias("text"))
     errors = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)\b(error|exception|failed)\b"))
     paths = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)"), 1)), 1, 16)
-    d = d.withColumn("errors", errors).where(F.size(F.array_distinct("errors")) <= 1)
+    d = d.withColumn("errors", errors)
     return d.select("doc_id", F.size("errors").alias("error_lines"), F.array_join(F.slice(F.array_distinct("errors"), 1, 8), "|").alias("key_errors"), F.size(paths).alias("paths"), F.least(F.octet_length("text"), F.lit(2048)).alias("preview"))
 
 
@@ -67,30 +68,37 @@ def e8_artifact_audit(spark, sf_dir):
     return af.audited(af.chunked(table(spark, sf_dir, "documents"), 1024))
 
 
-@register("""WITH d AS (SELECT DISTINCT sha256(text) AS artifact_id, text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND strlen(text) > 1200) SELECT artifact_id, 900 AS start, 300 AS length, substr(text, 901, 300) AS text FROM d""")
+@register("""WITH d AS (SELECT DISTINCT sha256(text) AS artifact_id, text FROM documents), h AS (SELECT artifact_id, substr(hex(encode(text)), 1801, 600) AS h FROM d WHERE strlen(text) > 900),
+c AS (SELECT artifact_id, regexp_replace(regexp_replace(h, '^((8|9|A|B)[0-9A-F])+', ''), '((C|D)[0-9A-F]|E[0-9A-F](([89AB][0-9A-F])?)|F[0-9A-F](([89AB][0-9A-F]){0,2}))$', '') AS cut, regexp_replace(h, '^((8|9|A|B)[0-9A-F])+', '') AS head FROM h)
+SELECT artifact_id, 900 AS start, 300 AS length, decode(unhex(CASE WHEN length(cut) % 2 = 0 THEN cut ELSE head END)) AS text FROM c""")
 def e9_byte_ranges(spark, sf_dir):
-    """Byte ranges that reach over chunks; the check takes ASCII texts, tests the others."""
-    d = table(spark, sf_dir, "documents").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]' AND octet_length(text) > 1200")
-    c = af.chunked(d, 1024)
+    """A byte range of every text that reaches over a chunk, cut to whole characters."""
+    c = af.chunked(table(spark, sf_dir, "documents"), 1024)
     asked = c.select("artifact_id").distinct().select("artifact_id", F.lit(900).alias("start"), F.lit(300).alias("length"))
     return af.read_ranges(asked, c, 1024)
 
 
-_Q2 = "SELECT item_id AS query_id, (list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_./:-]+'), lambda t: length(t) > 1))[1:2] AS ts FROM benchmark"
+@register(f"""WITH q AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS qs FROM benchmark), d AS (SELECT doc_id, lower(text) AS t, {_TERMS.format('text')} AS ts FROM documents),
+p AS (SELECT query_id, doc_id, t, qs FROM q, d WHERE len(qs) > 0 AND list_has_all(ts, [list_sort(qs)[1]]) AND len(list_filter(qs, lambda x: NOT contains(t, x))) = 0),
+c AS (SELECT *, unnest(range(0, CAST(floor((greatest(length(t), 1) - 1) / 600) AS BIGINT) + 1)) AS chunk FROM p), f AS (SELECT *, greatest(0, chunk * 600 - 300) AS first FROM c), r AS (SELECT *, substr(t, first + 1, chunk * 600 + 600 - first) AS part FROM f),
+m AS (SELECT DISTINCT query_id, doc_id, t, first + list_min(list_transform(qs, lambda x: position(x IN part))) AS place FROM r WHERE len(list_filter(qs, lambda x: NOT contains(part, x))) = 0)
+SELECT query_id, doc_id, place, strlen(substr(t, 1, place - 1)) AS byte_offset, sha256(substr(t, greatest(1, place - 240), 1000)) AS window_hash FROM m QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) <= 8""")
+def e21_artifact_search(spark, sf_dir):
+    """Where a stretch of a text holds all terms of a query; texts are read in chunks of 600 characters."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return af.searched(q, table(spark, sf_dir, "documents"), 8, size=600, carry=300)
 
 
-@register(f"""WITH q AS ({_Q2}), m AS (SELECT query_id, doc_id, lower(text) AS t, ts, list_min(list_transform(ts, lambda x: position(x IN lower(text)))) AS place FROM q JOIN documents ON doc_id % 40 = query_id % 40)
-SELECT query_id, doc_id, place, sha256(substr(t, greatest(1, place - 240), 1000)) AS window_hash FROM m WHERE len(list_filter(ts, lambda x: NOT contains(t, x))) = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 8""")
-def e21_artifact_search(spark, sf_dir):
-    """Artifacts that contain all terms, with a window around the first match; eight a query. A query asks
-    for a fortieth of the artifacts, so requests and artifacts meet by that key."""
-    terms = F.slice(F.filter(F.split(F.lower("text"), tx.TERM_BREAK), lambda t: F.length(t) > 1), 1, 2)
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("key"), terms.alias("ts"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("key"), F.lower("text").alias("t"))
-    m = d.join(q, "key").where(F.forall("ts", lambda x: F.contains(F.col("t"), x)))
-    m = m.withColumn("place", F.array_min(F.transform("ts", lambda x: F.call_function("locate", x, F.col("t")))))
-    m = m.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where("n <= 8")
-    return m.select("query_id", "doc_id", "place", F.sha2(F.substring("t", F.greatest(F.lit(1), F.col("place") - 240), F.lit(1000)), 256).alias("window_hash"))
+@register(f"""WITH {EPISODES}, c AS (SELECT *, max(CASE WHEN kind = 'tool_call' THEN event_id END) OVER (PARTITION BY user_id, day ORDER BY seq) AS parent FROM episode_events), r AS (SELECT user_id, day, event_id AS id FROM c WHERE failed UNION SELECT user_id, day, parent FROM c WHERE failed AND parent IS NOT NULL),
+e AS (SELECT user_id, day, id, event_type || ' ' || props AS text FROM r JOIN events ON event_id = id AND events.user_id = r.user_id), m AS (SELECT user_id, day, id, text FROM e WHERE contains(lower(text), 'error') AND contains(lower(text), CAST(user_id % 10 AS VARCHAR)))
+SELECT user_id, day, id, text FROM m QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY id) <= 32""".replace("r JOIN events ON event_id = id AND events.user_id = r.user_id", "r JOIN (SELECT event_id, event_type, props FROM events) ON event_id = id"))
+def e12_evidence_search(spark, sf_dir):
+    """Of an episode's evidence (E11) what holds all terms asked for, 32 matches at most."""
+    texts = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", "props").alias("text"))
+    asked = F.array(F.lit("error"), (F.col("user_id") % 10).cast("string"))
+    m = evidence(spark, sf_dir).join(texts, "id").where(F.forall(asked, lambda x: F.contains(F.lower("text"), x)))
+    n = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("id"))
+    return m.select("user_id", "day", "id", "text", n.alias("n")).where("n <= 32").drop("n")
 
 
 @register("""SELECT doc_id, CASE WHEN doc_id % 30 < 10 THEN 'expired' ELSE 'active' END AS state FROM documents""")
@@ -121,3 +129,10 @@ def e16_transition_audit(spark, sf_dir):
     s = table(spark, sf_dir, "events").withColumn("before", F.lag("event_type").over(w)).where("before IS NOT NULL")
     move = F.concat_ws(">", "before", "event_type")
     return s.select("event_id", move.alias("move"), move.isin(*(f"{a}>{b}" for a, b in MOVES)).alias("legal"))
+
+
+def evidence(spark, sf_dir):
+    """(user_id, day, id): an episode's failures with the calls that led to them, each once."""
+    w = Window.partitionBy("user_id", "day").orderBy("seq")
+    c = episode_events(spark, sf_dir).withColumn("parent", F.max(F.when(F.col("kind") == "tool_call", F.col("event_id"))).over(w)).where("failed")
+    return c.select("user_id", "day", F.explode(F.array_compact(F.array("event_id", "parent"))).alias("id")).distinct()

@@ -40,22 +40,18 @@ def v10_related_records(spark, sf_dir):
 
 
 def asked(spark, sf_dir) -> DataFrame:
-    """(query_id, term): the first two distinct terms of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.terms(F.col("text")), 1, 2)).alias("term"))
+    """(query_id, term): all distinct terms of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.searched(F.col("text")))).alias("term"))
 
 
 def full_text(spark, sf_dir, k: int) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    parts = F.filter(F.split(F.lower("text"), tx.TERM_BREAK), lambda t: F.char_length(t) > 1)
-    index = tb.inverted_index(d, parts)
-    return tb.full_text(asked(spark, sf_dir), index, index.groupBy("doc_id").agg(F.sum("tf").alias("length")), k)
+    return tb.full_text(asked(spark, sf_dir), table(spark, sf_dir, "documents"), tx.searched(F.col("text")), k)
 
 
-_FTS = f"""tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_./:-]+'), lambda t: length(t) > 1)) AS term FROM documents),
-ix AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT doc_id, sum(tf) AS length FROM ix GROUP BY ALL), st AS (SELECT count(*) AS n, avg(length) AS av FROM len),
-qs AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_./:-]+'), lambda t: length(t) > 1) AS ts FROM benchmark),
-q AS (SELECT DISTINCT query_id, unnest([ts[1], (list_filter(ts, lambda t: t <> ts[1]))[1]]) AS term FROM qs), w AS (SELECT query_id, count(DISTINCT term) AS wanted FROM q WHERE term IS NOT NULL GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM ix GROUP BY ALL),
+_SEARCHED = f"list_filter(regexp_split_to_array(lower(translate(text, '{tx.ACCENTED}', '{tx.PLAIN}')), '[^\\p{{L}}\\p{{N}}_./:-]+'), lambda t: length(t) > 1)"
+_FTS = f"""tok AS (SELECT doc_id, unnest({_SEARCHED}) AS term FROM documents), len AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY ALL), st AS (SELECT count(*) AS n, avg(length) AS av FROM len),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_SEARCHED}) AS term FROM benchmark), w AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY ALL),
+ix AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM ix GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, count(*) AS met, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / av))), 6) AS score FROM q JOIN ix USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY ALL),
 fts AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN w USING (query_id) WHERE met = wanted QUALIFY rank <= 20)"""
 
@@ -66,54 +62,68 @@ def v3_full_text(spark, sf_dir):
     return full_text(spark, sf_dir, 20).withColumn("score", F.round(F.col("score") + 0.0000003, 4))  # off the ties of rounding twice
 
 
-def trigram_lane(spark, sf_dir, k: int) -> DataFrame:
-    """Cosine of trigram vectors: an equi-join on the slot, summed."""
-    one = tb.trigram_vectors(table(spark, sf_dir, "documents"), 4096)
-    q = tb.trigram_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 4096)
-    q = q.select(F.col("doc_id").alias("query_id"), "slot", F.col("weight").alias("w"))
-    pairs = one.join(q, "slot").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
-    return rk.cap(pairs, k, "doc_id")
-
-
-def slice_hits(spark, sf_dir) -> DataFrame:
-    """Fused candidates of the benchmark items with what the later stages need."""
-    lane = lambda df, n, w: df.select("query_id", "doc_id", "rank", F.lit(n).alias("lane"), F.lit(w).alias("weight"))
-    fused = rk.fuse(lane(trigram_lane(spark, sf_dir, 40), 1, 1.0).union(lane(full_text(spark, sf_dir, 40), 2, 1.1)))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), "source")
-    return fused.join(d, "doc_id").withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
-
-
-@register()
-def retrieval_slice(spark, sf_dir):
-    """Hybrid retrieval of the benchmark items, five results a query. Each stage is checked by SQL on its own."""
-    hits = slice_hits(spark, sf_dir)
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    score = rk.authority_and_freshness(F.col("score") / top, F.col("authority"), F.lit(None).cast("long"), 0)
-    hits = rk.cap(hits.withColumn("score", F.round(score, 9)), 40, "doc_id")
-    hits = rk.structural_dedupe(hits, "content_hash", tie="doc_id")
-    hits = hits.withColumn("score", rk.lexical_floor(F.col("score"), F.array_contains("signals", 2)))
-    hits = rk.adaptive_cutoff(hits, "doc_id", focused=False)
-    return rk.mmr(hits.withColumn("position", F.col("rank")).withColumn("terms", tx.terms(F.col("text"))), 5)
-
-
 _HY = f"""WITH {_UNITS}, {_FTS}, lanes AS (SELECT query_id, doc_id, rank, 2 AS lane, 1.1 AS weight FROM fts UNION ALL
-SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank, 1, 1.0 FROM u a, u b WHERE a.vec_id < 40 QUALIFY rank <= 20),
+SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank, 1, 1.0 FROM u a, u b WHERE a.vec_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 20),
 f AS (SELECT query_id, doc_id, round(sum(weight / (60 + rank)), 9) AS score, min({{'l': lane, 'r': rank}}) AS seen, list_sort(list_distinct(list(lane))) AS signals FROM lanes GROUP BY ALL)"""
 
 
 @register(_HY + " SELECT query_id, doc_id, round(score, 7) AS score, array_to_string(signals, ',') AS signals, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS position FROM f")
 def v4_hybrid_fusion(spark, sf_dir):
-    """A dense and a full-text lane fused by reciprocal rank."""
+    """A dense and a full-text lane fused by reciprocal rank, for every benchmark item; its vector has its id."""
     fused = rk.fuse(hybrid_lanes(spark, sf_dir))
     return fused.select("query_id", "doc_id", F.round("score", 7).alias("score"), F.array_join(F.transform("signals", lambda x: x.cast("string")), ",").alias("signals"), "position")
 
 
 def hybrid_lanes(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    one = tb.top_cosine(e.where("doc_id < 40").withColumnRenamed("doc_id", "query_id"), e, 20).select("query_id", "doc_id", "rank", F.lit(1).alias("lane"), F.lit(1.0).alias("weight"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    one = tb.top_cosine(e.withColumnRenamed("doc_id", "query_id").join(wanted, "query_id", "left_semi"), e, 20).select("query_id", "doc_id", "rank", F.lit(1).alias("lane"), F.lit(1.0).alias("weight"))
     return one.union(full_text(spark, sf_dir, 20).select("query_id", "doc_id", "rank", F.lit(2), F.lit(1.1)))
 
 
+_SLICE = _HY + """, top AS (SELECT query_id, doc_id, f.score / max(f.score) OVER (PARTITION BY query_id) AS score, signals, 10 + doc_id % 10 * 10 AS authority, sha256(text) AS content_hash, source, text FROM f JOIN documents USING (doc_id)),
+fused AS (SELECT * FROM top), admitted AS (SELECT * FROM top WHERE authority >= 20 AND source <> 'src3'),
+scored AS (SELECT * REPLACE (round(score * greatest(0, 1 + (authority / 100 - 1) * 0.8) * 0.65 + authority / 100 * 0.25 + 0.1, 9) AS score) FROM admitted),
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 40),
+dedup AS (SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY score DESC, doc_id) = 1),
+rr AS (SELECT *, 0.7 * CASE WHEN max(doc_id % 11) OVER p = min(doc_id % 11) OVER p THEN 1 ELSE (doc_id % 11 - min(doc_id % 11) OVER p) / (max(doc_id % 11) OVER p - min(doc_id % 11) OVER p) END + 0.3 * score AS blended FROM dedup WINDOW p AS (PARTITION BY query_id)),
+reranked AS (SELECT * REPLACE (round(CASE WHEN list_contains(signals, 2) THEN greatest(blended, 0.04) ELSE blended END, 9) AS score) FROM rr),
+walk AS (SELECT *, first_value(score) OVER o AS best, lag(score) OVER o AS before FROM reranked WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, doc_id)),
+stops AS (SELECT *, CASE WHEN best < 0.04 OR score < 0.04 OR coalesce(before - score >= greatest(0.14, best * 0.18), FALSE) OR score / best < 0.68 THEN 1 ELSE 0 END AS stop FROM walk),
+cut AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_./:-]+'), lambda t: length(t) > 1)) AS terms FROM stops QUALIFY max(stop) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) = 0)"""
+
+
+def stages(spark, sf_dir) -> dict[str, DataFrame]:
+    """The retrieval of the benchmark items stage by stage: fused lanes, gates, scores under a cap, one hit a content, blend
+    with relevance, cutoff. Relevance is an input; here it is derived from the id."""
+    fused = rk.fuse(hybrid_lanes(spark, sf_dir))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), "source")
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    fused = fused.join(d, "doc_id").withColumn("score", F.col("score") / top).withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
+    admitted = fused.where((F.col("authority") >= 20) & (F.col("source") != "src3"))
+    g = rk.gated(F.col("score"), rk.trust(F.lit("knowledge"), F.col("authority"), F.lit(True)), F.lit(0.8))
+    capped = rk.cap(admitted.withColumn("score", F.round(rk.authority_and_freshness(g, F.col("authority"), F.lit(None).cast("long"), 0), 9)), 40, "doc_id")
+    dedup = rk.structural_dedupe(capped, "content_hash", tie="doc_id")
+    n = rk.min_max_per_batch(dedup.withColumn("batch", F.lit(0)).withColumn("relevance", F.col("doc_id") % 11))
+    blended = 0.7 * F.col("normal") + 0.3 * F.col("score")
+    reranked = n.withColumn("score", F.round(rk.lexical_floor(blended, F.array_contains("signals", 2)), 9))
+    cut = rk.adaptive_cutoff(reranked, "doc_id", focused=False).withColumn("position", F.row_number().over(rk.best_first("doc_id"))).withColumn("terms", tx.terms(F.col("text")))
+    return {"fused": fused, "admitted": admitted, "capped": capped, "unique": dedup, "cut": cut}
+
+
+_MMR = """, c AS MATERIALIZED (SELECT query_id, doc_id, score, terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM cut),
+sim AS MATERIALIZED (SELECT a.query_id, a.doc_id, b.doc_id AS other, len(list_intersect(a.terms, b.terms)) / greatest(1, len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) AS s FROM c a JOIN c b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id),
+picks AS (SELECT query_id, [doc_id] AS chosen, 1 AS n FROM c WHERE position = 1
+ UNION ALL SELECT query_id, list_append(chosen, doc_id), n + 1 FROM (SELECT p.query_id, p.chosen, p.n, c.doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.75 * c.score - 0.25 * (SELECT max(s) FROM sim WHERE sim.query_id = p.query_id AND sim.doc_id = c.doc_id AND list_contains(p.chosen, sim.other)) DESC, c.position) AS r FROM picks p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.doc_id) WHERE p.n < {limit}) WHERE r = 1),
+longest AS (SELECT query_id, arg_max(chosen, n) AS chosen FROM picks GROUP BY query_id), placed AS (SELECT query_id, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS mmr_rank FROM longest)"""
+
+
+@register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.replace("{limit}", "5") + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
+def retrieval_slice(spark, sf_dir):
+    """Hybrid retrieval of the benchmark items, five results a query."""
+    return rk.mmr(stages(spark, sf_dir)["cut"], 5).select("query_id", "doc_id", "score", "mmr_rank")
+
+
 @register(_HY + """, b AS (SELECT item_id AS query_id FROM benchmark) SELECT b.query_id, count(*) FILTER (lane = 1) AS dense, count(*) FILTER (lane = 2) AS fts,
 CASE WHEN count(*) FILTER (lane = 2) > 0 THEN 'lexical' ELSE 'semantic' END AS tier, array_to_string(list_filter([CASE WHEN count(*) FILTER (lane = 1) = 0 THEN 'dense' END, CASE WHEN count(*) FILTER (lane = 2) = 0 THEN 'fts' END], lambda x: x IS NOT NULL), ',') AS degraded
 FROM b LEFT JOIN lanes USING (query_id) GROUP BY b.query_id""")

@@ -9,14 +9,13 @@ from ..functions import text as tx
 from .registry import register
 from .tables import RECORDS, records, table
 
-ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+_WIDE = "text || CASE WHEN doc_id % 3 = 0 THEN ' {}' ELSE '' END"
 
 
-@register(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS normal
-FROM documents WHERE {ASCII}""")
+@register(f"""SELECT doc_id, trim(regexp_replace(regexp_replace({_WIDE.format('fine VIII x2')}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10) || chr(9)) AS normal FROM documents""")
 def p13_normalised(spark, sf_dir):
-    """P13. The whole operator is tx.nfkc after tx.collapsed; the check takes the ASCII rows."""
-    d = table(spark, sf_dir, "documents").where("NOT text RLIKE '[^\\\\x00-\\\\x7F]'")
+    """P13; characters that composition changes are put at the ends of texts first, for the documents have none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_WIDE.format("ﬁne Ⅷ x²")).alias("text"))
     return d.select("doc_id", tx.collapsed(tx.nfkc(F.col("text"))).alias("normal"))
 
 

@@ -46,8 +46,11 @@ def test_components_cycles_and_chains(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
     deps = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (6, 1)], "task int, needs int")
     assert sorted(map(tuple, memory.cyclic(deps).collect())) == [(1, 2), (2, 3), (3, 1), (6, 1)]
-    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "node int, next int")
-    assert sorted(map(tuple, memory.follow(chain).collect())) == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1)]
+    long = spark.createDataFrame([(i, i + 1) for i in range(600)] + [(1000 + i, 1000 + (i + 1) % 300) for i in range(300)] + [(2000, 1000), (2001, 5)], "task int, needs int")
+    assert sorted(r["task"] for r in memory.cyclic(long).collect()) == [*range(1000, 1300), 2000]
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7)], "node int, next int")
+    seeds = spark.createDataFrame([(1,), (3,), (7,), (9,)], "node int")
+    assert sorted(map(tuple, memory.follow(chain, seeds, 3).collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (3, 3, 0), (3, 4, 1), (7, 7, 0), (7, 8, 1), (9, 9, 0)]
 
 
 def test_byte_ranges_cut_to_characters(spark):
