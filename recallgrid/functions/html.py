@@ -94,12 +94,24 @@ def private_host(host: Column) -> Column:
     return named | lower.rlike(r"^\[?(fc|fd|fe8|fe9|fea|feb)[0-9a-f]*:") | lower.rlike(r"^(10|127)(\.\d{1,3}){3}$|^169\.254(\.\d{1,3}){2}$|^192\.168(\.\d{1,3}){2}$|^172\.(1[6-9]|2\d|3[01])(\.\d{1,3}){2}$")
 
 
-def media_type(data: Column, name: Column) -> Column:
-    """Media type by leading bytes, then by extension, then by whether there are NUL bytes."""
+def media_type(data: Column, name: Column, trusted: Column | None = None) -> Column:
+    """Media type by leading bytes, then as a trusted source says, then by extension, by the beginning, and by NUL bytes."""
     head = F.hex(F.substring(data, 1, 8))
     magic = F.when(head.startswith("25504446"), "application/pdf").when(head.startswith("89504E47"), "image/png").when(head.startswith("FFD8FF"), "image/jpeg").when(head.startswith("47494638"), "image/gif").when(head.startswith("504B0304"), "application/zip")
     extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     known = F.create_map(*(F.lit(x) for pair in (("html", "text/html"), ("htm", "text/html"), ("md", "text/markdown"), ("txt", "text/plain"), ("json", "application/json"), ("csv", "text/csv"), ("ts", "text/x-code"), ("py", "text/x-code")) for x in pair))
     start = F.lower(F.ltrim(F.substring(data, 1, 512).cast("string")))
     sniffed = F.when(start.rlike("^(<!doctype html|<html)"), "text/html").when(start.rlike(r"^[{\[]"), "application/json")
-    return F.coalesce(magic, known[extension], sniffed, F.when(F.hex(F.substring(data, 1, 8192)).rlike("^(..)*00"), "application/octet-stream"), F.lit("text/plain"))
+    return F.coalesce(magic, F.lit(None).cast("string") if trusted is None else trusted, known[extension], sniffed, F.when(F.hex(F.substring(data, 1, 8192)).rlike("^(..)*00"), "application/octet-stream"), F.lit("text/plain"))
+
+
+def url_path(url: Column) -> Column:
+    path = F.regexp_extract(url, "^https?://[^/?#]+(/[^?#]*)", 1)
+    return F.when(path == "", "/").otherwise(path)
+
+
+def site_scope(seed: Column) -> Column:
+    """What paths of links from a page have to begin with: its wiki's root if it is in one, else its folder."""
+    path = url_path(seed)
+    wiki = F.regexp_extract(path, "(?i)^(.*/wiki)(?:/|$)", 1)
+    return F.when(wiki != "", F.concat(wiki, F.lit("/"))).otherwise(F.regexp_extract(path, "^(.*/)", 1))

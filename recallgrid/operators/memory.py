@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def reinforced(records: DataFrame) -> DataFrame:
     """One row for each namespace and content: the first id, how often it was said again, and the most it was worth."""
@@ -37,23 +37,16 @@ def first_and_lead(proposals: DataFrame, key: str, score: str, tie: str, margin:
     return ranked.withColumn("ambiguous", F.coalesce(F.col(score) - F.col("next") < margin, F.lit(False))).drop("r", "next")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="recallgrid-"))
-    return df.checkpoint()
-
-
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of an undirected edge table (a, b): the least node that links reach. Every round each node takes the
     least root around it and then its root's root; rounds are checkpointed."""
-    both = _checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    now = _checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
+    now = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     for _ in range(most_rounds):
         near = both.join(now.toDF("other", "seen"), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         least = now.join(near, "node").select("node", F.least("root", "seen").alias("root"))
         hop = least.toDF("root", "further")
-        after = _checkpointed(least.join(hop, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")))
+        after = checkpointed(least.join(hop, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")))
         if after.join(now.toDF("node", "was"), "node").where("root <> was").isEmpty():
             return after
         now = after
@@ -63,12 +56,12 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def cyclic(edges: DataFrame) -> DataFrame:
     """Edges (task, needs) that stand in or behind a cycle. Every round drops the needs that have none of their own, and lets a
     need that itself has but one stand for that one, so chains shrink by half; it ends when nothing is dropped."""
-    edges = _checkpointed(edges.select("task", "needs").distinct())
+    edges = checkpointed(edges.select("task", "needs").distinct())
     left, count = edges, edges.count()
     while count:
         single = left.groupBy(F.col("task").alias("needs")).agg(F.count("*").alias("n"), F.min("needs").alias("then"))
         met = left.join(single, "needs").select("task", F.when((F.col("n") == 1) & (F.col("then") != F.col("task")), F.col("then")).otherwise(F.col("needs")).alias("needs"))
-        kept = _checkpointed(met.distinct())
+        kept = checkpointed(met.distinct())
         if kept.count() == count:
             break
         left, count = kept, kept.count()
@@ -78,10 +71,10 @@ def cyclic(edges: DataFrame) -> DataFrame:
 def follow(next_edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """(seed, node, place) along chains of (node, next), each node with one next, from each of ``seeds`` (node): place 0 is the
     seed. A chain ends at its first repetition or after ``limit`` nodes. Jumps double, so rounds are the logarithm of limit."""
-    hops, span = _checkpointed(next_edges.select("node", "next")), 1
+    hops, span = checkpointed(next_edges.select("node", "next")), 1
     reached = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("place")).distinct()
     while span < limit:
         more = reached.join(hops, "node").select("seed", F.col("next").alias("node"), (F.col("place") + span).alias("place")).where(F.col("place") < limit)
-        reached = _checkpointed(reached.union(more).groupBy("seed", "node").agg(F.min("place").alias("place")))
-        hops, span = _checkpointed(hops.join(hops.toDF("next", "then"), "next").select("node", F.col("then").alias("next"))), 2 * span
+        reached = checkpointed(reached.union(more).groupBy("seed", "node").agg(F.min("place").alias("place")))
+        hops, span = checkpointed(hops.join(hops.toDF("next", "then"), "next").select("node", F.col("then").alias("next"))), 2 * span
     return reached

@@ -11,9 +11,9 @@ def replay(cases: DataFrame, policies: DataFrame) -> DataFrame:
     """(policy_id, case_id, selected): what each policy would have picked for each case.
 
     cases: (case_id, features array<struct<id, score, tokens, authority, terms>>), a bounded list. policies: a handful
-    of rows (policy_id, min_authority, most, weight, budget). Each case is paired with each policy by exploding the
+    of rows (policy_id, min_authority, top, most, weight, budget). Each case is paired with each policy by exploding the
     policies into it, and pairs are picked for apart: filter by authority, cap, marginal relevance, then by density
-    into the budget.
+    into the budget, and the first ``top``.
     """
     rows = [r.asDict() for r in policies.collect()]  # a handful: the variants of one search step
     listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in rows))
@@ -49,22 +49,61 @@ def _pick(features: list, policy: dict) -> list[int]:
         if spent + f["tokens"] <= policy["budget"]:
             spent += f["tokens"]
             kept.add(f["id"])
-    return [int(f["id"]) for f in order if f["id"] in kept]
+    return [int(f["id"]) for f in order if f["id"] in kept][: policy["top"]]
 
 
 def replay_scores(picked: DataFrame, cases: DataFrame) -> DataFrame:
-    """(policy_id, score): 0.6 recall of positives + 0.4 coverage of evidence - exposure of what is forbidden, over all cases together."""
+    """(policy_id, score, coverage, forbidden): 0.6 recall of positives + 0.4 coverage of evidence - exposure of what is
+    forbidden, over all cases together."""
     j = picked.join(cases.select("case_id", "positive", "evidence", "forbidden"), "case_id")
     hit = lambda c: F.sum(F.size(F.array_intersect("selected", c)))
     size = lambda c: F.greatest(F.lit(1), F.sum(F.size(c)))
-    score = 0.6 * hit("positive") / size("positive") + 0.4 * hit("evidence") / size("evidence") - hit("forbidden") / size("selected")
-    return j.groupBy("policy_id").agg(F.round(score, 9).alias("score"))
+    coverage, exposed = hit("evidence") / size("evidence"), hit("forbidden") / size("selected")
+    score = 0.6 * hit("positive") / size("positive") + 0.4 * coverage - exposed
+    return j.groupBy("policy_id").agg(F.round(score, 9).alias("score"), F.round(coverage, 9).alias("coverage"), F.round(exposed, 9).alias("forbidden"))
+
+
+#: Steps of one round of the search, and the bounds of each parameter; fixed values.
+STEPS = (("top", 2), ("top", -2), ("most", 5), ("most", -5), ("weight", 0.05), ("weight", -0.05), ("budget", 256), ("budget", -256))
+BOUNDS = {"top": (1, 100), "most": (1, 100), "weight": (0.5, 1.0), "budget": (128, 16_000)}
+POLICY = "policy_id int, min_authority int, top int, most int, weight double, budget int"
 
 
 def variants(base: dict) -> list[dict]:
-    """The base policy and eight that differ from it in one parameter."""
-    steps = (("min_authority", 10), ("min_authority", -10), ("most", 5), ("most", -5), ("weight", 0.1), ("weight", -0.1), ("budget", 100), ("budget", -100))
-    return [base | {"policy_id": 0}, *(base | {"policy_id": i + 1, k: base[k] + d} for i, (k, d) in enumerate(steps))]
+    """The base policy and eight that differ from it in one parameter, kept in its bounds."""
+    moved = lambda k, d: min(BOUNDS[k][1], max(BOUNDS[k][0], round(base[k] + d, 9)))
+    return [base | {"policy_id": 0}, *(base | {"policy_id": i + 1, k: moved(k, d)} for i, (k, d) in enumerate(STEPS))]
+
+
+def accepted(scores: dict[int, tuple[float, float, float]]) -> int | None:
+    """Of {policy: (score, coverage, forbidden)} the variant with the best score that beats policy 0, exposes nothing forbidden
+    and covers no less evidence; the first of equals. None if there is none or if policy 0 itself exposes something."""
+    base = scores[0]
+    safe = [(-s, i) for i, (s, c, f) in scores.items() if i and f == 0 and c >= base[1] and s > base[0]]
+    return min(safe)[1] if safe and base[2] == 0 else None
+
+
+def search(cases: DataFrame, base: dict, rounds: int) -> DataFrame:
+    """(round, policy_id, min_authority, top, most, weight, budget, score, coverage, forbidden, accepted): a coordinate search of at
+    most ``rounds`` steps. Nine policies are replayed over all cases in each; only their nine scores come to the driver."""
+    spark, out = cases.sparkSession, []
+    for number in range(rounds):
+        tried = variants(base)
+        policies = spark.createDataFrame([tuple(v[k.split()[0]] for k in POLICY.split(", ")) for v in tried], POLICY)
+        rows = {r["policy_id"]: (r["score"], r["coverage"], r["forbidden"]) for r in replay_scores(replay(cases, policies), cases).collect()}
+        if not rows:
+            break
+        best = accepted(rows)
+        out += [(number, *(v[k.split()[0]] for k in POLICY.split(", ")), *rows[v["policy_id"]], v["policy_id"] == best) for v in tried]
+        if best is None:
+            break
+        base = tried[best]
+    return spark.createDataFrame(out, f"round int, {POLICY}, score double, coverage double, forbidden double, accepted boolean")
+
+
+def regressed():
+    """Whether weighted means pass a bound; fixed values."""
+    return (F.col("failures") > 0.1) | (F.col("mismatch") > 0.005) | (F.col("latency") > 1200) | (F.col("corrections") > 0.1)
 
 
 def ewma(metrics: DataFrame, key: str, order: str, columns: list[str], alpha: float = 0.25) -> DataFrame:

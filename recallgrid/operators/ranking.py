@@ -168,3 +168,20 @@ def min_max_per_batch(hits: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id", "batch")
     low, high = F.min("relevance").over(w), F.max("relevance").over(w)
     return hits.withColumn("normal", F.when(high == low, 1.0).otherwise((F.col("relevance") - low) / (high - low)))
+
+
+def tournament(hits: DataFrame, *, most: int, budget: int) -> DataFrame:
+    """hits (query_id, doc_id, score, tokens, batch, relevance, final_relevance) with ``final_round`` and ``blended``.
+
+    Of each batch the ``most`` most relevant go on. Where a query has several batches and those rows fit ``budget`` tokens
+    together, they are judged once more in one batch, by final_relevance; else relevance is brought to 0..1 by batch.
+    Rows that don't go on have no relevance.
+    """
+    best = Window.partitionBy("query_id", "batch").orderBy(F.desc("relevance"), "doc_id")
+    winners = hits.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= most)
+    rounds = winners.groupBy("query_id").agg(((F.sum("tokens") <= budget) & (F.count_distinct("batch") > 1)).alias("final_round"))
+    judged = min_max_per_batch(winners).join(rounds, "query_id")
+    relevance = F.when(F.col("final_round"), F.col("final_relevance")).otherwise(F.col("normal"))
+    judged = judged.select("query_id", "doc_id", "final_round", relevance.alias("judged"))
+    out = hits.join(judged, ["query_id", "doc_id"], "left").withColumn("final_round", F.coalesce("final_round", F.lit(False)))
+    return out.withColumn("blended", 0.7 * F.coalesce("judged", F.lit(0.0)) + 0.3 * F.col("score"))

@@ -49,17 +49,6 @@ def a3_utility(spark, sf_dir):
     return u.select("member", "exposures", "uses", F.round((1 + F.col("a")) / (2 + F.col("a") + F.col("b")), 9).alias("mean"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("exposures") - 2) / 20)), 9).alias("confidence"))
 
 
-@register("""WITH s AS (SELECT user_id % 5 AS policy, count(*) AS n, avg(CAST(event_type = 'error' AS INT)) AS failure_rate, avg(CAST(event_type = 'view' AS INT)) AS correction_rate, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1)
-SELECT policy, n, round(failure_rate, 9) AS failure_rate, round(correction_rate, 9) AS correction_rate, p95, array_to_string(list_filter([CASE WHEN failure_rate > 0.1 THEN 'failures' END, CASE WHEN correction_rate > 0.25 THEN 'corrections' END, CASE WHEN p95 > 100 THEN 'latency' END, CASE WHEN n < 1000 THEN 'few' END], lambda x: x IS NOT NULL), ',') AS codes FROM s""")
-def a4_effectiveness(spark, sf_dir):
-    """A4 and A5: rates and the 95th percentile of each policy, and what they point to."""
-    rate = lambda kind: F.avg((F.col("event_type") == kind).cast("int"))
-    s = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("policy")).agg(F.count("*").alias("n"), rate("error").alias("failure_rate"), rate("view").alias("correction_rate"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
-    code = lambda c, name: F.when(c, F.lit(name))
-    codes = F.array_compact(F.array(code(F.col("failure_rate") > 0.1, "failures"), code(F.col("correction_rate") > 0.25, "corrections"), code(F.col("p95") > 100, "latency"), code(F.col("n") < 1000, "few")))
-    return s.select("policy", "n", F.round("failure_rate", 9).alias("failure_rate"), F.round("correction_rate", 9).alias("correction_rate"), "p95", F.array_join(codes, ",").alias("codes"))
-
-
 def cases(spark, sf_dir) -> DataFrame:
     h = hits(spark, sf_dir)
     d = F.col("doc_id")
@@ -75,22 +64,6 @@ def a6_replay_cases(spark, sf_dir):
     return c.select("case_id", F.size("features").alias("features"), F.size("positive").alias("positives"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-BASE = {"min_authority": 30, "most": 15, "weight": 0.7, "budget": 400}
-
-
-def _searched(spark, sf_dir) -> DataFrame:
-    rows = [tuple(v[k] for k in ("policy_id", "min_authority", "most", "weight", "budget")) for v in pl.variants(BASE)]
-    policies = spark.createDataFrame(rows, "policy_id int, min_authority int, most int, weight double, budget int")
-    c = cases(spark, sf_dir)
-    return pl.replay_scores(pl.replay(c, policies), c)
-
-
-@register()
-def a9_coordinate_search(spark, sf_dir):
-    """Nine one-step variants replayed over all cases; the best that beats the base, or the base. Tests hold replay to a plain loop."""
-    return _searched(spark, sf_dir).orderBy(F.desc("score"), "policy_id")
-
-
 @register("""SELECT event_id, CAST('0x' || substr(sha256('6:canary' || length(CAST(event_id AS VARCHAR)) || ':' || event_id), 1, 8) AS BIGINT) % 100 < 10 AS canary FROM events""")
 def a11_canary_split(spark, sf_dir):
     """The share of requests that a canary gets, by a stable hash."""
@@ -99,18 +72,6 @@ def a11_canary_split(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % 100 < 10).alias("canary"))
 
 
-_DAILY = "d AS (SELECT user_id % 5 AS policy, CAST(ts AS DATE) AS day, avg(CAST(event_type = 'error' AS INT)) AS failures, avg(value) AS latency, row_number() OVER (PARTITION BY user_id % 5 ORDER BY CAST(ts AS DATE)) AS k FROM events GROUP BY 1, 2)"
-
-
-@register(f"""WITH RECURSIVE {_DAILY}, w AS (SELECT policy, k, failures, latency FROM d WHERE k = 1 UNION ALL SELECT d.policy, d.k, 0.25 * d.failures + 0.75 * w.failures, 0.25 * d.latency + 0.75 * w.latency FROM w JOIN d ON d.policy = w.policy AND d.k = w.k + 1)
-SELECT policy, round(arg_max(failures, k), 9) AS failures, round(arg_max(latency, k), 7) AS latency, arg_max(failures, k) > 0.1 OR arg_max(latency, k) > 1200 AS roll_back FROM w GROUP BY policy""")
-def a12_canary_watch(spark, sf_dir):
-    """Weighted means of daily metrics, and whether a policy is rolled back."""
-    d = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("policy"), F.to_date("ts").alias("day")).agg(F.avg((F.col("event_type") == "error").cast("int")).alias("failures"), F.avg("value").alias("latency"))
-    w = pl.ewma(d, "policy", "day", ["failures", "latency"])
-    return w.select("policy", F.round("failures", 9).alias("failures"), F.round("latency", 7).alias("latency"), ((F.col("failures") > 0.1) | (F.col("latency") > 1200)).alias("roll_back"))
-
-
 @register("""SELECT event_type AS metric, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE isfinite(value) GROUP BY 1""")
 def a14_metric_series(spark, sf_dir):
     """A14."""

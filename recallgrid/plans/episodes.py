@@ -101,12 +101,6 @@ def e12_evidence_search(spark, sf_dir):
     return m.select("user_id", "day", "id", "text", n.alias("n")).where("n <= 32").drop("n")
 
 
-@register("""SELECT doc_id, CASE WHEN doc_id % 30 < 10 THEN 'expired' ELSE 'active' END AS state FROM documents""")
-def e13_expired_artifacts(spark, sf_dir):
-    """Artifacts past their expiry."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 30 < 10, "expired").otherwise("active").alias("state"))
-
-
 @register(f"""WITH {EPISODES}, s AS (SELECT *, coalesce(max(CASE WHEN kind = 'goal' THEN seq END) OVER (PARTITION BY user_id, day), 0) AS steer FROM episode_events), a AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY seq DESC) AS back FROM s WHERE seq > steer)
 SELECT user_id, day, count(*) AS turns, count(*) FILTER (failed) AS failures, bool_or(kind = 'verification') AS verified, string_agg(CASE WHEN back <= 5 THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY seq) AS latest FROM a GROUP BY user_id, day""")
 def e14_task_episodes(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import ranking as rk
 from ..operators import tables as tb
+from ..sources.shared import checkpointed
 from .registry import register
 from .tables import RECORDS, records, table
 from .text import _TERMS
@@ -96,10 +97,11 @@ cut AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '
 def stages(spark, sf_dir) -> dict[str, DataFrame]:
     """The retrieval of the benchmark items stage by stage: fused lanes, gates, scores under a cap, one hit a content, blend
     with relevance, cutoff. Relevance is an input; here it is derived from the id."""
-    fused = rk.fuse(hybrid_lanes(spark, sf_dir))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"), "source")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), "source")
     top = F.max("score").over(Window.partitionBy("query_id"))
-    fused = fused.join(d, "doc_id").withColumn("score", F.col("score") / top).withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
+    fused = checkpointed(rk.fuse(hybrid_lanes(spark, sf_dir)).join(d, "doc_id"))
+    fused = fused.withColumn("score", F.col("score") / top).withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
     admitted = fused.where((F.col("authority") >= 20) & (F.col("source") != "src3"))
     g = rk.gated(F.col("score"), rk.trust(F.lit("knowledge"), F.col("authority"), F.lit(True)), F.lit(0.8))
     capped = rk.cap(admitted.withColumn("score", F.round(rk.authority_and_freshness(g, F.col("authority"), F.lit(None).cast("long"), 0), 9)), 40, "doc_id")
@@ -107,7 +109,7 @@ def stages(spark, sf_dir) -> dict[str, DataFrame]:
     n = rk.min_max_per_batch(dedup.withColumn("batch", F.lit(0)).withColumn("relevance", F.col("doc_id") % 11))
     blended = 0.7 * F.col("normal") + 0.3 * F.col("score")
     reranked = n.withColumn("score", F.round(rk.lexical_floor(blended, F.array_contains("signals", 2)), 9))
-    cut = rk.adaptive_cutoff(reranked, "doc_id", focused=False).withColumn("position", F.row_number().over(rk.best_first("doc_id"))).withColumn("terms", tx.terms(F.col("text")))
+    cut = checkpointed(rk.adaptive_cutoff(reranked, "doc_id", focused=False)).join(texts, "doc_id").withColumn("position", F.row_number().over(rk.best_first("doc_id"))).withColumn("terms", tx.terms(F.col("text")))
     return {"fused": fused, "admitted": admitted, "capped": capped, "unique": dedup, "cut": cut}
 
 
@@ -118,10 +120,10 @@ picks AS (SELECT query_id, [doc_id] AS chosen, 1 AS n FROM c WHERE position = 1
 longest AS (SELECT query_id, arg_max(chosen, n) AS chosen FROM picks GROUP BY query_id), placed AS (SELECT query_id, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS mmr_rank FROM longest)"""
 
 
-@register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.replace("{limit}", "5") + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
+@register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.replace("{limit}", "5") + " SELECT query_id, doc_id, round(score, 5) AS score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
 def retrieval_slice(spark, sf_dir):
     """Hybrid retrieval of the benchmark items, five results a query."""
-    return rk.mmr(stages(spark, sf_dir)["cut"], 5).select("query_id", "doc_id", "score", "mmr_rank")
+    return rk.mmr(stages(spark, sf_dir)["cut"], 5).select("query_id", "doc_id", F.round("score", 5).alias("score"), "mmr_rank")
 
 
 @register(_HY + """, b AS (SELECT item_id AS query_id FROM benchmark) SELECT b.query_id, count(*) FILTER (lane = 1) AS dense, count(*) FILTER (lane = 2) AS fts,
@@ -192,15 +194,3 @@ def v12_catalogue_matching(spark, sf_dir):
     return hits.select("goal_id", "id", "hits", (F.col("hits") >= F.greatest(F.lit(2), F.ceil(F.col("n") / 2))).alias("reuse"), rank.alias("rank")).where("rank <= 10")
 
 
-@register(f"""WITH {RECORDS}, t AS (SELECT id, ns, turn, authority, {_TERMS.format('content')} AS terms, sha256(lower(content)) AS print FROM records), q AS (SELECT id AS query_id, ns, turn AS qt, list_slice(list_sort(terms), 1, 64) AS qs FROM t WHERE turn % 3 = 0),
-c AS (SELECT query_id, id, authority, print, len(list_intersect(qs, terms)) AS shared, 10 * len(list_intersect(qs, terms)) + 4.0 * len(list_intersect(qs, terms)) / len(qs) + authority / 100 AS score FROM q JOIN t USING (ns) WHERE turn < qt AND len(qs) > 0),
-d AS (SELECT * FROM c WHERE score >= 10 QUALIFY row_number() OVER (PARTITION BY query_id, print ORDER BY score DESC, id) = 1)
-SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d QUALIFY rank <= 12""")
-def r28_capsule_selection(spark, sf_dir):
-    """For a turn, the earlier turns of its conversation that share terms, deduplicated, twelve at most."""
-    t = records(spark, sf_dir).select("id", "ns", "turn", "authority", tx.terms(F.col("content")).alias("terms"), F.sha2(F.lower("content"), 256).alias("print"))
-    q = t.where("turn % 3 = 0").select(F.col("id").alias("query_id"), "ns", F.col("turn").alias("qt"), F.slice(F.array_sort("terms"), 1, 64).alias("qs")).where(F.size("qs") > 0)
-    shared = tx.shared(F.col("qs"), F.col("terms"))
-    c = q.join(t, "ns").where("turn < qt").withColumn("score", 10 * shared + 4.0 * shared / F.size("qs") + F.col("authority") / 100).where("score >= 10")
-    c = rk.structural_dedupe(c, "print", tie="id")
-    return rk.cap(c, 12, "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")

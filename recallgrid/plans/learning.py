@@ -11,17 +11,6 @@ from .tables import EPISODES, RECORDS, episode_events, records, table
 from .text import _WORDS
 
 
-@register(f"""WITH {RECORDS}, a AS (SELECT a.id, a.ns, b.id AS ev, b.authority, b.role = 'user' AS entails, a.turn % 5 = 0 AS denied FROM records a JOIN records b ON a.ns = b.ns AND b.turn BETWEEN a.turn - 2 AND a.turn - 1 WHERE a.role = 'assistant')
-SELECT id, count(*) AS evidence, CASE WHEN NOT bool_or(entails) THEN 'not_entailed' WHEN bool_or(denied) THEN 'polarity' WHEN max(authority) < 90 THEN 'unverified' ELSE 'accepted' END AS reason FROM a GROUP BY id""")
-def l2_proposal_gate(spark, sf_dir):
-    """L2: proposals against the evidence they cite."""
-    r = records(spark, sf_dir)
-    a = r.where("role = 'assistant'").select("id", "ns", F.explode(F.array(F.col("turn") - 2, F.col("turn") - 1)).alias("turn"), (F.col("turn") % 5 == 0).alias("denied"))
-    j = a.join(r.select("ns", "turn", "authority", (F.col("role") == "user").alias("entails")), ["ns", "turn"])
-    reason = F.when(~F.bool_or("entails"), "not_entailed").when(F.bool_or("denied"), "polarity").when(F.max("authority") < 90, "unverified").otherwise("accepted")
-    return j.groupBy("id").agg(F.count("*").alias("evidence"), reason.alias("reason"))
-
-
 @register(f"""WITH {RECORDS} SELECT ns, role, ['task', 'repository', 'project', 'user'][least(min(CASE role WHEN 'user' THEN 4 WHEN 'assistant' THEN 2 ELSE 3 END), max(1 + turn % 4))] AS scope FROM records GROUP BY ns, role""")
 def l3_scope_ceiling(spark, sf_dir):
     """L3: a proposed scope no wider than its evidence allows."""
@@ -75,13 +64,23 @@ _OUT = """o AS (SELECT user_id, CAST(ts AS DATE) AS day, arg_min(event_type <> '
 b AS (SELECT user_id, count(*) AS outcomes, sum(CAST(ok AS INT)) AS s, count(*) - sum(CAST(ok AS INT)) AS f FROM o GROUP BY user_id)"""
 
 
-@register(f"""WITH {_OUT} SELECT user_id, outcomes, s AS successes, f AS failures, round((1 + s) / (2 + s + f), 9) AS estimate, CASE WHEN outcomes < 3 THEN 'outcomes' WHEN (1 + s) / (2 + s + f) < 0.7 THEN 'success_rate' ELSE 'qualified' END AS verdict FROM b""")
+#: Why a candidate isn't qualified, in the order asked.
+_QUALIFIES = """, CASE WHEN user_id % 13 = 0 THEN 'invalid_state' WHEN outcomes < 3 THEN 'insufficient_outcomes' WHEN (1 + s) / (2 + s + f) < 0.7 THEN 'success_rate' WHEN user_id % 7 = 0 THEN 'missing_validation_plan' WHEN user_id % 11 = 0 THEN 'missing_success_evidence' ELSE 'qualified' END"""
+
+
+@register(f"""WITH {_OUT} SELECT user_id, outcomes, s AS successes, f AS failures, round((1 + s) / (2 + s + f), 9) AS estimate{_QUALIFIES} AS verdict FROM b""")
 def l10_outcomes(spark, sf_dir):
     """One outcome for each session and task, the estimate of success, and whether it qualifies."""
     o = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by(F.col("event_type") != "error", "event_id").alias("ok"))
     b = o.groupBy("user_id").agg(F.count("*").alias("outcomes"), F.sum(F.col("ok").cast("long")).alias("successes")).withColumn("failures", F.col("outcomes") - F.col("successes"))
     p = (1 + F.col("successes")) / (2 + F.col("outcomes"))
-    return b.withColumn("estimate", F.round(p, 9)).withColumn("verdict", F.when(F.col("outcomes") < 3, "outcomes").when(p < 0.7, "success_rate").otherwise("qualified"))
+    return b.withColumn("estimate", F.round(p, 9)).withColumn("verdict", _verdict(p))
+
+
+def _verdict(p):
+    """State, count, estimate, plan and evidence, in this order; the last two and rejected states are given by user."""
+    u = F.col("user_id")
+    return F.when(u % 13 == 0, "invalid_state").when(F.col("outcomes") < 3, "insufficient_outcomes").when(p < 0.7, "success_rate").when(u % 7 == 0, "missing_validation_plan").when(u % 11 == 0, "missing_success_evidence").otherwise("qualified")
 
 
 @register(f"""WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(arg_min(event_type <> 'error', event_id) AS INT) AS ok FROM events GROUP BY ALL),
@@ -96,15 +95,6 @@ def l11_experience_state(spark, sf_dir):
     return e.groupBy("user_id").agg(F.round(last, 6).alias("estimate"), F.round(F.min("p"), 6).alias("lowest"), F.when(last < 0.40, "retired").when(last < 0.55, "degraded").when(F.min("p") < 0.55, "requalified").otherwise("evaluating").alias("state"))
 
 
-@register("""WITH f AS (SELECT p_partkey, sha256(concat(length(k), ':', k)) AS family FROM (SELECT p_partkey, lower(regexp_replace(trim(p_type || ' ' || p_brand), '[^A-Za-z0-9]+', '-', 'g')) AS k FROM part))
-SELECT family, count(*) AS members, min(p_partkey) AS first FROM f GROUP BY family""")
-def l13_families(spark, sf_dir):
-    """Families of procedures by their canonical fields."""
-    k = F.lower(F.regexp_replace(F.btrim(F.concat_ws(" ", "p_type", "p_brand")), "[^A-Za-z0-9]+", "-"))
-    f = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat(F.length(k).cast("string"), F.lit(":"), k), 256).alias("family"))
-    return f.groupBy("family").agg(F.count("*").alias("members"), F.min("p_partkey").alias("first"))
-
-
 @register("""SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rank FROM part WHERE p_type = 'ECONOMY' QUALIFY rank <= 64""")
 def l15_reusable(spark, sf_dir):
     """The newest 64 promoted procedures of a scope."""
@@ -154,6 +144,18 @@ def l20_snapshot_revision(spark, sf_dir):
 @register(f"""WITH {EPISODES}, t AS (SELECT user_id, day, bool_or(kind = 'verification') AS verified, arg_max(failed, seq) AS failed, arg_max(CASE WHEN kind = 'verification' THEN event_id END, seq) AS evidence FROM episode_events GROUP BY ALL)
 SELECT user_id, day, CASE WHEN failed THEN 'failed' WHEN verified THEN 'passed' ELSE 'skipped' END AS outcome, sha256(concat(user_id, ':', day)) AS outcome_id FROM t""")
 def l21_episode_outcomes(spark, sf_dir):
-    """Outcomes of episodes with deterministic ids; a pass needs verified evidence."""
+    """Outcomes of episodes with deterministic ids; a pass needs verified evidence."""
     t = episode_events(spark, sf_dir).groupBy("user_id", "day").agg(F.bool_or(F.col("kind") == "verification").alias("verified"), F.max_by("failed", "seq").alias("failed"))
     return t.select("user_id", "day", F.when(F.col("failed"), "failed").when(F.col("verified"), "passed").otherwise("skipped").alias("outcome"), F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), F.col("day").cast("string")), 256).alias("outcome_id"))
+
+
+@register(f"""WITH {EPISODES}, p AS (SELECT user_id, day, unnest([min(event_id), max(event_id) + CAST(user_id % 3 = 0 AS INT)]) AS cited, day(day) % 2 = 0 AS strict FROM episode_events GROUP BY user_id, day),
+j AS (SELECT p.user_id, p.day, strict, e.event_id IS NOT NULL AS found, coalesce(e.kind = 'verification', FALSE) AS verified FROM p LEFT JOIN episode_events e ON e.user_id = p.user_id AND e.day = p.day AND e.event_id = cited)
+SELECT user_id, day, bool_and(found) AND (NOT any_value(strict) OR bool_or(verified)) AS valid FROM j GROUP BY user_id, day""")
+def l22_cited_evidence(spark, sf_dir):
+    """Every cited id is in the episode's digest, and where it is asked for one of them is verified."""
+    e = episode_events(spark, sf_dir).select("user_id", "day", "event_id", (F.col("kind") == "verification").alias("verified"))
+    p = e.groupBy("user_id", "day").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).select("user_id", "day", F.explode(F.array("a", F.col("b") + (F.col("user_id") % 3 == 0).cast("int"))).alias("event_id"))
+    j = p.join(e, ["user_id", "day", "event_id"], "left")
+    strict = F.any_value(F.dayofmonth("day")) % 2 == 0
+    return j.groupBy("user_id", "day").agg((F.bool_and(F.col("verified").isNotNull()) & (~strict | F.bool_or(F.coalesce("verified", F.lit(False))))).alias("valid"))

@@ -72,26 +72,6 @@ def m7_strongest_target(spark, sf_dir):
     return mm.first_and_lead(p, "ns", "confidence", "from_id", 0.03).select("ns", "from_id", F.round("confidence", 4).alias("confidence"), "ambiguous")
 
 
-@register(_PROP + """, s AS (SELECT v.*, a.authority AS mine, b.authority AS theirs FROM v JOIN records a ON a.id = from_id JOIN records b ON b.id = to_id)
-SELECT from_id, to_id, CASE WHEN reasons <> '' THEN 'skip:evidence' WHEN mine < theirs THEN 'skip:authority' WHEN relation = 'reinforce' THEN 'merge' WHEN relation = 'coexist' THEN 'keep' ELSE relation END AS action FROM s""")
-def m8_consolidation(spark, sf_dir):
-    """M8: what consolidating each proposal does, or why it is skipped."""
-    r = records(spark, sf_dir).select("id", "authority")
-    p = proposals(spark, sf_dir).join(r.toDF("from_id", "mine"), "from_id").join(r.toDF("to_id", "theirs"), "to_id")
-    action = F.when(F.col("reasons") != "", "skip:evidence").when(F.col("mine") < F.col("theirs"), "skip:authority").when(F.col("relation") == "reinforce", "merge").when(F.col("relation") == "coexist", "keep").otherwise(F.col("relation"))
-    return p.select("from_id", "to_id", action.alias("action"))
-
-
-@register("""WITH r AS (SELECT o_orderkey AS id, unnest([o_custkey, o_custkey + 1000, o_custkey * 2]) AS ref FROM orders), j AS (SELECT id, ref, c_custkey IS NOT NULL AS found FROM r LEFT JOIN customer ON c_custkey = ref)
-SELECT id, count(*) FILTER (found) AS found, CASE WHEN bool_and(found) THEN 'valid' WHEN bool_or(found) THEN 'missing' ELSE 'invalid' END AS integrity FROM j GROUP BY id""")
-def m10_evidence_integrity(spark, sf_dir):
-    """Whether every referenced id exists."""
-    c = F.col("o_custkey")
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(c, c + 1000, c * 2)).alias("ref"))
-    j = r.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref"), F.lit(True).alias("hit")), "ref", "left").withColumn("hit", F.col("hit").isNotNull())
-    return j.groupBy("id").agg(F.sum(F.col("hit").cast("long")).alias("found"), F.when(F.bool_and("hit"), "valid").when(F.bool_or("hit"), "missing").otherwise("invalid").alias("integrity"))
-
-
 @register(_STATE + """ SELECT id, CASE WHEN id % 10 = 0 THEN 'tombstoned' WHEN id % 10 = 1 AND status = 'active' THEN 'conflicted' WHEN id % 10 = 2 AND status = 'active' THEN 'rejected' ELSE status END AS status, 1 + CAST(id % 10 < 2 OR (id % 10 = 2 AND status = 'active') AS INT) AS revision FROM s""")
 def m11_marking(spark, sf_dir):
     """Records marked by id, and hypotheses of an abandoned branch rejected; revisions go up by one."""
@@ -129,16 +109,6 @@ def m17_view_repair(spark, sf_dir):
     return j.groupBy("ns").agg(F.count("*").alias("members"), n(F.col("now").isNull()).alias("missing"), n(F.col("now") != F.col("content")).alias("changed"))
 
 
-@register("""WITH r AS (SELECT o_orderkey AS id, o_custkey % 5 AS tenant, o_custkey % 7 AS owner, o_orderkey % 5 AS as_tenant, o_orderkey % 7 AS as_user, ['personal', 'team', 'multi_tenant'][1 + o_orderkey % 3] AS mode FROM orders)
-SELECT id, CASE WHEN mode = 'multi_tenant' AND tenant <> as_tenant THEN 'deny:tenant' WHEN mode = 'personal' AND owner <> as_user THEN 'deny:owner' ELSE 'allow' END AS decision FROM r""")
-def m19_access(spark, sf_dir):
-    """Whether a request may see a resource, by owner, tenant and mode."""
-    c, o = F.col("o_custkey"), F.col("o_orderkey")
-    mode = F.element_at(F.array(F.lit("personal"), F.lit("team"), F.lit("multi_tenant")), (1 + o % 3).cast("int"))
-    decision = F.when((mode == "multi_tenant") & (c % 5 != o % 5), "deny:tenant").when((mode == "personal") & (c % 7 != o % 7), "deny:owner").otherwise("allow")
-    return table(spark, sf_dir, "orders").select(o.alias("id"), decision.alias("decision"))
-
-
 @register("""SELECT doc_id, CASE WHEN quality = 0 THEN 'secret' ELSE 'plain' END AS category, 'fp_' || substr(sha256(text), 1, 8) AS fingerprint, quality = 0 AS excluded FROM documents JOIN labels USING (doc_id)""")
 def m21_secret_projection(spark, sf_dir):
     """What is shown of a secret record; secrets stay out of automatic recall."""
@@ -158,13 +128,6 @@ def m24_grounding(spark, sf_dir):
     return a.select("id", n.alias("shared"), ((n >= F.least(F.lit(2), F.size("ts"))) & (n >= 0.35 * F.size("ts"))).alias("grounded"))
 
 
-@register("""SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events""")
-def s4_json_leaves(spark, sf_dir):
-    """Leaves of JSON objects as paths and values."""
-    e = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
-    return e.select("event_id", "path", "value")
-
-
 @register(f"""WITH RECURSIVE {RECORDS}, {EDGES}, b AS (SELECT from_id AS x, to_id AS y FROM edges UNION SELECT to_id, from_id FROM edges), r AS (SELECT x, x AS y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
 SELECT x AS node, min(y) AS root FROM r GROUP BY x""")
 def r33_linked_closure(spark, sf_dir):
@@ -191,13 +154,6 @@ def e18_cycles(spark, sf_dir):
     return mm.cyclic(e)
 
 
-@register("""SELECT o_orderkey AS task, bool_and(l_linestatus = 'F') AS ready, count(*) AS needs FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def e17_ready_tasks(spark, sf_dir):
-    """Tasks all of whose dependencies are finished."""
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    return l.groupBy(F.col("l_orderkey").alias("task")).agg(F.bool_and(F.col("l_linestatus") == "F").alias("ready"), F.count("*").alias("needs"))
-
-
 @register("""SELECT o_orderkey AS task, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 'aborted' ELSE o_orderstatus END AS state FROM orders""")
 def e19_abort_branch(spark, sf_dir):
     """Open tasks of an aborted branch."""

@@ -70,13 +70,15 @@ l AS (SELECT page_id, url, title, CASE WHEN regexp_matches(raw, '^https?://') TH
 
 
 @register(f"""WITH {_LINKS.replace('SRC', 'html')}
-SELECT page_id, href, title, regexp_extract(href, '^https?://([^/?#:]+)', 1) = regexp_extract(url, '^https?://([^/?#:]+)', 1)
+SELECT page_id, href, title, regexp_extract(href, '^(https?://[^/?#]+)', 1) = regexp_extract(url, '^(https?://[^/?#]+)', 1)
+ AND starts_with(coalesce(nullif(regexp_extract(href, '^https?://[^/?#]+(/[^?#]*)', 1), ''), '/'), CASE WHEN regexp_matches(url, '^https?://[^/?#]+[^?#]*/wiki(/|[?#]|$)', 'i') THEN regexp_extract(url, '^https?://[^/?#]+([^?#]*/wiki)(/|[?#]|$)', 1, 'i') || '/' ELSE coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') END)
  AND NOT regexp_matches(href, '\\.(css|js|png|jpe?g|gif|svg|zip|pdf)$|/search|/print', 'i') AS in_scope, count(*) AS n FROM l GROUP BY ALL""")
 def p6_links(spark, sf_dir):
     """Link edges, and whether a crawl of the page's site may follow them."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.inline(hx.links(F.col("html"), F.col("url"))))
     host = lambda c: F.regexp_extract(c, "^https?://([^/?#:]+)", 1)
-    scope = (host("href") == host("url")) & ~F.col("href").rlike(r"(?i)\.(css|js|png|jpe?g|gif|svg|zip|pdf)$|/search|/print") & ~hx.private_host(host("href"))
+    origin = lambda c: F.regexp_extract(c, "^(https?://[^/?#]+)", 1)
+    scope = (origin("href") == origin("url")) & F.startswith(hx.url_path(F.col("href")), hx.site_scope(F.col("url"))) & ~F.col("href").rlike(r"(?i)\.(css|js|png|jpe?g|gif|svg|zip|pdf)$|/search|/print") & ~hx.private_host(host("href"))
     return p.withColumn("in_scope", scope).groupBy("page_id", "href", "title", "in_scope").agg(F.count("*").alias("n"))
 
 
@@ -89,12 +91,6 @@ def p9_navigation(spark, sf_dir):
     return p.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets")).where("links > 1")
 
 
-@register("""SELECT page_id, CASE WHEN starts_with(hex(html)[1:16], '25504446') THEN 'application/pdf' WHEN regexp_matches(lower(ltrim(substr(html, 1, 400))), '^(<!doctype html|<html)') THEN 'text/html' ELSE 'text/plain' END AS media_type FROM pages""")
-def s3_media_types(spark, sf_dir):
-    """S3."""
-    return table(spark, sf_dir, "pages").select("page_id", hx.media_type(F.col("html").cast("binary"), F.lit("page")).alias("media_type"))
-
-
 _MD = "CASE doc_id % 4 WHEN 0 THEN '# T' || chr(10) || text || chr(10) || '## S' || chr(10) || '```' || chr(10) || 'x = 1' || chr(10) || '```' ELSE text END"
 _BLOCKS = f"""d AS (SELECT doc_id, {_MD} AS text FROM documents), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),
 n AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS no, unnest(ls) AS line FROM x),

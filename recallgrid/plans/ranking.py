@@ -38,15 +38,6 @@ def r2_gates(spark, sf_dir):
     return hits(spark, sf_dir).select("query_id", "doc_id", F.coalesce(boundary, project, rk.status_gate(F.col("status"), F.lit(False)), branch).alias("reason"))
 
 
-@register(f"""WITH {_H}, a AS (SELECT query_id, doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 2 = query_id % 2 AS INT) END AS r, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(label % 2 = 0 AS INT) END AS t FROM hits)
-SELECT query_id, doc_id, round(CASE WHEN r IS NULL AND t IS NULL THEN 1 ELSE (coalesce(r, 0) * 1.0 + coalesce(t, 0) * 0.85) / (CASE WHEN r IS NULL THEN 0 ELSE 1.0 END + CASE WHEN t IS NULL THEN 0 ELSE 0.85 END) END, 9) AS affinity FROM a""")
-def r6_context_affinity(spark, sf_dir):
-    """R6, with two facets: repository and task; unknown facets are neutral."""
-    i = F.col("doc_id")
-    match = {"repository": F.when(i % 4 != 0, (i % 2 == F.col("query_id") % 2).cast("int")), "task": F.when(i % 3 != 0, (F.col("label") % 2 == 0).cast("int"))}
-    return hits(spark, sf_dir).select("query_id", "doc_id", F.round(rk.affinity(match), 9).alias("affinity"))
-
-
 @register(f"""WITH {_H}, a AS (SELECT query_id, doc_id, CASE WHEN label % 3 = 0 THEN 'linux' WHEN label % 3 = 1 THEN 'mac' END AS os, CASE WHEN doc_id % 4 = 0 THEN 'npm' WHEN doc_id % 4 = 1 THEN 'pnpm' END AS pm, 18 + doc_id % 6 AS lo FROM hits)
 SELECT query_id, doc_id, CASE WHEN pm = 'npm' THEN 'environment:package-manager-mismatch' WHEN lo > 21 THEN 'environment:runtime-version-mismatch' END AS reason,
 CASE WHEN pm = 'npm' OR lo > 21 THEN 0 ELSE CASE WHEN os = 'mac' THEN 0.5 ELSE 1.0 END END AS multiplier FROM a""")
@@ -81,18 +72,6 @@ def r11_scores(spark, sf_dir):
     return rk.cap(h, 40, "doc_id").select("query_id", "doc_id", F.round("g", 7).alias("gated"), F.round("score", 5).alias("final"), (F.col("authority") >= 30).alias("enough"), "rank")
 
 
-@register(f"""WITH {_H}, b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1) / 6) AS BIGINT) AS batch, doc_id % 11 AS relevance FROM hits),
-n AS (SELECT *, CASE WHEN max(relevance) OVER w = min(relevance) OVER w THEN 1 ELSE (relevance - min(relevance) OVER w) / (max(relevance) OVER w - min(relevance) OVER w) END AS normal FROM b WINDOW w AS (PARTITION BY query_id, batch))
-SELECT query_id, doc_id, batch, round(0.7 * normal + 0.3 * score, 7) AS blended, row_number() OVER (PARTITION BY query_id, batch ORDER BY relevance DESC, doc_id) <= 3 AS winner FROM n""")
-def r14_rerank(spark, sf_dir):
-    """Relevance normalised by batch, winners of each batch, and the blend with the score."""
-    w = Window.partitionBy("query_id").orderBy("doc_id")
-    h = hits(spark, sf_dir).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 6)).withColumn("relevance", F.col("doc_id") % 11)
-    n = rk.min_max_per_batch(h)
-    winner = F.row_number().over(Window.partitionBy("query_id", "batch").orderBy(F.desc("relevance"), "doc_id")) <= 3
-    return n.select("query_id", "doc_id", "batch", F.round(0.7 * F.col("normal") + 0.3 * F.col("score"), 7).alias("blended"), winner.alias("winner"))
-
-
 @register(f"""WITH {_H} SELECT query_id, doc_id, label FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, label, content ORDER BY score DESC, doc_id) = 1""")
 def r17_structural_dedupe(spark, sf_dir):
     """R17."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "pages", "maintenance", "lanes", "ranking", "memory", "learning", "episodes", "analytics", "streams", "more")
+MODULES = ("text", "pages", "maintenance", "lanes", "ranking", "memory", "learning", "episodes", "analytics", "streams", "more", "procedures", "inputs", "access", "policies")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

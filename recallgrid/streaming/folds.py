@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,17 +73,18 @@ def stream_working_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "day").applyInPandasWithState(fold, f"user_id long, day date, {STATE}", STATE, "update", "NoTimeout")
 
 
-def stream_ewma(metrics: DataFrame, alpha: float = 0.25, limit: float = 0.1) -> DataFrame:
-    """(policy, mean, roll_back) after each trigger, of a stream of (policy, order, value)."""
+def stream_ewma(metrics: DataFrame, columns: tuple[str, ...], alpha: float = 0.25) -> DataFrame:
+    """(policy, *columns) after each trigger: weighted means of a stream of (policy, day, *columns), in order of the day."""
+    kinds = ", ".join(f"{c} double" for c in columns)
 
     def fold(key, groups, held):
-        mean = held.getOption[0] if held.exists else None
-        for value in pd.concat(list(groups)).sort_values("order")["value"]:
-            mean = float(value) if mean is None else alpha * float(value) + (1 - alpha) * mean
-        held.update((mean,))
-        yield pd.DataFrame([{"policy": key[0], "mean": mean, "roll_back": mean > limit}])
+        means = list(held.get) if held.exists else None
+        for row in pd.concat(list(groups)).sort_values("day")[list(columns)].itertuples(index=False):
+            means = list(map(float, row)) if means is None else [alpha * float(x) + (1 - alpha) * m for x, m in zip(row, means)]
+        held.update(tuple(means))
+        yield pd.DataFrame([{"policy": key[0], **dict(zip(columns, means))}])
 
-    return metrics.groupBy("policy").applyInPandasWithState(fold, "policy long, mean double, roll_back boolean", "mean double", "update", "NoTimeout")
+    return metrics.groupBy("policy").applyInPandasWithState(fold, f"policy long, {kinds}", kinds, "update", "NoTimeout")
 
 
 def latest_revisions(changes: DataFrame, key: str, revision: str, *columns: str) -> DataFrame:
@@ -91,22 +93,38 @@ def latest_revisions(changes: DataFrame, key: str, revision: str, *columns: str)
     return last.select(key, "last.*")
 
 
-def upsert_batch(path: str, key: str, revision: str, *columns: str):
+def upsert_batch(path: str, key: str, revision: str, *columns: str, parts: int = 64):
     """For foreachBatch: merges a micro-batch into the table at ``path``; rows with a revision not above the stored one are stale.
 
-    Each batch is written beside the last and named by its id, so a batch that is run again writes the same table.
+    The table is laid out by ``parts`` hashes of the key. A batch reads and rewrites only the parts that it touches, beside
+    their earlier versions, and a batch that is run again writes the same. read_upserts takes each part's latest.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = latest_revisions(batch, key, revision, *columns)
-        if batch_id > 0:
-            new = latest_revisions(spark.read.parquet(f"{path}/version={batch_id - 1}").unionByName(new), key, revision, *columns)
-        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        new = latest_revisions(batch, key, revision, *columns).withColumn("part", part)
+        touched = new.select("part").distinct()
+        old = read_upserts(spark, path, before=batch_id)
+        if old is not None:
+            new = latest_revisions(old.join(touched, "part", "left_semi").drop("part", "version").unionByName(new.drop("part")), key, revision, *columns).withColumn("part", part)
+        new.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
+def read_upserts(spark, path: str, before: int | None = None) -> DataFrame | None:
+    """The table that upsert_batch keeps, up to a version: of each part the rows of its latest; None if there is none yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    if before is not None:
+        stored = stored.where(F.col("version") < before)
+    latest = stored.groupBy("part").agg(F.max("version").alias("version"))  # a row a part, from the folders' names
+    return stored.join(F.broadcast(latest), ["part", "version"], "left_semi")
+
+
 def recent(events: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """The latest ``most`` events of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))

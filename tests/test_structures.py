@@ -84,9 +84,11 @@ def test_text_primitives(spark):
 def test_replay_matches_a_plain_loop(spark):
     features = [(i, 1.0 - i / 10, 50, 40, [str(i % 2)]) for i in range(6)]
     cases = spark.createDataFrame([(1, features)], "case_id int, features array<struct<id:bigint,score:double,tokens:int,authority:int,terms:array<string>>>")
-    policies = spark.createDataFrame([(0, 30, 4, 1.0, 120), (1, 50, 4, 1.0, 120)], "policy_id int, min_authority int, most int, weight double, budget int")
+    policies = spark.createDataFrame([(0, 30, 9, 4, 1.0, 120), (1, 50, 9, 4, 1.0, 120), (2, 30, 1, 4, 1.0, 120)], policy.POLICY)
     got = {r["policy_id"]: list(r["selected"]) for r in policy.replay(cases, policies).collect()}
-    assert got == {0: [0, 1], 1: []}
+    assert got == {0: [0, 1], 1: [], 2: [0]}
+    assert policy.accepted({0: (0.5, 0.5, 0), 1: (0.9, 0.5, 0.1), 2: (0.8, 0.4, 0), 3: (0.7, 0.5, 0), 4: (0.7, 0.6, 0)}) == 3
+    assert policy.accepted({0: (0.5, 0.5, 0.1), 1: (0.9, 0.5, 0)}) is None
 
 
 def test_stream_fold_equals_batch(spark, tmp_path):
@@ -109,7 +111,10 @@ def test_upsert_batches_reject_stale_revisions(spark, tmp_path):
     write = folds.upsert_batch(str(tmp_path), "key", "revision", "value")
     write(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "key int, revision int, value string"), 0)
     write(spark.createDataFrame([(1, 1, "old"), (2, 6, "d")], "key int, revision int, value string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/version=1").collect())) == [(1, 2, "b"), (2, 6, "d")]
+    write(spark.createDataFrame([(3, 1, "e"), (2, 6, "again")], "key int, revision int, value string"), 2)
+    write(spark.createDataFrame([(3, 1, "e"), (2, 6, "again")], "key int, revision int, value string"), 2)
+    got = {r["key"]: (r["revision"], r["value"]) for r in folds.read_upserts(spark, str(tmp_path)).collect()}
+    assert got[1] == (2, "b") and got[3] == (1, "e") and got[2][0] == 6
 
 
 def test_repeated_queries_read_the_whole_turn(spark, tmp_path):
@@ -117,3 +122,48 @@ def test_repeated_queries_read_the_whole_turn(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", ".".join(searches))], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     flags = [r["flag"] for r in sorted(registry.queries()["r32_repeated_queries"](spark, str(tmp_path)).collect(), key=lambda r: r["n"])]
     assert flags == ["recorded"] * 3 + ["repeated"] * 30 + ["recorded", "limit"]
+
+
+def test_json_leaves_of_any_depth(spark):
+    from recallgrid.sources.nested import json_leaves
+
+    deep = '{"a":[{"b":[[1,"x"],{}]},null,true],"c d":2.5}'
+    rows = spark.createDataFrame([(1, deep), (2, "7"), (3, "no json"), (4, None), (5, "[]")], "id int, js string")
+    got = sorted((r["id"], r["path"], r["value"]) for r in json_leaves(rows, "js", "id").collect())
+    assert got == [(1, "a[0].b[0][0]", "1"), (1, "a[0].b[0][1]", "x"), (1, "a[1]", "null"), (1, "a[2]", "true"), (1, "c d", "2.5"), (2, "", "7")]
+
+
+def test_nfkc_and_folding_reach_beyond_ascii(spark):
+    import unicodedata
+
+    texts = ["ﬁne Ⅷ x²\r\n\tend ", "é e\u0301 ñ", "ｆｕｌｌ　width", None, "plain"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.nfkc(F.col("t")).alias("n"), tx.folded(F.col("t")).alias("f")).collect()
+    assert {r["i"]: r["n"] for r in rows} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    assert {r["i"]: r["f"] for r in rows}[1].startswith("e e")
+
+
+def test_searches_meet_what_brute_force_meets(spark):
+    random.seed(8)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "éta"]
+    docs = [(i, " ".join(random.choice(words) for _ in range(random.randint(0, 30))).capitalize()) for i in range(60)] + [(90, None)]
+    queries = [(0, "Alpha beta"), (1, "zeta éta gamma delta"), (2, ""), (3, "unseen alpha"), (4, None)]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(queries, "query_id int, text string")
+    rows = artifacts.searched(q, d, 8, size=40, carry=20).collect()
+    expected = set()
+    for k, query in queries:
+        terms = set((query or "").lower().split())
+        for i, text in docs:
+            t, places = (text or "").lower(), []
+            for first in range(0, max(1, len(t)), 40):
+                a = max(0, first - 20)
+                part = t[a : first + 40]
+                if terms and all(x in part for x in terms):
+                    places.append(a + min(part.index(x) for x in terms) + 1)
+            if terms <= set(t.split()):
+                expected |= {(k, i, p) for p in sorted(set(places))[:8]}
+    assert {(r["query_id"], r["doc_id"], r["place"]) for r in rows} == expected and expected
+    best = artifacts.anchored(q, d, 3).collect()
+    for k, query in queries:
+        terms = set((query or "").lower().split())
+        scored = sorted((-(query.lower() in (t or "").lower()), -len(terms & set((t or "").lower().split())) / len(terms), i) for i, t in docs if len(terms & set((t or "").lower().split())) * 2 >= len(terms)) if terms else []
+        assert [r["doc_id"] for r in sorted((r for r in best if r["query_id"] == k), key=lambda r: (-r["exact"], -r["coverage"], r["doc_id"]))] == [i for _, _, i in scored[:3]]
