@@ -1,11 +1,18 @@
-"""Operator 4: language-model scores by a probabilistic suffix tree over bytes, beside a unigram base over words.
-
-A text is its words, A-Z lower-cased and joined by single spaces, and an end mark; contexts never reach over a text's
-start. Counts of every byte with the ``depth`` bytes before it come from all training texts. A context of up to
-``depth`` bytes is a candidate if it has the share ``least_share`` of all positions, so there are at most
-depth / least_share candidates whatever the corpus. It is retained if its next-byte distribution diverges from its
-suffix's by more than its parameters cost. Distributions are smoothed towards the suffix's (Witten-Bell). The tree is
-made an automaton whose state is the longest candidate suffix, and scores come from the longest retained one.
+"""Operator 4: language-model scores by a probabilistic suffix tree over words, beside a unigram base.
+
+A text is its words, A-Z lower-cased, and an end mark. A context is the one or two words before a word; contexts don't reach
+over a text's start, which is a word of its own there. A symbol that a context was followed by at least twice is kept
+with its count; symbols met once only add to the mass that the context leaves to its suffix:
+
+    P(w | context) = (count of w if kept + (symbols met once + 1) * P(w | suffix)) / (size of the context + 1)
+
+The empty context is the unigram base. A context is retained if its distribution diverges from its suffix's by more than its
+kept symbols cost; else its suffix stands for it. So what is retained grows with the corpus. A score is the base plus, for
+each word, what the longest retained suffix of its context adds.
+
+The tree is never in one place. Every position goes to the bucket of the word before it, where counts of the contexts that
+end in that word and the positions to score meet; a word too frequent for one bucket is dealt out by the word before
+it, and its own counts are gathered in a table before. Buckets ask for the counts of the symbols they keep, and answer with sums.
 """
 
 from __future__ import annotations
@@ -17,13 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_place
 
-END = 10  # a line feed: no word holds it
-COUNTS = "gram long, word binary, n long"
+END, START, NONE = b"\n", b"\n\n", b"\n\n\n"  # no word holds a line feed
+#: Positions that a bucket is to hold, and how often a word may occur before it is dealt out; no more than 2^20 words can.
+BUCKET, HOT, MOST_HOT = 2_000_000, 1_000_000, 1 << 20
+POSTINGS = "bucket int, base long, blob binary, doc_id array<long>, n_tokens array<long>, held array<boolean>"
+WIDTH = 21  # bits of a word's place in a bucket's dictionary
 
 
 def fold(doc_id: int | None, parts: int) -> int:
@@ -35,252 +47,353 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(LOWER_ASCII).split()
 
 
-def stream_of(words: list[bytes]) -> bytes:
-    return b" ".join(words).replace(b"\0", b"\1") + b"\n"
+def hashed(words) -> np.ndarray:
+    """64-bit hashes that stand for the words, as signed longs."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def _word_counts(parts: int, held: int, most: int = 750_000):
+    """Counts of the words and ends of training documents, gathered over a task, passed on before they grow past ``most``."""
+
+    def rows(words: Counter):
+        h, n = hashed(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
+        for a in range(0, len(h), 200_000):
+            yield record_batch({"h": pa.array(h[a : a + 200_000]), "n": pa.array(n[a : a + 200_000])})
+
+    def run(batches):
+        words: Counter = Counter()
+        for batch in slices(batches, "data", 8 << 20):
+            for data, doc_id in zip(batch.column("data"), batch.column("doc_id").to_pylist()):
+                if fold(doc_id, parts) != held:
+                    words.update(words_of(data.as_py()))
+                    words[END] += 1
+            if len(words) > most:
+                yield from rows(words)
+                words = Counter()
+        yield from rows(words)
+
+    return run
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first all their low bytes, then the next ones: small numbers compress well so."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
 
 
-def grams(streams: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and counts of each byte (lowest) with up to ``depth`` bytes before it; each text starts with an
-    end mark, and zero bytes stand before that."""
-    lead = b"\0" * (depth - 1) + b"\n"
-    data = np.frombuffer(b"".join(x for s in streams for x in (lead, s)), dtype=np.uint8)
-    code = np.zeros(len(data), dtype=np.uint64)
-    for back in range(depth, -1, -1):
-        code <<= np.uint64(8)
-        code[back:] |= data[: len(data) - back]
-    sizes = np.array([len(s) + depth for s in streams])
-    ends = np.cumsum(sizes)
-    own = np.ones(len(data), dtype=bool)
-    for i in range(depth):
-        own[ends - sizes + i] = False
-    return np.unique(code[own], return_counts=True)
+def _pack(names: np.ndarray, fields: list[np.ndarray]) -> bytes:
+    """A dictionary of hashes and equally long columns of numbers."""
+    raw = b"".join(map(_planes, fields))
+    sizes = np.array([len(names), len(fields[0]), len(fields)], dtype="<u4").tobytes()
+    return sizes + names.tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _counts(depth: int, parts: int, held: int, most: int = 3_000_000):
-    """Training documents to counts of grams and of words; gathered over a task, passed on before they grow past ``most``."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    n_names, n, k = np.frombuffer(blob, dtype="<u4", count=3).tolist()
+    names = np.frombuffer(blob, dtype=np.int64, offset=12, count=n_names)
+    raw = pa.decompress(blob[12 + 8 * n_names :], decompressed_size=4 * n * k, codec="zstd", asbytes=True)
+    return names, [_numbers(raw[4 * n * i : 4 * n * (i + 1)], n) for i in range(k)]
 
-    def merged(codes: list, numbers: list):
-        code, n = np.concatenate(codes), np.concatenate(numbers)
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        return code[first], np.add.reduceat(n, first)
 
-    def gram_rows(code: np.ndarray, n: np.ndarray):
-        for a in range(0, len(code), 500_000):
-            part = code[a : a + 500_000]
-            yield record_batch({"gram": pa.array(part.view(np.int64)), "word": pa.nulls(len(part), pa.binary()), "n": pa.array(n[a : a + 500_000])})
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ x >> np.uint64(31)
 
-    def word_rows(words: Counter):
-        names, n = list(words), list(words.values())
-        for a in range(0, len(names), 200_000):
-            yield record_batch({"gram": pa.nulls(len(names[a : a + 200_000]), pa.int64()), "word": pa.array(names[a : a + 200_000], pa.binary()), "n": pa.array(n[a : a + 200_000], pa.int64())})
+
+def _sequence(batch: pa.RecordBatch) -> tuple[dict[bytes, int], np.ndarray, list[int]]:
+    """Numbers of the batch's words, all texts as such numbers, each with its start and end, and how many symbols each has."""
+    ids = {START: 0, END: 1, NONE: 2}
+    seq, sizes = array("i"), []
+    for data in batch.column("data"):
+        words = words_of(data.as_py())
+        seq.append(0)
+        for w in words:
+            i = ids.get(w)
+            if i is None:
+                i = ids[w] = len(ids)
+            seq.append(i)
+        seq.append(1)
+        sizes.append(len(words) + 1)
+    return ids, np.frombuffer(seq, dtype=np.int32), sizes
+
+
+def _held(batch: pa.RecordBatch, parts: int, held: int) -> np.ndarray:
+    return np.array([fold(i, parts) == held for i in batch.column("doc_id").to_pylist()])
+
+
+def _pair_counts(hot, parts: int, held: int):
+    """Counts (u, w, n) of the symbols after words that are dealt out, per batch of training documents."""
 
     def run(batches):
-        words: Counter = Counter()
-        codes, numbers = [], []
-        for batch in slices(batches, "data", 8 << 20):
-            rows = [words_of(x) for x, i in zip(batch.column("data").to_pylist(), batch.column("doc_id").to_pylist()) if fold(i, parts) != held]
-            if not rows:
-                continue
-            for row in rows:
-                words.update(row)
-            words[b"\n"] += len(rows)
-            code, n = grams([stream_of(row) for row in rows], depth)
-            codes.append(code), numbers.append(n)
-            if len(codes) == 4:
-                code, n = merged(codes, numbers)
-                codes, numbers = [code], [n]
-                if len(code) > most:
-                    yield from gram_rows(code, n)
-                    codes, numbers = [], []
-            if len(words) > most // 4:
-                yield from word_rows(words)
-                words = Counter()
-        if codes:
-            yield from gram_rows(*merged(codes, numbers))
-        yield from word_rows(words)
+        for batch in slices(batches, "data", 24 << 20):
+            ids, s, sizes = _sequence(batch)
+            h = hashed(ids)
+            taught = np.repeat(~_held(batch, parts, held), np.array(sizes) + 1)
+            at = np.flatnonzero((s != 0) & taught)
+            at = at[np.isin(h, hot.value)[s[at - 1]]]
+            key, n = np.unique(s[at - 1].astype(np.int64) << 32 | s[at], return_counts=True)
+            yield record_batch({"u": pa.array(h[key >> 32]), "w": pa.array(h[key & 0xFFFFFFFF]), "n": pa.array(n)})
 
     return run
 
 
-@dataclass
-class SuffixTree:
-    """``symbol``: byte to column; ``move``, ``log10``: by state and column; ``retained``: number of retained contexts."""
-
-    depth: int
-    symbol: np.ndarray
-    move: np.ndarray
-    log10: np.ndarray
-    start: int
-    retained: int
-
-    @classmethod
-    def fit(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
-        """levels[k]: codes (context of k bytes << 8 | next byte), sorted, of the candidates of k bytes, and counts."""
-        codes, n = levels[0]
-        seen = codes.astype(np.int64)
-        symbol = np.full(256, len(seen), dtype=np.uint8 if len(seen) < 256 else np.int16)
-        symbol[seen] = np.arange(len(seen))
-        width, total = len(seen) + 1, int(n.sum())
-        root = np.full((1, width), 1 / 257)
-        root[0, : len(seen)] = (n + len(seen) / 257) / (total + len(seen)) if total else 1 / 257
-        root[0, -1] = len(seen) / 257 / (total + len(seen)) if total else 1 / 257
-        contexts, smooth, used, first = [np.zeros(1, dtype=np.uint64)], [root], [np.zeros(1, dtype=np.int64)], [0]
-        rows, parents, kept = [root], [np.zeros(1, dtype=np.int64)], 1
-        bar = 0.5 * np.log(max(total, 2))
-        for k, (codes, n) in enumerate(levels[1:], 1):
-            ctx, at = np.unique(codes >> np.uint64(8), return_inverse=True)
-            first.append(first[-1] + len(contexts[-1]))
-            parent = np.searchsorted(contexts[-1], ctx & np.uint64((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(ctx), dtype=np.int64)
-            below = smooth[-1][parent]
-            counts = np.zeros((len(ctx), width))
-            counts[at, symbol[(codes & np.uint64(255)).astype(np.int64)]] = n
-            kinds, size = (counts > 0).sum(axis=1, keepdims=True), counts.sum(axis=1, keepdims=True)
-            own = (counts + kinds * below) / (size + kinds)
-            gain = (counts * np.log(own / below)).sum(axis=1)
-            stays = gain >= bar * kinds[:, 0]
-            kept += int(stays.sum())
-            own[~stays] = below[~stays]
-            contexts.append(ctx), smooth.append(own), rows.append(own), parents.append(first[k - 1] + parent)
-        move = []
-        for k, ctx in enumerate(contexts):
-            to = np.zeros((len(ctx), width), dtype=np.int32) if not k else np.concatenate(move)[parents[k]]
-            if k + 1 < len(contexts):
-                for byte in seen:
-                    y = ctx << np.uint64(8) | np.uint64(byte)
-                    i = np.searchsorted(contexts[k + 1], y)
-                    found = i < len(contexts[k + 1])
-                    found[found] = contexts[k + 1][i[found]] == y[found]
-                    to[found, symbol[byte]] = first[k + 1] + i[found]
-            move.append(to)
-        move = np.concatenate(move)
-        start = 0
-        if len(contexts) > 1 and END in contexts[1].astype(np.int64):
-            start = first[1] + int(np.searchsorted(contexts[1], np.uint64(END)))
-        if symbol[END] < len(seen):
-            move[:, symbol[END]] = start
-        return cls(len(levels) - 1, symbol, move, np.log10(np.concatenate(rows)).astype(np.float32), start, kept)
-
-    def score(self, streams: list[bytes], lane: int = 2048) -> np.ndarray:
-        """log10 of each stream's probability. The bytes are walked in lanes side by side; a lane first walks the
-        ``depth`` bytes before it, after which its state no longer depends on where it began."""
-        if not streams:
-            return np.empty(0)
-        sizes = np.array([len(s) for s in streams])
-        data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-        n, lead = len(data), self.depth + 1
-        lanes = -(-n // lane)
-        padded = np.full(lead + lanes * lane, END, dtype=np.uint8)
-        padded[lead : lead + n] = data
-        steps = np.lib.stride_tricks.as_strided(self.symbol[padded].astype(np.int64), (lead + lane, lanes), (8, 8 * lane)).copy()
-        width = self.move.shape[1]
-        move, value = self.move.ravel().astype(np.int64) * width, self.log10.ravel()
-        state, out = np.full(lanes, self.start * width), np.empty((lane, lanes), dtype=np.float32)
-        for i in range(lead + lane):
-            at = state + steps[i]
-            if i >= lead:
-                value.take(at, out=out[i - lead])
-            move.take(at, out=state)
-        flat = out.T.ravel()[:n].astype(np.float64)
-        return np.add.reduceat(flat, np.cumsum(sizes) - sizes)
-
-
-def candidates(counts: DataFrame, depth: int, least_share: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 0 to ``depth`` bytes of context: codes and counts of the contexts that have ``least_share`` of the positions."""
-    level = stored(counts.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(depth, -1, -1):
-        if k < depth:
-            level = level.groupBy((F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        whole = level.where(F.shiftrightunsigned("gram", 8 * k) != 0) if k else level  # zero: it would reach over the start
-        context = F.shiftrightunsigned("gram", 8)
-        frequent = whole.groupBy(context.alias("context")).agg(F.sum("n").alias("size")).where(F.col("size") >= max(2.0, least_share * total) if k else F.lit(True)).select("context")
-        picked = whole.withColumn("context", context).join(frequent, "context").select("gram", "n").toArrow()  # at most 257 / least_share rows
-        code, n = picked.column("gram").to_numpy().astype(np.uint64), picked.column("n").to_numpy()
-        order = np.argsort(code)
-        levels.insert(0, (code[order], n[order]))
-    return [levels[0], *(x for x in levels[1:] if len(x[0]))]
-
-
-def _scores(tree, parts: int, held: int):
-    """Per batch: postings of its words, and one row with its documents' own columns."""
+def _postings(hot, buckets: int, parts: int, held: int):
+    """Per batch of documents a row for each bucket with its positions, and one with the documents' own columns."""
 
     def run(batches):
-        model = tree.value
-        for batch in slices(batches, "data", 12 << 20):
-            base, ids = batch.column("rid")[0].as_py(), batch.column("doc_id")
-            found: dict[bytes, int] = {}
-            term, freq, lens, tokens, score, streams, held_bytes = array("i"), array("i"), [], [], [], [], 0
-            for data in batch.column("data").to_pylist():
-                words = words_of(data)
-                counted = Counter(words)
-                tokens.append(len(words) + 1)
-                lens.append(len(counted))
-                for w in counted:
-                    if w not in found:
-                        found[w] = len(found)
-                term.extend(map(found.__getitem__, counted))
-                freq.extend(counted.values())
-                streams.append(stream_of(words))
-                held_bytes += len(streams[-1])
-                if held_bytes > 2 << 20:
-                    score.append(model.score(streams))
-                    streams, held_bytes = [], 0
-            score.append(model.score(streams))
-            size = len(tokens)
-            term, freq = np.frombuffer(term, dtype=np.int32), np.frombuffer(freq, dtype=np.int32)
-            order = np.argsort(term, kind="stable")
-            doc, freq = np.repeat(np.arange(size), lens)[order], freq[order]
-            offsets = np.searchsorted(term[order], np.arange(len(found) + 1))
-            names = list(found)
-            for a in range(0, len(names), 20_000):
-                b = min(len(names), a + 20_000)
-                lo, hi = offsets[a], offsets[b]
-                none = list_array(pa.array([], pa.int64()), np.zeros(b - a + 1))
-                yield record_batch({"word": pa.array(names[a:b], pa.binary()), "base": pa.array(np.full(b - a, base)), "idx": list_array(pa.array(doc[lo:hi].astype(np.int32)), offsets[a : b + 1] - lo), "n": list_array(pa.array(freq[lo:hi]), offsets[a : b + 1] - lo), "doc_id": none, "score": none.cast(pa.list_(pa.float64())), "held": none.cast(pa.list_(pa.bool_()))})
-            span = np.array([0, size])
-            out = [fold(i, parts) == held for i in ids.to_pylist()]
-            yield record_batch({"word": pa.array([b"\n%d" % base], pa.binary()), "base": pa.array([base], pa.int64()), "idx": list_array(pa.array(np.arange(size, dtype=np.int32)), span), "n": list_array(pa.array(np.array(tokens, dtype=np.int32)), span), "doc_id": list_array(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, span), "score": list_array(pa.array(np.concatenate(score)), span), "held": list_array(pa.array(out), span)})
+        frequent = hot.value
+        for batch in slices(batches, "data", 24 << 20):
+            base, doc_ids = batch.column("rid")[0].as_py(), batch.column("doc_id")
+            ids, s, sizes = _sequence(batch)
+            out, h = _held(batch, parts, held), hashed(ids)
+            doc = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
+            at = np.flatnonzero(s != 0)  # every symbol; the word before it is there, the one before that may be none
+            w, u, doc = s[at], s[at - 1], doc[at]
+            t = np.where(u == 0, 2, s[np.maximum(at - 2, 0)])
+            dealt = np.isin(h, frequent)[u]
+            key = np.where(dealt, _mixed(h[u], np.where(u == 0, h[w], h[t])), h.view(np.uint64)[u])
+            bucket = (key % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            w, u, t, doc, bucket = w[order], u[order], t[order], doc[order], bucket[order]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            place = np.zeros(len(h), dtype=np.int64)
+            rows, blobs = [], []
+            for a, b in zip(edges, edges[1:]):
+                used = np.zeros(len(h), dtype=bool)
+                used[u[a:b]] = used[t[a:b]] = used[w[a:b]] = True
+                names = np.flatnonzero(used)
+                place[names] = np.arange(len(names))
+                d = doc[a:b]
+                rows.append(bucket[a])
+                blobs.append(_pack(h[names], [place[u[a:b]], place[t[a:b]], place[w[a:b]], np.diff(d, prepend=0), out[d].astype(np.int64)]))
+            for a in range(0, len(rows), 64):
+                n = len(rows[a : a + 64])
+                none = {c: pa.nulls(n, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
+                yield record_batch({"bucket": pa.array(rows[a : a + 64], pa.int32()), "base": pa.array(np.full(n, base)), "blob": pa.array(blobs[a : a + 64], pa.binary())} | none)
+            span = np.array([0, len(sizes)])
+            yield record_batch({"bucket": pa.array([base % buckets], pa.int32()), "base": pa.array([base], pa.int64()), "blob": pa.nulls(1, pa.binary()), "doc_id": list_array(doc_ids, span), "n_tokens": list_array(pa.array(sizes, pa.int64()), span), "held": list_array(pa.array(out), span)})
+
+    return run
+
+
+class Bucket:
+    """The positions of one bucket: dictionary of hashes, distinct (word before, word before that, word) with their training
+    counts, and which of them each position is."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("base")
+        parts = [(base, *_unpack(blob)) for base, blob in zip(table.column("base").to_pylist(), table.column("blob").to_pylist()) if blob is not None]
+        self.names = np.unique(np.concatenate([p[1] for p in parts])) if parts else np.empty(0, dtype=np.int64)
+        keys, docs, held, self.spans = [], [], [], []
+        for base, names, (u, t, w, step, out) in parts:
+            place = np.searchsorted(self.names, names)
+            keys.append(place[u] << 2 * WIDTH | place[t] << WIDTH | place[w])
+            docs.append(np.cumsum(step.astype(np.int64)))
+            held.append(out == 1)
+            self.spans.append((base, len(u)))
+        if len(self.names) >= 1 << WIDTH:
+            raise ValueError("a bucket holds too many different words")
+        self.doc = docs
+        key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+        self.key, self.which = np.unique(key, return_inverse=True)
+        trained = ~np.concatenate(held) if held else np.empty(0, dtype=bool)
+        self.n = np.bincount(self.which[trained], minlength=len(self.key))
+        mask = (1 << WIDTH) - 1
+        self.u, self.t, self.w = self.key >> 2 * WIDTH, self.key >> WIDTH & mask, self.key & mask
+        self.pair_key, self.pair = np.unique(self.u << WIDTH | self.w, return_inverse=True)
+        self.pair_n = np.bincount(self.pair, self.n, minlength=len(self.pair_key)).astype(np.int64)
+        self.pair_u, self.pair_w = self.pair_key >> WIDTH, self.pair_key & mask
+
+    def place(self, name: bytes) -> int:
+        h = hashed([name])[0]
+        i = int(np.searchsorted(self.names, h))
+        return i if i < len(self.names) and self.names[i] == h else -1
+
+
+def _requests(hot):
+    """What a bucket asks for, as rows (bucket, u, w): the count of each w that a word keeps, with u null, and the counts of the
+    pairs of words that are dealt out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = Bucket(table)
+        dealt = np.isin(b.names, hot.value)[b.pair_u] if len(b.pair_u) else np.empty(0, dtype=bool)
+        asked = b.names[np.unique(b.pair_w[~dealt & (b.pair_n >= 2)])]
+        u, w = b.names[b.pair_u[dealt]], b.names[b.pair_w[dealt]]
+        number = np.full(len(asked) + len(u), table.column("bucket")[0].as_py(), dtype=np.int32)
+        return pa.table({"bucket": pa.array(number), "u": pa.concat_arrays([pa.nulls(len(asked), pa.int64()), pa.array(u)]), "w": pa.array(np.concatenate([asked, w]))})
 
     return run
 
 
-def score_documents(docs: DataFrame, *, depth: int = 5, least_share: float = 4e-6, parts: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+@dataclass
+class Dealt:
+    """Words that are dealt out, by hash: how often they occur, and of their own distribution the size, the mass of symbols met
+    once, and whether it is retained."""
+
+    names: np.ndarray
+    counts: np.ndarray
+    size: np.ndarray
+    once: np.ndarray
+    retained: np.ndarray
+
+
+def _grown(c: np.ndarray, group: np.ndarray, groups: int, below: np.ndarray, bar: float):
+    """One level of the tree. c: training counts of (context, symbol), group: the context, below: the symbols' probabilities by
+    the suffix (only used for kept ones). Returns each symbol's log of P / P by the suffix, 0 where the context isn't retained."""
+    kept = c >= 2
+    size = np.bincount(group, c, minlength=groups)
+    once = size - np.bincount(group, np.where(kept, c, 0), minlength=groups)
+    left = (once + 1) / (size + 1)
+    p = np.where(kept, (c + (once[group] + 1) * below) / (size[group] + 1), 1.0)
+    ratio = np.where(kept, np.log(p / np.where(kept, below, 1.0)), np.log(left)[group])
+    gain = np.bincount(group, c * ratio, minlength=groups)
+    retained = gain > bar * np.bincount(group, kept, minlength=groups)
+    retained &= np.bincount(group, kept, minlength=groups) > 0
+    return np.where(retained[group], ratio, 0.0)
+
+
+def _scores(hot, total: int, kinds: int, bar: float):
+    """A bucket's positions and the counts it asked for to sums a document of its batches: of the base's logarithms of counts, of
+    what contexts add, and of known words."""
+    unit = total + kinds + 1
+
+    def run(table: pa.Table, values: pa.Table) -> pa.Table:
+        b, d = Bucket(table), hot.value
+        own = {c: table.column(c) for c in ("base", "doc_id", "n_tokens", "held")}
+        lead = pa.table({c: x.filter(pc.is_valid(own["doc_id"])) for c, x in own.items()})
+        for c, kind in (("base_sum", pa.float64()), ("gain", pa.float64()), ("known", pa.int64())):
+            lead = lead.append_column(c, pa.nulls(len(lead), pa.list_(kind)))
+        out = [lead]
+        if len(b.key):
+            names, n_names = b.names, len(b.names)
+            alone = values.filter(pc.is_null(values.column("u")))
+            unigram = np.zeros(n_names)
+            unigram[np.searchsorted(names, alone.column("w").to_numpy())] = alone.column("c").to_numpy()
+            below = (unigram[b.pair_w] + 1) / unit
+            ratio = _grown(b.pair_n, b.pair_u, n_names, below, bar)
+            frequency = np.bincount(b.pair_u, b.pair_n, minlength=n_names)
+            dealt = np.isin(names, d.names)
+            if dealt.any():
+                frequency[dealt] = d.counts[np.searchsorted(d.names, names[dealt])]
+                pairs = values.filter(pc.is_valid(values.column("u")))
+                u, w, n, c = (pairs.column(x).to_numpy() for x in ("u", "w", "n", "c"))
+                at, own_u = np.searchsorted(b.pair_key, np.searchsorted(names, u) << WIDTH | np.searchsorted(names, w)), np.searchsorted(d.names, u)
+                size, once, p0, kept = d.size[own_u], d.once[own_u], (c + 1) / unit, n >= 2
+                share = np.where(kept, (np.where(kept, n, 0) + (once + 1) * p0) / (size + 1) / p0, (once + 1) / (size + 1))
+                ratio[at], below[at] = np.where(d.retained[own_u], np.log(share), 0.0), p0
+            # second level: the suffix's probability of a kept symbol is below * exp(ratio)
+            suffix = (below * np.exp(ratio))[b.pair]
+            context = b.key >> WIDTH
+            first = np.flatnonzero(np.diff(context, prepend=-1))
+            group = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+            more = _grown(b.n, group, len(first), suffix, bar)
+            more[b.t == b.place(NONE)] = 0.0
+            known = frequency[b.u]
+            is_word = b.u != b.place(START)
+            gain = (more + ratio[b.pair])[b.which]
+            base = np.where(is_word, np.log10(known + 1), 0.0)[b.which]
+            met = (is_word & (known > 0))[b.which]
+            a = 0
+            for (base_id, length), doc in zip(b.spans, b.doc):
+                sums = [np.bincount(doc, x[a : a + length]) for x in (base, gain, met)]
+                a += length
+                span = np.array([0, len(sums[0])])
+                out.append(pa.table({"base": pa.array([base_id], pa.int64()), "doc_id": pa.nulls(1, pa.list_(pa.int64())), "n_tokens": pa.nulls(1, pa.list_(pa.int64())), "held": pa.nulls(1, pa.list_(pa.bool_())), "base_sum": list_array(pa.array(sums[0]), span), "gain": list_array(pa.array(sums[1]), span), "known": list_array(pa.array(sums[2].astype(np.int64)), span)}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+SUMS = "base long, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, gain array<double>, known array<long>"
+
+
+def _totals(batches):
+    """Rows sorted by batch: adds up a batch's sums and gives its documents."""
+    base, own, sums = None, None, {}
+
+    def rows():
+        n = len(own["doc_id"])
+        added = {}
+        for c, kind in (("base_sum", np.float64), ("gain", np.float64), ("known", np.int64)):
+            total = np.zeros(n, dtype=kind)
+            for x in sums[c]:
+                total[: len(x)] += x
+            added[c] = pa.array(total)
+        return record_batch(own | added)
+
+    for batch in batches:
+        for i, now in enumerate(batch.column("base").to_pylist()):
+            if now != base:
+                if base is not None:
+                    yield rows()
+                base, own, sums = now, None, {"base_sum": [], "gain": [], "known": []}
+            if batch.column("doc_id")[i].is_valid:
+                own = {c: batch.column(c)[i].values for c in ("doc_id", "n_tokens", "held")}
+                continue
+            for c, x in sums.items():
+                values = batch.column(c)[i].values.to_numpy()
+                if x and len(x[0]) >= len(values):
+                    x[0][: len(values)] += values
+                else:
+                    x.insert(0, values.copy())
+    if base is not None:
+        yield rows()
+
+
+def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: float = 0.3, bucket: int = BUCKET, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Texts are scored by what the rows with crc32(doc_id) mod parts other than ``held`` teach. Null texts are empty: one
     token, the end. Null ids count as an empty id, so they train. Repeated rows are scored and counted apart; other
-    columns are ignored; an empty table gives no rows; with nothing to train on all bytes are equally likely.
-    Words' counts join the documents' word frequencies, of which a batch sends one row per distinct word.
+    columns are ignored; an empty table gives no rows; with nothing to train on nothing is known. Words are told apart by
+    64-bit hashes. ``cost`` is what a kept symbol has to earn, in units of half the logarithm of the training tokens.
+    ``bucket`` and ``hot`` only say where the work is done: results don't depend on them.
     """
+    spark = docs.sparkSession
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("data"))
-    whole = with_place(picked, "doc_id", "data")
-    counts = stored(map_arrow(whole.select("doc_id", "data"), _counts(depth, parts, held), COUNTS), "counts")
-    tree = docs.sparkSession.sparkContext.broadcast(SuffixTree.fit(candidates(counts, depth, least_share)))
-    words = stored(counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    got = words.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("word") == F.lit(b"\n"), F.col("c")))).first()
-    n, v, ends = (int(x or 0) for x in got)
-    rows = map_arrow(whole, _scores(tree, parts, held), "word binary, base long, idx array<int>, n array<int>, doc_id array<long>, score array<double>, held array<boolean>")
-    joined = rows.join(words, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    each = joined.select("base", "c", F.explode(F.arrays_zip("idx", "n", "doc_id", "score", "held")).alias("x"))
-    own = F.col("x.held").isNotNull()
-    per = each.groupBy((F.col("base") + F.col("x.idx")).alias("rid")).agg(
-        F.max("x.doc_id").alias("doc_id"),
-        F.max("x.held").alias("held_out"),
-        F.max(F.when(own, F.col("x.n"))).cast("long").alias("n_tokens"),
-        F.sum(F.when(~own & (F.col("c") > 0), F.col("x.n")).otherwise(0)).alias("known"),
-        F.sum(F.when(~own, F.col("x.n") * F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0)).alias("base"),
-        F.max("x.score").alias("score"),
-    )
-    unit = F.lit(float(np.log10(n + v + 1)))
-    return per.select(
+    words = stored(map_arrow(picked, _word_counts(parts, held), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
+    end = int(hashed([END])[0])
+    total, kinds, ends = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("h") == end, F.col("c")))).first())
+    buckets = max(1, -(-total // bucket))
+    bound = max(hot, total // MOST_HOT)
+    frequent = words.where((F.col("c") >= bound) & (F.col("h") != end)).collect()  # at most 2^20 words have so large a share
+    dealt = dict([(r["h"], r["c"]) for r in frequent] + ([(int(hashed([START])[0]), ends)] if ends >= bound else []))
+    names = spark.sparkContext.broadcast(np.array(sorted(dealt), dtype=np.int64))
+    bar = cost * 0.5 * float(np.log(max(total, 2)))
+    words = words.withColumnRenamed("h", "w")
+    pairs, shapes = _dealt_pairs(picked, words, names, parts, held, total + kinds + 1, bar) if dealt else (None, {})
+    columns = zip(*[(h, dealt[h], *shapes.get(h, (0, 0, False))) for h in sorted(dealt)]) if dealt else [[]] * 5
+    hot_words = spark.sparkContext.broadcast(Dealt(*(np.array(x, dtype=k) for x, k in zip(columns, (np.int64, np.int64, np.int64, np.int64, bool)))))
+    postings = map_arrow(with_place(picked, "doc_id", "data"), _postings(names, buckets, parts, held), POSTINGS)
+    answers = postings.groupBy("bucket").applyInArrow(_requests(names), "bucket int, u long, w long").join(words, "w", "left")
+    answers = answers.join(pairs, ["u", "w"], "left") if dealt else answers.withColumn("n", F.lit(0).cast("long"))
+    answers = answers.select("bucket", "u", "w", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n", "c")))
+    sums = postings.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(hot_words, total, kinds, bar), SUMS)
+    each = map_arrow(sums.repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_tokens long, held boolean, base_sum double, gain double, known long")
+    n = F.col("n_tokens")
+    base = F.col("base_sum") + float(np.log10(ends + 1)) - n * float(np.log10(total + kinds + 1))
+    return each.select(
         "doc_id",
-        "held_out",
+        F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("known") + int(ends > 0)).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + float(np.log10(ends + 1)) - F.col("n_tokens") * unit).alias("base_score"),
-        "score",
+        F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("gain") / float(np.log(10))).alias("score"),
     )
+
+
+def _dealt_pairs(picked: DataFrame, words: DataFrame, names, parts: int, held: int, unit: int, bar: float) -> tuple[DataFrame, dict]:
+    """For words that are dealt out over buckets: a table (u, w, n) of the symbols after them, and for each its size, the mass of
+    symbols met once, and whether its distribution is retained: at most 2^20 rows."""
+    pairs = stored(map_arrow(picked, _pair_counts(names, parts, held), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
+    kept = F.col("n") >= 2
+    stats = pairs.groupBy("u").agg(F.sum("n").alias("size"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("once"))
+    p0 = (F.col("c") + 1) / F.lit(float(unit))
+    p = F.when(kept, (F.col("n") + (F.col("once") + 1) * p0) / (F.col("size") + 1) / p0).otherwise((F.col("once") + 1) / (F.col("size") + 1))
+    earned = pairs.join(words, "w").join(stats, "u").groupBy("u", "size", "once").agg(F.sum(F.col("n") * F.log(p)).alias("gain"), F.sum(kept.cast("long")).alias("kept"))
+    return pairs, {r["u"]: (r["size"], r["once"], r["kept"] > 0 and r["gain"] > bar * r["kept"]) for r in earned.collect()}

@@ -233,7 +233,7 @@ def test_row_ids_do_not_depend_on_splits(spark, tmp_path):
 
 
 def test_suffix_lm_base_and_scores(docs, empty):
-    rows = suffix_lm.score_documents(docs, depth=3, least_share=1e-3).collect()
+    rows = suffix_lm.score_documents(docs).collect()
     words = lambda t: (t or "").encode().translate(suffix_lm.LOWER_ASCII).split() + [b"\n"]
     held = lambda i: suffix_lm.fold(i, 7) == 2
     counts = {}
@@ -247,23 +247,56 @@ def test_suffix_lm_base_and_scores(docs, empty):
     assert suffix_lm.score_documents(empty).count() == 0
 
 
-def test_suffix_tree_is_a_distribution_and_equals_the_longest_suffix_rule():
-    random.seed(3)
-    streams = [suffix_lm.stream_of([random.choice([b"ab", b"abc", b"b"]) for _ in range(random.randint(0, 30))]) for _ in range(60)]
-    depth, code, n = 2, *suffix_lm.grams(streams, 2)
-    levels = []
-    for k in range(depth + 1):
-        c = code & np.uint64((1 << 8 * (k + 1)) - 1)
-        u, at = np.unique(c, return_inverse=True)
-        m = np.bincount(at, n).astype(np.int64)
-        keep = (u >> np.uint64(8 * k)) != 0 if k else np.ones(len(u), bool)
-        levels.append((u[keep], m[keep]))
-    tree = suffix_lm.SuffixTree.fit(levels)
-    seen = len(levels[0][0])
-    assert np.allclose((10.0**tree.log10[:, :seen]).sum(axis=1) + (257 - seen) * 10.0 ** tree.log10[:, -1], 1, atol=1e-5)
-    long = tree.score(streams, lane=7)
-    assert np.allclose(long, tree.score(streams, lane=4096))
-    assert np.allclose(long, [tree.score([s])[0] for s in streams])
+def scores_by_rule(docs, cost):
+    """Log10 probabilities by a tree in plain dictionaries, and the distribution of every retained context."""
+    texts = [(i, [b"<"] + (t or "").encode().translate(suffix_lm.LOWER_ASCII).split() + [b"\n"]) for i, t in docs]
+    taught = [s for i, s in texts if suffix_lm.fold(i, 7) != 2]
+    one, tree = {}, {}
+    for s in taught:
+        for k in range(1, len(s)):
+            one[s[k]] = one.get(s[k], 0) + 1
+            for context in [(s[k - 1],), (s[k - 2], s[k - 1])][: min(k, 2)]:
+                tree.setdefault(context, {}).setdefault(s[k], 0)
+                tree[context][s[k]] += 1
+    total, kinds = sum(one.values()), len(one)
+    bar = cost * 0.5 * np.log(max(total, 2))
+    retained = set()
+
+    def p(context, w):
+        while context and context not in retained:
+            context = context[1:]
+        return raw(context, w)
+
+    def raw(context, w):
+        if not context:
+            return (one.get(w, 0) + 1) / (total + kinds + 1)
+        seen = tree[context]
+        once = sum(n for n in seen.values() if n < 2)
+        return ((seen.get(w, 0) if seen.get(w, 0) >= 2 else 0) + (once + 1) * p(context[1:], w)) / (sum(seen.values()) + 1)
+
+    for length in (1, 2):
+        for context, seen in tree.items():
+            kept = sum(n >= 2 for n in seen.values())
+            if len(context) == length and kept and sum(n * np.log(raw(context, w) / p(context[1:], w)) for w, n in seen.items()) > bar * kept:
+                retained.add(context)
+    sums = [sum(p(c, w) for w in one) + p(c, b"unheard of") for c in retained]
+    return [(i, sum(np.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))) for i, s in texts], sums, retained
+
+
+@pytest.mark.parametrize(("bucket", "hot"), [(10**6, 10**6), (300, 10**6), (150, 12), (50, 2)])
+def test_suffix_tree_equals_plain_dictionaries(docs, bucket, hot):
+    expected, sums, retained = scores_by_rule(pairs(docs), 0.3)
+    assert np.allclose(sums, 1) and {len(c) for c in retained} == {1, 2}
+    got = suffix_lm.score_documents(docs, bucket=bucket, hot=hot).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=key) == sorted(((i, round(x, 6)) for i, x in expected), key=key)
+
+
+def test_suffix_tree_grows_with_its_text(spark):
+    """Twice the text in new words: twice the retained contexts, so a copy of a taught text scores far above its base."""
+    rows = [(i, " ".join(f"w{i // 2}x{(k * k) % 53}" for k in range(60))) for i in range(200)]
+    for n in (100, 200):
+        got = suffix_lm.score_documents(spark.createDataFrame(rows[:n], "doc_id long, text string")).where("NOT held_out").collect()
+        assert np.mean([r["score"] - r["base_score"] > 20 for r in got]) > 0.6
 
 
 def removed_by_rule(docs, length):
