@@ -18,9 +18,10 @@ from tokenizers import Tokenizer
 
 from .common import Bounded, list_array, map_arrow, record_batch, slices, texts, with_place
 
-#: Pre-tokens are dealt out over so many buckets; a pre-token found in HOT_SHARE of a batch's documents goes to a bucket
-#: that depends on the batch too, and is then counted in more than one place.
-BUCKETS, HOT_SHARE = 1024, 1 / 64
+#: Pre-tokens are dealt out over so many buckets for each shuffle partition; a task streams by, so a bucket's size is not bound
+#: by memory. A pre-token found in HOT_SHARE of a batch's documents goes to a bucket that depends on the batch too: its
+#: frequencies are salted, and it is counted once for each batch at most.
+WIDTH, HOT_SHARE = 8, 1 / 64
 
 
 def _pack(terms: list[bytes], lists: np.ndarray, idx: np.ndarray, n: np.ndarray) -> bytes:
@@ -72,7 +73,7 @@ class Pretokens:
         return [text] if text else []
 
 
-def _postings(path: str, pattern: str):
+def _postings(path: str, pattern: str, buckets: int):
     """Per batch of documents, a row for each bucket of pre-tokens, and one with the documents' own columns."""
 
     def run(batches):
@@ -105,10 +106,10 @@ def _postings(path: str, pattern: str):
             edge = np.flatnonzero(np.diff(key, prepend=-1))
             n, key = np.add.reduceat(weight, edge) if len(edge) else weight, key[edge]
             lists = np.bincount(key >> 32, minlength=len(names))
-            bucket = (bucket + np.where(lists >= max(2, HOT_SHARE * len(rows)), base, 0)) % BUCKETS
+            bucket = (bucket + np.where(lists >= max(2, HOT_SHARE * len(rows)), base, 0)) % buckets
             start = np.cumsum(lists) - lists
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
+            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             blobs, used = [], np.flatnonzero(np.diff(edges))
             for i in used:
                 own = by[edges[i] : edges[i + 1]]
@@ -120,7 +121,7 @@ def _postings(path: str, pattern: str):
                 yield record_batch({"bucket": pa.array(some.astype(np.int32)), "base": pa.array(np.full(len(some), base)), "blob": pa.array(blobs[a : a + 128], pa.binary()), "doc_id": pa.nulls(len(some), pa.list_(pa.int64())), "n_bytes": pa.nulls(len(some), pa.list_(pa.int64()))})
             span = np.array([0, len(rows)])
             n_bytes = pa.array([len(t.encode()) for t in rows], pa.int64())
-            yield record_batch({"bucket": pa.array([base % BUCKETS], pa.int32()), "base": pa.array([base], pa.int64()), "blob": pa.nulls(1, pa.binary()), "doc_id": list_array(batch.column("doc_id"), span), "n_bytes": list_array(n_bytes, span)})
+            yield record_batch({"bucket": pa.array([base % buckets], pa.int32()), "base": pa.array([base], pa.int64()), "blob": pa.nulls(1, pa.binary()), "doc_id": list_array(batch.column("doc_id"), span), "n_bytes": list_array(n_bytes, span)})
 
     return run
 
@@ -194,7 +195,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, limit: int = 512,
     Shuffled: for each batch of documents its distinct pre-tokens with their documents, then sums per batch and task.
     """
     picked = with_place(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), "doc_id", "text")
-    postings = map_arrow(picked, _postings(path, pattern), "bucket int, base long, blob binary, doc_id array<long>, n_bytes array<long>")
+    buckets = WIDTH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = map_arrow(picked, _postings(path, pattern, buckets), "bucket int, base long, blob binary, doc_id array<long>, n_bytes array<long>")
     sums = map_arrow(postings.repartition("bucket").sortWithinPartitions("base", "bucket"), _partial_sums(path), "base long, sums array<long>, doc_id array<long>, n_bytes array<long>")
     total = map_arrow(sums.repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_bytes long, n_tokens long")
     return total.withColumn("over_limit", F.col("n_tokens") > limit)
