@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,45 +12,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How many of each list the working state keeps; fixed values.
-KEPT = {"decisions": 12, "loops": 16, "outcomes": 20}
-STATE = "goal long, decisions array<long>, loops array<long>, outcomes array<long>, seen long"
+KEPT = {"decisions": 24, "confirmed": 24, "hypotheses": 12, "loops": 16, "outcomes": 20, "resources": 24, "recalled": 64}
+LOOP = "array<struct<id:long,call:long,text:string>>"
+STATE = f"task long, goal long, decisions array<long>, confirmed array<long>, hypotheses array<long>, loops {LOOP}, outcomes array<long>, resources array<string>, recalled array<long>, seen long"
+#: What an event brings: its kind, whether it failed, a text, and ids it may name; all but the first two may be null.
+EVENT = "user_id long, day date, seq int, event_id long, kind string, failed boolean, text string, task long, call long, target long"
 
 
 def empty_state() -> dict:
-    return {"goal": None, "decisions": [], "loops": [], "outcomes": [], "seen": 0}
+    return {"task": None, "goal": None, "decisions": [], "confirmed": [], "hypotheses": [], "loops": [], "outcomes": [], "resources": [], "recalled": [], "seen": 0}
 
 
-def reduce_event(state: dict, event_id: int, kind: str, failed: bool) -> dict:
-    """One event of an episode folded into the working state. A goal resets it, a failure opens a loop, a check closes
-    the loops and is a decision, a success is an outcome; lists keep their latest."""
+def _words(text: str | None) -> set[str]:
+    return {w for w in re.split(r"[^\w-]+", (text or "").lower()) if len(w) > 1}
+
+
+def resolves(loop: dict, event: dict) -> bool:
+    """Whether a passed check closes a loop: it names the loop's event or its call, or the loop has 0.6 of the check's words."""
+    if event["target"] == loop["id"] or (event["call"] is not None and event["call"] == loop["call"]):
+        return True
+    asked, own = _words(event["text"]), _words(loop["text"])
+    return bool(asked and own) and len(asked & own) >= 0.6 * len(asked)
+
+
+def reduce_event(state: dict, event: dict) -> dict:
+    """One event folded into the working state of its session.
+
+    A goal of another task empties the lists; a goal stands for the one before it unless it goes on with it, and one that
+    makes a rule is a decision. Steering sets the goal and drops the hypotheses of the model. A tool call names a
+    resource, a failed result or check opens a loop, any result or check is an outcome, a passed check is confirmed and
+    closes the loops that it resolves. Lists hold no id twice and keep their latest.
+    """
+    state = dict(state)
+
+    def add(name: str, value) -> None:
+        id_of = (lambda x: x["id"]) if name == "loops" else (lambda x: x)
+        state[name] = [*(x for x in state[name] if id_of(x) != id_of(value)), value][-KEPT[name] :]
+
+    kind, number, text = event["kind"], event["event_id"], event["text"] or ""
     if kind == "goal":
-        state = empty_state() | {"goal": event_id, "seen": state["seen"]}
-    elif kind == "tool_result" and failed:
-        state["loops"] = [*state["loops"], event_id][-KEPT["loops"] :]
-    elif kind == "tool_result":
-        state["outcomes"] = [*state["outcomes"], event_id][-KEPT["outcomes"] :]
-    elif kind == "verification":
-        state["decisions"], state["loops"] = [*state["decisions"], event_id][-KEPT["decisions"] :], []
+        moved = state["task"] is not None and event["task"] is not None and event["task"] != state["task"]
+        if moved:
+            state |= {"decisions": [], "confirmed": [], "hypotheses": [], "loops": [], "outcomes": []}
+        if event["task"] is not None:
+            state["task"] = event["task"]
+        if state["goal"] is None or moved or not text.startswith(("continue", "next", "also")):
+            state["goal"] = number
+        if "always use" in text or "shall" in text:
+            add("decisions", number)
+    elif kind == "steering":
+        state["goal"], state["hypotheses"] = number, []
+    elif kind == "hypothesis":
+        add("hypotheses", number)
+    elif kind == "recall":
+        add("recalled", number)
+    elif kind == "tool_call":
+        add("resources", text)
+    elif kind in ("tool_result", "verification"):
+        add("outcomes", number)
+        if event["failed"]:
+            add("loops", {"id": number, "call": event["call"] if kind == "tool_result" else None, "text": f"resolve {text}" if kind == "tool_result" else f"fix failing verification: {text}"})
+        elif kind == "verification":
+            add("confirmed", number)
+            state["loops"] = [x for x in state["loops"] if not resolves(x, event)]
     state["seen"] += 1
     return state
 
 
-def working_states(events: DataFrame) -> DataFrame:
-    """(user_id, day, goal, decisions, loops, outcomes, seen) of events (user_id, day, seq, event_id, kind, failed).
+def _events(frame: pd.DataFrame) -> Iterator[dict]:
+    """Rows as dictionaries; missing ids are None."""
+    names = ["event_id", "kind", "failed", "text", "task", "call", "target"]
+    columns = [[None if x is None or x != x else (int(x) if c in ("event_id", "task", "call", "target") else x) for x in frame[c].tolist()] for c in names]
+    for values in zip(*columns):
+        yield dict(zip(names, values))
 
-    Events of an episode stream by in order; no episode is held in memory.
-    """
+
+def working_states(events: DataFrame) -> DataFrame:
+    """(user_id, day, *STATE) of events (see EVENT), a session for each user and day. Events of a session stream by in order;
+    no session is held in memory."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, empty_state()
         for batch in batches:
             done = []
-            for row in batch.itertuples():
-                if (row.user_id, row.day) != key:
+            for user, day, event in zip(batch["user_id"].tolist(), batch["day"].tolist(), _events(batch)):
+                if (user, day) != key:
                     if key is not None:
                         done.append({"user_id": key[0], "day": key[1], **state})
-                    key, state = (row.user_id, row.day), empty_state()
-                state = reduce_event(state, row.event_id, row.kind, row.failed)
+                    key, state = (user, day), empty_state()
+                state = reduce_event(state, event)
             if done:
                 yield pd.DataFrame(done)
         if key is not None:
@@ -60,17 +112,16 @@ def working_states(events: DataFrame) -> DataFrame:
 
 def stream_working_states(events: DataFrame) -> DataFrame:
     """The same fold over a stream keyed by user and day: a row of the state after each trigger. Within a trigger events
-    are taken in order of ``seq``."""
+    are taken in order of ``seq``. The state is kept as JSON."""
 
     def fold(key, groups: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        old = held.getOption
-        state = empty_state() if old is None else {"goal": None if old[0] < 0 else old[0], "decisions": list(old[1]), "loops": list(old[2]), "outcomes": list(old[3]), "seen": old[4]}
-        for row in pd.concat(list(groups)).sort_values("seq").itertuples():
-            state = reduce_event(state, row.event_id, row.kind, row.failed)
-        held.update((-1 if state["goal"] is None else int(state["goal"]), list(map(int, state["decisions"])), list(map(int, state["loops"])), list(map(int, state["outcomes"])), int(state["seen"])))
+        state = json.loads(held.get[0]) if held.exists else empty_state()
+        for event in _events(pd.concat(list(groups)).sort_values("seq")):
+            state = reduce_event(state, event)
+        held.update((json.dumps(state),))
         yield pd.DataFrame([{"user_id": key[0], "day": key[1], **state}])
 
-    return events.groupBy("user_id", "day").applyInPandasWithState(fold, f"user_id long, day date, {STATE}", STATE, "update", "NoTimeout")
+    return events.groupBy("user_id", "day").applyInPandasWithState(fold, f"user_id long, day date, {STATE}", "state string", "update", "NoTimeout")
 
 
 def stream_ewma(metrics: DataFrame, columns: tuple[str, ...], alpha: float = 0.25) -> DataFrame:

@@ -93,10 +93,10 @@ def test_replay_matches_a_plain_loop(spark):
 
 def test_stream_fold_equals_batch(spark, tmp_path):
     random.seed(3)
-    kinds = ["goal", "tool_result", "verification", "tool_call"]
-    rows = [(u, s, u * 100 + s, random.choice(kinds), random.random() < 0.4) for u in range(4) for s in range(40)]
-    events = spark.createDataFrame(rows, "user_id long, seq int, event_id long, kind string, failed boolean").selectExpr("user_id", "date'2024-01-01' AS day", "seq", "event_id", "kind", "failed")
-    for part, (lo, hi) in enumerate(((0, 15), (15, 40))):
+    kinds = ["goal", "steering", "hypothesis", "recall", "tool_result", "verification", "tool_call"]
+    rows = [(u, s, u * 100 + s, random.choice(kinds), random.random() < 0.4, f"tool{random.randint(0, 2)} err", random.choice([None, 1, 2]), random.choice([None, 1, 2]), random.choice([None, u * 100 + s - 1])) for u in range(4) for s in range(60)]
+    events = spark.createDataFrame(rows, "user_id long, seq int, event_id long, kind string, failed boolean, text string, task long, call long, target long").selectExpr("user_id", "date'2024-01-01' AS day", "seq", "event_id", "kind", "failed", "text", "task", "call", "target")
+    for part, (lo, hi) in enumerate(((0, 15), (15, 60))):
         events.where(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(f"{tmp_path}/in")
     query = folds.stream_working_states(source).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").start()
@@ -107,6 +107,23 @@ def test_stream_fold_equals_batch(spark, tmp_path):
         assert tuple(seen[r["user_id"]]) == tuple(r)
 
 
+def test_checks_close_the_loops_that_they_resolve():
+    event = lambda number, kind, failed=False, text="", **more: {"event_id": number, "kind": kind, "failed": failed, "text": text, "task": None, "call": None, "target": None} | more
+    state = folds.empty_state()
+    for e in (event(1, "tool_result", True, "npm failed: x", call=7), event(2, "tool_result", True, "lint failed"), event(3, "verification", True, "make test"), event(4, "tool_result", True, "cargo failed")):
+        state = folds.reduce_event(state, e)
+    assert [x["id"] for x in state["loops"]] == [1, 2, 3, 4]
+    state = folds.reduce_event(state, event(5, "verification", False, "unrelated words", call=7))
+    state = folds.reduce_event(state, event(6, "verification", False, "other", target=2))
+    state = folds.reduce_event(state, event(7, "verification", False, "make test"))
+    assert [x["id"] for x in state["loops"]] == [4] and state["confirmed"] == [5, 6, 7]
+    state = folds.reduce_event(state, event(8, "goal", text="always use tabs", task=1))
+    state = folds.reduce_event(state, event(9, "goal", text="continue", task=1))
+    assert (state["goal"], state["decisions"], state["task"]) == (8, [8], 1)
+    state = folds.reduce_event(state, event(10, "goal", text="new", task=2))
+    assert state["loops"] == state["decisions"] == state["confirmed"] == state["outcomes"] == []
+
+
 def test_upsert_batches_reject_stale_revisions(spark, tmp_path):
     write = folds.upsert_batch(str(tmp_path), "key", "revision", "value")
     write(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "c")], "key int, revision int, value string"), 0)
