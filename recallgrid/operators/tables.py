@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -134,20 +134,26 @@ def trigram_vectors(docs: DataFrame, dims: int) -> DataFrame:
     return slots.select("doc_id", "slot", (F.col("n") / length).alias("weight"))
 
 
-def next_fit(items: DataFrame, order: str, tokens: str, *, most_items: int, most_tokens: int, by: str) -> DataFrame:
-    """items with ``batch``: in order, a batch is closed when the next item would pass either bound. One fold per ``by``."""
-    row = F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
-    lists = items.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("xs"))
-    state = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(a, x):
-        full = (a["batch"] < 0) | (a["n"] >= most_items) | (a["t"] + x["t"] > most_tokens)
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        out = F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["t"]).otherwise(a["t"] + x["t"]).alias("t"), out.alias("out"))
-
-    placed = lists.select(by, F.inline(F.aggregate("xs", state, step, lambda a: a["out"]))).withColumnRenamed("o", order)
-    return items.join(placed, [by, order])
+def next_fit(items: DataFrame, order: str, tokens: str, *, most_items: int, most_tokens: int | str, by: str) -> DataFrame:
+    """items with ``batch``: in order, a batch is closed when the next item would pass either bound (``most_tokens`` may name a
+    column). The items of each ``by`` stream by in order, so none of them is held together."""
+    kinds = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, batch, n, spent = None, -1, 0, 0
+        for frame in frames:
+            bounds = frame[most_tokens].tolist() if isinstance(most_tokens, str) else [most_tokens] * len(frame)
+            out = []
+            for own, size, bound in zip(frame[by].tolist(), frame[tokens].tolist(), bounds):
+                if own != key:
+                    key, batch, n = own, -1, most_items
+                if n >= most_items or spent + size > bound:
+                    batch, n, spent = batch + 1, 0, 0
+                n, spent = n + 1, spent + size
+                out.append(batch)
+            yield frame.assign(batch=np.array(out, dtype=np.int32))
+
+    return items.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, f"{kinds}, batch int")
 
 
 def approximate_top(queries: DataFrame, corpus: DataFrame, k: int, *, dims: int, bands: int = 24, bits: int = 8, seed: int = 11) -> DataFrame:

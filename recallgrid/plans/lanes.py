@@ -120,6 +120,9 @@ picks AS (SELECT query_id, [doc_id] AS chosen, 1 AS n FROM c WHERE position = 1
 longest AS (SELECT query_id, arg_max(chosen, n) AS chosen FROM picks GROUP BY query_id), placed AS (SELECT query_id, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS mmr_rank FROM longest)"""
 
 
+_SIMILAR = """, near AS (SELECT p.query_id, p.doc_id, p.mmr_rank, coalesce(max(s), 0) AS similarity FROM placed p LEFT JOIN placed b ON b.query_id = p.query_id AND b.mmr_rank < p.mmr_rank LEFT JOIN sim ON sim.query_id = p.query_id AND sim.doc_id = p.doc_id AND sim.other = b.doc_id GROUP BY ALL)"""
+
+
 @register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.replace("{limit}", "5") + " SELECT query_id, doc_id, round(score, 5) AS score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
 def retrieval_slice(spark, sf_dir):
     """Hybrid retrieval of the benchmark items, five results a query."""

@@ -85,9 +85,12 @@ def i7_ingest_summary(spark, sf_dir):
     return j.groupBy("source").agg(F.count("*").alias("documents"), flag(F.col("was") == F.col("fingerprint")).alias("unchanged"), F.sum(F.size(F.split("text", r"\. "))).alias("chunks"), flag(F.btrim("text") == "").alias("failures"))
 
 
-@register()
+@register("""WITH RECURSIVE items AS (SELECT source AS key, doc_id AS o, greatest(1, coalesce(list_sum([CAST(ceil(length(w) / 4) AS BIGINT) FOR w IN regexp_extract_all(text, '[0-9A-Za-z_]+')]), 0) + length(regexp_replace(text, '[0-9A-Za-z_\\s]', '', 'g'))) AS t, 20000 AS bound FROM documents),
+w AS (SELECT key, o, t, bound, row_number() OVER (PARTITION BY key ORDER BY o) AS i FROM items), f AS (SELECT key, i, o, 0 AS batch, 1 AS n, t FROM w WHERE i = 1 UNION ALL
+SELECT f.key, w.i, w.o, f.batch + CAST(full_ AS INT), CASE WHEN full_ THEN 1 ELSE f.n + 1 END, CASE WHEN full_ THEN w.t ELSE f.t + w.t END FROM f JOIN w ON w.key = f.key AND w.i = f.i + 1, LATERAL (SELECT f.n >= 32 OR f.t + w.t > w.bound AS full_))
+SELECT f.key AS source, f.o AS doc_id, w.t AS tokens, batch FROM f JOIN w ON w.key = f.key AND w.i = f.i""")
 def i8_embedding_batches(spark, sf_dir):
-    """I8: batches of at most 32 items and 20000 tokens, in order within a source; tests check both bounds."""
+    """I8: batches of at most 32 items and 20000 tokens, in order within a source."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", tx.model_tokens(F.col("text")).alias("tokens"))
     return tb.next_fit(d, "doc_id", "tokens", most_items=32, most_tokens=20_000, by="source")
 

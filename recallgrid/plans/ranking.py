@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
-from .lanes import _UNITS, dense
+from .lanes import _MMR, _SIMILAR, _UNITS, dense
 from .registry import register
 from .tables import RECORDS, edges, records, table, EDGES
+from .text import _TERMS
 
 _H = f"""{_UNITS}, hits AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 9) AS score, b.label,
 10 * (1 + b.label % 10) AS authority, b.vec_id * 86400000 AS updated, b.vec_id % 5 AS content, CASE WHEN b.vec_id % 3 = 0 THEN 'memory' ELSE 'knowledge' END AS kind,
@@ -101,18 +102,23 @@ def r19_cutoff_broad(spark, sf_dir):
     return _cut(spark, sf_dir, False)
 
 
-@register()
+@register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0),
+cut AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 40)""" + _MMR.replace("{limit}", "5") + _SIMILAR + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank, similarity FROM near JOIN c USING (query_id, doc_id)")
 def r20_mmr(spark, sf_dir):
-    """R20 over conversations: each user turn's earlier turns, ordered by marginal relevance; tests hold it to a plain loop."""
+    """R20 over conversations: each user turn's earlier turns, ordered by marginal relevance."""
     r = records(spark, sf_dir).select("id", "ns", "turn", "authority", tx.terms(F.col("content")).alias("terms"))
     q = r.where("turn % 3 = 0").select(F.col("id").alias("query_id"), "ns", F.col("turn").alias("qt"), F.col("terms").alias("qs"))
     c = q.join(r, "ns").where("turn < qt").select("query_id", F.col("id").alias("doc_id"), F.round(tx.jaccard(F.col("qs"), F.col("terms")), 9).alias("score"), "terms")
     return rk.mmr(rk.cap(c, 40, "doc_id").withColumnRenamed("rank", "position"), 5)
 
 
-@register()
+@register(f"""WITH RECURSIVE {_H}, d AS (SELECT query_id, doc_id, kind, 20 + doc_id % 90 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY score / (20 + doc_id % 90) DESC, score DESC, doc_id) AS i FROM hits),
+p AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS n, FALSE AS fits, CAST(NULL AS BIGINT) AS doc_id, '' AS kind, CAST(0 AS BIGINT) AS cost FROM d WHERE i = 1
+UNION ALL SELECT query_id, i, t + CASE WHEN fits THEN cost ELSE 0 END, k + CASE WHEN fits AND kind = 'knowledge' THEN cost ELSE 0 END, m + CASE WHEN fits AND kind = 'memory' THEN cost ELSE 0 END, n + CAST(fits AS INT), fits, doc_id, kind, cost FROM
+ (SELECT d.query_id, d.i, t, k, m, n, t + d.cost <= 400 AND NOT (d.kind = 'knowledge' AND k + d.cost > 250) AND NOT (d.kind = 'memory' AND m + d.cost > 200) AS fits, d.doc_id, d.kind, d.cost FROM p JOIN d ON d.query_id = p.query_id AND d.i = p.i + 1))
+SELECT query_id, doc_id, kind, cost, CAST(n - 1 AS INT) AS place FROM p WHERE fits""")
 def r23_context_packing(spark, sf_dir):
-    """Hits that fit the budgets, in order of value for their tokens; tests check the bounds and the greedy rule."""
+    """Hits that fit the budgets, in order of value for their tokens."""
     h = rk.cap(hits(spark, sf_dir), 100, "doc_id").withColumn("cost", 20 + F.col("doc_id") % 90)
     return rk.pack_context(h.withColumn("density", F.col("score") / F.col("cost")).withColumnRenamed("rank", "position"), total=400, knowledge=250, memory=200).select("query_id", "doc_id", "kind", "cost", "place")
 
