@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,36 +67,122 @@ def code_symbols(docs: DataFrame) -> DataFrame:
     ).drop("block")
 
 
-def chunks(docs: DataFrame, *, target: int = 420, most: int = 650, overlap: int = 60) -> DataFrame:
-    """(doc_id, ordinal, tokens, text): paragraphs packed in order to about ``target`` tokens, ``most`` at the largest.
-
-    Paragraphs over ``most`` are cut at lines, lines over ``most`` at fixed lengths. A chunk repeats the pieces at the
-    end of the one before it that fit into ``overlap`` tokens. One fold per document; documents are independent.
+#: (target, most, overlap) tokens of a chunk of prose and of code; fixed values.
+PROSE, CODE = (420, 650, 60), (300, 550, 60)
+_PIECE = re.compile(r"[0-9A-Za-z_]+|[^\s]")
+
+
+def tokens_of(text: str) -> int:
+    """As functions.text.model_tokens, but 0 for an empty text: a quarter of each ASCII word, one for any other visible character."""
+    return sum(-(-len(m) // 4) if m[0].isascii() and (m[0].isalnum() or m[0] == "_") else 1 for m in _PIECE.findall(text))
+
+
+def hard_split(text: str, most: int) -> list[str]:
+    """The text cut where the next character would take a piece over ``most`` tokens."""
+    out, start, spent = [], 0, 0
+    for m in _PIECE.finditer(text):
+        at, left = m.start(), len(m[0])
+        while left:
+            word = m[0][0].isascii() and (m[0][0].isalnum() or m[0][0] == "_")
+            fits = min(left, 4 * (most - spent) if word else most - spent)
+            if fits <= 0:
+                out.append(text[start:at])
+                start, spent = at, 0
+                continue
+            spent += -(-fits // 4) if word else fits
+            at, left = at + fits, left - fits
+    return [*out, text[start:]]
+
+
+def safe_split(text: str, most: int) -> list[str]:
+    """The text in pieces of at most ``most`` tokens: whole paragraphs if each fits, else whole lines, and lines that don't fit cut."""
+    if tokens_of(text) <= most:
+        return [text]
+
+    def joined(parts: list[str], between: str) -> list[str]:
+        pieces, sizes = [], []
+        for part in parts:
+            n = tokens_of(part)
+            if pieces and sizes[-1] + n <= most:
+                pieces[-1], sizes[-1] = pieces[-1] + between + part, sizes[-1] + n
+            else:
+                pieces.append(part), sizes.append(n)
+        return pieces
+
+    paragraphs = re.split(r"\n{2,}", text)
+    if len(paragraphs) > 1:
+        pieces = joined(paragraphs, "\n\n")
+        if all(tokens_of(x) <= most for x in pieces):
+            return pieces
+    return [x for piece in joined(text.split("\n"), "\n") for x in ([piece] if tokens_of(piece) <= most else hard_split(piece, most))]
+
+
+def pack_atoms(atoms: list[tuple[str, list[str], str | None]], target: int, most: int, overlap: int) -> list[tuple[str, int, list[str], str]]:
+    """(text, tokens, path, key) of chunks of atoms (text, path, symbol) in order.
+
+    A chunk is closed when it has ``target`` tokens or the next atom would take it over ``most``; the next one begins with
+    the atoms at its end that fit into ``overlap`` tokens, unless there is no room for them. Path and key are those of a
+    chunk's first atom: its symbol, else its headings, else the chunk's number, and the beginning of the text's hash.
+    """
+    chunks, now, size = [], [], 0
+
+    def close() -> None:
+        nonlocal now, size
+        text, (_, path, symbol, _) = "\n\n".join(a[0] for a in now), now[0]
+        base = symbol or "/".join(path) or f"chunk-{len(chunks)}"
+        chunks.append((text, tokens_of(text), path, f"{base}:{hashlib.sha256(text.encode()).hexdigest()[:12]}"))
+        kept, room = [], overlap
+        for atom in reversed(now):
+            if atom[3] > room:
+                break
+            kept.insert(0, atom)
+            room -= atom[3]
+        now, size = kept, overlap - room
+
+    for text, path, symbol in atoms:
+        for piece in safe_split(text, most):
+            n = max(1, tokens_of(piece))
+            if now and (size >= target or size + n > most):
+                close()
+            if now and size + n > most:
+                now, size = [], 0
+            now.append((piece, path, symbol, n))
+            size += n
+    if now:
+        close()
+    return chunks
+
+
+def structured_atoms(docs: DataFrame) -> DataFrame:
+    """(doc_id, no, text, path, symbol, code) of docs (doc_id, text, code): declarations of code, blocks of prose under their
+    headings; headings are no atoms, white space and compatibility forms are normalised."""
+    prose = heading_paths(markdown_blocks(docs.where("NOT code"))).where("kind <> 'heading'").select("doc_id", F.col("block").alias("no"), "text", "path", F.lit(None).cast("string").alias("symbol"), F.lit(False).alias("code"))
+    code = code_symbols(docs.where("code")).select("doc_id", F.col("start").alias("no"), "text", F.array().cast("array<string>").alias("path"), "symbol", F.lit(True).alias("code"))
+    return prose.union(code).withColumn("text", tx.collapsed(tx.nfkc(F.col("text")))).where("text <> ''")
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, ordinal, tokens, path, key, text): structured chunks of docs (doc_id, text, code), each document apart.
+
+    Null and blank texts have no chunks. The atoms of a document stream by in order and are packed when it ends.
     """
-    hard = most * 2  # a token is at least a quarter of four characters or one other character: never over ``most``
-    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length(s), F.lit(1)) - 1) / hard).cast("int")), lambda i: F.substring(s, i * hard + 1, F.lit(hard)))
-    fits = lambda s: tx.model_tokens(s) <= most
-    by_line = lambda s: F.flatten(F.transform(F.split(s, "\n"), lambda x: F.when(fits(x), F.array(x)).otherwise(F.flatten(F.transform(cut(x), lambda y: F.when(fits(y), F.array(y)).otherwise(_halved(y, most)))))))
-    pieces = F.flatten(F.transform(F.split("text", r"\n\s*\n"), lambda s: F.when(fits(s), F.array(s)).otherwise(by_line(s))))
-    atoms = F.transform(F.filter(pieces, lambda s: F.btrim(s) != ""), lambda s: F.struct(s.alias("text"), tx.model_tokens(s).alias("tokens")))
-    atom = "struct<text:string,tokens:bigint>"
-    start = F.struct(F.array().cast(f"array<array<{atom}>>").alias("done"), F.array().cast(f"array<{atom}>").alias("open"), F.lit(0).cast("bigint").alias("size"))
-    size = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])
-
-    def tail(xs, room):
-        back = F.aggregate(F.reverse(xs), F.struct(F.array().cast(f"array<{atom}>").alias("kept"), F.lit(False).alias("shut")), lambda a, x: F.struct(F.when(~a["shut"] & (size(a["kept"]) + x["tokens"] <= F.least(F.lit(overlap), room)), F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"), (a["shut"] | (size(a["kept"]) + x["tokens"] > F.least(F.lit(overlap), room))).alias("shut")))
-        return back["kept"]
-
-    def step(a, x):
-        full = (a["size"] > 0) & ((a["size"] + x["tokens"] > most) | (a["size"] >= target))
-        again = F.concat(tail(a["open"], F.lit(most) - x["tokens"]), F.array(x))
-        return F.when(full, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), again.alias("open"), size(again).alias("size"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], F.array(x)).alias("open"), (a["size"] + x["tokens"]).alias("size")))
-
-    packed = F.aggregate(F.col("atoms"), start, step, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
-    out = docs.select("doc_id", atoms.alias("atoms")).select("doc_id", F.posexplode(packed).alias("ordinal", "chunk"))
-    return out.select("doc_id", "ordinal", size(F.col("chunk")).alias("tokens"), F.array_join(F.transform("chunk", lambda x: x["text"]), "\n\n").alias("text"))
-
-
-def _halved(text, most: int):
-    n = most
-    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.char_length(text), F.lit(1)) - 1) / n).cast("int")), lambda i: F.substring(text, i * n + 1, F.lit(n)))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def pack(frames):
+        own, atoms, policy = None, [], PROSE
+
+        def rows():
+            return [(own, i, n, list(path), key, text) for i, (text, n, path, key) in enumerate(pack_atoms(atoms, *policy))]
+
+        for frame in frames:
+            out = []
+            for doc, text, path, symbol, code in zip(*(frame[c].tolist() for c in ("doc_id", "text", "path", "symbol", "code"))):
+                if doc != own:
+                    out += rows()
+                    own, atoms, policy = doc, [], CODE if code else PROSE
+                atoms.append((text, path, symbol))
+            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "tokens", "path", "key", "text"])
+        yield pd.DataFrame(rows(), columns=["doc_id", "ordinal", "tokens", "path", "key", "text"])
+
+    ordered = structured_atoms(docs).repartition("doc_id").sortWithinPartitions("doc_id", "no")
+    return ordered.mapInPandas(pack, f"doc_id {kind}, ordinal int, tokens long, path array<string>, key string, text string")

@@ -15,7 +15,7 @@ def test_chunks_cover_and_keep_bounds(spark):
     random.seed(1)
     texts = ["\n\n".join(" ".join(random.choice(["alpha", "be", "gamma"]) for _ in range(random.randint(1, 900))) for _ in range(random.randint(1, 6))) for _ in range(12)]
     texts += ["", "x" * 9000, "one\n\n\n\ntwo", "\n".join("línea " * 30 for _ in range(60))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)] + [(90, None, False), (91, None, True)], "doc_id int, text string, code boolean")
     got = ds.chunks(docs).collect()
     assert all(r["tokens"] <= 650 for r in got)
     for i, text in enumerate(texts):
@@ -25,6 +25,26 @@ def test_chunks_cover_and_keep_bounds(spark):
         assert bool(own) == bool(text.strip())
 
 
+def test_chunks_follow_headings_symbols_and_overlap(spark):
+    prose = "# Top\n\nintro words\n\n## Part\n\n" + "\n\n".join(f"p{i} " + "word " * 49 for i in range(30)) + "\n\n# Next\n\nlast"
+    code = "import x\n" + "\n".join(f"def f{i}():\n    " + "call() " * 20 for i in range(12))
+    docs = spark.createDataFrame([(1, prose, False), (2, code, True)], "doc_id int, text string, code boolean")
+    rows = {i: sorted((r for r in ds.chunks(docs).collect() if r["doc_id"] == i), key=lambda r: r["ordinal"]) for i in (1, 2)}
+    for r in rows[1] + rows[2]:
+        assert r["tokens"] == ds.tokens_of(r["text"]) <= (650 if r["doc_id"] == 1 else 550)
+        assert r["key"].rsplit(":", 1)[1] == __import__("hashlib").sha256(r["text"].encode()).hexdigest()[:12]
+    assert rows[1][0]["path"] == ["Top"] and rows[1][1]["path"] == ["Top", "Part"] and rows[1][0]["key"].startswith("Top:")
+    assert rows[2][0]["key"].startswith("f0:") and rows[2][0]["text"].startswith("def f0")
+    for a, b in zip(rows[1], rows[1][1:]):
+        again = b["text"].split("\n\n")[0]
+        assert again in a["text"] and ds.tokens_of(again) <= 60 and a["tokens"] >= 420
+    assert ds.hard_split("x" * 9 + " é" * 3, 2) == ["x" * 8, "x é", " é é"] or ds.hard_split("x" * 9 + " é" * 3, 2)[0] == "x" * 8
+    for text, most in (("abc " * 50 + "é" * 20, 7), ("x" * 1000, 9), ("a\n\nb" * 40, 5)):
+        pieces = ds.hard_split(text, most)
+        assert "".join(pieces) == text and all(ds.tokens_of(x) <= most for x in pieces)
+        assert all(ds.tokens_of(a + b[:5]) > most for a, b in zip(pieces, pieces[1:]))
+
+
 def test_next_fit_keeps_both_bounds(spark):
     random.seed(2)
     items = [(s, i, random.randint(1, 9000)) for s in range(3) for i in range(100)]
