@@ -84,8 +84,8 @@ def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, within: Sequenc
     usable = F.coalesce(norm(F.col("v")), F.lit(0.0))
     queries, corpus = (x.where((usable > 0) & (usable < float("inf"))) for x in (queries, corpus))
     blocks = max(1, -(-corpus.count() // per_block))
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), *within, F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), *within, F.col("v").alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     best = left.groupBy("block", *within).cogroup(right.groupBy("block", *within)).applyInArrow(_block_top(k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -78,17 +78,3 @@ def a14_metric_series(spark, sf_dir):
     v = F.col("value")
     e = table(spark, sf_dir, "events").where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return e.groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"))
-
-
-@register(f"""WITH {_H}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.65 + authority / 100 * 0.25, 9) DESC, doc_id) AS live, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.25 + authority / 100 * 0.65, 9) DESC, doc_id) AS shadow FROM hits)
-SELECT query_id, count(*) FILTER (live <= 5 AND shadow <= 5) AS overlap, array_to_string(list(doc_id ORDER BY shadow) FILTER (shadow <= 5), ',') AS shadow_top FROM a GROUP BY query_id""")
-def a16_shadow_ranking(spark, sf_dir):
-    """The same candidates under another policy, and how many of the top five agree."""
-    from pyspark.sql import Window
-
-    def place(a, b):
-        return F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(F.col("score") * a + F.col("authority") / 100 * b, 9).desc(), "doc_id"))
-
-    h = hits(spark, sf_dir).select("query_id", "doc_id", place(0.65, 0.25).alias("live"), place(0.25, 0.65).alias("shadow"))
-    top = F.array_sort(F.collect_list(F.when(F.col("shadow") <= 5, F.struct("shadow", "doc_id"))))
-    return h.groupBy("query_id").agg(F.sum(((F.col("live") <= 5) & (F.col("shadow") <= 5)).cast("long")).alias("overlap"), F.array_join(F.transform(top, lambda x: x["doc_id"].cast("string")), ",").alias("shadow_top"))

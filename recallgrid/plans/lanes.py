@@ -113,17 +113,21 @@ def stages(spark, sf_dir) -> dict[str, DataFrame]:
     return {"fused": fused, "admitted": admitted, "capped": capped, "unique": dedup, "cut": cut}
 
 
-_MMR = """, c AS MATERIALIZED (SELECT query_id, doc_id, score, terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM cut),
-sim AS MATERIALIZED (SELECT a.query_id, a.doc_id, b.doc_id AS other, len(list_intersect(a.terms, b.terms)) / greatest(1, len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) AS s FROM c a JOIN c b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id),
-picks AS (SELECT query_id, [doc_id] AS chosen, 1 AS n FROM c WHERE position = 1
- UNION ALL SELECT query_id, list_append(chosen, doc_id), n + 1 FROM (SELECT p.query_id, p.chosen, p.n, c.doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.75 * c.score - 0.25 * (SELECT max(s) FROM sim WHERE sim.query_id = p.query_id AND sim.doc_id = c.doc_id AND list_contains(p.chosen, sim.other)) DESC, c.position) AS r FROM picks p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.doc_id) WHERE p.n < {limit}) WHERE r = 1),
-longest AS (SELECT query_id, arg_max(chosen, n) AS chosen FROM picks GROUP BY query_id), placed AS (SELECT query_id, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS mmr_rank FROM longest)"""
+def mmr_sql(limit: int, cut: str = "cut", tag: str = "", weight: float = 0.75) -> str:
+    """CTEs that pick by marginal relevance from (query_id, doc_id, score, terms) in ``cut``: placed{tag} has doc_id by mmr_rank."""
+    c, sim, picks, longest, placed = (f"{x}{tag}" for x in ("c", "sim", "picks", "longest", "placed"))
+    near = f"(SELECT max(s) FROM {sim} WHERE {sim}.query_id = p.query_id AND {sim}.doc_id = k.doc_id AND list_contains(p.chosen, {sim}.other))"
+    return f""", {c} AS MATERIALIZED (SELECT query_id, doc_id, score, terms, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM {cut}),
+{sim} AS MATERIALIZED (SELECT a.query_id, a.doc_id, b.doc_id AS other, len(list_intersect(a.terms, b.terms)) / greatest(1, len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))) AS s FROM {c} a JOIN {c} b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id),
+{picks} AS (SELECT query_id, [doc_id] AS chosen, 1 AS n FROM {c} WHERE position = 1
+ UNION ALL SELECT query_id, list_append(chosen, doc_id), n + 1 FROM (SELECT p.query_id, p.chosen, p.n, k.doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY {weight} * k.score - {round(1 - weight, 9)} * {near} DESC, k.position) AS r FROM {picks} p JOIN {c} k ON k.query_id = p.query_id AND NOT list_contains(p.chosen, k.doc_id) WHERE p.n < {limit}) WHERE r = 1),
+{longest} AS (SELECT query_id, arg_max(chosen, n) AS chosen FROM {picks} GROUP BY query_id), {placed} AS (SELECT query_id, unnest(chosen) AS doc_id, generate_subscripts(chosen, 1) AS mmr_rank FROM {longest})"""
 
 
 _SIMILAR = """, near AS (SELECT p.query_id, p.doc_id, p.mmr_rank, coalesce(max(s), 0) AS similarity FROM placed p LEFT JOIN placed b ON b.query_id = p.query_id AND b.mmr_rank < p.mmr_rank LEFT JOIN sim ON sim.query_id = p.query_id AND sim.doc_id = p.doc_id AND sim.other = b.doc_id GROUP BY ALL)"""
 
 
-@register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + _MMR.replace("{limit}", "5") + " SELECT query_id, doc_id, round(score, 5) AS score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
+@register(_SLICE.replace("WITH ", "WITH RECURSIVE ", 1) + mmr_sql(5) + " SELECT query_id, doc_id, round(score, 5) AS score, CAST(mmr_rank AS INT) AS mmr_rank FROM placed JOIN c USING (query_id, doc_id)")
 def retrieval_slice(spark, sf_dir):
     """Hybrid retrieval of the benchmark items, five results a query."""
     return rk.mmr(stages(spark, sf_dir)["cut"], 5).select("query_id", "doc_id", F.round("score", 5).alias("score"), "mmr_rank")

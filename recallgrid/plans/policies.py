@@ -10,6 +10,7 @@ from ..operators import ranking as rk
 from ..sources.shared import fresh_path
 from ..streaming import folds
 from .analytics import cases
+from .lanes import mmr_sql
 from .ranking import _H, hits
 from .registry import register
 from .tables import table
@@ -124,3 +125,33 @@ def r14_rerank(spark, sf_dir):
     i = F.col("doc_id")
     b = hits(spark, sf_dir).select("query_id", "doc_id", "score", (60 + i % 200).alias("tokens"), F.floor((F.row_number().over(w) - 1) / 6).alias("batch"), (i % 11).alias("relevance"), (i % 13 / 12).alias("final_relevance"))
     return rk.tournament(b, most=3, budget=1800).select("query_id", "doc_id", "final_round", F.round("blended", 7).alias("blended"))
+
+
+#: A live policy and one that only watches: least authority, weight of affinity, weight of freshness, share of relevance.
+LIVE, SHADOW = (30, 0.8, 0.1, 0.75), (20, 1.0, 0.2, 0.6)
+NOW = 100 * 86_400_000
+
+
+def _policy_sql(name: str, policy: tuple) -> str:
+    least, affinity, fresh, share = policy
+    trust = "CASE WHEN kind = 'knowledge' THEN authority / 100 ELSE greatest(0.1, authority / 100) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0.6 END END"
+    return f""", {name} AS (SELECT query_id, doc_id, round(score * greatest(0, 1 + ({trust} - 1) * {affinity}) * 0.65 + authority / 100 * 0.25 + {fresh} / (1 + greatest(0, ({NOW} - updated) / 86400000) / 30), 9) AS score, list_distinct(['l' || CAST(label AS VARCHAR), 'c' || CAST(content AS VARCHAR)]) AS terms FROM hits WHERE status = 'active' AND authority >= {least})""" + mmr_sql(5, name, f"_{name}", share)
+
+
+@register(f"WITH RECURSIVE {_H}" + _policy_sql("live", LIVE) + _policy_sql("shadow", SHADOW) + """, b AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, l.mmr_rank AS l, s.mmr_rank AS s, coalesce(l.doc_id, s.doc_id) AS doc_id FROM placed_live l FULL JOIN placed_shadow s ON l.query_id = s.query_id AND l.doc_id = s.doc_id)
+SELECT query_id, count(*) FILTER (l IS NOT NULL AND s IS NOT NULL) AS overlap, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY l) FILTER (l IS NOT NULL), '') AS live_top, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY s) FILTER (s IS NOT NULL), '') AS shadow_top FROM b GROUP BY query_id""")
+def a16_shadow_ranking(spark, sf_dir):
+    """The same candidates gated, scored and picked under another policy, and how many of the two top fives agree."""
+
+    def ranked(policy, name):
+        least, affinity, fresh, share = policy
+        h = hits(spark, sf_dir).where((F.col("status") == "active") & (F.col("authority") >= least))
+        g = rk.gated(F.col("score"), rk.trust(F.col("kind"), F.col("authority"), F.col("doc_id") % 2 == 0), F.lit(affinity))
+        h = h.withColumn("score", F.round(rk.authority_and_freshness(g, F.col("authority"), F.col("updated"), NOW, fresh), 9))
+        terms = F.array_distinct(F.array(F.concat(F.lit("l"), F.col("label").cast("string")), F.concat(F.lit("c"), F.col("content").cast("string"))))
+        h = h.withColumn("terms", terms).withColumn("position", F.row_number().over(rk.best_first("doc_id")))
+        return rk.mmr(h, 5, share).select("query_id", "doc_id", F.col("mmr_rank").alias(name))
+
+    b = ranked(LIVE, "l").join(ranked(SHADOW, "s"), ["query_id", "doc_id"], "full_outer")
+    top = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(c, F.col("doc_id").cast("string").alias("d"))))), lambda x: x["d"]), ",")
+    return b.groupBy("query_id").agg(F.count(F.when(F.col("l").isNotNull() & F.col("s").isNotNull(), 1)).alias("overlap"), top("l").alias("live_top"), top("s").alias("shadow_top"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
-from .lanes import _MMR, _SIMILAR, _UNITS, dense
+from .lanes import _SIMILAR, _UNITS, dense, mmr_sql
 from .registry import register
 from .tables import RECORDS, edges, records, table, EDGES
 from .text import _TERMS
@@ -103,7 +103,7 @@ def r19_cutoff_broad(spark, sf_dir):
 
 
 @register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0),
-cut AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 40)""" + _MMR.replace("{limit}", "5") + _SIMILAR + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank, similarity FROM near JOIN c USING (query_id, doc_id)")
+cut AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 40)""" + mmr_sql(5) + _SIMILAR + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank, similarity FROM near JOIN c USING (query_id, doc_id)")
 def r20_mmr(spark, sf_dir):
     """R20 over conversations: each user turn's earlier turns, ordered by marginal relevance."""
     r = records(spark, sf_dir).select("id", "ns", "turn", "authority", tx.terms(F.col("content")).alias("terms"))
