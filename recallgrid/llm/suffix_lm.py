@@ -85,17 +85,18 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
 
 
-def _pack(names: np.ndarray, fields: list[np.ndarray]) -> bytes:
-    """A dictionary of hashes and equally long columns of numbers."""
-    raw = b"".join(map(_planes, fields))
-    sizes = np.array([len(names), len(fields[0]), len(fields)], dtype="<u4").tobytes()
-    return sizes + names.tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(names: list[bytes], fields: list[np.ndarray]) -> bytes:
+    """A dictionary of words, in order, and equally long columns of numbers."""
+    text, raw = b" ".join(names), b"".join(map(_planes, fields))
+    packed = pa.compress(text, codec="zstd", asbytes=True)
+    return np.array([len(text), len(packed), len(fields[0]), len(fields)], dtype="<u4").tobytes() + packed + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    n_names, n, k = np.frombuffer(blob, dtype="<u4", count=3).tolist()
-    names = np.frombuffer(blob, dtype=np.int64, offset=12, count=n_names)
-    raw = pa.decompress(blob[12 + 8 * n_names :], decompressed_size=4 * n * k, codec="zstd", asbytes=True)
+    """The hashes of the dictionary's words, and the columns."""
+    n_text, n_packed, n, k = np.frombuffer(blob, dtype="<u4", count=4).tolist()
+    names = hashed(pa.decompress(blob[16 : 16 + n_packed], decompressed_size=n_text, codec="zstd", asbytes=True).split(b" "))
+    raw = pa.decompress(blob[16 + n_packed :], decompressed_size=4 * n * k, codec="zstd", asbytes=True)
     return names, [_numbers(raw[4 * n * i : 4 * n * (i + 1)], n) for i in range(k)]
 
 
@@ -160,16 +161,18 @@ def _postings(hot, buckets: int, parts: int, held: int):
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             w, u, t, doc, bucket = w[order], u[order], t[order], doc[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            words = list(ids)
+            by_name = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int32)  # in order they compress best
             place = np.zeros(len(h), dtype=np.int64)
             rows, blobs = [], []
             for a, b in zip(edges, edges[1:]):
                 used = np.zeros(len(h), dtype=bool)
                 used[u[a:b]] = used[t[a:b]] = used[w[a:b]] = True
-                names = np.flatnonzero(used)
+                names = by_name[used[by_name]]
                 place[names] = np.arange(len(names))
                 d = doc[a:b]
                 rows.append(bucket[a])
-                blobs.append(_pack(h[names], [place[u[a:b]], place[t[a:b]], place[w[a:b]], np.diff(d, prepend=0), out[d].astype(np.int64)]))
+                blobs.append(_pack([words[x] for x in names.tolist()], [place[u[a:b]], place[t[a:b]], place[w[a:b]], np.diff(d, prepend=0), out[d].astype(np.int64)]))
             for a in range(0, len(rows), 64):
                 n = len(rows[a : a + 64])
                 none = {c: pa.nulls(n, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
@@ -186,27 +189,29 @@ class Bucket:
 
     def __init__(self, table: pa.Table):
         table = table.sort_by("base")
-        parts = [(base, *_unpack(blob)) for base, blob in zip(table.column("base").to_pylist(), table.column("blob").to_pylist()) if blob is not None]
-        self.names = np.unique(np.concatenate([p[1] for p in parts])) if parts else np.empty(0, dtype=np.int64)
-        keys, docs, held, self.spans = [], [], [], []
-        for base, names, (u, t, w, step, out) in parts:
-            place = np.searchsorted(self.names, names)
-            keys.append(place[u] << 2 * WIDTH | place[t] << WIDTH | place[w])
-            docs.append(np.cumsum(step.astype(np.int64)))
-            held.append(out == 1)
-            self.spans.append((base, len(u)))
+        blobs = [(base.as_py(), *_unpack(blob.as_py())) for base, blob in zip(table.column("base"), table.column("blob")) if blob.is_valid]
+        self.names = np.unique(np.concatenate([b[1] for b in blobs])) if blobs else np.empty(0, dtype=np.int64)
         if len(self.names) >= 1 << WIDTH:
             raise ValueError("a bucket holds too many different words")
-        self.doc = docs
-        key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
-        self.key, self.which = np.unique(key, return_inverse=True)
-        trained = ~np.concatenate(held) if held else np.empty(0, dtype=bool)
-        self.n = np.bincount(self.which[trained], minlength=len(self.key))
+        key = np.empty(sum(len(b[2][0]) for b in blobs), dtype=np.int64)
+        taught = np.empty(len(key), dtype=bool)
+        self.spans, end = [], 0
+        while blobs:
+            base, names, (u, t, w, step, out) = blobs.pop(0)
+            place, a, end = np.searchsorted(self.names, names), end, end + len(u)
+            key[a:end] = place[u] << 2 * WIDTH | place[t] << WIDTH | place[w]
+            taught[a:end] = out == 0
+            self.spans.append((base, a, end, np.cumsum(step.astype(np.int32))))
+        self.key, which = np.unique(key, return_inverse=True)
+        self.which = which.astype(np.int32)
+        del key, which
+        self.n = np.bincount(self.which[taught], minlength=len(self.key))
         mask = (1 << WIDTH) - 1
-        self.u, self.t, self.w = self.key >> 2 * WIDTH, self.key >> WIDTH & mask, self.key & mask
-        self.pair_key, self.pair = np.unique(self.u << WIDTH | self.w, return_inverse=True)
+        self.u, self.t = (self.key >> 2 * WIDTH).astype(np.int32), (self.key >> WIDTH & mask).astype(np.int32)
+        self.pair_key, pair = np.unique(self.key >> 2 * WIDTH << WIDTH | self.key & mask, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pair_n = np.bincount(self.pair, self.n, minlength=len(self.pair_key)).astype(np.int64)
-        self.pair_u, self.pair_w = self.pair_key >> WIDTH, self.pair_key & mask
+        self.pair_u, self.pair_w = (self.pair_key >> WIDTH).astype(np.int32), (self.pair_key & mask).astype(np.int32)
 
     def place(self, name: bytes) -> int:
         h = hashed([name])[0]
@@ -265,7 +270,7 @@ def _scores(hot, total: int, kinds: int, bar: float):
         b, d = Bucket(table), hot.value
         own = {c: table.column(c) for c in ("base", "doc_id", "n_tokens", "held")}
         lead = pa.table({c: x.filter(pc.is_valid(own["doc_id"])) for c, x in own.items()})
-        for c, kind in (("base_sum", pa.float64()), ("gain", pa.float64()), ("known", pa.int64())):
+        for c, kind in (("base_sum", pa.float64()), ("gain", pa.float32()), ("known", pa.int32())):
             lead = lead.append_column(c, pa.nulls(len(lead), pa.list_(kind)))
         out = [lead]
         if len(b.key):
@@ -292,23 +297,22 @@ def _scores(hot, total: int, kinds: int, bar: float):
             group = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
             more = _grown(b.n, group, len(first), suffix, bar)
             more[b.t == b.place(NONE)] = 0.0
-            known = frequency[b.u]
+            more += ratio[b.pair]
             is_word = b.u != b.place(START)
-            gain = (more + ratio[b.pair])[b.which]
-            base = np.where(is_word, np.log10(known + 1), 0.0)[b.which]
-            met = (is_word & (known > 0))[b.which]
-            a = 0
-            for (base_id, length), doc in zip(b.spans, b.doc):
-                sums = [np.bincount(doc, x[a : a + length]) for x in (base, gain, met)]
-                a += length
+            base = np.where(is_word, np.log10(frequency + 1)[b.u], 0.0)
+            met = is_word & (frequency > 0)[b.u]
+            for base_id, first, end, doc in b.spans:
+                which = b.which[first:end]
+                sums = [pa.array(np.bincount(doc, x[which]).astype(k)) for x, k in ((base, np.float64), (more, np.float32), (met, np.int32))]
                 span = np.array([0, len(sums[0])])
-                out.append(pa.table({"base": pa.array([base_id], pa.int64()), "doc_id": pa.nulls(1, pa.list_(pa.int64())), "n_tokens": pa.nulls(1, pa.list_(pa.int64())), "held": pa.nulls(1, pa.list_(pa.bool_())), "base_sum": list_array(pa.array(sums[0]), span), "gain": list_array(pa.array(sums[1]), span), "known": list_array(pa.array(sums[2].astype(np.int64)), span)}))
+                none = {c: pa.nulls(1, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
+                out.append(pa.table({"base": pa.array([base_id], pa.int64())} | none | {c: list_array(x, span) for c, x in zip(("base_sum", "gain", "known"), sums)}))
         return pa.concat_tables(out)
 
     return run
 
 
-SUMS = "base long, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, gain array<double>, known array<long>"
+SUMS = "base long, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, gain array<float>, known array<int>"
 
 
 def _totals(batches):
@@ -321,7 +325,7 @@ def _totals(batches):
         for c, kind in (("base_sum", np.float64), ("gain", np.float64), ("known", np.int64)):
             total = np.zeros(n, dtype=kind)
             for x in sums[c]:
-                total[: len(x)] += x
+                total[: len(x)] += x  # few: each longer than those before
             added[c] = pa.array(total)
         return record_batch(own | added)
 
@@ -339,7 +343,7 @@ def _totals(batches):
                 if x and len(x[0]) >= len(values):
                     x[0][: len(values)] += values
                 else:
-                    x.insert(0, values.copy())
+                    x.insert(0, values.astype(np.float64 if c != "known" else np.int64))
     if base is not None:
         yield rows()
 
@@ -350,7 +354,7 @@ def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: flo
     Texts are scored by what the rows with crc32(doc_id) mod parts other than ``held`` teach. Null texts are empty: one
     token, the end. Null ids count as an empty id, so they train. Repeated rows are scored and counted apart; other
     columns are ignored; an empty table gives no rows; with nothing to train on nothing is known. Words are told apart by
-    64-bit hashes. ``cost`` is what a kept symbol has to earn, in units of half the logarithm of the training tokens.
+    64-bit hashes; what contexts add is summed in single precision a bucket. ``cost`` is what a kept symbol has to earn, in units of half the logarithm of the training tokens.
     ``bucket`` and ``hot`` only say where the work is done: results don't depend on them.
     """
     spark = docs.sparkSession
