@@ -105,18 +105,22 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _Numbers(dict):
+    """Numbers its keys in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _sequence(batch: pa.RecordBatch) -> tuple[dict[bytes, int], np.ndarray, list[int]]:
     """Numbers of the batch's words, all texts as such numbers, each with its start and end, and how many symbols each has."""
-    ids = {START: 0, END: 1, NONE: 2}
+    ids = _Numbers({START: 0, END: 1, NONE: 2})
     seq, sizes = array("i"), []
     for data in batch.column("data"):
         words = words_of(data.as_py())
         seq.append(0)
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                i = ids[w] = len(ids)
-            seq.append(i)
+        seq.extend(map(ids.__getitem__, words))
         seq.append(1)
         sizes.append(len(words) + 1)
     return ids, np.frombuffer(seq, dtype=np.int32), sizes
