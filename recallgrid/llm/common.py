@@ -57,7 +57,8 @@ def row_id(docs: DataFrame) -> DataFrame:
         docs = stored(docs, "rows")
         files = docs.select(F.col("_metadata.file_path").alias("f")).distinct()
     names = sorted(r["f"] for r in files.collect())  # a name per file, as the scan itself holds
-    places = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "__f string, __first long")
+    table = pa.table({"__f": pa.array(names, pa.string()), "__first": pa.array([i << 40 for i in range(len(names))], pa.int64())})
+    places = docs.sparkSession.createDataFrame(table)  # as a local relation, so that equal plans share their exchange
     numbered = docs.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__row"))
     return numbered.join(F.broadcast(places), "__f").withColumn("__rid", F.col("__first") + F.col("__row")).drop("__f", "__first", "__row")
 
