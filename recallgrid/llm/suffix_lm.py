@@ -319,6 +319,46 @@ def _scores(hot, total: int, kinds: int, bar: float):
 SUMS = "base long, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, gain array<float>, known array<int>"
 
 
+def _task_sums(most: int = 64 << 20):
+    """Adds up the sums that a task's buckets give for a batch of documents, so that less is shuffled where a task has several
+    buckets; passed on before they take ``most`` bytes. Documents' own rows pass as they are."""
+    kinds = (("base_sum", np.float64), ("gain", np.float32), ("known", np.int32))
+
+    def run(batches):
+        sums: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def rows():
+            for base, values in sums.items():
+                span = np.array([0, len(values[0])])
+                none = {c: pa.nulls(1, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
+                yield record_batch({"base": pa.array([base], pa.int64())} | none | {c: list_array(pa.array(x), span) for (c, _), x in zip(kinds, values)})
+
+        for batch in batches:
+            own = batch.filter(pc.is_valid(batch.column("doc_id")))
+            if own.num_rows:
+                yield own
+            batch = batch.filter(pc.is_null(batch.column("doc_id")))
+            for i, base in enumerate(batch.column("base").to_pylist()):
+                new = [batch.column(c)[i].values.to_numpy() for c, _ in kinds]
+                old = sums.get(base)
+                if old is None:
+                    sums[base] = [x.copy() for x in new]
+                    size += 16 * len(new[0])
+                elif len(old[0]) >= len(new[0]):
+                    for x, y in zip(old, new):
+                        x[: len(y)] += y
+                else:
+                    size += 16 * (len(new[0]) - len(old[0]))
+                    sums[base] = [np.concatenate([x + y[: len(x)], y[len(x) :]]) for x, y in zip(old, new)]
+            if size > most:
+                yield from rows()
+                sums, size = {}, 0
+        yield from rows()
+
+    return run
+
+
 def _totals(batches):
     """Rows sorted by batch: adds up a batch's sums and gives its documents."""
     base, own, sums = None, None, {}
@@ -381,7 +421,7 @@ def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: flo
     answers = answers.join(pairs, ["u", "w"], "left") if dealt else answers.withColumn("n", F.lit(0).cast("long"))
     answers = answers.select("bucket", "u", "w", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n", "c")))
     sums = postings.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(hot_words, total, kinds, bar), SUMS)
-    each = map_arrow(sums.repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_tokens long, held boolean, base_sum double, gain double, known long")
+    each = map_arrow(map_arrow(sums, _task_sums(), SUMS).repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_tokens long, held boolean, base_sum double, gain double, known long")
     n = F.col("n_tokens")
     base = F.col("base_sum") + float(np.log10(ends + 1)) - n * float(np.log10(total + kinds + 1))
     return each.select(
