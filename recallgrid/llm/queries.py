@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, minhash, packing, quality, simhash, suffix_dedup, suffix_lm, token_counts, toxicity
+from . import ann, bpe, decontaminate, minhash, packing, quality, repair, search, simhash, suffix_dedup, suffix_lm, token_counts, toxicity
 from .common import read
 
 
@@ -55,8 +55,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.with_all(repair.repair(repair.damaged(conversations)), conversations)
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contaminated_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), window=10))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op8_ann, op9_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_simhash, op4_suffix_lm, op5_suffix_dedup, op6_packing, op7_token_counts, op8_ann, op9_toxicity, op10_minhash, op11_search, op12_repair, op13_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
