@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from .tables import inverted_index
-
 
 def chunked(docs: DataFrame, size: int) -> DataFrame:
     """(artifact_id, ordinal, byte_offset, bytes, chunk_hash) of the distinct texts as bytes; the id is the whole's hash."""
@@ -40,49 +37,3 @@ def read_ranges(requests: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     tail = F.regexp_replace(head, "((C|D)[0-9A-F]|E[0-9A-F](([89AB][0-9A-F])?)|F[0-9A-F](([89AB][0-9A-F]){0,2}))$", "")
     aligned = F.when(F.length(tail) % 2 == 0, tail).otherwise(head)
     return whole.select("artifact_id", "start", "length", F.unhex(aligned).cast("string").alias("text"))
-
-
-def _met_at_rarest(queries: DataFrame, docs: DataFrame, keep) -> DataFrame:
-    """(query_id, doc_id): documents with one of the ``keep(n)`` rarest of a query's n terms; all others can be left out."""
-    asked = queries.select("query_id", F.explode("qs").alias("term"))
-    index = inverted_index(docs, tx.terms(F.col("text")), asked.select("term")).select("term", "doc_id")
-    known = asked.join(index.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    w = Window.partitionBy("query_id")
-    rare = known.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("df", "term"))).where(F.col("k") <= keep(F.col("n")))
-    return rare.select("query_id", "term").join(index, "term").select("query_id", "doc_id").distinct()
-
-
-def anchored(queries: DataFrame, docs: DataFrame, most: int, *, before: int = 240, after: int = 1000) -> DataFrame:
-    """(query_id, doc_id, exact, coverage, place, window_hash): the ``most`` best documents (doc_id, text) of each query (query_id,
-    text). Its exact words, case aside, come before all else, then the share of its terms; less than half is no match.
-    The window is around the exact words, else around the first term found."""
-    q = queries.select("query_id", F.lower("text").alias("phrase"), tx.terms(F.col("text")).alias("qs")).where(F.size("qs") > 0)
-    pairs = _met_at_rarest(q, docs, lambda n: n - F.ceil(n / 2) + 1)
-    m = pairs.join(docs.select("doc_id", F.lower("text").alias("t"), tx.terms(F.col("text")).alias("ts")), "doc_id").join(q, "query_id")
-    found = F.array_intersect("qs", "ts")
-    m = m.withColumn("found", found).where(F.size("found") * 2 >= F.size("qs"))
-    exact = F.contains(F.col("t"), F.col("phrase"))
-    at = lambda x: F.call_function("locate", x, F.col("t"))
-    m = m.withColumn("exact", exact).withColumn("coverage", F.size("found") / F.size("qs"))
-    m = m.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("coverage"), "doc_id"))).where(F.col("n") <= most)
-    m = m.withColumn("place", F.when(F.col("exact"), at(F.col("phrase"))).otherwise(F.array_min(F.transform("found", at))))
-    window = F.substring("t", F.greatest(F.lit(1), F.col("place") - before), F.lit(before + after))
-    return m.select("query_id", "doc_id", "exact", F.round("coverage", 6).alias("coverage"), "place", F.sha2(window, 256).alias("window_hash"))
-
-
-def searched(queries: DataFrame, docs: DataFrame, most: int, *, size: int = 1 << 20, carry: int = 2048, before: int = 240, after: int = 760) -> DataFrame:
-    """(query_id, doc_id, place, byte_offset, window_hash): places where a stretch of a document holds all terms of a query.
-
-    Texts are read in chunks of ``size`` characters, each led by the last ``carry`` characters of the chunk before. A
-    chunk with all terms gives a window around the first; the ``most`` first places of a document stay, each once.
-    """
-    q = queries.select("query_id", tx.terms(F.col("text")).alias("qs")).where(F.size("qs") > 0)
-    pairs = _met_at_rarest(q, docs, lambda n: F.lit(1)).join(docs.select("doc_id", F.lower("text").alias("t")), "doc_id").join(q, "query_id")
-    pairs = pairs.where(F.forall("qs", lambda x: F.contains(F.col("t"), x)))
-    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.char_length("t"), F.lit(1)) - 1) / size).cast("int"))
-    c = pairs.select("*", F.explode(chunks).alias("chunk")).withColumn("first", F.greatest(F.lit(0), F.col("chunk") * size - carry))
-    c = c.withColumn("part", F.substring("t", F.col("first") + 1, F.col("chunk") * size + size - F.col("first"))).where(F.forall("qs", lambda x: F.contains(F.col("part"), x)))
-    c = c.withColumn("place", F.col("first") + F.array_min(F.transform("qs", lambda x: F.call_function("locate", x, F.col("part")))))
-    c = c.dropDuplicates(["query_id", "doc_id", "place"]).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("place"))).where(F.col("n") <= most)
-    window = F.substring("t", F.greatest(F.lit(1), F.col("place") - before), F.lit(before + after))
-    return c.select("query_id", "doc_id", "place", F.octet_length(F.substring("t", F.lit(1), F.col("place") - 1)).alias("byte_offset"), F.sha2(window, 256).alias("window_hash"))

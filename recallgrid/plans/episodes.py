@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import artifacts as af
+from ..operators import substrings as ss
 from .registry import register
 from .tables import EPISODES, episode_events, table
-from .text import _TERMS
 
 
 @register(f"""WITH {EPISODES}, c AS (SELECT *, sha256(concat(user_id, ':', day, ':', seq)) AS id, max(CASE WHEN kind = 'tool_call' THEN seq END) OVER (PARTITION BY user_id, day ORDER BY seq) AS call FROM episode_events)
@@ -78,15 +77,16 @@ def e9_byte_ranges(spark, sf_dir):
     return af.read_ranges(asked, c, 1024)
 
 
-@register(f"""WITH q AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS qs FROM benchmark), d AS (SELECT doc_id, lower(text) AS t, {_TERMS.format('text')} AS ts FROM documents),
-p AS (SELECT query_id, doc_id, t, qs FROM q, d WHERE len(qs) > 0 AND list_has_all(ts, [list_sort(qs)[1]]) AND len(list_filter(qs, lambda x: NOT contains(t, x))) = 0),
-c AS (SELECT *, unnest(range(0, CAST(floor((greatest(length(t), 1) - 1) / 600) AS BIGINT) + 1)) AS chunk FROM p), f AS (SELECT *, greatest(0, chunk * 600 - 300) AS first FROM c), r AS (SELECT *, substr(t, first + 1, chunk * 600 + 600 - first) AS part FROM f),
-m AS (SELECT DISTINCT query_id, doc_id, t, first + list_min(list_transform(qs, lambda x: position(x IN part))) AS place FROM r WHERE len(list_filter(qs, lambda x: NOT contains(part, x))) = 0)
-SELECT query_id, doc_id, place, strlen(substr(t, 1, place - 1)) AS byte_offset, sha256(substr(t, greatest(1, place - 240), 1000)) AS window_hash FROM m QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY place) <= 8""")
+@register("""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS qs FROM benchmark),
+p AS (SELECT query_id, doc_id, text, qs FROM q, documents WHERE len(qs) > 0 AND len(list_filter(qs, lambda x: NOT contains(lower(text), x))) = 0),
+c AS (SELECT *, unnest(range(0, CAST(floor((greatest(length(text), 1) - 1) / 600) AS BIGINT) + 1)) AS chunk FROM p), f AS (SELECT *, greatest(0, chunk * 600 - 300) AS first FROM c), r AS (SELECT *, substr(text, first + 1, chunk * 600 + 600 - first) AS part FROM f),
+m AS (SELECT *, list_min(list_transform(qs, lambda x: position(x IN lower(part)))) - 1 AS place FROM r WHERE len(list_filter(qs, lambda x: NOT contains(lower(part), x))) = 0),
+w AS (SELECT *, greatest(0, place - 240) AS a, least(length(part), place + 760) AS b FROM m QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk) <= 8)
+SELECT query_id, doc_id, CAST(chunk AS INT) AS chunk, strlen(substr(text, 1, first + a)) AS byte_start, strlen(substr(text, 1, first + b)) AS byte_end, sha256(substr(part, a + 1, b - a)) AS window_hash FROM w""")
 def e21_artifact_search(spark, sf_dir):
-    """Where a stretch of a text holds all terms of a query; texts are read in chunks of 600 characters."""
+    """Where a stretch of a text holds all terms of a query, anywhere; texts are read in chunks of 600 characters."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return af.searched(q, table(spark, sf_dir, "documents"), 8, size=600, carry=300)
+    return ss.all_terms(q, table(spark, sf_dir, "documents"), 8, size=600, carry=300)
 
 
 @register(f"""WITH {EPISODES}, c AS (SELECT *, max(CASE WHEN kind = 'tool_call' THEN event_id END) OVER (PARTITION BY user_id, day ORDER BY seq) AS parent FROM episode_events), r AS (SELECT user_id, day, event_id AS id FROM c WHERE failed UNION SELECT user_id, day, parent FROM c WHERE failed AND parent IS NOT NULL),
