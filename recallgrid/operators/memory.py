@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 
 
 def reinforced(records: DataFrame) -> DataFrame:
@@ -37,35 +37,63 @@ def first_and_lead(proposals: DataFrame, key: str, score: str, tie: str, margin:
     return ranked.withColumn("ambiguous", F.coalesce(F.col(score) - F.col("next") < margin, F.lit(False))).drop("r", "next")
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of an undirected edge table (a, b): the least node that links reach. Every round each node takes the
-    least root around it and then its root's root; rounds are checkpointed."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    now = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
-    for _ in range(most_rounds):
-        near = both.join(now.toDF("other", "seen"), "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        least = now.join(near, "node").select("node", F.least("root", "seen").alias("root"))
-        hop = least.toDF("root", "further")
-        after = checkpointed(least.join(hop, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")))
-        if after.join(now.toDF("node", "was"), "node").where("root <> was").isEmpty():
-            return after
-        now = after
-    raise RuntimeError(f"links aren't settled after {most_rounds} rounds")
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of an undirected edge table (a, b): the least node that links reach; loops and nulls are dropped. Every round
+    hangs each node's larger neighbours, then all its smaller ones, under its least one, so edges don't grow in number and rounds
+    follow the logarithm of a component's size; it ends when nothing moves."""
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    now, before = written(edges.where("a <> b").select(high.alias("u"), low.alias("v")).distinct(), "links"), None
+    while (state := tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != before and state[0]:
+        both = now.union(now.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(least)
+        now, before = written(small.distinct(), "links"), state
+    return now.union(now.select("v", "v").distinct()).toDF("node", "root")
+
+
+def eliminated(edges: DataFrame, *, fill: int = 8, seed: int = 3) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of the edges (a, b) when tasks are taken out one independent set a round, and the needs of each set's tasks.
+
+    A task taken out hands its needs to those that need it, so cycles stay as they are. Tasks are taken while that adds no
+    more than ``fill`` edges: ends and chains of all kinds, and whatever has few edges, so a long graph shrinks by a share of
+    its tasks each round. Among neighbours those without needs go first, then the least hash. A task that needs itself
+    keeps one edge to null, which stands for a cycle. What is left has no end: all of it leads into a cycle.
+    """
+    left, gone = written(edges.select("a", "b").distinct(), "needs"), []
+    while True:
+        left = left.select("a", F.nullif("b", "a").alias("b"))
+        closed = left.where("b IS NULL").select("a").distinct()
+        left = left.join(closed, "a", "left_anti").unionByName(closed.withColumn("b", F.lit(None).cast(left.schema["b"].dataType)))
+        outs = left.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("outs"))
+        ins = left.where("b IS NOT NULL").groupBy(F.col("b").alias("v")).agg(F.count("*").alias("ins"))
+        nodes = outs.join(ins, "v", "full_outer").fillna(0)
+        rank = F.struct((F.col("outs") > 0).alias("goes_on"), F.xxhash64("v", F.lit(seed + len(gone))).alias("h"), "v")
+        may = nodes.where(F.col("ins") * F.col("outs") <= F.col("ins") + F.col("outs") + fill).select("v", rank.alias("rank"))
+        sides = left.where("b IS NOT NULL")
+        sides = sides.union(sides.select("b", "a")).toDF("v", "near").join(may.toDF("near", "rank"), "near").groupBy("v").agg(F.min("rank").alias("least"))
+        chosen = written(may.join(sides, "v", "left").where("least IS NULL OR rank < least").select("v"), "chosen")
+        if chosen.isEmpty():
+            return left, gone
+        from_chosen = written(left.join(chosen.toDF("a"), "a", "left_semi"), "needs")
+        rest = left.join(chosen.toDF("a"), "a", "left_anti")
+        kept = rest.join(chosen.toDF("b"), "b", "left_anti").select("a", "b")
+        bridged = rest.join(chosen.toDF("b"), "b", "left_semi").join(from_chosen.toDF("b", "then"), "b").select("a", F.col("then").alias("b"))
+        left = written(kept.union(bridged).distinct(), "needs")
+        gone.append(from_chosen)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Edges (task, needs) that stand in or behind a cycle. Every round drops the needs that have none of their own, and lets a
-    need that itself has but one stand for that one, so chains shrink by half; it ends when nothing is dropped."""
-    edges = checkpointed(edges.select("task", "needs").distinct())
-    left, count = edges, edges.count()
-    while count:
-        single = left.groupBy(F.col("task").alias("needs")).agg(F.count("*").alias("n"), F.min("needs").alias("then"))
-        met = left.join(single, "needs").select("task", F.when((F.col("n") == 1) & (F.col("then") != F.col("task")), F.col("then")).otherwise(F.col("needs")).alias("needs"))
-        kept = checkpointed(met.distinct())
-        if kept.count() == count:
-            break
-        left, count = kept, kept.count()
-    return edges.join(left.select(F.col("task").alias("needs")).distinct(), "needs", "left_semi").select("task", "needs")
+    """Edges (task, needs) that stand in or behind a cycle: those whose need leads into one. Tasks are taken out by rounds, see
+    ``eliminated``; then, last round first, a task leads into a cycle if one of the needs that it had then does."""
+    edges = written(edges.select("task", "needs").dropna().distinct(), "needs")
+    left, gone = eliminated(edges.toDF("a", "b"))
+    into = written(left.select("a").distinct(), "into")
+    for needs in reversed(gone):
+        met = needs.join(into.select(F.col("a").alias("b"), F.lit(True).alias("met")), "b", "left").where("met OR b IS NULL").select("a")
+        into = written(into.union(met).distinct(), "into")
+    return edges.join(into.toDF("needs"), "needs", "left_semi").select("task", "needs")
 
 
 def follow(next_edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import similarity as sm
 from .registry import register
 from .tables import EPISODES, RECORDS, episode_events, records, table
 from .text import _WORDS
@@ -21,15 +22,14 @@ def l3_scope_ceiling(spark, sf_dir):
 
 @register(f"""WITH {RECORDS}, t AS (SELECT id, ns, {_WORDS.format("content || CASE WHEN turn % 3 = 0 THEN '' ELSE ' again' END")} AS ts FROM records WHERE role = 'user'),
 p AS (SELECT a.id, b.id AS other, len(list_intersect(a.ts, b.ts)) / greatest(len(a.ts), len(b.ts)) AS o FROM t a JOIN t b ON a.ns = b.ns AND b.id < a.id WHERE len(list_intersect(a.ts, b.ts)) > 0)
-SELECT id, arg_max(other, o * 1000000 - other / 1000000.0) AS same_as, round(max(o), 6) AS overlap, max(o) >= 0.65 AS merges FROM p GROUP BY id""")
+SELECT t.id, arg_max(other, o * 1000000 - other / 1000000.0) AS same_as, round(max(o), 6) AS overlap, max(o) IS NOT NULL AS merges FROM t LEFT JOIN (FROM p WHERE o >= 0.65) p USING (id) GROUP BY t.id""")
 def l4_near_duplicate_merge(spark, sf_dir):
-    """L4: the earlier statement of a scope that shares most words; two thirds make them one. Statements meet at shared words."""
+    """L4: the earlier statement of a scope that shares two thirds of the words, the nearest first, and whether there is one."""
     content = F.concat("content", F.when(F.col("turn") % 3 == 0, "").otherwise(" again"))
-    t = records(spark, sf_dir).where("role = 'user'").select("id", "ns", tx.lexical_terms(content).alias("ts"))
-    e = t.select("id", "ns", F.size("ts").alias("n"), F.explode("ts").alias("w"))
-    p = e.join(e.select(F.col("id").alias("other"), "ns", F.col("n").alias("m"), "w"), ["ns", "w"]).where("other < id").groupBy("id", "other", "n", "m").agg(F.count("*").alias("k"))
-    p = p.withColumn("o", F.col("k") / F.greatest("n", "m"))
-    return p.groupBy("id").agg(F.max_by("other", F.struct("o", -F.col("other"))).alias("same_as"), F.round(F.max("o"), 6).alias("overlap"), (F.max("o") >= 0.65).alias("merges"))
+    t = records(spark, sf_dir).where("role = 'user'").select("id", "ns", tx.lexical_terms(content).alias("terms"))
+    p = sm.similar(t, t, 0.65, of="larger", within=["ns"], only="other < id").withColumn("o", F.col("shared") / F.greatest("n", "m"))
+    best = p.groupBy("id").agg(F.max_by("other", F.struct("o", -F.col("other"))).alias("same_as"), F.round(F.max("o"), 6).alias("overlap"))
+    return t.select("id").join(best, "id", "left").withColumn("merges", F.col("overlap").isNotNull())
 
 
 _CAND = """c AS (SELECT user_id, event_type, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days, max(value) AS confidence, min(event_id) AS first_seen, max(event_id) AS last_seen, least(1, 0.4 + 0.15 * count(*)) AS utility FROM events GROUP BY ALL)"""
@@ -104,17 +104,15 @@ def l15_reusable(spark, sf_dir):
 
 @register(f"""WITH {RECORDS}, t AS (SELECT id, {_WORDS.format('content')} AS ts FROM records WHERE role = 'user'), c AS (SELECT item_id AS topic, {_WORDS.format('text')} AS cs FROM benchmark),
 m AS (SELECT id, topic, len(list_intersect(ts, cs)) / least(len(ts), len(cs)) AS sim FROM t, c WHERE len(list_intersect(ts, cs)) > 0), b AS (SELECT id, arg_max(topic, round(sim, 9) * 1000000 - topic / 1000000.0) AS topic, max(sim) AS sim FROM m GROUP BY id),
-a AS (SELECT t.id, CASE WHEN sim >= 0.25 THEN topic END AS topic, coalesce(sim, 0) AS sim FROM t LEFT JOIN b USING (id))
+a AS (SELECT t.id, CASE WHEN sim >= 0.25 THEN topic END AS topic, CASE WHEN sim >= 0.25 THEN sim ELSE 0 END AS sim FROM t LEFT JOIN b USING (id))
 SELECT topic, count(*) AS n, round(avg(sim), 6) AS mean, round(var_pop(sim) * count(*), 6) AS m2, count(*) >= 2 AND avg(sim) >= 0.35 AS active FROM a GROUP BY topic""")
 def l16_topics(spark, sf_dir):
     """Texts assigned to a frozen topic catalogue by shared words, and each topic's running statistics."""
     t = records(spark, sf_dir).where("role = 'user'").select("id", tx.lexical_terms(F.col("content")).alias("ts"))
     c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), tx.lexical_terms(F.col("text")).alias("cs"))
-    one = t.select("id", F.size("ts").alias("n"), F.explode("ts").alias("w"))
-    m = one.join(c.select("topic", F.size("cs").alias("k"), F.explode("cs").alias("w")), "w").groupBy("id", "topic", "n", "k").agg(F.count("*").alias("s"))
-    m = m.withColumn("sim", F.col("s") / F.least("n", "k"))
-    b = m.groupBy("id").agg(F.max_by("topic", F.struct(F.round("sim", 9), -F.col("topic"))).alias("best"), F.max("sim").alias("sim"))
-    a = t.select("id").join(b, "id", "left").select(F.when(F.col("sim") >= 0.25, F.col("best")).alias("topic"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    m = sm.similar(t.withColumnRenamed("ts", "terms"), c.toDF("id", "terms"), 0.25, of="smaller").withColumn("sim", F.col("shared") / F.least("n", "m"))
+    b = m.groupBy("id").agg(F.max_by("other", F.struct(F.round("sim", 9), -F.col("other"))).alias("best"), F.max("sim").alias("sim"))
+    a = t.select("id").join(b, "id", "left").select(F.col("best").alias("topic"), F.coalesce("sim", F.lit(0.0)).alias("sim"))
     return a.groupBy("topic").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.var_pop("sim") * F.count("*"), 6).alias("m2"), ((F.count("*") >= 2) & (F.avg("sim") >= 0.35)).alias("active"))
 
 
