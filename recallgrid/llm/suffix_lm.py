@@ -35,7 +35,7 @@ END, START, NONE = b"\n", b"\n\n", b"\n\n\n"  # no word holds a line feed
 #: Positions that a bucket is to hold, and how often a word may occur before it is dealt out; no more than 2^20 words can.
 BUCKET, HOT, MOST_HOT = 2_000_000, 1_000_000, 1 << 20
 POSTINGS = "bucket int, base long, blob binary, doc_id array<long>, n_tokens array<long>, held array<boolean>"
-WIDTH = 21  # bits of a word's place in a bucket's dictionary
+WIDTH = 21  # bits of a word's place in a bucket's dictionary, so that three fit one number; larger dictionaries take two steps
 
 
 def fold(doc_id: int | None, parts: int) -> int:
@@ -191,31 +191,42 @@ class Bucket:
     """The positions of one bucket: dictionary of hashes, distinct (word before, word before that, word) with their training
     counts, and which of them each position is."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, width: int = WIDTH):
         table = table.sort_by("base")
         blobs = [(base.as_py(), *_unpack(blob.as_py())) for base, blob in zip(table.column("base"), table.column("blob")) if blob.is_valid]
         self.names = np.unique(np.concatenate([b[1] for b in blobs])) if blobs else np.empty(0, dtype=np.int64)
-        if len(self.names) >= 1 << WIDTH:
-            raise ValueError("a bucket holds too many different words")
-        key = np.empty(sum(len(b[2][0]) for b in blobs), dtype=np.int64)
-        taught = np.empty(len(key), dtype=bool)
+        n = sum(len(b[2][0]) for b in blobs)
+        key, wide = np.empty(n, dtype=np.int64), None
+        if len(self.names) >= 1 << width:  # three places don't fit one number: contexts are numbered first
+            wide = np.empty(n, dtype=np.int32)
+        taught = np.empty(n, dtype=bool)
         self.spans, end = [], 0
         while blobs:
             base, names, (u, t, w, step, out) = blobs.pop(0)
             place, a, end = np.searchsorted(self.names, names), end, end + len(u)
-            key[a:end] = place[u] << 2 * WIDTH | place[t] << WIDTH | place[w]
+            if wide is None:
+                key[a:end] = place[u] << 2 * width | place[t] << width | place[w]
+            else:
+                key[a:end], wide[a:end] = place[u] << 32 | place[t], place[w]
             taught[a:end] = out == 0
             self.spans.append((base, a, end, np.cumsum(step.astype(np.int32))))
-        self.key, which = np.unique(key, return_inverse=True)
-        self.which = which.astype(np.int32)
-        del key, which
+        if wide is None:
+            self.key, which = np.unique(key, return_inverse=True)
+            mask = (1 << width) - 1
+            u, self.t, w = self.key >> 2 * width, (self.key >> width & mask).astype(np.int32), self.key & mask
+            self.context = self.key >> width
+        else:
+            contexts, key = np.unique(key, return_inverse=True)
+            self.key, which = np.unique(key.astype(np.int64) << 32 | wide, return_inverse=True)
+            self.context, w = self.key >> 32, self.key & 0xFFFFFFFF
+            u, self.t = contexts[self.context] >> 32, (contexts[self.context] & 0xFFFFFFFF).astype(np.int32)
+        self.u, self.which = u.astype(np.int32), which.astype(np.int32)
+        del key, which, wide
         self.n = np.bincount(self.which[taught], minlength=len(self.key))
-        mask = (1 << WIDTH) - 1
-        self.u, self.t = (self.key >> 2 * WIDTH).astype(np.int32), (self.key >> WIDTH & mask).astype(np.int32)
-        self.pair_key, pair = np.unique(self.key >> 2 * WIDTH << WIDTH | self.key & mask, return_inverse=True)
+        self.pair_key, pair = np.unique(u << 32 | w, return_inverse=True)
         self.pair = pair.astype(np.int32)
         self.pair_n = np.bincount(self.pair, self.n, minlength=len(self.pair_key)).astype(np.int64)
-        self.pair_u, self.pair_w = (self.pair_key >> WIDTH).astype(np.int32), (self.pair_key & mask).astype(np.int32)
+        self.pair_u, self.pair_w = (self.pair_key >> 32).astype(np.int32), (self.pair_key & 0xFFFFFFFF).astype(np.int32)
 
     def place(self, name: bytes) -> int:
         h = hashed([name])[0]
@@ -223,12 +234,12 @@ class Bucket:
         return i if i < len(self.names) and self.names[i] == h else -1
 
 
-def _requests(hot):
+def _requests(hot, width: int):
     """What a bucket asks for, as rows (bucket, u, w): the count of each w that a word keeps, with u null, and the counts of the
     pairs of words that are dealt out."""
 
     def run(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
+        b = Bucket(table, width)
         dealt = np.isin(b.names, hot.value)[b.pair_u] if len(b.pair_u) else np.empty(0, dtype=bool)
         asked = b.names[np.unique(b.pair_w[~dealt & (b.pair_n >= 2)])]
         u, w = b.names[b.pair_u[dealt]], b.names[b.pair_w[dealt]]
@@ -265,13 +276,13 @@ def _grown(c: np.ndarray, group: np.ndarray, groups: int, below: np.ndarray, bar
     return np.where(retained[group], ratio, 0.0)
 
 
-def _scores(hot, total: int, kinds: int, bar: float):
+def _scores(hot, total: int, kinds: int, bar: float, width: int):
     """A bucket's positions and the counts it asked for to sums a document of its batches: of the base's logarithms of counts, of
     what contexts add, and of known words."""
     unit = total + kinds + 1
 
     def run(table: pa.Table, values: pa.Table) -> pa.Table:
-        b, d = Bucket(table), hot.value
+        b, d = Bucket(table, width), hot.value
         own = {c: table.column(c) for c in ("base", "doc_id", "n_tokens", "held")}
         lead = pa.table({c: x.filter(pc.is_valid(own["doc_id"])) for c, x in own.items()})
         for c, kind in (("base_sum", pa.float64()), ("gain", pa.float32()), ("known", pa.int32())):
@@ -290,13 +301,13 @@ def _scores(hot, total: int, kinds: int, bar: float):
                 frequency[dealt] = d.counts[np.searchsorted(d.names, names[dealt])]
                 pairs = values.filter(pc.is_valid(values.column("u")))
                 u, w, n, c = (pairs.column(x).to_numpy() for x in ("u", "w", "n", "c"))
-                at, own_u = np.searchsorted(b.pair_key, np.searchsorted(names, u) << WIDTH | np.searchsorted(names, w)), np.searchsorted(d.names, u)
+                at, own_u = np.searchsorted(b.pair_key, np.searchsorted(names, u) << 32 | np.searchsorted(names, w)), np.searchsorted(d.names, u)
                 size, once, p0, kept = d.size[own_u], d.once[own_u], (c + 1) / unit, n >= 2
                 share = np.where(kept, (np.where(kept, n, 0) + (once + 1) * p0) / (size + 1) / p0, (once + 1) / (size + 1))
                 ratio[at], below[at] = np.where(d.retained[own_u], np.log(share), 0.0), p0
             # second level: the suffix's probability of a kept symbol is below * exp(ratio)
             suffix = (below * np.exp(ratio))[b.pair]
-            context = b.key >> WIDTH
+            context = b.context
             first = np.flatnonzero(np.diff(context, prepend=-1))
             group = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
             more = _grown(b.n, group, len(first), suffix, bar)
@@ -392,14 +403,14 @@ def _totals(batches):
         yield rows()
 
 
-def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: float = 0.3, bucket: int = BUCKET, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: float = 0.3, bucket: int = BUCKET, hot: int = HOT, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Texts are scored by what the rows with crc32(doc_id) mod parts other than ``held`` teach. Null texts are empty: one
     token, the end. Null ids count as an empty id, so they train. Repeated rows are scored and counted apart; other
     columns are ignored; an empty table gives no rows; with nothing to train on nothing is known. Words are told apart by
     64-bit hashes; what contexts add is summed in single precision a bucket. ``cost`` is what a kept symbol has to earn, in units of half the logarithm of the training tokens.
-    ``bucket`` and ``hot`` only say where the work is done: results don't depend on them.
+    ``bucket``, ``hot`` and ``width`` only say where and how the work is done: results don't depend on them.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("data"))
@@ -417,10 +428,10 @@ def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: flo
     columns = zip(*[(h, dealt[h], *shapes.get(h, (0, 0, False))) for h in sorted(dealt)]) if dealt else [[]] * 5
     hot_words = spark.sparkContext.broadcast(Dealt(*(np.array(x, dtype=k) for x, k in zip(columns, (np.int64, np.int64, np.int64, np.int64, bool)))))
     postings = map_arrow(with_place(picked, "doc_id", "data"), _postings(names, buckets, parts, held), POSTINGS)
-    answers = postings.groupBy("bucket").applyInArrow(_requests(names), "bucket int, u long, w long").join(words, "w", "left")
+    answers = postings.groupBy("bucket").applyInArrow(_requests(names, width), "bucket int, u long, w long").join(words, "w", "left")
     answers = answers.join(pairs, ["u", "w"], "left") if dealt else answers.withColumn("n", F.lit(0).cast("long"))
     answers = answers.select("bucket", "u", "w", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n", "c")))
-    sums = postings.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(hot_words, total, kinds, bar), SUMS)
+    sums = postings.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(hot_words, total, kinds, bar, width), SUMS)
     each = map_arrow(map_arrow(sums, _task_sums(), SUMS).repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_tokens long, held boolean, base_sum double, gain double, known long")
     n = F.col("n_tokens")
     base = F.col("base_sum") + float(np.log10(ends + 1)) - n * float(np.log10(total + kinds + 1))

@@ -283,11 +283,11 @@ def scores_by_rule(docs, cost):
     return [(i, sum(np.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))) for i, s in texts], sums, retained
 
 
-@pytest.mark.parametrize(("bucket", "hot"), [(10**6, 10**6), (300, 10**6), (150, 12), (50, 2)])
-def test_suffix_tree_equals_plain_dictionaries(docs, bucket, hot):
+@pytest.mark.parametrize(("bucket", "hot", "width"), [(10**6, 10**6, 21), (10**6, 10**6, 3), (300, 10**6, 21), (150, 12, 4), (50, 2, 21)])
+def test_suffix_tree_equals_plain_dictionaries(docs, bucket, hot, width):
     expected, sums, retained = scores_by_rule(pairs(docs), 0.3)
     assert np.allclose(sums, 1) and {len(c) for c in retained} == {1, 2}
-    got = suffix_lm.score_documents(docs, bucket=bucket, hot=hot).collect()
+    got = suffix_lm.score_documents(docs, bucket=bucket, hot=hot, width=width).collect()
     got, expected = (sorted(x, key=key) for x in ([(r["doc_id"], r["score"]) for r in got], expected))
     assert [i for i, _ in got] == [i for i, _ in expected] and np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-6, atol=1e-4)
 
