@@ -111,22 +111,6 @@ def test_replay_matches_a_plain_loop(spark):
     assert policy.accepted({0: (0.5, 0.5, 0.1), 1: (0.9, 0.5, 0)}) is None
 
 
-def test_stream_fold_equals_batch(spark, tmp_path):
-    random.seed(3)
-    kinds = ["goal", "steering", "hypothesis", "recall", "tool_result", "verification", "tool_call"]
-    rows = [(u, s, u * 100 + s, random.choice(kinds), random.random() < 0.4, f"tool{random.randint(0, 2)} err", random.choice([None, 1, 2]), random.choice([None, 1, 2]), random.choice([None, u * 100 + s - 1])) for u in range(4) for s in range(60)]
-    events = spark.createDataFrame(rows, "user_id long, seq int, event_id long, kind string, failed boolean, text string, task long, call long, target long").selectExpr("user_id", "date'2024-01-01' AS day", "seq", "event_id", "kind", "failed", "text", "task", "call", "target")
-    for part, (lo, hi) in enumerate(((0, 15), (15, 60))):
-        events.where(f"seq >= {lo} AND seq < {hi}").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(f"{tmp_path}/in")
-    query = folds.stream_working_states(source).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable()
-    query.stop()
-    seen = {r["user_id"]: r for r in sorted(spark.table("states").collect(), key=lambda r: r["seen"])}
-    for r in folds.working_states(events).collect():
-        assert tuple(seen[r["user_id"]]) == tuple(r)
-
-
 def test_checks_close_the_loops_that_they_resolve():
     event = lambda number, kind, failed=False, text="", **more: {"event_id": number, "kind": kind, "failed": failed, "text": text, "task": None, "call": None, "target": None} | more
     state = folds.empty_state()
