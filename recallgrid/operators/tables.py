@@ -154,31 +154,3 @@ def next_fit(items: DataFrame, order: str, tokens: str, *, most_items: int, most
             yield frame.assign(batch=np.array(out, dtype=np.int32))
 
     return items.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, f"{kinds}, batch int")
-
-
-def approximate_top(queries: DataFrame, corpus: DataFrame, k: int, *, dims: int, bands: int = 24, bits: int = 8, seed: int = 11) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k most similar of the rows that share a band with a query.
-
-    A band's value is the side of ``bits`` random planes that a vector lies on. A query also probes the values that
-    differ on one plane or two. Queries and corpus meet by band, in an equi-join, and are scored exactly; more bands find more
-    of the true neighbours. The signs come from one matrix product per Arrow batch.
-    """
-    planes = np.random.default_rng(seed).standard_normal((dims, bands * bits))
-    weights = 1 << np.arange(bits)
-    near = sorted({int(a ^ b) for a in weights for b in weights} | set(weights.tolist()))
-
-    def value(flips: list[int]):
-        @F.pandas_udf("array<string>")
-        def run(v: pd.Series) -> pd.Series:
-            sides = (np.stack(v.to_list()) @ planes > 0).reshape(len(v), bands, bits) @ weights if len(v) else []
-            return pd.Series([[f"{i}:{x ^ flip}" for i, x in enumerate(row) for flip in flips] for row in sides], dtype=object)
-
-        return run
-
-    left = queries.select("query_id", unit(F.col("v")).alias("q"), F.explode(value(near)(F.col("v"))).alias("band"))
-    right = corpus.select("doc_id", F.explode(value([0])(F.col("v"))).alias("band"))
-    met = left.select("query_id", "band").join(right, "band").select("query_id", "doc_id").distinct()
-    scored = met.join(queries.select("query_id", unit(F.col("v")).alias("q")), "query_id").join(corpus.select("doc_id", unit(F.col("v")).alias("d")), "doc_id")
-    scored = scored.select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("d")), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)

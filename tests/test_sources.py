@@ -1,13 +1,7 @@
 """Scans, delimited text, generations and approximate lanes."""
 
-from pyspark.sql import functions as F
-
-from recallgrid.operators import tables
-from recallgrid.plans import registry
 from recallgrid.sources import files
 
-FOLDER = "/root/testdata/sf0.001"
-
 
 def test_folder_scan_skips_and_fingerprints(spark, tmp_path):
     for name, text in (("a.txt", "one"), ("sub/b.md", "two"), ("node_modules/c.js", "no"), (".git/x", "no"), ("big.bin", "x" * 200)):
@@ -30,19 +24,3 @@ def test_a_new_generation_leaves_the_old(spark, tmp_path):
     files.write_generation(spark.createDataFrame([(2, "d")], "generation int, chunk string"), path)
     assert sorted(r["chunk"] for r in files.read_generation(spark, path, 1).collect()) == ["a", "b"]
     assert [r["chunk"] for r in files.read_generation(spark, path, 2).collect()] == ["d"]
-
-
-def test_approximate_lane_finds_most_neighbours(spark):
-    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    q = e.where("doc_id % 25 = 0").withColumnRenamed("doc_id", "query_id")
-    exact = {(r["query_id"], r["doc_id"]) for r in tables.top_cosine(q, e, 5).collect()}
-    near = {(r["query_id"], r["doc_id"]) for r in tables.approximate_top(q, e, 5, dims=64, bands=32, bits=6).collect()}
-    assert len(exact & near) >= 0.8 * len(exact)
-
-
-def test_registered_approximate_lane_reaches_its_recall(spark):
-    e = spark.read.parquet(f"{FOLDER}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    q = e.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    exact = {(r["query_id"], r["doc_id"]) for r in tables.top_cosine(q, e, 10).collect()}
-    near = {(r["query_id"], r["doc_id"]) for r in registry.queries()["v2_approximate_top_k"](spark, FOLDER).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
