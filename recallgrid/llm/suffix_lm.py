@@ -1,18 +1,20 @@
 """Operator 4: language-model scores by a probabilistic suffix tree over words, beside a unigram base.
 
-A text is its words, A-Z lower-cased, and an end mark. A context is the one or two words before a word; contexts don't reach
-over a text's start, which is a word of its own there. A symbol that a context was followed by at least twice is kept
-with its count; symbols met once only add to the mass that the context leaves to its suffix:
+A text is its words, A-Z lower-cased, and an end mark. A context is the last one, two, up to ``depth`` words before a word; contexts
+don't reach over a text's start, which is a word of its own there. A symbol that a context was followed by at least twice is
+kept with its count; symbols met once only add to the mass that the context leaves to its suffix:
 
-    P(w | context) = (count of w if kept + (symbols met once + 1) * P(w | suffix)) / (size of the context + 1)
+    P(w | context) = (count of w if kept + (count of symbols not kept + 1) * P(w | suffix)) / (size of the context + 1)
 
 The empty context is the unigram base. A context is retained if its distribution diverges from its suffix's by more than its
 kept symbols cost; else its suffix stands for it. So what is retained grows with the corpus. A score is the base plus, for
-each word, what the longest retained suffix of its context adds.
+each word, what the retained contexts along its longest one add.
 
-The tree is never in one place. Every position goes to the bucket of the word before it, where counts of the contexts that
-end in that word and the positions to score meet; a word too frequent for one bucket is dealt out by the word before
-it, and its own counts are gathered in a table before. Buckets ask for the counts of the symbols they keep, and answer with sums.
+Words are numbered by a dictionary of all that training holds twice or more, the most frequent ``vocabulary`` of them; other words
+are in no context and never kept, but count in the base. The tree is never in one place: every position goes to the bucket
+of the word before it, where all contexts that end in that word are counted and scored. A context too frequent for one bucket
+(hot) is gathered in a table before, and its positions are dealt out by the next word to the left, or by document where the
+context is as long as they get; their buckets ask the table for what they meet.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_place
+from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_row_id
 
-END, START, NONE = b"\n", b"\n\n", b"\n\n\n"  # no word holds a line feed
-#: Positions that a bucket is to hold, and how often a word may occur before it is dealt out; no more than 2^20 words can.
-BUCKET, HOT, MOST_HOT = 2_000_000, 1_000_000, 1 << 20
-POSTINGS = "bucket int, base long, blob binary, doc_id array<long>, n_tokens array<long>, held array<boolean>"
-WIDTH = 21  # bits of a word's place in a bucket's dictionary, so that three fit one number; larger dictionaries take two steps
+END, START = b"\n", b"\n\n"  # no word holds a line feed
+#: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts there can be.
+BUCKET, HOT, MOST_HOT = 3_000_000, 3_000_000, 1 << 20
+#: Words in the dictionary: 16 bytes each where it is broadcast.
+VOCABULARY = 1 << 21
+OTHER, FIRST = 0, 1  # codes of words that the dictionary doesn't hold, and of a text's start
+BATCH = 16 << 20
 
 
 def fold(doc_id: int | None, parts: int) -> int:
@@ -76,33 +80,30 @@ def _word_counts(parts: int, held: int, most: int = 750_000):
     return run
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, first all their low bytes, then the next ones: small numbers compress well so."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _numbers(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype=np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
-
-
-def _pack(names: list[bytes], fields: list[np.ndarray]) -> bytes:
-    """A dictionary of words, in order, and equally long columns of numbers."""
-    text, raw = b" ".join(names), b"".join(map(_planes, fields))
-    packed = pa.compress(text, codec="zstd", asbytes=True)
-    return np.array([len(text), len(packed), len(fields[0]), len(fields)], dtype="<u4").tobytes() + packed + pa.compress(raw, codec="zstd", asbytes=True)
+@dataclass
+class Dictionary:
+    """Hashes in order, the code of each, and the training counts by code. Codes go from frequent to rare. ``least`` is how often
+    training holds every word that isn't here at most."""
 
+    names: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    least: int
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The hashes of the dictionary's words, and the columns."""
-    n_text, n_packed, n, k = np.frombuffer(blob, dtype="<u4", count=4).tolist()
-    names = hashed(pa.decompress(blob[16 : 16 + n_packed], decompressed_size=n_text, codec="zstd", asbytes=True).split(b" "))
-    raw = pa.decompress(blob[16 + n_packed :], decompressed_size=4 * n * k, codec="zstd", asbytes=True)
-    return names, [_numbers(raw[4 * n * i : 4 * n * (i + 1)], n) for i in range(k)]
+    def code(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(hashes), dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
+        return np.where(self.names[at] == hashes, self.codes[at], OTHER).astype(np.int32)
 
 
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ x >> np.uint64(31)
+def dictionary(words: DataFrame, vocabulary: int, texts: int) -> Dictionary:
+    """The most frequent words (h, c) of those that occur twice or more, and the end; the start's count is that of the texts."""
+    kept = words.where("c >= 2").orderBy(F.desc("c"), "h").limit(vocabulary).toArrow()  # bounded by the parameter
+    h, c = kept.column("h").to_numpy(), kept.column("c").to_numpy()
+    at = np.argsort(h)
+    full = len(h) == vocabulary
+    return Dictionary(h[at], (at + 2).astype(np.int32), np.concatenate([[0, texts], c]).astype(np.int64), int(c[-1]) if full else 1)
 
 
 class _Numbers(dict):
@@ -113,9 +114,38 @@ class _Numbers(dict):
         return n
 
 
-def _sequence(batch: pa.RecordBatch) -> tuple[dict[bytes, int], np.ndarray, list[int]]:
-    """Numbers of the batch's words, all texts as such numbers, each with its start and end, and how many symbols each has."""
-    ids = _Numbers({START: 0, END: 1, NONE: 2})
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a context a that is followed by the word b."""
+    x = (a.view(np.uint64) ^ (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
+
+
+@dataclass
+class Positions:
+    """All symbols of a batch of texts: the code of each, its document, whether it teaches, and the words before it, nearest first;
+    OTHER where there is none, or one that isn't in the dictionary, and left of it."""
+
+    w: np.ndarray
+    doc: np.ndarray
+    taught: np.ndarray
+    before: list[np.ndarray]
+    sizes: list[int]
+    held: np.ndarray
+    hashes: np.ndarray = field(repr=False)
+
+    def keys(self) -> list[np.ndarray]:
+        """The key of the context of each length; it only depends on the words, left to right."""
+        out = []
+        for k in range(1, len(self.before) + 1):
+            key = self.before[k - 1].astype(np.int64)
+            for b in reversed(self.before[: k - 1]):
+                key = _mixed(key, b)
+            out.append(key)
+        return out
+
+
+def positions(batch: pa.RecordBatch, known: Dictionary, depth: int, parts: int, held: int) -> Positions:
+    ids = _Numbers({START: 0, END: 1})
     seq, sizes = array("i"), []
     for data in batch.column("data"):
         words = words_of(data.as_py())
@@ -123,336 +153,397 @@ def _sequence(batch: pa.RecordBatch) -> tuple[dict[bytes, int], np.ndarray, list
         seq.extend(map(ids.__getitem__, words))
         seq.append(1)
         sizes.append(len(words) + 1)
-    return ids, np.frombuffer(seq, dtype=np.int32), sizes
+    out = np.array([fold(i, parts) == held for i in batch.column("doc_id").to_pylist()])
+    s, h = np.frombuffer(seq, dtype=np.int32), hashed(ids)
+    code = known.code(h)
+    code[0] = FIRST
+    at = np.flatnonzero(s)
+    coded = code[s]
+    before, alive = [], np.ones(len(at), dtype=bool)
+    for k in range(1, depth + 1):
+        b = np.where(alive, coded[np.maximum(at - k, 0)], OTHER)
+        before.append(b)
+        alive = alive & (b != OTHER) & (b != FIRST)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return Positions(coded[at], doc, ~out[doc], before, sizes, out, h[s[at]])
 
 
-def _held(batch: pa.RecordBatch, parts: int, held: int) -> np.ndarray:
-    return np.array([fold(i, parts) == held for i in batch.column("doc_id").to_pylist()])
+def _packed(fields: list[np.ndarray]) -> bytes:
+    """Equally long columns of small numbers, their low bytes first, compressed."""
+    raw = b"".join(f.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes() for f in fields)
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _pair_counts(hot, parts: int, held: int):
-    """Counts (u, w, n) of the symbols after words that are dealt out, per batch of training documents."""
+def _unpacked(blob: bytes, fields: int, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=3 * fields * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(fields, 3, n)
+    return [(x[0].astype(np.int32) | x[1].astype(np.int32) << 8 | x[2].astype(np.int32) << 16) for x in raw]
 
-    def run(batches):
-        for batch in slices(batches, "data", 24 << 20):
-            ids, s, sizes = _sequence(batch)
-            h = hashed(ids)
-            taught = np.repeat(~_held(batch, parts, held), np.array(sizes) + 1)
-            at = np.flatnonzero((s != 0) & taught)
-            at = at[np.isin(h, hot.value)[s[at - 1]]]
-            key, n = np.unique(s[at - 1].astype(np.int64) << 32 | s[at], return_counts=True)
-            yield record_batch({"u": pa.array(h[key >> 32]), "w": pa.array(h[key & 0xFFFFFFFF]), "n": pa.array(n)})
 
-    return run
+POSTINGS = "bucket int, base long, n int, blob binary, rid array<long>, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, known array<int>"
+OWN = {"rid": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "held": pa.bool_(), "base_sum": pa.float64(), "known": pa.int32()}
+
+
+@dataclass
+class Hot:
+    """Contexts that are dealt out, by length: their keys in order, and of each the size, the count of symbols that aren't kept, and
+    whether it is retained."""
 
+    keys: list[np.ndarray] = field(default_factory=list)
+    size: list[np.ndarray] = field(default_factory=list)
+    once: list[np.ndarray] = field(default_factory=list)
+    retained: list[np.ndarray] = field(default_factory=list)
 
-def _postings(hot, buckets: int, parts: int, held: int):
-    """Per batch of documents a row for each bucket with its positions, and one with the documents' own columns."""
+    def which(self, length: int, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the hot contexts of a length, -1 for others."""
+        if length > len(self.keys) or not len(self.keys[length - 1]):
+            return np.full(len(keys), -1)
+        names = self.keys[length - 1]
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        return np.where(names[at] == keys, at, -1)
+
+
+def _postings(known, hot, only_hot: bool, buckets: int, depth: int, parts: int, held: int):
+    """Per batch of documents a row for each bucket with its positions, and, beside the cold ones, one with what is known of the
+    documents without contexts. A position whose word before isn't in the dictionary has no context and stays away."""
 
     def run(batches):
-        frequent = hot.value
-        for batch in slices(batches, "data", 24 << 20):
-            base, doc_ids = batch.column("rid")[0].as_py(), batch.column("doc_id")
-            ids, s, sizes = _sequence(batch)
-            out, h = _held(batch, parts, held), hashed(ids)
-            doc = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
-            at = np.flatnonzero(s != 0)  # every symbol; the word before it is there, the one before that may be none
-            w, u, doc = s[at], s[at - 1], doc[at]
-            t = np.where(u == 0, 2, s[np.maximum(at - 2, 0)])
-            dealt = np.isin(h, frequent)[u]
-            key = np.where(dealt, _mixed(h[u], np.where(u == 0, h[w], h[t])), h.view(np.uint64)[u])
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
+        words, dealt = known.value, hot.value
+        logs = np.log10(words.counts + 1)
+        for batch in slices(batches, "data", BATCH):
+            p = positions(batch, words, depth, parts, held)
+            base, keys = batch.column("rid")[0].as_py(), p.keys()
+            spread, is_hot = keys[0], dealt.which(1, keys[0]) >= 0
+            if only_hot:
+                deeper = is_hot
+                for k in range(1, depth + 1):
+                    further = keys[k] if k < depth else _mixed(keys[k - 1], p.doc + np.int32(base & 0xFFFFFF))
+                    spread = np.where(deeper, further, spread)
+                    deeper = deeper & (dealt.which(k + 1, keys[k]) >= 0) if k < depth else deeper
+            sent = np.flatnonzero((p.before[0] != OTHER) & (is_hot == only_hot))
+            bucket = (_mixed(spread[sent], np.full(len(sent), 7)).view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-            w, u, t, doc, bucket = w[order], u[order], t[order], doc[order], bucket[order]
+            bucket, sent = bucket[order], sent[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            words = list(ids)
-            by_name = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int32)  # in order they compress best
-            place = np.zeros(len(h), dtype=np.int64)
-            rows, blobs = [], []
+            fields = [x[sent] for x in (p.w, p.doc, p.taught, *p.before)]
+            rows = []
             for a, b in zip(edges, edges[1:]):
-                used = np.zeros(len(h), dtype=bool)
-                used[u[a:b]] = used[t[a:b]] = used[w[a:b]] = True
-                names = by_name[used[by_name]]
-                place[names] = np.arange(len(names))
-                d = doc[a:b]
-                rows.append(bucket[a])
-                blobs.append(_pack([words[x] for x in names.tolist()], [place[u[a:b]], place[t[a:b]], place[w[a:b]], np.diff(d, prepend=0), out[d].astype(np.int64)]))
+                doc = fields[1][a:b]
+                rows.append((bucket[a], b - a, _packed([fields[0][a:b], np.diff(doc, prepend=0), fields[2][a:b], *(x[a:b] for x in fields[3:])])))
+            none = lambda n: {c: pa.nulls(n, pa.list_(k)) for c, k in OWN.items()}
             for a in range(0, len(rows), 64):
-                n = len(rows[a : a + 64])
-                none = {c: pa.nulls(n, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
-                yield record_batch({"bucket": pa.array(rows[a : a + 64], pa.int32()), "base": pa.array(np.full(n, base)), "blob": pa.array(blobs[a : a + 64], pa.binary())} | none)
-            span = np.array([0, len(sizes)])
-            yield record_batch({"bucket": pa.array([base % buckets], pa.int32()), "base": pa.array([base], pa.int64()), "blob": pa.nulls(1, pa.binary()), "doc_id": list_array(doc_ids, span), "n_tokens": list_array(pa.array(sizes, pa.int64()), span), "held": list_array(pa.array(out), span)})
+                number, sizes, blobs = zip(*rows[a : a + 64])
+                yield record_batch({"bucket": pa.array(number, pa.int32()), "base": pa.array([base] * len(number)), "n": pa.array(sizes, pa.int32()), "blob": pa.array(blobs, pa.binary())} | none(len(number)))
+            if only_hot:
+                continue
+            n_docs = len(p.sizes)
+            unknown = p.w == OTHER
+            sure = unknown & p.taught if words.least == 1 else np.zeros(len(unknown), dtype=bool)  # met once, here
+            base_sum = np.bincount(p.doc, np.where(sure, np.log10(2), logs[p.w]), minlength=n_docs)
+            met = np.bincount(p.doc, ~unknown | sure, minlength=n_docs).astype(np.int32)
+            span = np.array([0, n_docs])
+            own = {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(p.sizes, pa.int64()), "held": pa.array(p.held), "base_sum": pa.array(base_sum), "known": pa.array(met)}
+            yield record_batch({"bucket": pa.array([base % buckets], pa.int32()), "base": pa.array([base]), "n": pa.array([0], pa.int32()), "blob": pa.nulls(1, pa.binary())} | {c: list_array(x, span) for c, x in own.items()})
 
     return run
 
 
-class Bucket:
-    """The positions of one bucket: dictionary of hashes, distinct (word before, word before that, word) with their training
-    counts, and which of them each position is."""
-
-    def __init__(self, table: pa.Table, width: int = WIDTH):
-        table = table.sort_by("base")
-        blobs = [(base.as_py(), *_unpack(blob.as_py())) for base, blob in zip(table.column("base"), table.column("blob")) if blob.is_valid]
-        self.names = np.unique(np.concatenate([b[1] for b in blobs])) if blobs else np.empty(0, dtype=np.int64)
-        n = sum(len(b[2][0]) for b in blobs)
-        key, wide = np.empty(n, dtype=np.int64), None
-        if len(self.names) >= 1 << width:  # three places don't fit one number: contexts are numbered first
-            wide = np.empty(n, dtype=np.int32)
-        taught = np.empty(n, dtype=bool)
-        self.spans, end = [], 0
-        while blobs:
-            base, names, (u, t, w, step, out) = blobs.pop(0)
-            place, a, end = np.searchsorted(self.names, names), end, end + len(u)
-            if wide is None:
-                key[a:end] = place[u] << 2 * width | place[t] << width | place[w]
-            else:
-                key[a:end], wide[a:end] = place[u] << 32 | place[t], place[w]
-            taught[a:end] = out == 0
-            self.spans.append((base, a, end, np.cumsum(step.astype(np.int32))))
-        if wide is None:
-            self.key, which = np.unique(key, return_inverse=True)
-            mask = (1 << width) - 1
-            u, self.t, w = self.key >> 2 * width, (self.key >> width & mask).astype(np.int32), self.key & mask
-            self.context = self.key >> width
-        else:
-            contexts, key = np.unique(key, return_inverse=True)
-            self.key, which = np.unique(key.astype(np.int64) << 32 | wide, return_inverse=True)
-            self.context, w = self.key >> 32, self.key & 0xFFFFFFFF
-            u, self.t = contexts[self.context] >> 32, (contexts[self.context] & 0xFFFFFFFF).astype(np.int32)
-        self.u, self.which = u.astype(np.int32), which.astype(np.int32)
-        del key, which, wide
-        self.n = np.bincount(self.which[taught], minlength=len(self.key))
-        self.pair_key, pair = np.unique(u << 32 | w, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.pair_n = np.bincount(self.pair, self.n, minlength=len(self.pair_key)).astype(np.int64)
-        self.pair_u, self.pair_w = (self.pair_key >> 32).astype(np.int32), (self.pair_key & 0xFFFFFFFF).astype(np.int32)
-
-    def place(self, name: bytes) -> int:
-        h = hashed([name])[0]
-        i = int(np.searchsorted(self.names, h))
-        return i if i < len(self.names) and self.names[i] == h else -1
-
-
-def _requests(hot, width: int):
-    """What a bucket asks for, as rows (bucket, u, w): the count of each w that a word keeps, with u null, and the counts of the
-    pairs of words that are dealt out."""
+def _others(known, parts: int, held: int):
+    """(rid, h) of the words that the dictionary doesn't hold, where it doesn't tell how often training does."""
 
-    def run(table: pa.Table) -> pa.Table:
-        b = Bucket(table, width)
-        dealt = np.isin(b.names, hot.value)[b.pair_u] if len(b.pair_u) else np.empty(0, dtype=bool)
-        asked = b.names[np.unique(b.pair_w[~dealt & (b.pair_n >= 2)])]
-        u, w = b.names[b.pair_u[dealt]], b.names[b.pair_w[dealt]]
-        number = np.full(len(asked) + len(u), table.column("bucket")[0].as_py(), dtype=np.int32)
-        return pa.table({"bucket": pa.array(number), "u": pa.concat_arrays([pa.nulls(len(asked), pa.int64()), pa.array(u)]), "w": pa.array(np.concatenate([asked, w]))})
+    def run(batches):
+        words = known.value
+        for batch in slices(batches, "data", BATCH):
+            if words.least == 1:
+                batch = batch.filter(pa.array([fold(i, parts) == held for i in batch.column("doc_id").to_pylist()]))
+            if batch.num_rows:
+                p = positions(batch, words, 1, parts, held)
+                at = np.flatnonzero(p.w == OTHER)
+                yield record_batch({"rid": pa.array(batch.column("rid").to_numpy()[p.doc[at]]), "h": pa.array(p.hashes[at])})
 
     return run
 
 
-@dataclass
-class Dealt:
-    """Words that are dealt out, by hash: how often they occur, and of their own distribution the size, the mass of symbols met
-    once, and whether it is retained."""
-
-    names: np.ndarray
-    counts: np.ndarray
-    size: np.ndarray
-    once: np.ndarray
-    retained: np.ndarray
-
-
-def _grown(c: np.ndarray, group: np.ndarray, groups: int, below: np.ndarray, bar: float):
-    """One level of the tree. c: training counts of (context, symbol), group: the context, below: the symbols' probabilities by
-    the suffix (only used for kept ones). Returns each symbol's log of P / P by the suffix, 0 where the context isn't retained."""
-    kept = c >= 2
-    size = np.bincount(group, c, minlength=groups)
-    once = size - np.bincount(group, np.where(kept, c, 0), minlength=groups)
-    left = (once + 1) / (size + 1)
-    p = np.where(kept, (c + (once[group] + 1) * below) / (size[group] + 1), 1.0)
-    ratio = np.where(kept, np.log(p / np.where(kept, below, 1.0)), np.log(left)[group])
-    gain = np.bincount(group, c * ratio, minlength=groups)
-    retained = gain > bar * np.bincount(group, kept, minlength=groups)
-    retained &= np.bincount(group, kept, minlength=groups) > 0
-    return np.where(retained[group], ratio, 0.0)
-
-
-def _scores(hot, total: int, kinds: int, bar: float, width: int):
-    """A bucket's positions and the counts it asked for to sums a document of its batches: of the base's logarithms of counts, of
-    what contexts add, and of known words."""
-    unit = total + kinds + 1
-
-    def run(table: pa.Table, values: pa.Table) -> pa.Table:
-        b, d = Bucket(table, width), hot.value
-        own = {c: table.column(c) for c in ("base", "doc_id", "n_tokens", "held")}
-        lead = pa.table({c: x.filter(pc.is_valid(own["doc_id"])) for c, x in own.items()})
-        for c, kind in (("base_sum", pa.float64()), ("gain", pa.float32()), ("known", pa.int32())):
-            lead = lead.append_column(c, pa.nulls(len(lead), pa.list_(kind)))
-        out = [lead]
-        if len(b.key):
-            names, n_names = b.names, len(b.names)
-            alone = values.filter(pc.is_null(values.column("u")))
-            unigram = np.zeros(n_names)
-            unigram[np.searchsorted(names, alone.column("w").to_numpy())] = alone.column("c").to_numpy()
-            below = (unigram[b.pair_w] + 1) / unit
-            ratio = _grown(b.pair_n, b.pair_u, n_names, below, bar)
-            frequency = np.bincount(b.pair_u, b.pair_n, minlength=n_names)
-            dealt = np.isin(names, d.names)
-            if dealt.any():
-                frequency[dealt] = d.counts[np.searchsorted(d.names, names[dealt])]
-                pairs = values.filter(pc.is_valid(values.column("u")))
-                u, w, n, c = (pairs.column(x).to_numpy() for x in ("u", "w", "n", "c"))
-                at, own_u = np.searchsorted(b.pair_key, np.searchsorted(names, u) << 32 | np.searchsorted(names, w)), np.searchsorted(d.names, u)
-                size, once, p0, kept = d.size[own_u], d.once[own_u], (c + 1) / unit, n >= 2
-                share = np.where(kept, (np.where(kept, n, 0) + (once + 1) * p0) / (size + 1) / p0, (once + 1) / (size + 1))
-                ratio[at], below[at] = np.where(d.retained[own_u], np.log(share), 0.0), p0
-            # second level: the suffix's probability of a kept symbol is below * exp(ratio)
-            suffix = (below * np.exp(ratio))[b.pair]
-            context = b.context
-            first = np.flatnonzero(np.diff(context, prepend=-1))
-            group = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-            more = _grown(b.n, group, len(first), suffix, bar)
-            more[b.t == b.place(NONE)] = 0.0
-            more += ratio[b.pair]
-            is_word = b.u != b.place(START)
-            base = np.where(is_word, np.log10(frequency + 1)[b.u], 0.0)
-            met = is_word & (frequency > 0)[b.u]
-            for base_id, first, end, doc in b.spans:
-                which = b.which[first:end]
-                sums = [pa.array(np.bincount(doc, x[which]).astype(k)) for x, k in ((base, np.float64), (more, np.float32), (met, np.int32))]
-                span = np.array([0, len(sums[0])])
-                none = {c: pa.nulls(1, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
-                out.append(pa.table({"base": pa.array([base_id], pa.int64())} | none | {c: list_array(x, span) for c, x in zip(("base_sum", "gain", "known"), sums)}))
+class Bucket:
+    """The positions of one bucket, of all batches: columns as in Positions, and where each batch's begin and end."""
+
+    def __init__(self, table: pa.Table, depth: int):
+        table = table.filter(pc.is_valid(table.column("blob"))).sort_by("base")
+        sizes = table.column("n").to_pylist()
+        ends = np.cumsum([0, *sizes])
+        columns = [np.empty(ends[-1], dtype=np.int32) for _ in range(3 + depth)]
+        self.spans = list(zip(table.column("base").to_pylist(), ends.tolist(), ends[1:].tolist()))
+        for (_, a, b), blob in zip(self.spans, table.column("blob")):
+            for column, part in zip(columns, _unpacked(blob.as_py(), 3 + depth, b - a)):
+                column[a:b] = part
+            columns[1][a:b] = np.cumsum(columns[1][a:b])
+        self.w, self.doc, taught, *self.before = columns
+        self.taught = taught.astype(bool)
+
+
+def gains(b: Bucket, words: Dictionary, unit: int, bar: float, hot: Hot, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """What contexts add to each position, as natural logarithms. asked: for a length, the keys and symbols of hot contexts, sorted,
+    with their counts in all of training."""
+    total = np.zeros(len(b.w))
+    log_below = np.log((words.counts + 1) / unit)[b.w]  # only used for kept symbols, which the dictionary holds
+    group = key = None
+    here = np.arange(len(b.w))
+    for length, word in enumerate(b.before, 1):
+        here = here[(word[here] != OTHER)]
+        if not len(here):
+            break
+        if length == 1:
+            group = word.astype(np.int64)
+        else:
+            wide = np.zeros(len(b.w), dtype=np.int64)
+            wide[here] = np.unique(group[here] << 32 | word[here], return_inverse=True)[1]
+            group = wide
+        pair, first, which = np.unique(group[here] << 32 | b.w[here], return_index=True, return_inverse=True)
+        context, symbol, at = (pair >> 32), pair & 0xFFFFFFFF, here[first]
+        context = np.unique(context, return_inverse=True)[1]
+        n = np.bincount(which, b.taught[here], minlength=len(pair))
+        groups = int(context.max()) + 1
+        size = np.bincount(context, n, minlength=groups)
+        lead = np.zeros(groups, dtype=np.int64)
+        lead[context] = at
+        key = word.astype(np.int64)[lead]
+        for nearer in reversed(b.before[: length - 1]):
+            key = _mixed(key, nearer[lead])
+        place = hot.which(length, key)
+        special = place[context] >= 0
+        if special.any():
+            names, counts = asked[length]
+            mine = np.stack([key[context[special]], symbol[special]], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel()
+            spot = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
+            n[special] = np.where(names[spot] == mine, counts[spot], 0) if len(names) else 0
+        kept = (n >= 2) & (symbol != OTHER)
+        once = size - np.bincount(context, np.where(kept, n, 0), minlength=groups)
+        is_hot = place >= 0
+        if is_hot.any():
+            size, once = np.where(is_hot, hot.size[length - 1][place], size), np.where(is_hot, hot.once[length - 1][place], once)
+        below = np.exp(log_below[at])
+        left = (once + 1) / (size + 1)
+        ratio = np.where(kept, np.log((n + (once[context] + 1) * below) / (size[context] + 1) / below), np.log(left)[context])
+        cost = bar * np.bincount(context, kept, minlength=groups)
+        retained = (np.bincount(context, n * ratio, minlength=groups) > cost) & (cost > 0)
+        if is_hot.any():
+            retained = np.where(is_hot, hot.retained[length - 1][place], retained)
+        ratio = np.where(retained[context], ratio, 0.0)[which]
+        total[here] += ratio
+        log_below[here] += ratio
+        here = here[(size >= 2)[context][which]]  # a longer context than one met once keeps nothing
+    return total
+
+
+GAINS = "base long, at array<int>, gain array<float>, rid array<long>, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, known array<int>"
+
+
+def _gain_rows(base: list[int], at: list[np.ndarray], gain: list[np.ndarray]) -> pa.RecordBatch:
+    places = np.cumsum([0, *map(len, at)])
+    none = {c: pa.nulls(len(base), pa.list_(k)) for c, k in OWN.items()}
+    joined = lambda x, kind: np.concatenate([np.empty(0), *x]).astype(kind)
+    return record_batch({"base": pa.array(base, pa.int64()), "at": list_array(pa.array(joined(at, np.int32)), places), "gain": list_array(pa.array(joined(gain, np.float32)), places)} | none)
+
+
+def _scores(known, hot, unit: int, bar: float, depth: int):
+    """A bucket's positions, and the counts it asked for, to what contexts add to each document; documents' own rows pass."""
+
+    def scored(table: pa.Table, values: pa.Table | None) -> pa.Table:
+        own = table.filter(pc.is_valid(table.column("rid"))).select(["base", *OWN])
+        out = [pa.table({"base": own.column("base"), "at": pa.nulls(len(own), pa.list_(pa.int32())), "gain": pa.nulls(len(own), pa.list_(pa.float32()))} | {c: own.column(c) for c in OWN})]
+        b = Bucket(table, depth)
+        if len(b.w):
+            asked = {}
+            for length in range(1, depth + 1) if values is not None else ():
+                mine = values.filter(pc.equal(values.column("length"), length))
+                k, w, n = (mine.column(c).to_numpy() for c in ("key", "w", "n"))
+                order = np.lexsort((w, k))
+                asked[length] = (np.stack([k[order], w[order].astype(np.int64)], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel(), n[order])
+            gain = gains(b, known.value, unit, bar, hot.value if values is not None else Hot(), asked)
+            found = [(base, np.bincount(b.doc[a:e], gain[a:e])) for base, a, e in b.spans]
+            at = [np.flatnonzero(x) for _, x in found]
+            out.append(pa.Table.from_batches([_gain_rows([base for base, _ in found], at, [x[i] for (_, x), i in zip(found, at)])]))
         return pa.concat_tables(out)
 
-    return run
+    return scored
+
+
+def _requests(hot, depth: int):
+    """(bucket, length, key, w): the symbols of hot contexts that a bucket meets."""
 
+    def run(table: pa.Table) -> pa.Table:
+        b, dealt, out = Bucket(table, depth), hot.value, []
+        p = Positions(b.w, b.doc, b.taught, b.before, [], b.doc, b.doc)
+        for length, key in enumerate(p.keys(), 1):
+            at = np.flatnonzero((dealt.which(length, key) >= 0) & (b.before[length - 1] != OTHER))
+            pair = np.unique(np.stack([key[at], b.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel())
+            out.append(pa.table({"length": pa.array(np.full(len(pair), length, dtype=np.int32)), "key": pa.array(pair["k"]), "w": pa.array(pair["w"].astype(np.int32))}))
+        found = pa.concat_tables(out)
+        return found.add_column(0, "bucket", pa.array(np.full(len(found), table.column("bucket")[0].as_py(), dtype=np.int32)))
 
-SUMS = "base long, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, gain array<float>, known array<int>"
+    return run
 
 
-def _task_sums(most: int = 64 << 20):
-    """Adds up the sums that a task's buckets give for a batch of documents, so that less is shuffled where a task has several
-    buckets; passed on before they take ``most`` bytes. Documents' own rows pass as they are."""
-    kinds = (("base_sum", np.float64), ("gain", np.float32), ("known", np.int32))
+def _task_sums(most: int = 32 << 20):
+    """Adds up what a task's buckets give for a batch of documents, so that less is shuffled where a task has several buckets; passed
+    on before it takes ``most`` bytes. Documents' own rows pass as they are."""
 
     def run(batches):
-        sums: dict[int, list[np.ndarray]] = {}
-        size = 0
+        sums: dict[int, np.ndarray] = {}
 
         def rows():
-            for base, values in sums.items():
-                span = np.array([0, len(values[0])])
-                none = {c: pa.nulls(1, pa.list_(k)) for c, k in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("held", pa.bool_()))}
-                yield record_batch({"base": pa.array([base], pa.int64())} | none | {c: list_array(pa.array(x), span) for (c, _), x in zip(kinds, values)})
+            at = [np.flatnonzero(x) for x in sums.values()]
+            if sums:
+                yield _gain_rows(list(sums), at, [x[i] for x, i in zip(sums.values(), at)])
 
         for batch in batches:
-            own = batch.filter(pc.is_valid(batch.column("doc_id")))
+            own = batch.filter(pc.is_valid(batch.column("rid")))
             if own.num_rows:
                 yield own
-            batch = batch.filter(pc.is_null(batch.column("doc_id")))
+            batch = batch.filter(pc.is_null(batch.column("rid")))
             for i, base in enumerate(batch.column("base").to_pylist()):
-                new = [batch.column(c)[i].values.to_numpy() for c, _ in kinds]
-                old = sums.get(base)
-                if old is None:
-                    sums[base] = [x.copy() for x in new]
-                    size += 16 * len(new[0])
-                elif len(old[0]) >= len(new[0]):
-                    for x, y in zip(old, new):
-                        x[: len(y)] += y
-                else:
-                    size += 16 * (len(new[0]) - len(old[0]))
-                    sums[base] = [np.concatenate([x + y[: len(x)], y[len(x) :]]) for x, y in zip(old, new)]
-            if size > most:
+                at, gain = (batch.column(c)[i].values.to_numpy() for c in ("at", "gain"))
+                if len(at):
+                    old = sums.get(base, np.empty(0, dtype=np.float32))
+                    if len(old) <= at[-1]:
+                        old = np.concatenate([old, np.zeros(at[-1] + 1 - len(old), dtype=np.float32)])
+                    old[at] += gain
+                    sums[base] = old
+            if sum(x.nbytes for x in sums.values()) > most:
                 yield from rows()
-                sums, size = {}, 0
+                sums = {}
         yield from rows()
 
     return run
 
 
 def _totals(batches):
-    """Rows sorted by batch: adds up a batch's sums and gives its documents."""
-    base, own, sums = None, None, {}
+    """Rows sorted by batch of documents: adds up what contexts give, and gives a row a document."""
+    base, own, gain = None, None, np.zeros(0)
 
     def rows():
-        n = len(own["doc_id"])
-        added = {}
-        for c, kind in (("base_sum", np.float64), ("gain", np.float64), ("known", np.int64)):
-            total = np.zeros(n, dtype=kind)
-            for x in sums[c]:
-                total[: len(x)] += x  # few: each longer than those before
-            added[c] = pa.array(total)
-        return record_batch(own | added)
+        return record_batch(own | {"gain": pa.array(np.concatenate([gain, np.zeros(len(own["rid"]) - len(gain))]))})
 
     for batch in batches:
         for i, now in enumerate(batch.column("base").to_pylist()):
             if now != base:
                 if base is not None:
                     yield rows()
-                base, own, sums = now, None, {"base_sum": [], "gain": [], "known": []}
-            if batch.column("doc_id")[i].is_valid:
-                own = {c: batch.column(c)[i].values for c in ("doc_id", "n_tokens", "held")}
+                base, own, gain = now, None, np.zeros(0)
+            if batch.column("rid")[i].is_valid:
+                own = {c: batch.column(c)[i].values for c in OWN}
                 continue
-            for c, x in sums.items():
-                values = batch.column(c)[i].values.to_numpy()
-                if x and len(x[0]) >= len(values):
-                    x[0][: len(values)] += values
-                else:
-                    x.insert(0, values.astype(np.float64 if c != "known" else np.int64))
+            at = batch.column("at")[i].values.to_numpy()
+            if len(at):
+                if len(gain) <= at[-1]:
+                    gain = np.concatenate([gain, np.zeros(at[-1] + 1 - len(gain))])
+                gain[at] += batch.column("gain")[i].values.to_numpy()
     if base is not None:
         yield rows()
 
 
-def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: float = 0.3, bucket: int = BUCKET, hot: int = HOT, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _gathered(known, hot, length: int, depth: int, parts: int, held: int):
+    """(key, suffix, w, n): counts of the symbols after hot contexts of one length, per batch of training documents."""
+
+    def run(batches):
+        for batch in slices(batches, "data", BATCH):
+            p = positions(batch, known.value, depth, parts, held)
+            keys = p.keys()
+            shorter = keys[length - 2] if length > 1 else np.zeros(len(p.w), dtype=np.int64)
+            at = np.flatnonzero(p.taught & (p.before[length - 1] != OTHER) & (hot.value.which(length, keys[length - 1]) >= 0))
+            rows = np.stack([keys[length - 1][at], shorter[at], p.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("s", np.int64), ("w", np.int64)]).ravel()
+            found, n = np.unique(rows, return_counts=True)
+            yield record_batch({"key": pa.array(found["k"]), "suffix": pa.array(found["s"]), "w": pa.array(found["w"].astype(np.int32)), "n": pa.array(n)})
+
+    return run
+
+
+def _hot_contexts(picked: DataFrame, known, words: Dictionary, unit: int, bar: float, bound: int, depth: int, parts: int, held: int) -> tuple[Hot, DataFrame | None]:
+    """The contexts that occur ``bound`` times or more, and a table (length, key, w, n, log) of the symbols after them, log their
+    logarithm of probability. A hot context's suffix and its beginning are hot, so each length is found in the one before."""
+    spark, hot, tables = picked.sparkSession, Hot(), []
+    codes = np.flatnonzero(words.counts >= bound).astype(np.int64)
+    keys = np.sort(codes[codes != OTHER])
+    unigram = None
+    for length in range(1, depth + 1):
+        if not len(keys):
+            break
+        hot.keys.append(keys)
+        found = map_arrow(picked, _gathered(known, spark.sparkContext.broadcast(hot), length, depth, parts, held), "key long, suffix long, w int, n long")
+        found = stored(found.groupBy("key", "suffix", "w").agg(F.sum("n").alias("n")), "gathered")
+        kept = (F.col("n") >= 2) & (F.col("w") != OTHER)
+        stats = found.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("once"))
+        if length == 1:
+            asked = found.where(kept).select("w").distinct()
+            table = pa.table({"w": pa.array(np.arange(len(words.counts), dtype=np.int32)), "below": pa.array((words.counts + 1) / unit)})
+            unigram = spark.createDataFrame(table).join(asked, "w", "left_semi")
+            below = found.join(unigram, "w", "left")
+        else:
+            below = found.join(tables[-1].select(F.col("key").alias("suffix"), "w", F.col("p").alias("below")), ["suffix", "w"], "left")
+        left = (F.col("once") + 1) / (F.col("size") + 1)
+        p = F.when(kept, (F.col("n") + (F.col("once") + 1) * F.col("below")) / (F.col("size") + 1))
+        ratio = F.when(kept, F.log(p / F.col("below"))).otherwise(F.log(left))
+        each = below.join(stats, "key").withColumns({"p": p, "ratio": ratio})
+        earned = each.groupBy("key", "size", "once").agg(F.sum(F.col("n") * F.col("ratio")).alias("gain"), F.sum(kept.cast("long")).alias("kept"))
+        rows = sorted(earned.collect(), key=lambda r: r["key"])  # a row for each hot context
+        retained = [bool(r["kept"] > 0 and r["gain"] > bar * r["kept"]) for r in rows]
+        for name, values in (("size", [r["size"] for r in rows]), ("once", [r["once"] for r in rows]), ("retained", retained)):
+            getattr(hot, name).append(np.array(values))
+        hot.keys[-1] = np.array([r["key"] for r in rows], dtype=np.int64)
+        good = spark.createDataFrame(pa.table({"key": pa.array(hot.keys[-1]), "good": pa.array(retained, pa.bool_())}))
+        stands = F.when(F.col("good"), F.col("p")).otherwise(F.col("below"))
+        tables.append(stored(each.join(good, "key").where(kept).select(F.lit(length).alias("length"), "key", "w", "n", stands.alias("p")), "hot"))
+        if length < depth:
+            longer = found.where((F.col("n") >= bound) & (F.col("w") != OTHER)).select("key", "w").distinct().toArrow()
+            keys = np.sort(_mixed(longer.column("key").to_numpy().copy(), longer.column("w").to_numpy()))
+    if not tables:
+        return hot, None
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionAll(more)
+    return hot, every
+
+
+def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: float = 0.3, depth: int = 3, vocabulary: int = VOCABULARY, bucket: int = BUCKET, hot: int = HOT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Texts are scored by what the rows with crc32(doc_id) mod parts other than ``held`` teach. Null texts are empty: one
     token, the end. Null ids count as an empty id, so they train. Repeated rows are scored and counted apart; other
     columns are ignored; an empty table gives no rows; with nothing to train on nothing is known. Words are told apart by
-    64-bit hashes; what contexts add is summed in single precision a bucket. ``cost`` is what a kept symbol has to earn, in units of half the logarithm of the training tokens.
-    ``bucket``, ``hot`` and ``width`` only say where and how the work is done: results don't depend on them.
+    64-bit hashes; what contexts add is summed in single precision a bucket. ``cost`` is what a kept symbol has to earn, in
+    units of half the logarithm of the training tokens, ``depth`` the most words of a context. ``vocabulary`` bounds the
+    dictionary; the base doesn't depend on it. ``bucket`` and ``hot`` only say where the work is done: results don't
+    depend on them.
     """
-    spark = docs.sparkSession
-    picked = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("data"))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    picked = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("data")), "doc_id", "data")
     words = stored(map_arrow(picked, _word_counts(parts, held), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
     end = int(hashed([END])[0])
     total, kinds, ends = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("h") == end, F.col("c")))).first())
+    unit, bar = total + kinds + 1, cost * 0.5 * float(np.log(max(total, 2)))
+    own = dictionary(words, vocabulary, ends)
+    known = broadcast(own)
+    contexts, gathered = _hot_contexts(picked, known, own, unit, bar, max(hot, total // MOST_HOT), depth, parts, held)
+    dealt = broadcast(contexts)
     buckets = max(1, -(-total // bucket))
-    bound = max(hot, total // MOST_HOT)
-    frequent = words.where((F.col("c") >= bound) & (F.col("h") != end)).collect()  # at most 2^20 words have so large a share
-    dealt = dict([(r["h"], r["c"]) for r in frequent] + ([(int(hashed([START])[0]), ends)] if ends >= bound else []))
-    names = spark.sparkContext.broadcast(np.array(sorted(dealt), dtype=np.int64))
-    bar = cost * 0.5 * float(np.log(max(total, 2)))
-    words = words.withColumnRenamed("h", "w")
-    pairs, shapes = _dealt_pairs(picked, words, names, parts, held, total + kinds + 1, bar) if dealt else (None, {})
-    columns = zip(*[(h, dealt[h], *shapes.get(h, (0, 0, False))) for h in sorted(dealt)]) if dealt else [[]] * 5
-    hot_words = spark.sparkContext.broadcast(Dealt(*(np.array(x, dtype=k) for x, k in zip(columns, (np.int64, np.int64, np.int64, np.int64, bool)))))
-    postings = map_arrow(with_place(picked, "doc_id", "data"), _postings(names, buckets, parts, held), POSTINGS)
-    answers = postings.groupBy("bucket").applyInArrow(_requests(names, width), "bucket int, u long, w long").join(words, "w", "left")
-    answers = answers.join(pairs, ["u", "w"], "left") if dealt else answers.withColumn("n", F.lit(0).cast("long"))
-    answers = answers.select("bucket", "u", "w", *(F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("n", "c")))
-    sums = postings.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_scores(hot_words, total, kinds, bar, width), SUMS)
-    each = map_arrow(map_arrow(sums, _task_sums(), SUMS).repartition("base").sortWithinPartitions("base"), _totals, "doc_id long, n_tokens long, held boolean, base_sum double, gain double, known long")
+    score = _scores(known, dealt, unit, bar, depth)
+    cold = map_arrow(picked, _postings(known, dealt, False, buckets, depth, parts, held), POSTINGS)
+    sums = cold.groupBy("bucket").applyInArrow(lambda table: score(table, None), GAINS)
+    if gathered is not None:
+        spread = map_arrow(picked, _postings(known, dealt, True, buckets, depth, parts, held), POSTINGS).groupBy("bucket")
+        asked = spread.applyInArrow(_requests(dealt, depth), "bucket int, length int, key long, w int")
+        answers = asked.join(gathered.drop("p"), ["length", "key", "w"]).select("bucket", "length", "key", "w", "n")
+        sums = sums.unionAll(spread.cogroup(answers.groupBy("bucket")).applyInArrow(score, GAINS))
+    each = map_arrow(map_arrow(sums, _task_sums(), GAINS).repartition("base").sortWithinPartitions("base"), _totals, "rid long, doc_id long, n_tokens long, held boolean, base_sum double, known int, gain double")
+    others = map_arrow(picked, _others(known, parts, held), "rid long, h long").join(words, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("met"))
+    each = each.join(others, "rid", "left").fillna(0, ["more", "met"])
     n = F.col("n_tokens")
-    base = F.col("base_sum") + float(np.log10(ends + 1)) - n * float(np.log10(total + kinds + 1))
+    base = F.col("base_sum") + F.col("more") - n * float(np.log10(unit))
     return each.select(
         "doc_id",
         F.col("held").alias("held_out"),
         "n_tokens",
-        (F.col("known") + int(ends > 0)).alias("n_known"),
+        (F.col("known") + F.col("met")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         (base + F.col("gain") / float(np.log(10))).alias("score"),
     )
-
-
-def _dealt_pairs(picked: DataFrame, words: DataFrame, names, parts: int, held: int, unit: int, bar: float) -> tuple[DataFrame, dict]:
-    """For words that are dealt out over buckets: a table (u, w, n) of the symbols after them, and for each its size, the mass of
-    symbols met once, and whether its distribution is retained: at most 2^20 rows."""
-    pairs = stored(map_arrow(picked, _pair_counts(names, parts, held), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")), "pairs")
-    kept = F.col("n") >= 2
-    stats = pairs.groupBy("u").agg(F.sum("n").alias("size"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("once"))
-    p0 = (F.col("c") + 1) / F.lit(float(unit))
-    p = F.when(kept, (F.col("n") + (F.col("once") + 1) * p0) / (F.col("size") + 1) / p0).otherwise((F.col("once") + 1) / (F.col("size") + 1))
-    earned = pairs.join(words, "w").join(stats, "u").groupBy("u", "size", "once").agg(F.sum(F.col("n") * F.log(p)).alias("gain"), F.sum(kept.cast("long")).alias("kept"))
-    return pairs, {r["u"]: (r["size"], r["once"], r["kept"] > 0 and r["gain"] > bar * r["kept"]) for r in earned.collect()}

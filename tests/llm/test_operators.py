@@ -247,7 +247,7 @@ def test_suffix_lm_base_and_scores(docs, empty):
     assert suffix_lm.score_documents(empty).count() == 0
 
 
-def scores_by_rule(docs, cost):
+def scores_by_rule(docs, cost, depth):
     """Log10 probabilities by a tree in plain dictionaries, and the distribution of every retained context."""
     texts = [(i, [b"<"] + (t or "").encode().translate(suffix_lm.LOWER_ASCII).split() + [b"\n"]) for i, t in docs]
     taught = [s for i, s in texts if suffix_lm.fold(i, 7) != 2]
@@ -255,7 +255,7 @@ def scores_by_rule(docs, cost):
     for s in taught:
         for k in range(1, len(s)):
             one[s[k]] = one.get(s[k], 0) + 1
-            for context in [(s[k - 1],), (s[k - 2], s[k - 1])][: min(k, 2)]:
+            for context in (tuple(s[k - n : k]) for n in range(1, min(k, depth) + 1)):
                 tree.setdefault(context, {}).setdefault(s[k], 0)
                 tree[context][s[k]] += 1
     total, kinds = sum(one.values()), len(one)
@@ -274,24 +274,41 @@ def scores_by_rule(docs, cost):
         once = sum(n for n in seen.values() if n < 2)
         return ((seen.get(w, 0) if seen.get(w, 0) >= 2 else 0) + (once + 1) * p(context[1:], w)) / (sum(seen.values()) + 1)
 
-    for length in (1, 2):
+    for length in range(1, depth + 1):
         for context, seen in tree.items():
             kept = sum(n >= 2 for n in seen.values())
             if len(context) == length and kept and sum(n * np.log(raw(context, w) / p(context[1:], w)) for w, n in seen.items()) > bar * kept:
                 retained.add(context)
     sums = [sum(p(c, w) for w in one) + p(c, b"unheard of") for c in retained]
-    return [(i, sum(np.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s)))) for i, s in texts], sums, retained
+    return [(i, sum(np.log10(p(tuple(s[max(0, k - depth) : k]), s[k])) for k in range(1, len(s)))) for i, s in texts], sums, retained
 
 
-@pytest.mark.parametrize(("bucket", "hot", "width"), [(10**6, 10**6, 21), (10**6, 10**6, 3), (300, 10**6, 21), (150, 12, 4), (50, 2, 21)])
-def test_suffix_tree_equals_plain_dictionaries(docs, bucket, hot, width):
-    expected, sums, retained = scores_by_rule(pairs(docs), 0.3)
-    assert np.allclose(sums, 1) and {len(c) for c in retained} == {1, 2}
-    got = suffix_lm.score_documents(docs, bucket=bucket, hot=hot, width=width).collect()
+@pytest.mark.parametrize(("bucket", "hot", "depth"), [(10**6, 10**6, 3), (300, 10**6, 2), (150, 12, 3), (50, 2, 3), (400, 40, 5)])
+def test_suffix_tree_equals_plain_dictionaries(docs, bucket, hot, depth):
+    expected, sums, retained = scores_by_rule(pairs(docs), 0.3, depth)
+    assert np.allclose(sums, 1) and {len(c) for c in retained} >= {1, 2}
+    got = suffix_lm.score_documents(docs, bucket=bucket, hot=hot, depth=depth).collect()
     got, expected = (sorted(x, key=key) for x in ([(r["doc_id"], r["score"]) for r in got], expected))
     assert [i for i, _ in got] == [i for i, _ in expected] and np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-6, atol=1e-4)
 
 
+def test_long_contexts_are_retained(spark):
+    """What follows depends on the third word before: only a context of three words tells it."""
+    random.seed(2)
+    rows = [(i, " ".join(f"{a} x y {a}z" for a in random.choices("abcdefgh", k=40))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    three, two = (np.mean([r["score"] for r in suffix_lm.score_documents(docs, depth=d).where("held_out").collect()]) for d in (3, 2))
+    assert three > two + 25
+
+
+def test_words_outside_the_dictionary_count_in_the_base(docs):
+    key_of = lambda r: (r["doc_id"] is None, r["doc_id"], r["base_score"])
+    whole, small = (sorted(suffix_lm.score_documents(docs, vocabulary=n, hot=30, bucket=200).collect(), key=key_of) for n in (10**6, 15))
+    for a, b in zip(whole, small):
+        assert (a["doc_id"], a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["doc_id"], b["n_tokens"], b["n_known"], b["train_tokens"])
+        assert np.isclose(a["base_score"], b["base_score"])
+
+
 def test_suffix_tree_grows_with_its_text(spark):
     """Twice the text in new words: twice the retained contexts, so a copy of a taught text scores far above its base."""
     rows = [(i, " ".join(f"w{i // 2}x{(k * k) % 53}" for k in range(60))) for i in range(200)]
