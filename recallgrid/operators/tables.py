@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with the rows of changes in place of those with the same key. Both have one row a key."""
@@ -102,11 +104,14 @@ def full_text(queries: DataFrame, docs: DataFrame, terms: Column, k: int, *, k1:
     """(query_id, doc_id, score, rank): documents with all of a query's terms, the k best by BM25.
 
     queries has (query_id, term), docs what ``terms`` is computed from. A document can only have all terms of a query if it
-    has the rarest, so it is looked up by that one, and the others meet it by term and document.
+    has the rarest, so it is looked up by that one, and the others meet it by term and document. Texts are read once, into a
+    stored table of the asked terms' postings and every document's length, which all that follows reads.
     """
-    n, average = docs.select(F.size(terms).alias("length")).where("length > 0").agg(F.count("*"), F.avg("length")).first()
     asked = queries.distinct()
-    index = inverted_index(docs, terms, asked.select("term"))
+    counted = asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string"))  # a row a document, for its length
+    index = written(inverted_index(docs.where(F.size(terms) > 0), F.array_append(terms, F.lit("")), counted).withColumn("length", F.col("length") - 1), "postings")
+    n, average = index.where("term = ''").agg(F.count("*"), F.avg("length")).first()
+    index = index.where("term <> ''")
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = asked.join(df, "term", "left").withColumn("idf", idf)

@@ -137,13 +137,31 @@ def retrieval_slice(spark, sf_dir):
 CASE WHEN count(*) FILTER (lane = 2) > 0 THEN 'lexical' ELSE 'semantic' END AS tier, array_to_string(list_filter([CASE WHEN count(*) FILTER (lane = 1) = 0 THEN 'dense' END, CASE WHEN count(*) FILTER (lane = 2) = 0 THEN 'fts' END], lambda x: x IS NOT NULL), ',') AS degraded
 FROM b LEFT JOIN lanes USING (query_id) GROUP BY b.query_id""")
 def v6_degraded_lanes(spark, sf_dir):
-    """V6 and V8: which lanes gave a query nothing, and whether its cheap lexical result is enough."""
+    """V6: which lanes gave a query nothing, and whether its cheap lexical result is enough."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     n = lambda lane: F.count(F.when(F.col("lane") == lane, 1))
     per = q.join(hybrid_lanes(spark, sf_dir), "query_id", "left").groupBy("query_id").agg(n(1).alias("dense"), n(2).alias("fts"))
     return per.withColumn("tier", F.when(F.col("fts") > 0, "lexical").otherwise("semantic")).withColumn("degraded", F.array_join(F.array_compact(F.array(F.when(F.col("dense") == 0, F.lit("dense")), F.when(F.col("fts") == 0, F.lit("fts")))), ","))
 
 
+@register(f"""WITH {_UNITS}, {_FTS}, rest AS (SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM fts)),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rank FROM u a, u b WHERE a.vec_id IN (SELECT query_id FROM rest) QUALIFY rank <= 20)
+SELECT query_id, doc_id, rank, 'lexical' AS tier FROM fts UNION ALL SELECT query_id, doc_id, rank, 'semantic' FROM d""")
+def v8_two_tier_recall(spark, sf_dir):
+    """V8: a query with lexical hits keeps them; only the others go through the dense lane."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")).distinct()
+    return two_tiers(q.join(e.withColumnRenamed("doc_id", "query_id"), "query_id"), e, full_text(spark, sf_dir, 20), 20)
+
+
+def two_tiers(queries: DataFrame, corpus: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, rank, tier): the lexical hits (query_id, doc_id, rank) where there are any; for the rest of queries
+    (query_id, v) the k nearest of corpus (doc_id, v). Only the rest is compared with vectors."""
+    lexical = checkpointed(lexical.select("query_id", "doc_id", "rank"))
+    rest = queries.join(lexical.select("query_id").distinct(), "query_id", "left_anti")
+    return lexical.withColumn("tier", F.lit("lexical")).union(tb.top_cosine(rest, corpus, k).select("query_id", "doc_id", "rank", F.lit("semantic")))
+
+
 @register(f"""WITH {_FTS}, d AS (SELECT doc_id, source FROM documents), s AS (SELECT query_id, doc_id FROM fts JOIN d USING (doc_id) WHERE source = 'src' || CAST(query_id % 20 AS VARCHAR)),
 a AS (SELECT query_id, doc_id, TRUE AS scoped FROM s UNION ALL SELECT query_id, doc_id, FALSE FROM fts WHERE query_id NOT IN (SELECT query_id FROM s)) SELECT * FROM a""")
 def v7_scope_fallback(spark, sf_dir):
