@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +37,7 @@ from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, st
 END, START = b"\n", b"\n\n"  # no word holds a line feed
 #: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts there can be.
 BUCKET, HOT, MOST_HOT = 3_000_000, 3_000_000, 1 << 20
+SLICE = 500_000  # positions of a bucket that are counted at a time, or all of one word
 #: Words in the dictionary: 16 bytes each where it is broadcast.
 VOCABULARY = 1 << 21
 OTHER, FIRST = 0, 1  # codes of words that the dictionary doesn't hold, and of a text's start
@@ -202,9 +204,10 @@ class Hot:
         return np.where(names[at] == keys, at, -1)
 
 
-def _postings(known, hot, only_hot: bool, buckets: int, depth: int, parts: int, held: int):
-    """Per batch of documents a row for each bucket with its positions, and, beside the cold ones, one with what is known of the
-    documents without contexts. A position whose word before isn't in the dictionary has no context and stays away."""
+def _postings(known, hot, buckets: int, hot_buckets: int, depth: int, parts: int, held: int):
+    """Per batch of documents a row for each bucket with its positions, and one with what is known of the documents without
+    contexts. Buckets from ``buckets`` on hold what is dealt out. A position whose word before isn't in the dictionary has no
+    context and stays away."""
 
     def run(batches):
         words, dealt = known.value, hot.value
@@ -213,15 +216,17 @@ def _postings(known, hot, only_hot: bool, buckets: int, depth: int, parts: int,
             p = positions(batch, words, depth, parts, held)
             base, keys = batch.column("rid")[0].as_py(), p.keys()
             spread, is_hot = keys[0], dealt.which(1, keys[0]) >= 0
-            if only_hot:
-                deeper = is_hot
-                for k in range(1, depth + 1):
-                    further = keys[k] if k < depth else _mixed(keys[k - 1], p.doc + np.int32(base & 0xFFFFFF))
-                    spread = np.where(deeper, further, spread)
-                    deeper = deeper & (dealt.which(k + 1, keys[k]) >= 0) if k < depth else deeper
-            sent = np.flatnonzero((p.before[0] != OTHER) & (is_hot == only_hot))
-            bucket = (_mixed(spread[sent], np.full(len(sent), 7)).view(np.uint64) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            deeper = is_hot
+            for k in range(1, depth + 1):
+                if not deeper.any():
+                    break
+                further = keys[k] if k < depth else _mixed(keys[k - 1], p.doc + np.int32(base & 0xFFFFFF))
+                spread = np.where(deeper, further, spread)
+                deeper = deeper & (dealt.which(k + 1, keys[k]) >= 0) if k < depth else deeper
+            sent = np.flatnonzero(p.before[0] != OTHER)
+            number = _mixed(spread[sent], np.full(len(sent), 7)).view(np.uint64)
+            bucket = np.where(is_hot[sent], buckets + number % np.uint64(max(hot_buckets, 1)), number % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets + hot_buckets < 1 << 16 else bucket, kind="stable")
             bucket, sent = bucket[order], sent[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             fields = [x[sent] for x in (p.w, p.doc, p.taught, *p.before)]
@@ -233,8 +238,6 @@ def _postings(known, hot, only_hot: bool, buckets: int, depth: int, parts: int,
             for a in range(0, len(rows), 64):
                 number, sizes, blobs = zip(*rows[a : a + 64])
                 yield record_batch({"bucket": pa.array(number, pa.int32()), "base": pa.array([base] * len(number)), "n": pa.array(sizes, pa.int32()), "blob": pa.array(blobs, pa.binary())} | none(len(number)))
-            if only_hot:
-                continue
             n_docs = len(p.sizes)
             unknown = p.w == OTHER
             sure = unknown & p.taught if words.least == 1 else np.zeros(len(unknown), dtype=bool)  # met once, here
@@ -279,6 +282,20 @@ class Bucket:
         self.w, self.doc, taught, *self.before = columns
         self.taught = taught.astype(bool)
 
+    def by_word(self) -> Iterator[np.ndarray]:
+        """The positions in parts of about SLICE, all those after one word in one part."""
+        order = np.argsort(self.before[0], kind="stable").astype(np.int32)
+        word = self.before[0][order]
+        while len(order):
+            end = int(np.searchsorted(word, word[min(SLICE, len(word)) - 1], "right"))
+            yield order[:end]
+            order, word = order[end:], word[end:]
+
+    def taken(self, at: np.ndarray) -> Bucket:
+        part = Bucket.__new__(Bucket)
+        part.w, part.taught, part.before = self.w[at], self.taught[at], [x[at] for x in self.before]
+        return part
+
 
 def gains(b: Bucket, words: Dictionary, unit: int, bar: float, hot: Hot, asked: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """What contexts add to each position, as natural logarithms. asked: for a length, the keys and symbols of hot contexts, sorted,
@@ -344,7 +361,7 @@ def _gain_rows(base: list[int], at: list[np.ndarray], gain: list[np.ndarray]) ->
     return record_batch({"base": pa.array(base, pa.int64()), "at": list_array(pa.array(joined(at, np.int32)), places), "gain": list_array(pa.array(joined(gain, np.float32)), places)} | none)
 
 
-def _scores(known, hot, unit: int, bar: float, depth: int):
+def _scores(known, hot, buckets: int, unit: int, bar: float, depth: int):
     """A bucket's positions, and the counts it asked for, to what contexts add to each document; documents' own rows pass."""
 
     def scored(table: pa.Table, values: pa.Table | None) -> pa.Table:
@@ -352,13 +369,15 @@ def _scores(known, hot, unit: int, bar: float, depth: int):
         out = [pa.table({"base": own.column("base"), "at": pa.nulls(len(own), pa.list_(pa.int32())), "gain": pa.nulls(len(own), pa.list_(pa.float32()))} | {c: own.column(c) for c in OWN})]
         b = Bucket(table, depth)
         if len(b.w):
-            asked = {}
-            for length in range(1, depth + 1) if values is not None else ():
+            asked, dealt = {}, values is not None and table.column("bucket")[0].as_py() >= buckets
+            for length in range(1, depth + 1) if dealt else ():
                 mine = values.filter(pc.equal(values.column("length"), length))
                 k, w, n = (mine.column(c).to_numpy() for c in ("key", "w", "n"))
                 order = np.lexsort((w, k))
                 asked[length] = (np.stack([k[order], w[order].astype(np.int64)], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel(), n[order])
-            gain = gains(b, known.value, unit, bar, hot.value if values is not None else Hot(), asked)
+            gain = np.zeros(len(b.w))
+            for at in b.by_word():
+                gain[at] = gains(b.taken(at), known.value, unit, bar, hot.value if dealt else Hot(), asked)
             found = [(base, np.bincount(b.doc[a:e], gain[a:e])) for base, a, e in b.spans]
             at = [np.flatnonzero(x) for _, x in found]
             out.append(pa.Table.from_batches([_gain_rows([base for base, _ in found], at, [x[i] for (_, x), i in zip(found, at)])]))
@@ -367,10 +386,12 @@ def _scores(known, hot, unit: int, bar: float, depth: int):
     return scored
 
 
-def _requests(hot, depth: int):
+def _requests(hot, buckets: int, depth: int):
     """(bucket, length, key, w): the symbols of hot contexts that a bucket meets."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < buckets:
+            return pa.table({"bucket": pa.array([], pa.int32()), "length": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "w": pa.array([], pa.int32())})
         b, dealt, out = Bucket(table, depth), hot.value, []
         p = Positions(b.w, b.doc, b.taught, b.before, [], b.doc, b.doc)
         for length, key in enumerate(p.keys(), 1):
@@ -442,7 +463,8 @@ def _totals(batches):
 
 
 def _gathered(known, hot, length: int, depth: int, parts: int, held: int):
-    """(key, suffix, w, n): counts of the symbols after hot contexts of one length, per batch of training documents."""
+    """(key, suffix, w, n, c): counts of the symbols after hot contexts of one length, per batch of training documents; c is
+    the count of the symbol in all of training."""
 
     def run(batches):
         for batch in slices(batches, "data", BATCH):
@@ -452,7 +474,7 @@ def _gathered(known, hot, length: int, depth: int, parts: int, held: int):
             at = np.flatnonzero(p.taught & (p.before[length - 1] != OTHER) & (hot.value.which(length, keys[length - 1]) >= 0))
             rows = np.stack([keys[length - 1][at], shorter[at], p.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("s", np.int64), ("w", np.int64)]).ravel()
             found, n = np.unique(rows, return_counts=True)
-            yield record_batch({"key": pa.array(found["k"]), "suffix": pa.array(found["s"]), "w": pa.array(found["w"].astype(np.int32)), "n": pa.array(n)})
+            yield record_batch({"key": pa.array(found["k"]), "suffix": pa.array(found["s"]), "w": pa.array(found["w"].astype(np.int32)), "n": pa.array(n), "c": pa.array(known.value.counts[found["w"]])})
 
     return run
 
@@ -463,20 +485,16 @@ def _hot_contexts(picked: DataFrame, known, words: Dictionary, unit: int, bar: f
     spark, hot, tables = picked.sparkSession, Hot(), []
     codes = np.flatnonzero(words.counts >= bound).astype(np.int64)
     keys = np.sort(codes[codes != OTHER])
-    unigram = None
     for length in range(1, depth + 1):
         if not len(keys):
             break
         hot.keys.append(keys)
-        found = map_arrow(picked, _gathered(known, spark.sparkContext.broadcast(hot), length, depth, parts, held), "key long, suffix long, w int, n long")
-        found = stored(found.groupBy("key", "suffix", "w").agg(F.sum("n").alias("n")), "gathered")
+        found = map_arrow(picked, _gathered(known, spark.sparkContext.broadcast(hot), length, depth, parts, held), "key long, suffix long, w int, n long, c long")
+        found = stored(found.groupBy("key", "suffix", "w").agg(F.sum("n").alias("n"), F.max("c").alias("c")), "gathered")
         kept = (F.col("n") >= 2) & (F.col("w") != OTHER)
         stats = found.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("once"))
         if length == 1:
-            asked = found.where(kept).select("w").distinct()
-            table = pa.table({"w": pa.array(np.arange(len(words.counts), dtype=np.int32)), "below": pa.array((words.counts + 1) / unit)})
-            unigram = spark.createDataFrame(table).join(asked, "w", "left_semi")
-            below = found.join(unigram, "w", "left")
+            below = found.withColumn("below", (F.col("c") + 1) / unit)
         else:
             below = found.join(tables[-1].select(F.col("key").alias("suffix"), "w", F.col("p").alias("below")), ["suffix", "w"], "left")
         left = (F.col("once") + 1) / (F.col("size") + 1)
@@ -524,15 +542,16 @@ def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: flo
     known = broadcast(own)
     contexts, gathered = _hot_contexts(picked, known, own, unit, bar, max(hot, total // MOST_HOT), depth, parts, held)
     dealt = broadcast(contexts)
-    buckets = max(1, -(-total // bucket))
-    score = _scores(known, dealt, unit, bar, depth)
-    cold = map_arrow(picked, _postings(known, dealt, False, buckets, depth, parts, held), POSTINGS)
-    sums = cold.groupBy("bucket").applyInArrow(lambda table: score(table, None), GAINS)
-    if gathered is not None:
-        spread = map_arrow(picked, _postings(known, dealt, True, buckets, depth, parts, held), POSTINGS).groupBy("bucket")
-        asked = spread.applyInArrow(_requests(dealt, depth), "bucket int, length int, key long, w int")
+    common = int(own.counts[contexts.keys[0]].sum()) if contexts.keys else 0
+    buckets, hot_buckets = max(1, -(-(total - common) // bucket)), -(-common // bucket)
+    postings = map_arrow(picked, _postings(known, dealt, buckets, hot_buckets, depth, parts, held), POSTINGS).groupBy("bucket")
+    score = _scores(known, dealt, buckets, unit, bar, depth)
+    if gathered is None:
+        sums = postings.applyInArrow(lambda table: score(table, None), GAINS)
+    else:
+        asked = postings.applyInArrow(_requests(dealt, buckets, depth), "bucket int, length int, key long, w int")
         answers = asked.join(gathered.drop("p"), ["length", "key", "w"]).select("bucket", "length", "key", "w", "n")
-        sums = sums.unionAll(spread.cogroup(answers.groupBy("bucket")).applyInArrow(score, GAINS))
+        sums = postings.cogroup(answers.groupBy("bucket")).applyInArrow(score, GAINS)
     each = map_arrow(map_arrow(sums, _task_sums(), GAINS).repartition("base").sortWithinPartitions("base"), _totals, "rid long, doc_id long, n_tokens long, held boolean, base_sum double, known int, gain double")
     others = map_arrow(picked, _others(known, parts, held), "rid long, h long").join(words, "h").groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("met"))
     each = each.join(others, "rid", "left").fillna(0, ["more", "met"])
