@@ -351,14 +351,14 @@ def gains(b: Bucket, words: Dictionary, unit: int, bar: float, hot: Hot, asked:
     return total
 
 
-GAINS = "base long, at array<int>, gain array<float>, rid array<long>, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, known array<int>"
+GAINS = "base long, at array<int>, gain array<double>, rid array<long>, doc_id array<long>, n_tokens array<long>, held array<boolean>, base_sum array<double>, known array<int>"
 
 
 def _gain_rows(base: list[int], at: list[np.ndarray], gain: list[np.ndarray]) -> pa.RecordBatch:
     places = np.cumsum([0, *map(len, at)])
     none = {c: pa.nulls(len(base), pa.list_(k)) for c, k in OWN.items()}
     joined = lambda x, kind: np.concatenate([np.empty(0), *x]).astype(kind)
-    return record_batch({"base": pa.array(base, pa.int64()), "at": list_array(pa.array(joined(at, np.int32)), places), "gain": list_array(pa.array(joined(gain, np.float32)), places)} | none)
+    return record_batch({"base": pa.array(base, pa.int64()), "at": list_array(pa.array(joined(at, np.int32)), places), "gain": list_array(pa.array(joined(gain, np.float64)), places)} | none)
 
 
 def _scores(known, hot, buckets: int, unit: int, bar: float, depth: int):
@@ -366,7 +366,7 @@ def _scores(known, hot, buckets: int, unit: int, bar: float, depth: int):
 
     def scored(table: pa.Table, values: pa.Table | None) -> pa.Table:
         own = table.filter(pc.is_valid(table.column("rid"))).select(["base", *OWN])
-        out = [pa.table({"base": own.column("base"), "at": pa.nulls(len(own), pa.list_(pa.int32())), "gain": pa.nulls(len(own), pa.list_(pa.float32()))} | {c: own.column(c) for c in OWN})]
+        out = [pa.table({"base": own.column("base"), "at": pa.nulls(len(own), pa.list_(pa.int32())), "gain": pa.nulls(len(own), pa.list_(pa.float64()))} | {c: own.column(c) for c in OWN})]
         b = Bucket(table, depth)
         if len(b.w):
             asked, dealt = {}, values is not None and table.column("bucket")[0].as_py() >= buckets
@@ -424,9 +424,9 @@ def _task_sums(most: int = 32 << 20):
             for i, base in enumerate(batch.column("base").to_pylist()):
                 at, gain = (batch.column(c)[i].values.to_numpy() for c in ("at", "gain"))
                 if len(at):
-                    old = sums.get(base, np.empty(0, dtype=np.float32))
+                    old = sums.get(base, np.empty(0))
                     if len(old) <= at[-1]:
-                        old = np.concatenate([old, np.zeros(at[-1] + 1 - len(old), dtype=np.float32)])
+                        old = np.concatenate([old, np.zeros(at[-1] + 1 - len(old))])
                     old[at] += gain
                     sums[base] = old
             if sum(x.nbytes for x in sums.values()) > most:
@@ -527,7 +527,7 @@ def score_documents(docs: DataFrame, *, parts: int = 7, held: int = 2, cost: flo
     Texts are scored by what the rows with crc32(doc_id) mod parts other than ``held`` teach. Null texts are empty: one
     token, the end. Null ids count as an empty id, so they train. Repeated rows are scored and counted apart; other
     columns are ignored; an empty table gives no rows; with nothing to train on nothing is known. Words are told apart by
-    64-bit hashes; what contexts add is summed in single precision a bucket. ``cost`` is what a kept symbol has to earn, in
+    64-bit hashes. ``cost`` is what a kept symbol has to earn, in
     units of half the logarithm of the training tokens, ``depth`` the most words of a context. ``vocabulary`` bounds the
     dictionary; the base doesn't depend on it. ``bucket`` and ``hot`` only say where the work is done: results don't
     depend on them.
