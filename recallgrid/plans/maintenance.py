@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import batches as bt
 from ..operators import tables as tb
 from .registry import register
 from .tables import DOCS_V, snapshots, table
@@ -92,7 +93,7 @@ SELECT f.key AS source, f.o AS doc_id, w.t AS tokens, batch FROM f JOIN w ON w.k
 def i8_embedding_batches(spark, sf_dir):
     """I8: batches of at most 32 items and 20000 tokens, in order within a source."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", tx.model_tokens(F.col("text")).alias("tokens"))
-    return tb.next_fit(d, "doc_id", "tokens", most_items=32, most_tokens=20_000, by="source")
+    return bt.next_fit(d, "doc_id", "tokens", most_items=32, most_tokens=20_000, by="source")
 
 
 _COS = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) , 9)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import batches as bt
 from ..operators import policy as pl
 from ..operators import ranking as rk
 from ..sources.shared import fresh_path
@@ -32,8 +33,7 @@ CODES = {
 @register(_RATES + f""" SELECT policy, s.n, round(recall, 9) AS recall, round(use_rate, 9) AS use_rate, round(failure_rate, 9) AS failure_rate, round(correction_rate, 9) AS correction_rate, round(mismatch_rate, 9) AS mismatch_rate, round(view_rate, 9) AS view_rate, p95,
 array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CODES.items())}], lambda x: x IS NOT NULL), ',') AS codes FROM s JOIN p USING (policy)""")
 def a4_effectiveness(spark, sf_dir):
-    """A4 and A5: rates and the 95th percentile of each policy, and what they point to. The percentile is taken from counts of
-    distinct values, in order."""
+    """A4 and A5: rates and the 95th percentile of each policy, and what they point to."""
     e = table(spark, sf_dir, "events").withColumn("policy", F.col("user_id") % 5)
     share = lambda c: F.avg(c.cast("int"))
     k, i = F.col("event_type"), F.col("event_id")
@@ -47,10 +47,7 @@ def a4_effectiveness(spark, sf_dir):
         F.round(F.avg(F.when(i % 2 == 0, F.col("value")).otherwise(-F.col("value"))), 6).alias("rerank_gain"),
         share(i % 7 < F.col("policy") + 1).alias("view_rate"),
     )
-    v = e.where("value IS NOT NULL").groupBy("policy", "value").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("policy")
-    upto = F.sum("k").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = v.withColumn("upto", upto).withColumn("all", F.sum("k").over(w)).where("upto >= 0.95 * all").groupBy("policy").agg(F.min("value").alias("p95"))
+    p = bt.quantile(e, "policy", "value", "0.95").withColumnRenamed("value", "p95")
     codes = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in CODES.items())))
     rates = ("recall", "use_rate", "failure_rate", "correction_rate", "mismatch_rate", "view_rate")
     return s.join(p, "policy").select("policy", "n", *(F.round(c, 9).alias(c) for c in rates), "p95", F.array_join(codes, ",").alias("codes"))

@@ -45,21 +45,6 @@ def test_chunks_follow_headings_symbols_and_overlap(spark):
         assert all(ds.tokens_of(a + b[:5]) > most for a, b in zip(pieces, pieces[1:]))
 
 
-def test_next_fit_keeps_both_bounds(spark):
-    random.seed(2)
-    items = [(s, i, random.randint(1, 9000)) for s in range(3) for i in range(100)]
-    got = tables.next_fit(spark.createDataFrame(items, "source int, doc_id int, tokens int"), "doc_id", "tokens", most_items=32, most_tokens=20_000, by="source").collect()
-    assert len(got) == 300
-    groups = {}
-    for r in got:
-        groups.setdefault((r["source"], r["batch"]), []).append((r["doc_id"], r["tokens"]))
-    assert all(len(g) <= 32 and sum(t for _, t in g) <= 20_000 for g in groups.values())
-    for (source, batch), g in groups.items():
-        if (source, batch + 1) in groups:
-            first = min(groups[source, batch + 1])
-            assert len(g) == 32 or sum(t for _, t in g) + first[1] > 20_000
-
-
 def test_components_cycles_and_chains(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (20, 21)]
     got = dict(memory.connected(spark.createDataFrame(edges, "a int, b int")).collect())
