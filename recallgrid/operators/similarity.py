@@ -52,3 +52,35 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, *, of: str, wit
     whole = whole.select("id", "other", *within, F.size("terms").alias("n"), F.size("others").alias("m"), F.size(F.array_intersect("terms", "others")).alias("shared"))
     size = F.greatest("n", "m") if of == "larger" else F.least("n", "m")
     return whole.where(F.col("shared") >= _least(threshold, size))
+
+
+def meeting(queries: DataFrame, docs: DataFrame, within: Sequence[str], only: str) -> DataFrame:
+    """(query_id, id, shared): how many terms a query and a document of its scope share; pairs without a shared term aren't formed."""
+    q = queries.select("query_id", *within, "at", F.explode("terms").alias("term"))
+    d = docs.select("id", *within, F.col("at").alias("when"), F.explode("terms").alias("term"))
+    return q.join(d, [*within, "term"]).where(only).groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+
+
+def strongest(queries: DataFrame, docs: DataFrame, k: int, *, of: str, within: Sequence[str], only: str) -> DataFrame:
+    """(query_id, id, shared): of queries (query_id, at, terms, *within) and docs (id, at, terms, *within, ``of``) the pairs that share as
+    many terms as the k-th best distinct ``of`` of a query, or more; none that ties with it is left out. ``only`` is a condition on
+    ``at``, a query's place, and ``when``, a document's.
+
+    A quarter of the documents, by hash, is counted in full and bounds the k-th best from below. Let that bound be b: who shares
+    only the b - 1 most frequent terms can't reach it, so the others are looked up by the remaining terms alone, and only
+    those found are counted. A query that finds fewer than k in the quarter is looked up by all its terms.
+    """
+    keys = list(within)
+    df = docs.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    each = queries.select("query_id", "at", *keys, F.explode("terms").alias("term")).join(df, [*keys, "term"])
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term")))
+    postings = docs.select("id", *keys, of, F.col("at").alias("when"), F.explode("terms").alias("term"))
+    some = each.join(postings.where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0), [*keys, "term"]).where(only).groupBy("query_id", "id", of).agg(F.count("*").alias("shared"))
+    distinct = some.groupBy("query_id", of).agg(F.max("shared").alias("shared")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"))))
+    bound = distinct.where(F.col("r") == k).select("query_id", F.col("shared").alias("bound"))
+    last = F.max("place").over(Window.partitionBy("query_id"))
+    asked = each.withColumn("last", last).join(bound, "query_id", "left").where(F.col("place") <= F.col("last") - F.coalesce("bound", F.lit(1)) + 1)
+    found = asked.join(postings, [*keys, "term"]).where(only).select("query_id", "id").distinct()
+    whole = found.join(queries.select("query_id", F.col("terms").alias("qs")), "query_id").join(docs.select("id", "terms"), "id")
+    counted = whole.select("query_id", "id", F.size(F.array_intersect("qs", "terms")).alias("shared")).join(bound, "query_id", "left")
+    return counted.where(F.col("shared") >= F.coalesce("bound", F.lit(1))).drop("bound")

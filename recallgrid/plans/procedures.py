@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
+from ..operators import similarity as sm
 from .registry import register
 from .tables import RECORDS, records, table
 from .text import _WORDS, _stable
@@ -24,10 +25,12 @@ def r28_capsule_selection(spark, sf_dir):
     entries and 800 tokens."""
     r = records(spark, sf_dir)
     t = r.select("id", "ns", "turn", "authority", "ts", F.slice(tx.terms(F.col("content")), 1, 128).alias("terms"), F.sha2(F.lower("content"), 256).alias("print"), tx.model_tokens(F.col("content")).alias("tokens"))
-    q = t.where((F.col("turn") % 3 == 0) & (F.size("terms") > 0)).select(F.col("id").alias("query_id"), "ns", F.col("turn").alias("qt"), F.col("terms").alias("qs"))
-    shared = tx.shared(F.col("qs"), F.col("terms"))
-    score = shared * 10 + 4.0 * shared / F.greatest(F.lit(1), F.least(F.size("qs"), F.size("terms"))) + F.col("authority") / 100
-    c = q.join(t, "ns").where("turn < qt").withColumn("score", F.round(score, 9)).where("score >= 10")
+    t = t.withColumn("at", F.col("turn"))
+    q = t.where((F.col("turn") % 3 == 0) & (F.size("terms") > 0)).select(F.col("id").alias("query_id"), "ns", "at", "terms")
+    m = sm.strongest(q, t, 12, of="print", within=["ns"], only="when < at")  # a shared term outweighs all else, so no entry is lost
+    c = m.join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(t, "id")
+    score = F.col("shared") * 10 + 4.0 * F.col("shared") / F.greatest(F.lit(1), F.least(F.col("n"), F.size("terms"))) + F.col("authority") / 100
+    c = c.withColumn("score", F.round(score, 9)).where("score >= 10")
     order = [F.desc("score"), F.desc("ts"), "id"]
     c = c.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "print").orderBy(*order))).where("n = 1")
     w = Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

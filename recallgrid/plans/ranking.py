@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import ranking as rk
+from ..operators import similarity as sm
 from .lanes import _SIMILAR, _UNITS, dense, mmr_sql
 from .registry import register
 from .tables import RECORDS, edges, records, table, EDGES
@@ -102,13 +103,14 @@ def r19_cutoff_broad(spark, sf_dir):
     return _cut(spark, sf_dir, False)
 
 
-@register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0),
+@register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0 AND len(list_intersect(q.terms, t.terms)) > 0),
 cut AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 40)""" + mmr_sql(5) + _SIMILAR + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank, similarity FROM near JOIN c USING (query_id, doc_id)")
 def r20_mmr(spark, sf_dir):
-    """R20 over conversations: each user turn's earlier turns, ordered by marginal relevance."""
-    r = records(spark, sf_dir).select("id", "ns", "turn", "authority", tx.terms(F.col("content")).alias("terms"))
-    q = r.where("turn % 3 = 0").select(F.col("id").alias("query_id"), "ns", F.col("turn").alias("qt"), F.col("terms").alias("qs"))
-    c = q.join(r, "ns").where("turn < qt").select("query_id", F.col("id").alias("doc_id"), F.round(tx.jaccard(F.col("qs"), F.col("terms")), 9).alias("score"), "terms")
+    """R20 over conversations: each user turn's earlier turns that share a term with it, ordered by marginal relevance."""
+    r = records(spark, sf_dir).select("id", "ns", F.col("turn").alias("at"), tx.terms(F.col("content")).alias("terms"))
+    q = r.where("at % 3 = 0").withColumnRenamed("id", "query_id")
+    m = sm.meeting(q, r, ["ns"], "when < at").join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(r.select("id", "terms"), "id")
+    c = m.select("query_id", F.col("id").alias("doc_id"), F.round(F.col("shared") / (F.col("n") + F.size("terms") - F.col("shared")), 9).alias("score"), "terms")
     return rk.mmr(rk.cap(c, 40, "doc_id").withColumnRenamed("rank", "position"), 5)
 
 

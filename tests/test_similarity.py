@@ -35,3 +35,23 @@ def test_far_fewer_pairs_meet_than_share_a_term(spark, sets, threshold, of, shar
     t = spark.createDataFrame(sets, "id int, terms array<string>")
     met = sm.candidates(t, t, threshold, of=of).count()
     assert met < share * sum(bool(set(x) & set(y)) for _, x in sets for _, y in sets)
+
+
+def test_strongest_loses_none_and_looks_few_up(spark, sets):
+    """The k best distinct contents by shared terms, ties too; far fewer pairs are counted than share a term."""
+    rows = [(i, 0, i, x, f"c{i % 90}") for i, x in sets if x and len(x) > 8]
+    d = spark.createDataFrame(rows, "id int, scope int, at int, terms array<string>, content string")
+    q = d.where("id % 5 = 0").withColumnRenamed("id", "query_id").drop("content")
+    got = {(r["query_id"], r["id"]): r["shared"] for r in sm.strongest(q, d, 4, of="content", within=["scope"], only="when < at").collect()}
+    pairs = 0
+    for i, scope, _, x, _ in rows:
+        if i % 5 == 0:
+            shared = {j: (len(set(x) & set(y)), c) for j, s, _, y, c in rows if s == scope and j < i and set(x) & set(y)}
+            pairs += len(shared)
+            best = {}
+            for n, c in shared.values():
+                best[c] = max(best.get(c, 0), n)
+            bound = sorted(best.values(), reverse=True)[3] if len(best) > 3 else 1
+            assert {j: n for j, (n, _) in shared.items() if n >= bound}.items() <= {j: n for (k, j), n in got.items() if k == i}.items()
+    assert len(got) < 0.6 * pairs, (len(got), pairs)
+    assert sm.meeting(q, d, ["scope"], "when < at").count() == pairs
