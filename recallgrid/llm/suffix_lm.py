@@ -32,16 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, list_array, map_arrow, record_batch, slices, stored, with_row_id
+from .common import LOWER_ASCII, give_back, list_array, map_arrow, record_batch, slices, stored, with_row_id
 
 END, START = b"\n", b"\n\n"  # no word holds a line feed
 #: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts there can be.
-BUCKET, HOT, MOST_HOT = 3_000_000, 3_000_000, 1 << 20
+BUCKET, HOT, MOST_HOT = 2_500_000, 2_500_000, 1 << 20
 SLICE = 500_000  # positions of a bucket that are counted at a time, or all of one word
 #: Words in the dictionary: 16 bytes each where it is broadcast.
 VOCABULARY = 1 << 21
 OTHER, FIRST = 0, 1  # codes of words that the dictionary doesn't hold, and of a text's start
-BATCH = 16 << 20
+BATCH = 10 << 20
 
 
 def fold(doc_id: int | None, parts: int) -> int:
@@ -125,7 +125,8 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass
 class Positions:
     """All symbols of a batch of texts: the code of each, its document, whether it teaches, and the words before it, nearest first;
-    OTHER where there is none, or one that isn't in the dictionary, and left of it."""
+    OTHER where there is none, or one that isn't in the dictionary, and left of it. names are the hashes of the batch's words,
+    number says which each symbol is."""
 
     w: np.ndarray
     doc: np.ndarray
@@ -133,7 +134,8 @@ class Positions:
     before: list[np.ndarray]
     sizes: list[int]
     held: np.ndarray
-    hashes: np.ndarray = field(repr=False)
+    names: np.ndarray
+    number: np.ndarray
 
     def keys(self) -> list[np.ndarray]:
         """The key of the context of each length; it only depends on the words, left to right."""
@@ -167,7 +169,7 @@ def positions(batch: pa.RecordBatch, known: Dictionary, depth: int, parts: int,
         before.append(b)
         alive = alive & (b != OTHER) & (b != FIRST)
     doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return Positions(coded[at], doc, ~out[doc], before, sizes, out, h[s[at]])
+    return Positions(coded[at], doc, ~out[doc], before, sizes, out, h, s[at])
 
 
 def _packed(fields: list[np.ndarray]) -> bytes:
@@ -261,7 +263,7 @@ def _others(known, parts: int, held: int):
             if batch.num_rows:
                 p = positions(batch, words, 1, parts, held)
                 at = np.flatnonzero(p.w == OTHER)
-                yield record_batch({"rid": pa.array(batch.column("rid").to_numpy()[p.doc[at]]), "h": pa.array(p.hashes[at])})
+                yield record_batch({"rid": pa.array(batch.column("rid").to_numpy()[p.doc[at]]), "h": pa.array(p.names[p.number[at]])})
 
     return run
 
@@ -381,6 +383,8 @@ def _scores(known, hot, buckets: int, unit: int, bar: float, depth: int):
             found = [(base, np.bincount(b.doc[a:e], gain[a:e])) for base, a, e in b.spans]
             at = [np.flatnonzero(x) for _, x in found]
             out.append(pa.Table.from_batches([_gain_rows([base for base, _ in found], at, [x[i] for (_, x), i in zip(found, at)])]))
+            del b, gain
+            give_back()
         return pa.concat_tables(out)
 
     return scored
@@ -393,7 +397,7 @@ def _requests(hot, buckets: int, depth: int):
         if table.column("bucket")[0].as_py() < buckets:
             return pa.table({"bucket": pa.array([], pa.int32()), "length": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "w": pa.array([], pa.int32())})
         b, dealt, out = Bucket(table, depth), hot.value, []
-        p = Positions(b.w, b.doc, b.taught, b.before, [], b.doc, b.doc)
+        p = Positions(b.w, b.doc, b.taught, b.before, [], b.doc, b.w, b.w)
         for length, key in enumerate(p.keys(), 1):
             at = np.flatnonzero((dealt.which(length, key) >= 0) & (b.before[length - 1] != OTHER))
             pair = np.unique(np.stack([key[at], b.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel())
