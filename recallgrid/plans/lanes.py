@@ -82,33 +82,65 @@ def hybrid_lanes(spark, sf_dir) -> DataFrame:
     return one.union(full_text(spark, sf_dir, 20).select("query_id", "doc_id", "rank", F.lit(2), F.lit(1.1)))
 
 
-_SLICE = _HY + """, top AS (SELECT query_id, doc_id, f.score / max(f.score) OVER (PARTITION BY query_id) AS score, signals, 10 + doc_id % 10 * 10 AS authority, sha256(text) AS content_hash, source, text FROM f JOIN documents USING (doc_id)),
-fused AS (SELECT * FROM top), admitted AS (SELECT * FROM top WHERE authority >= 20 AND source <> 'src3'),
-scored AS (SELECT * REPLACE (round(score * greatest(0, 1 + (authority / 100 - 1) * 0.8) * 0.65 + authority / 100 * 0.25 + 0.1, 9) AS score) FROM admitted),
-capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 40),
+#: The gates of a retrieval, in order; a hit stops at the first that turns it away.
+GATES = ("boundary", "project", "temporal", "branch", "runtime", "prerequisite", "policy")
+_GATE = """CASE WHEN CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 = 1 ELSE doc_id % 11 <= 1 END THEN 1 WHEN doc_id % 3 = 0 AND doc_id % 17 = 0 THEN 2 WHEN doc_id % 13 = 0 THEN 3 WHEN doc_id % 19 = 0 THEN 4
+ WHEN doc_id % 23 = 0 THEN 5 WHEN doc_id % 29 = 0 THEN 6 WHEN doc_id % 10 = 0 OR source = 'src3' THEN 7 END"""
+_TRUST = "CASE WHEN doc_id % 3 = 0 THEN greatest(0.1, authority / 100) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0.6 END ELSE authority / 100 END * CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 1 END"
+_SLICE = _HY + f""", top AS (SELECT query_id, doc_id, f.score / max(f.score) OVER (PARTITION BY query_id) AS score, signals, 10 + doc_id % 10 * 10 AS authority, sha256(text) AS content_hash, source, text, {_GATE} AS gate FROM f JOIN documents USING (doc_id)),
+fused AS (SELECT * FROM top), admitted AS (SELECT * EXCLUDE (gate) FROM top WHERE gate IS NULL),
+scored AS (SELECT * REPLACE (round(score * greatest(0, 1 + ({_TRUST} - 1) * 0.8) * 0.65 + authority / 100 * 0.25 + 0.1, 9) AS score) FROM admitted),
+"""+"""capped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 40),
 dedup AS (SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY score DESC, doc_id) = 1),
-rr AS (SELECT *, 0.7 * CASE WHEN max(doc_id % 11) OVER p = min(doc_id % 11) OVER p THEN 1 ELSE (doc_id % 11 - min(doc_id % 11) OVER p) / (max(doc_id % 11) OVER p - min(doc_id % 11) OVER p) END + 0.3 * score AS blended FROM dedup WINDOW p AS (PARTITION BY query_id)),
+bt AS (SELECT query_id, doc_id, CAST(floor((rank - 1) / 12) AS BIGINT) AS batch, 60 + doc_id % 200 AS tokens, doc_id % 11 AS relevance, doc_id % 13 AS final_relevance FROM dedup),
+win AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY query_id, batch ORDER BY relevance DESC, doc_id) <= 10), fin AS (SELECT query_id, count(DISTINCT batch) > 1 AND sum(tokens) <= 2500 AS again FROM win GROUP BY query_id),
+jd AS (SELECT win.query_id, doc_id, CASE WHEN again THEN final_relevance / 12 WHEN max(relevance) OVER w = min(relevance) OVER w THEN 1 ELSE (relevance - min(relevance) OVER w) / (max(relevance) OVER w - min(relevance) OVER w) END AS judged FROM win JOIN fin USING (query_id) WINDOW w AS (PARTITION BY win.query_id, batch)),
+rr AS (SELECT dedup.*, 0.7 * coalesce(judged, 0) + 0.3 * dedup.score AS blended FROM dedup LEFT JOIN jd USING (query_id, doc_id)),
 reranked AS (SELECT * REPLACE (round(CASE WHEN list_contains(signals, 2) THEN greatest(blended, 0.04) ELSE blended END, 9) AS score) FROM rr),
 walk AS (SELECT *, first_value(score) OVER o AS best, lag(score) OVER o AS before FROM reranked WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, doc_id)),
 stops AS (SELECT *, CASE WHEN best < 0.04 OR score < 0.04 OR coalesce(before - score >= greatest(0.14, best * 0.18), FALSE) OR score / best < 0.68 THEN 1 ELSE 0 END AS stop FROM walk),
 cut AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_./:-]+'), lambda t: length(t) > 1)) AS terms FROM stops QUALIFY max(stop) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) = 0)"""
 
 
+def runtime_of(i):
+    """(reason or null, multiplier) of a record's runtime constraints, derived from its id, in one environment."""
+    none, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    want = {"repository": none, "project": none, "os": F.array(F.when(i % 5 == 0, "mac").otherwise("linux")), "architecture": no_list, "strict_os": F.lit(False), "strict_architecture": F.lit(False), "package_manager": F.when(i % 23 == 0, "npm").otherwise("pnpm"), "runtime": none, "version_min": F.lit("v18.2"), "version_max": none}
+    have = {"repository": none, "project": none, "os": F.lit("linux"), "architecture": F.lit("x64"), "package_manager": F.lit("pnpm"), "runtime": F.lit("node"), "runtime_version": F.lit("21.3.1")}
+    return rk.runtime_gate(want, have)
+
+
 def stages(spark, sf_dir) -> dict[str, DataFrame]:
-    """The retrieval of the benchmark items stage by stage: fused lanes, gates, scores under a cap, one hit a content, blend
-    with relevance, cutoff. Relevance is an input; here it is derived from the id."""
+    """The retrieval of the benchmark items stage by stage: fused lanes, all gates, scores by trust under a cap, one hit a content,
+    a rerank tournament blended with the score, cutoff. What gates and rerank look at is derived from ids."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), "source")
     top = F.max("score").over(Window.partitionBy("query_id"))
+    i = F.col("doc_id")
     fused = checkpointed(rk.fuse(hybrid_lanes(spark, sf_dir)).join(d, "doc_id"))
-    fused = fused.withColumn("score", F.col("score") / top).withColumn("authority", 10 + F.col("doc_id") % 10 * 10)
-    admitted = fused.where((F.col("authority") >= 20) & (F.col("source") != "src3"))
-    g = rk.gated(F.col("score"), rk.trust(F.lit("knowledge"), F.col("authority"), F.lit(True)), F.lit(0.8))
+    fused = fused.withColumn("score", F.col("score") / top).withColumn("authority", 10 + i % 10 * 10)
+    memory = F.when(i % 3 == 0, "memory").otherwise("knowledge")
+    own = F.when(memory == "memory", "t:u:a:g").otherwise("t:u:a:g::p")
+    runtime, soft = runtime_of(i)
+    required = F.struct(F.lit("tool").alias("kind"), F.when(i % 29 == 0, "t9").otherwise("t0").alias("value"), F.lit(True).alias("required"))
+    reasons = (
+        rk.boundary_gate(memory, F.when(i % 11 == 0, F.when(memory == "memory", own).otherwise("local")).when(i % 11 == 1, "x:u:a:g::p").otherwise(own), F.lit("t:u:a:g"), F.lit(False)),
+        F.when((memory == "memory") & rk.differs(F.when(i % 17 == 0, "q").otherwise("p"), F.lit("p")), "security:project-scope-mismatch"),
+        rk.status_gate(F.when(i % 13 == 0, "superseded").otherwise("active"), F.lit(False)),
+        rk.branch_gate(F.when(i % 19 == 0, "hypothesis").otherwise("asserted"), F.lit(True), F.lit("b"), F.lit("main")),
+        runtime,
+        F.when(F.exists(F.array(required), lambda x: x["required"] & ~F.array_contains(F.array(F.lit("t0"), F.lit("t1")), x["value"])), "prerequisite:failed"),
+        F.when((F.col("authority") < 20) | (F.col("source") == "src3"), "policy"),
+    )
+    gate = F.coalesce(*(F.when(reason.isNotNull(), n) for n, reason in enumerate(reasons, 1)))
+    fused = fused.withColumn("gate", gate)
+    admitted = fused.where("gate IS NULL").drop("gate")
+    g = rk.gated(F.col("score"), rk.trust(memory, F.col("authority"), i % 2 == 0) * soft, F.lit(0.8))
     capped = rk.cap(admitted.withColumn("score", F.round(rk.authority_and_freshness(g, F.col("authority"), F.lit(None).cast("long"), 0), 9)), 40, "doc_id")
     dedup = rk.structural_dedupe(capped, "content_hash", tie="doc_id")
-    n = rk.min_max_per_batch(dedup.withColumn("batch", F.lit(0)).withColumn("relevance", F.col("doc_id") % 11))
-    blended = 0.7 * F.col("normal") + 0.3 * F.col("score")
-    reranked = n.withColumn("score", F.round(rk.lexical_floor(blended, F.array_contains("signals", 2)), 9))
+    batched = dedup.withColumns({"batch": F.floor((F.col("rank") - 1) / 12), "tokens": 60 + i % 200, "relevance": i % 11, "final_relevance": i % 13 / 12})
+    n = rk.tournament(batched, most=10, budget=2500)
+    reranked = n.withColumn("score", F.round(rk.lexical_floor(F.col("blended"), F.array_contains("signals", 2)), 9))
     cut = checkpointed(rk.adaptive_cutoff(reranked, "doc_id", focused=False)).join(texts, "doc_id").withColumn("position", F.row_number().over(rk.best_first("doc_id"))).withColumn("terms", tx.terms(F.col("text")))
     return {"fused": fused, "admitted": admitted, "capped": capped, "unique": dedup, "cut": cut}
 
