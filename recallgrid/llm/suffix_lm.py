@@ -36,8 +36,8 @@ from .common import LOWER_ASCII, give_back, list_array, map_arrow, record_batch,
 
 END, START = b"\n", b"\n\n"  # no word holds a line feed
 #: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts there can be.
-BUCKET, HOT, MOST_HOT = 2_500_000, 2_500_000, 1 << 20
-SLICE = 500_000  # positions of a bucket that are counted at a time, or all of one word
+BUCKET, HOT, MOST_HOT = 1_000_000, 1_000_000, 1 << 20
+SLICE = 250_000  # positions of a bucket that are counted at a time, or all of one word
 #: Words in the dictionary: 16 bytes each where it is broadcast.
 VOCABULARY = 1 << 21
 OTHER, FIRST = 0, 1  # codes of words that the dictionary doesn't hold, and of a text's start
