@@ -1,12 +1,17 @@
 """The pipeline's stages, each on its own input."""
 
 import random
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from recallgrid.llm import near
-from pyspark.sql import functions as F
+from recallgrid.llm import near, quality, toxicity
+from recallgrid.llm.common import stored
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,6 +34,42 @@ def test_stages_narrow_down_and_keep_columns(spark, tmp_path):
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
 
 
+def test_run_equals_a_plain_version(spark):
+    """The classifiers' decisions, then groups by all pairs, byte strings in a dictionary, and the tokenizer's ids."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    for model in (toxicity, quality):
+        scored = model.score_documents(docs, model.train(docs, labels))
+        docs = stored(scored.where("predicted = 0" if model is toxicity else "predicted = 1").select(*docs.columns), "plain")
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    words = {i: t.lower().split() for i, t in texts}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
+    first = {i: i for i, _ in texts}
+    for i, _ in texts:  # ids ascend, so a group's first is its smallest
+        for j, _ in texts:
+            if j < i and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((first[i], first[j]))
+                first = {k: a if f == b else f for k, f in first.items()}
+    seen, left = set(), {}
+    for i, text in texts:
+        if first[i] == i:
+            data, cut = text.encode(), set()
+            for k in range(len(data) - 99):
+                if data[k : k + 100] in seen:
+                    cut.update(range(k, k + 100))
+                seen.add(data[k : k + 100])
+            kept = bytes(b for k, b in enumerate(data) if k not in cut)
+            if kept or not cut:
+                left[i] = kept.decode(errors="ignore")
+    tokens, expected, total = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), [], 0
+    for i, text in left.items():
+        ids = [*tokens.encode(text, add_special_tokens=False).ids, 0]
+        total += len(ids)
+        expected += [(i, n, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], dtype="<u4").tobytes())) for n, a in enumerate(range(0, len(ids), 2048))]
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(expected)
+    assert len({r["sequence_id"] for r in rows}) <= -(-total // 2048) + 1
+
+
 def test_empty_documents(spark, tmp_path):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
