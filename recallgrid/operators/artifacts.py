@@ -37,3 +37,22 @@ def read_ranges(requests: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     tail = F.regexp_replace(head, "((C|D)[0-9A-F]|E[0-9A-F](([89AB][0-9A-F])?)|F[0-9A-F](([89AB][0-9A-F]){0,2}))$", "")
     aligned = F.when(F.length(tail) % 2 == 0, tail).otherwise(head)
     return whole.select("artifact_id", "start", "length", F.unhex(aligned).cast("string").alias("text"))
+
+
+def expired(captures: DataFrame, now: int) -> DataFrame:
+    """(artifact_id, captures, expires, state) of captures (artifact_id, expires): what is captured again lives until its last capture
+    ends, for ever if one has no end; what has ended at ``now`` is expired."""
+    last = F.when(F.count("*") == F.count("expires"), F.max("expires")).alias("expires")
+    artifacts = captures.groupBy("artifact_id").agg(F.count("*").alias("captures"), last)
+    return artifacts.withColumn("state", F.when(F.col("expires") <= now, "expired").otherwise("ready"))
+
+
+#: Shell commands whose result verifies something; a fixed value.
+VERIFICATION = r"(?:^|\s)(?:test|typecheck|lint|check|build|verify|go\s+test|cargo\s+test|pytest|vitest|jest|tsc)(?:\s|$)"
+
+
+def verifications(calls: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
+    """calls (*keys, tool, command) of shell commands that verify something, with the ``status`` that their result (*keys, is_error) gives;
+    a call without a result verifies nothing."""
+    asked = calls.where((F.col("tool") == "bash") & F.col("command").rlike("(?i)" + VERIFICATION))
+    return asked.join(results, list(keys)).withColumn("status", F.when(F.col("is_error"), "failed").otherwise("passed")).drop("is_error", "tool")

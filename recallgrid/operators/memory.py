@@ -106,3 +106,13 @@ def follow(next_edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
         reached = checkpointed(reached.union(more).groupBy("seed", "node").agg(F.min("place").alias("place")))
         hops, span = checkpointed(hops.join(hops.toDF("next", "then"), "next").select("node", F.col("then").alias("next"))), 2 * span
     return reached
+
+
+def abort(tasks: DataFrame, aborted: DataFrame) -> DataFrame:
+    """tasks (task, ns, branch, state) after branches (ns, branch) are aborted: their open tasks are, and ``aborted`` says how many of the
+    branch's. Other tasks stay as they are."""
+    marked = tasks.join(aborted.select("ns", "branch", F.lit(True).alias("gone")).distinct(), ["ns", "branch"], "left")
+    open_ = F.coalesce("gone", F.lit(False)) & F.col("state").isin("pending", "running", "blocked")
+    counts = marked.where(open_).groupBy("ns", "branch").agg(F.count("*").alias("aborted"))
+    changed = marked.withColumn("state", F.when(open_, "aborted").otherwise(F.col("state"))).drop("gone")
+    return changed.join(counts, ["ns", "branch"], "left").withColumn("aborted", F.coalesce("aborted", F.lit(0)))

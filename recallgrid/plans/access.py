@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import artifacts as af
 from ..operators import memory as mm
 from .memory import _PROP, _STATE, proposals
 from .registry import register
@@ -112,11 +113,11 @@ def e17_ready_tasks(spark, sf_dir):
     return j.groupBy("task").agg(F.count("*").alias("needs"), F.sum(F.col("done").cast("long")).alias("done"), F.bool_and("done").alias("ready"))
 
 
-@register("""WITH a AS (SELECT doc_id, 1700000000000 + doc_id * 3600000 AS created, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN doc_id % 4 = 0 THEN 86400000 ELSE 1814400000 END AS ttl FROM documents)
-SELECT doc_id, CASE WHEN created + ttl <= 1702520000000 THEN 'expired' ELSE 'active' END AS state FROM a""")
+@register("""WITH c AS (SELECT sha256(text) AS artifact_id, CASE WHEN doc_id % 4 <> 3 THEN 1700000000000 + doc_id * 3600000 + CASE WHEN doc_id % 4 = 0 THEN 86400000 ELSE 1814400000 END END AS expires FROM documents),
+a AS (SELECT artifact_id, count(*) AS captures, CASE WHEN count(*) = count(expires) THEN max(expires) END AS expires FROM c GROUP BY artifact_id) SELECT artifact_id, captures, expires, CASE WHEN expires <= 1702520000000 THEN 'expired' ELSE 'ready' END AS state FROM a""")
 def e13_expired_artifacts(spark, sf_dir, now: int = 1_702_520_000_000):
-    """Artifacts whose time to live is over at the clock; those without one stay."""
+    """Artifacts whose last capture's time to live is over at the clock; those with a capture without one stay."""
     k = F.col("doc_id")
     ttl = F.when(k % 4 == 0, 86400000).when(k % 4 != 3, 1814400000)
-    over = F.coalesce(1700000000000 + k * 3600000 + ttl <= now, F.lit(False))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(over, "expired").otherwise("active").alias("state"))
+    captures = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("artifact_id"), (1700000000000 + k * 3600000 + ttl).alias("expires"))
+    return af.expired(captures, now)

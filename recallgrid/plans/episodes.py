@@ -21,14 +21,19 @@ def e1_sequencing(spark, sf_dir):
     return episode_events(spark, sf_dir).select("event_id", "seq", key.alias("id"), F.when(F.col("kind") == "tool_result", call).alias("parent_seq"))
 
 
-@register("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'run npm test' WHEN turn % 4 = 1 THEN 'eslint lint --fix' WHEN turn % 4 = 2 THEN 'ls -la' ELSE 'make build' END AS command, turn % 3 = 0 AS is_error FROM conversations)
-SELECT conv_id, turn, CASE WHEN is_error THEN 'failed' ELSE 'passed' END AS status FROM c WHERE regexp_matches(command, '\\b(test|lint|build|typecheck|check)\\b', 'i')""")
+_COMMANDS = ("npm test", "eslint lint --fix", "ls -la", "make rebuild", "pytest", "cargo test -q", "echo latest")
+
+
+@register(f"""WITH calls AS (SELECT conv_id, turn, ['{"', '".join(_COMMANDS)}'][1 + (conv_id + turn) % 7] AS command, CASE WHEN turn % 8 = 6 THEN 'read' ELSE 'bash' END AS tool FROM conversations WHERE role = 'user'),
+results AS (SELECT conv_id, turn - 1 AS call, length(text) % 3 = 0 AS is_error FROM conversations WHERE role = 'assistant')
+SELECT calls.conv_id, turn, command, CASE WHEN is_error THEN 'failed' ELSE 'passed' END AS status FROM calls JOIN results ON calls.conv_id = results.conv_id AND call = turn WHERE tool = 'bash' AND regexp_matches(command, '{af.VERIFICATION}', 'i')""")
 def e2_verifications(spark, sf_dir):
-    """Checks derived from shell commands."""
-    t = F.col("turn") % 4
-    command = F.when(t == 0, "run npm test").when(t == 1, "eslint lint --fix").when(t == 2, "ls -la").otherwise("make build")
-    c = table(spark, sf_dir, "conversations").where(command.rlike(r"(?i)\b(test|lint|build|typecheck|check)\b"))
-    return c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "failed").otherwise("passed").alias("status"))
+    """Checks by the results of shell commands. A user turn calls a command by number, the turn after it is the result."""
+    c = table(spark, sf_dir, "conversations")
+    command = F.element_at(F.array(*map(F.lit, _COMMANDS)), (1 + (F.col("conv_id") + F.col("turn")) % 7).cast("int")).alias("command")
+    calls = c.where("role = 'user'").select("conv_id", "turn", command, F.when(F.col("turn") % 8 == 6, "read").otherwise("bash").alias("tool"))
+    results = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), (F.char_length("text") % 3 == 0).alias("is_error"))
+    return af.verifications(calls, results, "conv_id", "turn")
 
 
 @register(f"""WITH {EPISODES}, o AS (SELECT user_id, day, max(CASE WHEN kind = 'tool_result' THEN seq * 2 + CAST(failed AS INT) END) % 2 AS err, max(CASE WHEN kind = 'verification' THEN seq END) AS v FROM episode_events GROUP BY ALL)

@@ -154,8 +154,12 @@ def e18_cycles(spark, sf_dir):
     return mm.cyclic(e)
 
 
-@register("""SELECT o_orderkey AS task, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 'aborted' ELSE o_orderstatus END AS state FROM orders""")
+@register("""WITH t AS (SELECT o_orderkey AS task, o_custkey AS branch, o_orderpriority AS ns, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'succeeded' END AS state FROM orders), a AS (SELECT c_custkey AS branch, ['1-URGENT', '2-HIGH', '5-LOW'][1 + c_custkey % 3] AS ns, TRUE AS gone FROM customer WHERE c_nationkey % 5 = 0),
+j AS (SELECT task, t.branch, t.ns, CASE WHEN gone AND state IN ('pending', 'running', 'blocked') THEN 'aborted' ELSE state END AS state FROM t LEFT JOIN a ON a.branch = t.branch AND a.ns = t.ns)
+SELECT ns, branch, task, state, count(*) FILTER (state = 'aborted') OVER (PARTITION BY branch, ns) AS aborted FROM j""")
 def e19_abort_branch(spark, sf_dir):
-    """Open tasks of an aborted branch."""
-    open_ = (F.col("o_orderpriority") == "1-URGENT") & F.col("o_orderstatus").isin("O", "P")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.when(open_, "aborted").otherwise(F.col("o_orderstatus")).alias("state"))
+    """Open tasks of aborted branches, and how many there are in each. A customer is a branch, a priority a namespace."""
+    state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded").alias("state")
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_custkey").alias("branch"), F.col("o_orderpriority").alias("ns"), state)
+    ns = F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "5-LOW"))), (1 + F.col("c_custkey") % 3).cast("int")).alias("ns")
+    return mm.abort(tasks, table(spark, sf_dir, "customer").where("c_nationkey % 5 = 0").select(F.col("c_custkey").alias("branch"), ns))
