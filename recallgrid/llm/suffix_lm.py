@@ -137,15 +137,19 @@ class Positions:
     names: np.ndarray
     number: np.ndarray
 
-    def keys(self) -> list[np.ndarray]:
-        """The key of the context of each length; it only depends on the words, left to right."""
-        out = []
-        for k in range(1, len(self.before) + 1):
-            key = self.before[k - 1].astype(np.int64)
-            for b in reversed(self.before[: k - 1]):
-                key = _mixed(key, b)
-            out.append(key)
-        return out
+    def key(self, length: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The keys of the contexts of a length at some positions; a key only depends on the words, left to right."""
+        key = self.before[length - 1][at].astype(np.int64)
+        for b in reversed(self.before[: length - 1]):
+            key = _mixed(key, b[at])
+        return key
+
+
+def counted_pairs(keys: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, w) in order, as keys and symbols, with their counts and a place of each key."""
+    names, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    pair, n = np.unique(which << 32 | w, return_counts=True)
+    return names[pair >> 32], (pair & 0xFFFFFFFF).astype(np.int32), n, first[pair >> 32]
 
 
 def positions(batch: pa.RecordBatch, known: Dictionary, depth: int, parts: int, held: int) -> Positions:
@@ -216,15 +220,14 @@ def _postings(known, hot, buckets: int, hot_buckets: int, depth: int, parts: int
         logs = np.log10(words.counts + 1)
         for batch in slices(batches, "data", BATCH):
             p = positions(batch, words, depth, parts, held)
-            base, keys = batch.column("rid")[0].as_py(), p.keys()
-            spread, is_hot = keys[0], dealt.which(1, keys[0]) >= 0
-            deeper = is_hot
-            for k in range(1, depth + 1):
-                if not deeper.any():
+            base, spread = batch.column("rid")[0].as_py(), p.key(1)
+            is_hot = dealt.which(1, spread) >= 0
+            at = np.flatnonzero(is_hot)
+            for k in range(1, depth + 1):  # those whose context of k words is hot
+                if not len(at):
                     break
-                further = keys[k] if k < depth else _mixed(keys[k - 1], p.doc + np.int32(base & 0xFFFFFF))
-                spread = np.where(deeper, further, spread)
-                deeper = deeper & (dealt.which(k + 1, keys[k]) >= 0) if k < depth else deeper
+                spread[at] = p.key(k + 1, at) if k < depth else _mixed(p.key(k, at), p.doc[at] + np.int32(base & 0xFFFFFF))
+                at = at[dealt.which(k + 1, spread[at]) >= 0] if k < depth else at
             sent = np.flatnonzero(p.before[0] != OTHER)
             number = _mixed(spread[sent], np.full(len(sent), 7)).view(np.uint64)
             bucket = np.where(is_hot[sent], buckets + number % np.uint64(max(hot_buckets, 1)), number % np.uint64(buckets)).astype(np.int32)
@@ -398,10 +401,13 @@ def _requests(hot, buckets: int, depth: int):
             return pa.table({"bucket": pa.array([], pa.int32()), "length": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "w": pa.array([], pa.int32())})
         b, dealt, out = Bucket(table, depth), hot.value, []
         p = Positions(b.w, b.doc, b.taught, b.before, [], b.doc, b.w, b.w)
-        for length, key in enumerate(p.keys(), 1):
-            at = np.flatnonzero((dealt.which(length, key) >= 0) & (b.before[length - 1] != OTHER))
-            pair = np.unique(np.stack([key[at], b.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("w", np.int64)]).ravel())
-            out.append(pa.table({"length": pa.array(np.full(len(pair), length, dtype=np.int32)), "key": pa.array(pair["k"]), "w": pa.array(pair["w"].astype(np.int32))}))
+        at = np.arange(len(b.w))
+        for length in range(1, depth + 1):  # what begins a hot context is hot, and so is what ends it
+            at = at[b.before[length - 1][at] != OTHER]
+            key = p.key(length, at)
+            at, key = at[mine := dealt.which(length, key) >= 0], key[mine]
+            key, w, _, _ = counted_pairs(key, b.w[at])
+            out.append(pa.table({"length": pa.array(np.full(len(key), length, dtype=np.int32)), "key": pa.array(key), "w": pa.array(w)}))
         found = pa.concat_tables(out)
         return found.add_column(0, "bucket", pa.array(np.full(len(found), table.column("bucket")[0].as_py(), dtype=np.int32)))
 
@@ -466,19 +472,19 @@ def _totals(batches):
         yield rows()
 
 
-def _gathered(known, hot, length: int, depth: int, parts: int, held: int):
+def _gathered(known, hot, length: int, parts: int, held: int):
     """(key, suffix, w, n, c): counts of the symbols after hot contexts of one length, per batch of training documents; c is
     the count of the symbol in all of training."""
 
     def run(batches):
         for batch in slices(batches, "data", BATCH):
-            p = positions(batch, known.value, depth, parts, held)
-            keys = p.keys()
-            shorter = keys[length - 2] if length > 1 else np.zeros(len(p.w), dtype=np.int64)
-            at = np.flatnonzero(p.taught & (p.before[length - 1] != OTHER) & (hot.value.which(length, keys[length - 1]) >= 0))
-            rows = np.stack([keys[length - 1][at], shorter[at], p.w[at].astype(np.int64)], axis=1).view([("k", np.int64), ("s", np.int64), ("w", np.int64)]).ravel()
-            found, n = np.unique(rows, return_counts=True)
-            yield record_batch({"key": pa.array(found["k"]), "suffix": pa.array(found["s"]), "w": pa.array(found["w"].astype(np.int32)), "n": pa.array(n), "c": pa.array(known.value.counts[found["w"]])})
+            p = positions(batch, known.value, length, parts, held)
+            at = np.flatnonzero(p.taught & (p.before[length - 1] != OTHER))
+            key = p.key(length, at)
+            at, key = at[mine := hot.value.which(length, key) >= 0], key[mine]
+            shorter = p.key(length - 1, at) if length > 1 else np.zeros(len(at), dtype=np.int64)
+            key, w, n, first = counted_pairs(key, p.w[at])
+            yield record_batch({"key": pa.array(key), "suffix": pa.array(shorter[first]), "w": pa.array(w), "n": pa.array(n), "c": pa.array(known.value.counts[w])})
 
     return run
 
@@ -493,7 +499,7 @@ def _hot_contexts(picked: DataFrame, known, words: Dictionary, unit: int, bar: f
         if not len(keys):
             break
         hot.keys.append(keys)
-        found = map_arrow(picked, _gathered(known, spark.sparkContext.broadcast(hot), length, depth, parts, held), "key long, suffix long, w int, n long, c long")
+        found = map_arrow(picked, _gathered(known, spark.sparkContext.broadcast(hot), length, parts, held), "key long, suffix long, w int, n long, c long")
         found = stored(found.groupBy("key", "suffix", "w").agg(F.sum("n").alias("n"), F.max("c").alias("c")), "gathered")
         kept = (F.col("n") >= 2) & (F.col("w") != OTHER)
         stats = found.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.when(kept, 0).otherwise(F.col("n"))).alias("once"))
