@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import LOWER_ASCII, give_back, list_array, map_arrow, record_batch, slices, stored, with_row_id
 
 END, START = b"\n", b"\n\n"  # no word holds a line feed
-#: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts there can be.
-BUCKET, HOT, MOST_HOT = 1_000_000, 1_000_000, 1 << 20
+#: Positions that a bucket is to hold, how often a context may occur before it is dealt out, and how many such contexts of a
+#: length there can be: more text raises the bound. Their sizes go through the driver, some 300 bytes each.
+BUCKET, HOT, MOST_HOT = 1_000_000, 1_000_000, 1 << 17
 SLICE = 250_000  # positions of a bucket that are counted at a time, or all of one word
 #: Words in the dictionary: 16 bytes each where it is broadcast.
 VOCABULARY = 1 << 21
