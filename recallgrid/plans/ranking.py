@@ -103,14 +103,24 @@ def r19_cutoff_broad(spark, sf_dir):
     return _cut(spark, sf_dir, False)
 
 
-@register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0 AND len(list_intersect(q.terms, t.terms)) > 0),
+@register(f"""WITH RECURSIVE {RECORDS}, t AS (SELECT id, ns, turn, {_TERMS.format('content')} AS terms FROM records), p AS (SELECT q.id AS query_id, t.id AS doc_id, round(CASE WHEN len(q.terms) + len(t.terms) = 0 THEN 0 ELSE len(list_intersect(q.terms, t.terms)) / (len(q.terms) + len(t.terms) - len(list_intersect(q.terms, t.terms))) END, 9) AS score, t.terms FROM t q JOIN t ON t.ns = q.ns AND t.turn < q.turn WHERE q.turn % 3 = 0),
 cut AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 40)""" + mmr_sql(5) + _SIMILAR + " SELECT query_id, doc_id, score, CAST(mmr_rank AS INT) AS mmr_rank, similarity FROM near JOIN c USING (query_id, doc_id)")
 def r20_mmr(spark, sf_dir):
-    """R20 over conversations: each user turn's earlier turns that share a term with it, ordered by marginal relevance."""
-    r = records(spark, sf_dir).select("id", "ns", F.col("turn").alias("at"), tx.terms(F.col("content")).alias("terms"))
+    """R20 over conversations: each user turn's earlier turns, ordered by marginal relevance.
+
+    Turns are counted where they share a term; the others score 0 (null without a text) and come by id, which follows turns,
+    so only the first 40 of a conversation with a text, and without one, can still be among a query's 40.
+    """
+    r = sm.unique(records(spark, sf_dir).where("turn IS NOT NULL"), "ns", "content").select("id", "ns", F.col("turn").alias("at"), tx.terms(F.col("content")).alias("terms"))
     q = r.where("at % 3 = 0").withColumnRenamed("id", "query_id")
-    m = sm.meeting(q, r, ["ns"], "when < at").join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(r.select("id", "terms"), "id")
-    c = m.select("query_id", F.col("id").alias("doc_id"), F.round(F.col("shared") / (F.col("n") + F.size("terms") - F.col("shared")), 9).alias("score"), "terms")
+    w = Window.partitionBy("ns", F.col("terms").isNull()).orderBy("id")
+    first = r.withColumn("place", F.row_number().over(w)).where("place <= 40").select("id", "ns", F.col("at").alias("when"))
+    far = q.join(first, "ns").where("when < at").select("query_id", "id", F.lit(0).alias("shared"))
+    m = sm.meeting(q, r, ["ns"], "when < at").union(far).groupBy("query_id", "id").agg(F.max("shared").alias("shared"))
+    m = m.join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(r.select("id", "terms"), "id")
+    union = F.col("n") + F.size("terms") - F.col("shared")
+    score = F.when(union == 0, 0.0).otherwise(F.round(F.col("shared") / union, 9))
+    c = m.select("query_id.id", F.col("id.id").alias("doc_id"), score.alias("score"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).withColumnRenamed("id", "query_id")
     return rk.mmr(rk.cap(c, 40, "doc_id").withColumnRenamed("rank", "position"), 5)
 
 
