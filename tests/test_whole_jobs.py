@@ -41,3 +41,12 @@ def test_marginal_relevance_ranks_turns_without_a_shared_term(spark, tmp_path, t
     assert rounded(got) == rounded(expected)
     if talk == "far":
         assert sorted(dict(zip(columns, r))["doc_id"] for r in got) == [1000, 1001, 1002] and all(dict(zip(columns, r))["score"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("talk", ["far", "long"])
+def test_merge_names_the_nearest_statement_however_far(spark, tmp_path, talk):
+    turns = [(1, 0, "user", "alder birch cedar"), (1, 3, "user", "alder elm fir gorse"), (1, 6, "user", "elm fir gorse alder"), (1, 9, "user", "ivy")] if talk == "far" else long_talk()
+    got, expected, columns = held(spark, tmp_path, turns, "l4_near_duplicate_merge")
+    assert rounded(got) == rounded(expected)
+    if talk == "far":
+        assert {r["id"]: (r["same_as"], r["overlap"], r["merges"]) for r in (dict(zip(columns, r)) for r in got)} == {1003: (1000, 0.25, False), 1006: (1003, 1.0, True)}
