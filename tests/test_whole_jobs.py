@@ -34,6 +34,9 @@ def long_talk():
     return [*rows, (2, None, "user", "alder"), (None, 3, "user", "alder")]
 
 
+AGAIN = [(1, 7, "user", "alder reed"), (1, 7, "user", "alder reed"), (1, 7, "user", "birch knot knob")]
+
+
 @pytest.mark.parametrize("talk", ["far", "long"])
 def test_marginal_relevance_ranks_turns_without_a_shared_term(spark, tmp_path, talk):
     turns = [(1, t, "user", w) for t, w in enumerate(WORDS[:4])] if talk == "far" else long_talk()
@@ -45,8 +48,23 @@ def test_marginal_relevance_ranks_turns_without_a_shared_term(spark, tmp_path, t
 
 @pytest.mark.parametrize("talk", ["far", "long"])
 def test_merge_names_the_nearest_statement_however_far(spark, tmp_path, talk):
-    turns = [(1, 0, "user", "alder birch cedar"), (1, 3, "user", "alder elm fir gorse"), (1, 6, "user", "elm fir gorse alder"), (1, 9, "user", "ivy")] if talk == "far" else long_talk()
+    turns = [(1, 0, "user", "alder birch cedar"), (1, 3, "user", "alder elm fir gorse"), (1, 6, "user", "elm fir gorse alder"), (1, 9, "user", "ivy")] if talk == "far" else long_talk() + AGAIN
     got, expected, columns = held(spark, tmp_path, turns, "l4_near_duplicate_merge")
     assert rounded(got) == rounded(expected)
     if talk == "far":
         assert {r["id"]: (r["same_as"], r["overlap"], r["merges"]) for r in (dict(zip(columns, r)) for r in got)} == {1003: (1000, 0.25, False), 1006: (1003, 1.0, True)}
+
+
+def test_topics_without_a_match_keep_the_nearest_similarity(spark, tmp_path):
+    turns = [(1, t, "user", x) for t, x in enumerate(["alder one two three four", "birch one two three four five", "none of these"])]
+    items = [(7, "alder birch cedar dogwood elm fir gorse"), (8, "hazel ivy")]
+    got, expected, columns = held(spark, tmp_path, turns, "l16_topics", items)
+    assert rounded(got) == rounded(expected)
+    (row,) = (dict(zip(columns, r)) for r in got)
+    assert (row["topic"], row["n"], row["mean"]) == (None, 3, round((1 / 5 + 1 / 6) / 3, 6))
+
+
+def test_topics_of_odd_tables(spark, tmp_path):
+    items = [(0, "alder birch reed"), (0, "knot alder"), (1, "birch alder reed"), (2, None), (None, "hazel"), (3, "fir elm gorse dogwood juniper ivy alder")]
+    got, expected, _ = held(spark, tmp_path, long_talk() + AGAIN, "l16_topics", items)
+    assert rounded(got) == rounded(expected)
