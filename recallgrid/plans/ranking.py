@@ -117,11 +117,12 @@ def r20_mmr(spark, sf_dir):
     first = r.withColumn("place", F.row_number().over(w)).where("place <= 40").select("id", "ns", F.col("at").alias("when"))
     far = q.join(first, "ns").where("when < at").select("query_id", "id", F.lit(0).alias("shared"))
     m = sm.meeting(q, r, ["ns"], "when < at").union(far).groupBy("query_id", "id").agg(F.max("shared").alias("shared"))
-    m = m.join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(r.select("id", "terms"), "id")
-    union = F.col("n") + F.size("terms") - F.col("shared")
+    m = m.join(q.select("query_id", F.size("terms").alias("n")), "query_id").join(r.select("id", F.size("terms").alias("m")), "id")
+    union = F.col("n") + F.col("m") - F.col("shared")
     score = F.when(union == 0, 0.0).otherwise(F.round(F.col("shared") / union, 9))
-    c = m.select("query_id.id", F.col("id.id").alias("doc_id"), score.alias("score"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")).withColumnRenamed("id", "query_id")
-    return rk.mmr(rk.cap(c, 40, "doc_id").withColumnRenamed("rank", "position"), 5)
+    best = rk.cap(m.select(F.col("query_id.id").alias("query_id"), "id", score.alias("score")), 40, "id")
+    c = best.join(r.select("id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")), "id")  # terms only of those kept
+    return rk.mmr(c.select("query_id", F.col("id.id").alias("doc_id"), "score", F.col("rank").alias("position"), "terms"), 5)
 
 
 @register(f"""WITH RECURSIVE {_H}, d AS (SELECT query_id, doc_id, kind, 20 + doc_id % 90 AS cost, row_number() OVER (PARTITION BY query_id ORDER BY score / (20 + doc_id % 90) DESC, score DESC, doc_id) AS i FROM hits),
