@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, record_batch, slices, texts
+from .common import give_back, map_arrow, record_batch, slices, texts
 from .labelled import one_text_an_id, remainder, sample_ids, sample_labels, scored_schema
 
 MARKS = "!?.,;:'\"()[]{}<>|%$#@&*+=/\\_-~^`"
@@ -109,10 +110,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = N
     width = 3 * (len(MARKS) + 18)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(width), np.ones(width), np.zeros(width + 1), 0.5)
-    both = expanded(np.concatenate([positive, unlabelled]))
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
-    one = lambda x: np.concatenate([np.clip((expanded(x) - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
-    p, u = one(positive), one(unlabelled)
+    both = np.ones((len(positive) + len(unlabelled), width + 1))  # the one matrix of all rows; the constant is last
+    z, rows = both[:, :width], np.concatenate([positive, unlabelled])
+    for i in range(0, len(z), 4096):
+        z[i : i + 4096] = expanded(rows[i : i + 4096])
+    mean, scale = z.mean(axis=0), z.std(axis=0) + 1e-6
+    for i in range(0, len(z), 4096):
+        z[i : i + 4096] = np.clip((z[i : i + 4096] - mean) / scale, -8, 8)
+    p, u = both[: len(positive)], both[len(positive) :]
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     ridge = np.append(np.full(width, decay), 0)
 
@@ -150,11 +155,15 @@ def train(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0,
     rows = map_arrow(positive.union(unlabelled), _featured, "doc_id long, label int, x array<double>").toArrow().combine_chunks()  # two bounded samples
     if not rows.num_rows:
         return fit(np.empty((0, 1)), np.empty((0, 1)))
-    x = np.stack(rows.column("x").to_pylist())
+    x = pc.list_flatten(rows.column("x")).to_numpy().reshape(rows.num_rows, -1)
     good = rows.column("label").fill_null(0).to_numpy() == 1
     order = np.lexsort((~good, rows.column("doc_id").to_numpy()))
-    x, good = x[order], good[order]
-    return fit(x[good], x[~good])
+    positive, unlabelled = x[order[good[order]]], x[order[~good[order]]]
+    del rows, x
+    model = fit(positive, unlabelled)
+    del positive, unlabelled
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, map_arrow, record_batch, slices, texts
+from .common import Bounded, give_back, map_arrow, record_batch, slices, texts
 from .labelled import one_text_an_id, remainder, sample_labels, scored_schema
 
 #: Groups of terms that may be swapped for one another.
@@ -103,14 +104,47 @@ def select_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int) ->
     return sorted(r["part"] for r in picked.collect())
 
 
-def fit(model: Model, x: np.ndarray, y: np.ndarray, change: np.ndarray | None, *, penalty: float, decay: float, steps: int = 500, rate: float = 0.05) -> Model:
+class Rows:
+    """Sparse rows: each entry's column and value, row by row. Products go by blocks of about ``block`` entries, so that beside the
+    entries only a block is held in double precision."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, lengths: np.ndarray, width: int, block: int = 1 << 18):
+        self.at, self.value, self.lengths, self.shape = at, value, lengths, (len(lengths), width)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        edges = np.flatnonzero(np.diff(self.starts[:-1] // block)) + 1 if len(lengths) else []
+        self.blocks = list(zip([0, *edges], [*edges, len(lengths)]))
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        row, at = np.nonzero(dense)
+        return cls(at.astype(np.int32), dense[row, at], np.bincount(row, minlength=len(dense)), dense.shape[1])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """x w"""
+        out = np.zeros(self.shape[0])
+        for a, b in self.blocks:
+            i, j = self.starts[a], self.starts[b]
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), self.lengths[a:b]), self.value[i:j] * w[self.at[i:j]], b - a)
+        return out
+
+    def turned_times(self, r: np.ndarray) -> np.ndarray:
+        """x' r"""
+        out = np.zeros(self.shape[1])
+        for a, b in self.blocks:
+            i, j = self.starts[a], self.starts[b]
+            out += np.bincount(self.at[i:j], self.value[i:j] * np.repeat(r[a:b], self.lengths[a:b]), self.shape[1])
+        return out
+
+
+def fit(model: Model, x: Rows | np.ndarray, y: np.ndarray, change: np.ndarray | None, *, penalty: float, decay: float, steps: int = 500, rate: float = 0.05) -> Model:
     """Logistic loss plus penalty * mean (score margin before - after a swap)^2 plus a ridge, by Adam on full batches.
     ``change`` is the mean of d d' over the swaps, d being the difference of a sentence's features; None without swaps."""
+    x = x if isinstance(x, Rows) else Rows.of(x)
     w = np.zeros(x.shape[1])
     w[-1] = np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)) if len(y) else -3.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1 if len(y) else 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(y)
+        g = x.turned_times(1 / (1 + np.exp(-np.clip(x.times(w), -30, 30))) - y) / len(y)
         if change is not None:
             g += 2 * penalty * change @ w
         g[:-1] += decay * w[:-1]
@@ -177,13 +211,15 @@ def train(docs: DataFrame, labels: DataFrame, *, parts: int = 4, held: int = 2,
             yield record_batch({"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": pa.array(at, pa.list_(pa.int32())), "value": pa.array(value, pa.list_(pa.float32()))})
 
     got = map_arrow(sample, rows, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
-    dense = np.zeros((got.num_rows, 2 * len(model.index) + 1), dtype=np.float32)
-    for r, (at, value) in enumerate(zip(got.column("at").to_pylist(), got.column("value").to_pylist())):
-        dense[r, at] = value
+    lengths = pc.list_value_length(got.column("at")).to_numpy()
+    x = Rows(*(pc.list_flatten(got.column(c)).to_numpy() for c in ("at", "value")), lengths, 2 * len(model.index) + 1)
     y = got.column("label").to_numpy() == 1
     sums = map_arrow(map_arrow(sample.select("text"), _swaps(shared, terms), "n long, total binary").repartition(1), _added, "n long, total binary").first()
-    change = np.frombuffer(sums["total"]).reshape(dense.shape[1], -1) / sums["n"] if sums else None
-    return fit(model, dense, y.astype(float), change, penalty=penalty, decay=decay)
+    change = np.frombuffer(sums["total"]).reshape(x.shape[1], -1) / sums["n"] if sums else None
+    fit(model, x, y.astype(float), change, penalty=penalty, decay=decay)
+    del got, x
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -124,3 +125,38 @@ def test_near_duplicates_are_those_of_similarity_08(spark, tmp_path, monkeypatch
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), FOLDER)
     assert kept.columns == ["doc_id", "text"]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+
+
+def _peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_keeps_little_on_the_driver(spark, tmp_path):
+    """Of toxicity the driver holds what entries the rows have: 3,000 rows of 890 features would be 10 MB, twice that in double precision."""
+    random.seed(5)
+    words = ["".join(random.choices("abcdefghijklmnop", k=8)) for _ in range(300)]
+    rows = [(i, " ".join(random.choices(words[:150] if i % 2 else words, k=6))) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs, labels = spark.read.parquet(f"{tmp_path}/d"), spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    model, peak = _peak_mb(lambda: toxicity.train(docs, labels, parts=3001, held=3000))
+    assert len(model.weights) > 800 and peak < 8
+    x = np.random.default_rng(1).random((8000, len(quality.MARKS) + 18))
+    model, peak = _peak_mb(lambda: quality.fit(x[:3000] * 0.9, x[3000:], prior=0.4))
+    assert len(model.weights) > 100 and peak < 3.2 * (x.nbytes * 3 / 1e6)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_sparse_rows_multiply_as_dense_ones(block):
+    random_numbers = np.random.default_rng(3)
+    dense = np.where(random_numbers.random((50, 30)) < 0.2, random_numbers.random((50, 30)), 0)
+    dense[10:14] = 0
+    of = toxicity.Rows.of(dense)
+    rows = toxicity.Rows(of.at, of.value, of.lengths, 30, block)
+    w, r = random_numbers.random(30), random_numbers.random(50)
+    assert np.allclose(rows.times(w), dense @ w) and np.allclose(rows.turned_times(r), dense.T @ r)
+    assert toxicity.Rows.of(dense[:0]).times(w).shape == (0,) and not toxicity.Rows.of(dense[:0]).turned_times(r[:0]).any()
