@@ -105,43 +105,31 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, *, words: int = 5, per_bucket: int = 4096, most_buckets: int = 10_000) -> DataFrame:
     """Rows (doc_id, text, print) with those of the next row in descending doc_id (null last, then by text); the first
     row follows the last. Rows are cut into buckets by doc_id, so that no window holds more than a bucket; only a
-    bucket's first row, with a print of its own, goes to the bucket before it."""
+    bucket's first row, with a print of its own, goes to the bucket before it and stands there at the end."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id")
     count = ids.count()
     n = max(1, min(most_buckets, -(-count // per_bucket)))
     cuts = sorted(set(ids.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []))[: n - 1] if count else []
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _below(cuts))
-    dealt = docs.withColumn("bucket", bucket.cast("int"))
-    order = [F.col("doc_id").desc_nulls_last(), "text"]
-    window = Window.partitionBy("bucket").orderBy(*order)
-    inside = dealt.select(
-        "doc_id", "text", "print", "bucket",
-        F.lead("text").over(window).alias("next_text"),
-        F.lead("print").over(window).alias("next_print"),
-        F.row_number().over(window).alias("place"),
-        F.lead(F.lit(True)).over(window).isNull().alias("last"),
-    )
-    firsts = docs.select("doc_id", "text").withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("o"), "text")).alias("head"))
-    firsts = firsts.select("bucket", F.col("head.text").alias("head_text")).withColumn("head_print", fingerprint(F.col("head_text"), words))  # as many as buckets
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _below(cuts)).cast("int")
+    firsts = docs.select("doc_id", "text").withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("o"), "text")).alias("head"))
+    firsts = firsts.select("bucket", F.col("head.text").alias("text")).withColumn("print", fingerprint(F.col("text"), words))  # as many as buckets
     following = Window.orderBy("bucket")  # bucket numbers alone
     before = F.coalesce(F.lag("bucket").over(following), F.max("bucket").over(following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = firsts.join(firsts.select("bucket").withColumn("before", before), "bucket").select(F.col("before").alias("bucket"), F.lit(True).alias("last"), "head_text", "head_print")
-    joined = inside.join(heads, ["bucket", "last"], "left")
-    return joined.select("doc_id", "text", "print", *(F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in ("text", "print")))
+    numbers = docs.select(bucket.alias("bucket")).distinct().withColumn("before", before)
+    heads = firsts.join(F.broadcast(numbers), "bucket").select(F.lit(None).cast("long").alias("doc_id"), "text", "print", F.col("before").alias("bucket"), F.lit(True).alias("head"))
+    dealt = docs.select("doc_id", "text", "print", bucket.alias("bucket"), F.lit(False).alias("head")).union(heads)
+    window = Window.partitionBy("bucket").orderBy("head", F.col("doc_id").desc_nulls_last(), "text")
+    nexts = (F.lead(c).over(window).alias(f"next_{c}") for c in ("text", "print"))
+    return dealt.select("doc_id", "text", "print", "head", *nexts).where(~F.col("head")).drop("head")
 
 
 def _below(cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below doc_id, by halving."""
+    """How many of the sorted cuts are below doc_id, by halving. The steps are a fold, so the expression stays as short for many cuts."""
     if not cuts:
         return F.lit(0)
-    array = F.array(*[F.lit(c).cast("long") for c in cuts])
-    place = F.lit(0)
-    step = 1 << (len(cuts).bit_length() - 1)
-    while step:
-        probe = place + step
-        place = F.when((probe <= len(cuts)) & (F.get(array, probe - 1) < F.col("doc_id")), probe).otherwise(place)
-        step //= 2
-    return place
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to one literal
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda place, step: F.when((place + step <= len(cuts)) & (F.get(array, place + step - 1) < F.col("doc_id")), place + step).otherwise(place))
 
 
 def edited_pairs(docs: DataFrame, *, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -451,3 +451,19 @@ def test_quality_of_repeated_rows_and_empty_tables(spark, empty):
     assert np.allclose(first.weights, second.weights) and len(first.weights) > 1
     assert quality.score_documents(docs, first).columns == ["doc_id", "text", "x", "score", "predicted"]
     assert quality.score_all(empty, given).count() == 0
+
+
+def test_minhash_cuts_stay_short_and_exact(spark):
+    cuts = sorted(random.Random(7).sample(range(-9000, 9000), 30))
+    assert len(str(minhash._below(cuts))) < 2_000  # grew with the square of the cuts
+    ids = [*cuts, *(c + 1 for c in cuts), -(2**63), 2**63 - 1]
+    got = dict(spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", minhash._below(cuts).alias("n")).collect())
+    assert got == {i: sum(c < i for c in cuts) for i in ids}
+
+
+def test_minhash_next_over_buckets(spark):
+    rows = [(i if i % 7 else None, f"t{i * 5 % 90} x") for i in range(90)] + [(4, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("print", F.array(F.lit(0)))
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in minhash.with_next(docs, per_bucket=6).collect()]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted(got, key=repr) == sorted(((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)), key=repr)
