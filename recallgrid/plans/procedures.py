@@ -68,7 +68,8 @@ s AS (SELECT prompt_id, id, updated, authority, CASE WHEN config AND {_has(CONFI
  + least(20, 4 * len(list_intersect(list_distinct(terms), regexp_split_to_array(prompt, '[^a-z]+')))) AS score FROM j WHERE NOT (role = 'optional' AND req) AND NOT (role = 'required' AND opt))
 SELECT prompt_id, id, round(score + authority / 100, 2) AS score FROM s WHERE score >= 24 QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY score + authority / 100 DESC, updated DESC, id) = 1""")
 def r30_procedure_selection(spark, sf_dir):
-    """The most applicable promoted procedure of a prompt's scope, if its fields and terms score 24 or more."""
+    """The most applicable promoted procedure of a prompt's scope, if its fields and terms score 24 or more. Prompts of one scope and
+    text are answered once."""
     p = table(spark, sf_dir, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     q = p.where(k % 20 == 0).select(k.alias("prompt_id"), "p_brand", F.element_at(F.array(*map(F.lit, _ASK)), (1 + k % 4).cast("int")).alias("prompt"))
@@ -79,9 +80,10 @@ def r30_procedure_selection(spark, sf_dir):
     points = lambda on, words, n: F.when(F.col(on) & has(words), n).otherwise(0)
     score = points("config", CONFIG, 24) + points("init", STARTUP, 18) + points("missing", MISSING, 12) + F.when(required | optional, 8).otherwise(0)
     score = score + F.least(F.lit(20), 4 * F.size(F.array_intersect("terms", F.split("prompt", "[^a-z]+"))))
-    j = q.join(e, "p_brand").where(~((F.col("role") == "optional") & required) & ~((F.col("role") == "required") & optional)).withColumn("base", score).where("base >= 24")
+    j = q.select("p_brand", "prompt").distinct().join(e, "p_brand").where(~((F.col("role") == "optional") & required) & ~((F.col("role") == "required") & optional)).withColumn("base", score).where("base >= 24")
     j = j.withColumn("score", F.round(F.col("base") + F.col("authority") / 100, 2))
-    return j.withColumn("n", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("score"), F.desc("updated"), "id"))).where("n = 1").select("prompt_id", "id", "score")
+    best = j.withColumn("n", F.row_number().over(Window.partitionBy("p_brand", "prompt").orderBy(F.desc("score"), F.desc("updated"), "id"))).where("n = 1")
+    return q.join(best.select("p_brand", "prompt", "id", "score"), ["p_brand", "prompt"]).select("prompt_id", "id", "score")
 
 
 #: Spellings of a field's value and the value they stand for; fixed values.
