@@ -85,10 +85,12 @@ def eliminated(edges: DataFrame, *, fill: int = 8, seed: int = 3) -> tuple[DataF
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Edges (task, needs) that stand in or behind a cycle: those whose need leads into one. Tasks are taken out by rounds, see
-    ``eliminated``; then, last round first, a task leads into a cycle if one of the needs that it had then does."""
+    """Edges (task, needs) that stand in or behind a cycle: those whose need leads into one. What nothing needs is in no cycle and on no
+    way between others, so its edges are set aside. Tasks are taken out by rounds, see ``eliminated``; then, last round first,
+    a task leads into a cycle if one of the needs that it had then does."""
     edges = written(edges.select("task", "needs").dropna().distinct(), "needs")
-    left, gone = eliminated(edges.toDF("a", "b"))
+    needed = edges.select(F.col("needs").alias("task")).distinct()
+    left, gone = eliminated(edges.join(needed, "task", "left_semi").toDF("a", "b"))
     into = written(left.select("a").distinct(), "into")
     for needs in reversed(gone):
         met = needs.join(into.select(F.col("a").alias("b"), F.lit(True).alias("met")), "b", "left").where("met OR b IS NULL").select("a")

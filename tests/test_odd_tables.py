@@ -2,6 +2,7 @@
 
 import duckdb
 
+from recallgrid.operators import memory
 from recallgrid.plans import registry
 
 
@@ -25,3 +26,62 @@ def test_token_estimates_of_odd_texts(spark, tmp_path):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, expected = held(spark, tmp_path, "p14_token_estimates", documents=documents)
     assert got == expected
+
+
+def parts(spark, names, copies=40):
+    """(p_partkey, p_name, p_brand, p_type, p_size): every name many times, over a few brands, types and sizes."""
+    rows = [(3 * i + 7, names[i % len(names)], f"Brand#{i // 7 % 2}", ("SMALL", "LARGE", "ECONOMY")[i // 5 % 3], i * 11 % 31) for i in range(copies * len(names))]
+    rows += [(100_000, None, "Brand#1", "LARGE", 6), (100_020, "hot bolt", None, "SMALL", 12), (100_040, "small large", "Brand#0", "LARGE", 30)]
+    return spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").repartition(3)
+
+
+NAMES = ["hot bolt", "bolt hot", "red ring", "red config", "small gear", "large config", "blue"]
+
+
+def largest(df):
+    """The most rows that an operator of the executed plan put out, beside scans."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        found = max(found, rows.get().value() if rows.isDefined() else 0)
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return found
+
+
+def small_job(spark, folder, name, most):
+    df = registry.queries()[name](spark, str(folder))
+    df.collect()
+    assert largest(df) <= most
+
+
+def test_procedures_of_repeated_prompts(spark, tmp_path):
+    got, expected = held(spark, tmp_path, "r30_procedure_selection", part=parts(spark, NAMES))
+    assert got == expected
+    small_job(spark, tmp_path, "r30_procedure_selection", 1_000)
+
+
+def test_catalogue_of_repeated_texts(spark, tmp_path):
+    got, expected = held(spark, tmp_path, "v12_catalogue_matching", part=parts(spark, NAMES[:-1]))
+    assert got == expected
+    small_job(spark, tmp_path, "v12_catalogue_matching", 1_000)
+
+
+def test_merge_of_repeated_cues(spark, tmp_path):
+    got, expected = held(spark, tmp_path, "l14_familyless_merge", part=parts(spark, NAMES))
+    assert got == expected
+    small_job(spark, tmp_path, "l14_familyless_merge", 1_000)
+
+
+def test_cycles_set_aside_what_nothing_needs(spark, monkeypatch):
+    edges = [*((100 + i, i % 3) for i in range(60)), (0, 1), (1, 0), (2, 3), (3, 4)]
+    met, whole = [], memory.eliminated
+    monkeypatch.setattr(memory, "eliminated", lambda e: (met.append(e.count()), whole(e))[1])
+    got = memory.cyclic(spark.createDataFrame(edges, "task long, needs long")).collect()
+    assert sorted(map(tuple, got)) == sorted(e for e in edges if e[1] < 2)
+    assert met == [4]
