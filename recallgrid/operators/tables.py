@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -126,15 +127,56 @@ def full_text(queries: DataFrame, docs: DataFrame, terms: Column, k: int, *, k1:
     return scored.select("query_id", "doc_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
 
 
+def _slots(dims: int):
+    """Batches (doc_id, text) of lower-case texts to rows (doc_id, counts): how many of a text's trigrams fall into each slot. A trigram of
+    characters below 256 is looked up in a table, hashed when it is first met; others are hashed once a piece of text. A null text
+    counts one in place ``dims``."""
+
+    def hashed(grams: np.ndarray) -> np.ndarray:
+        texts = ("".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0)) for g in grams)
+        return np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "little") % dims for t in texts], dtype=np.int16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.full(1 << 24, -1, dtype=np.int16)
+
+        def slots(c: np.ndarray) -> np.ndarray:
+            """The slots of the trigrams that start at each character but the last two."""
+            a, b, c = c[:-2], c[1:-1], c[2:]
+            plain = (a | b | c) < 256
+            place = np.where(plain, a << 16 | b << 8 | c, 0).astype(np.int32)
+            out = np.where(plain, table[place], -1)
+            new = np.flatnonzero(out < 0)
+            if len(new):
+                grams, at = np.unique(a[new].astype(np.int64) << 42 | b[new].astype(np.int64) << 21 | c[new], return_inverse=True)
+                found = hashed(grams)
+                out[new] = found[at]
+                table[place[new[plain[new]]]] = out[new[plain[new]]]
+            return out
+
+        for batch in batches:
+            ids, counts = [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if text is None or len(text) < 3:  # one run, of the whole text
+                    n = np.zeros(dims + 1, dtype=np.int64)
+                    n[dims if text is None else int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little") % dims] = 1
+                else:
+                    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+                    n = sum(np.bincount(slots(c[i : i + (1 << 20) + 2]), minlength=dims + 1) for i in range(0, len(c) - 2, 1 << 20))
+                ids.append(doc_id), counts.append(n)
+            if ids:
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (dims + 1)), pa.array(np.concatenate(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), lists], names=["doc_id", "counts"])
+
+    return run
+
+
 def trigram_vectors(docs: DataFrame, dims: int) -> DataFrame:
     """(doc_id, slot, weight): a stand-in embedding. Each run of three characters counts in the slot that the first four
-    bytes of its SHA-256, low byte first, give mod ``dims``; lengths are 1."""
-    c = F.col("c")  # single characters: taking them by place costs the same anywhere in a long text
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
-    g = docs.select("doc_id", F.split(F.lower("text"), "(?!^)(?s)(?=.)").alias("c")).select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
-    h = F.sha2("gram", 256)
-    low_first = F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-    slots = g.groupBy("doc_id", (F.conv(low_first, 16, 10).cast("long") % dims).alias("slot")).agg(F.sum("n").alias("n"))
+    bytes of its SHA-256, low byte first, give mod ``dims``; lengths are 1. A null text has a null slot, a short one is one run."""
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    rows = texts.mapInArrow(_slots(dims), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, counts array<bigint>").repartition("doc_id")
+    each = rows.select("doc_id", F.posexplode("counts").alias("slot", "n")).where("n > 0")
+    slots = each.groupBy("doc_id", F.nullif(F.col("slot").cast("long"), F.lit(dims)).alias("slot")).agg(F.sum("n").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
     return slots.select("doc_id", "slot", (F.col("n") / length).alias("weight"))
 

@@ -85,3 +85,12 @@ def test_cycles_set_aside_what_nothing_needs(spark, monkeypatch):
     got = memory.cyclic(spark.createDataFrame(edges, "task long, needs long")).collect()
     assert sorted(map(tuple, got)) == sorted(e for e in edges if e[1] < 2)
     assert met == [4]
+
+
+def test_trigrams_of_odd_texts(spark, tmp_path):
+    texts = ["", None, "a", "Éé", "abc", "ABCabc" * 150, "日本語の文" * 90, "x😀😀y z", "😀", "a\x00b\nc", "ÿĀÿĀÿ"]
+    rows = [*enumerate(texts), (5, "again abc"), (None, "no id"), (None, "nor here")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got, expected = held(spark, tmp_path, "i15_trigram_vectors", documents=documents)
+    assert got == expected
+    small_job(spark, tmp_path, "i15_trigram_vectors", 65 * len(rows))
