@@ -81,14 +81,21 @@ def top_cosine(queries: DataFrame, corpus: DataFrame, k: int, *, within: Sequenc
     """(query_id, doc_id, score, rank): the k most similar rows of corpus (doc_id, v) for each of queries (query_id, v).
 
     The corpus is dealt into blocks of about ``per_block`` rows and each query goes to every block, where one matrix
-    product scores them and k rows a query are kept; no side is broadcast. ``within`` names columns that have to be
-    equal. Vectors have one length; null, zero and non-finite ones take no part. Ties go to the smaller doc_id.
+    product scores them and k rows a query are kept; no vectors are broadcast. ``within`` names columns that have to be
+    equal; what is equal there has blocks of its own. Vectors have one length; null, zero and non-finite ones take no
+    part. Ties go to the smaller doc_id.
     """
     usable = F.coalesce(norm(F.col("v")), F.lit(0.0))
     queries, corpus = (x.where((usable > 0) & (usable < float("inf"))) for x in (queries, corpus))
-    blocks = max(1, -(-corpus.count() // per_block))
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    if within:
+        count = corpus.groupBy(*within).count().where(F.col("count") > per_block)
+        many = count.select(*within, F.ceil(F.col("count") / per_block).cast("int").alias("blocks"))  # as few as rows / per_block
+        queries, corpus = (x.join(F.broadcast(many), [*within], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for x in (queries, corpus))
+    else:
+        blocks = F.lit(max(1, -(-corpus.count() // per_block))).alias("blocks")
+        queries, corpus = (x.select("*", blocks) for x in (queries, corpus))
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(c) for c in within), F.col("v").alias("d"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     best = left.groupBy("block", *within).cogroup(right.groupBy("block", *within)).applyInArrow(_block_top(k), "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,8 +1,11 @@
 """Queries over odd or skewed tables of their own, held to their SQL."""
 
+import math
+
 import duckdb
+import numpy as np
 
-from recallgrid.operators import memory
+from recallgrid.operators import memory, tables
 from recallgrid.plans import registry
 
 
@@ -10,10 +13,10 @@ def rounded(rows):
     return sorted((tuple(round(float(x), 6) if isinstance(x, float) or hasattr(x, "as_tuple") else x for x in r) for r in rows), key=repr)
 
 
-def held(spark, folder, name, **tables):
+def held(spark, folder, name, **given):
     """The rows of a query over DataFrames, and those of its SQL."""
     con = duckdb.connect()
-    for t, df in tables.items():
+    for t, df in given.items():
         df.write.parquet(f"{folder}/{t}.parquet")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     result = con.execute(registry.oracle_sql()[name])
@@ -94,3 +97,18 @@ def test_trigrams_of_odd_texts(spark, tmp_path):
     got, expected = held(spark, tmp_path, "i15_trigram_vectors", documents=documents)
     assert got == expected
     small_job(spark, tmp_path, "i15_trigram_vectors", 65 * len(rows))
+
+
+def test_nearest_in_many_scopes_meet_their_own_block_only(spark):
+    rows = [(i, i % 40 if i % 3 else None if i % 30 else 77, [math.sin(i * d + 1) for d in (1, 2, 3)]) for i in range(600)]
+    e = spark.createDataFrame(rows, "doc_id long, scope long, v array<double>")
+    df = tables.top_cosine(e.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id"), e, 4, within=["scope"], per_block=30)
+    got = {(r["query_id"], r["rank"]): r["doc_id"] for r in df.collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    expected = {}
+    for i, scope, _ in rows:
+        if i % 5 == 0:
+            near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j, other, _ in rows if other == scope)
+            expected |= {(i, r): j for r, (_, j) in enumerate(near[:4], 1)}
+    assert got == expected
+    assert largest(df) <= 2_000  # 120 queries met 20 blocks each before
