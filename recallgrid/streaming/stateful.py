@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.shared import fresh_path
-from .folds import STATE, _events, empty_state, reduce_event
+from .folds import STATE, empty_state, reduce_event
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -81,8 +81,10 @@ class RecentBuffer(StatefulProcessor):
 
 
 class WorkingState(StatefulProcessor):
-    """The working state of a session (user_id, day), folded from its events in order of seq; one row of it after each trigger."""
+    """The working state of a session (user_id, day), folded from its events in order of seq; one row of it after each trigger. Sessions
+    are many and short, so they come and go as rows: a frame for each would take longer than its fold."""
 
+    ROWS = True
     OUT = f"user_id long, day date, {STATE}"
 
     def __init__(self, ttl_ms: int | None = None):
@@ -91,15 +93,15 @@ class WorkingState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("state", STATE, self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = empty_state()
-        if self.held.exists():
-            state = {c: list(v) if isinstance(state[c], list) else v for c, v in zip(state, self.held.get())}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state, held = empty_state(), self.held.get()
+        if held is not None:
+            state = {c: list(v) if isinstance(state[c], list) else v for c, v in zip(state, held)}
             state["loops"] = [{"id": x[0], "call": x[1], "text": x[2]} for x in state["loops"]]
-        for event in _events(ordered(rows, "seq")):
-            state = reduce_event(state, event)
+        for row in sorted(rows, key=lambda r: r["seq"]):
+            state = reduce_event(state, row.asDict())
         self.held.update(tuple([tuple(x.values()) for x in v] if c == "loops" else v for c, v in state.items()))
-        yield pd.DataFrame([{"user_id": key[0], "day": key[1], **state}])
+        yield Row(user_id=key[0], day=key[1], **state)
 
     def close(self) -> None:
         pass
@@ -109,7 +111,9 @@ def stateful(source: DataFrame, processor: StatefulProcessor, *keys: str) -> Dat
     """source, a stream, through the processor by ``keys``. State with a time to live needs processing time, and such a stream
     goes on until it is stopped, for there is always state that may end."""
     time = "ProcessingTime" if processor.ttl_ms is not None else "None"
-    return source.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "Update", time)
+    groups = source.groupBy(*keys)
+    run = groups.transformWithState if getattr(processor, "ROWS", False) else groups.transformWithStateInPandas
+    return run(processor, processor.OUT, "Update", time)
 
 
 def drained(spark: SparkSession, source: Callable[[SparkSession], DataFrame], name: str) -> DataFrame:

@@ -4,9 +4,11 @@ import math
 
 import duckdb
 import numpy as np
+from pyspark.sql import Row
 
 from recallgrid.operators import memory, tables
 from recallgrid.plans import registry
+from recallgrid.streaming import stateful
 
 
 def rounded(rows):
@@ -112,3 +114,21 @@ def test_nearest_in_many_scopes_meet_their_own_block_only(spark):
             expected |= {(i, r): j for r, (_, j) in enumerate(near[:4], 1)}
     assert got == expected
     assert largest(df) <= 2_000  # 120 queries met 20 blocks each before
+
+
+def test_sessions_pass_the_stream_as_rows():
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    session = stateful.WorkingState()
+    session.held = Held()
+    event = lambda seq, kind, failed: Row(seq=seq, event_id=10 + seq, kind=kind, failed=failed, text="build it", task=None, call=None, target=None)
+    list(session.handleInputRows((1, None), iter([event(2, "tool_result", True), event(1, "goal", False)]), None))
+    (row,) = session.handleInputRows((1, None), iter([event(3, "tool_call", False)]), None)
+    assert (row["goal"], row["loops"], row["resources"], row["seen"]) == (11, [{"id": 12, "call": None, "text": "resolve build it"}], ["build it"], 3)
